@@ -11,6 +11,7 @@ from sluiceway.llm.bpe import bpe_decode, bpe_encode
 from sluiceway.llm.near_dedup import near_dedup
 from sluiceway.llm.substring_dedup import substring_dedup
 from sluiceway.llm.token_counts import token_counts
+from sluiceway.llm.token_store import token_store
 
 
 def vocabulary(name: str) -> str:
@@ -43,11 +44,17 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), shingle=3, share=85)
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_store(_table(spark, sf_dir, "documents"), tokenizer=vocabulary("word_bpe_49k.json"), end_id=1)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op8_token_counts": op8_token_counts,
     "op9_near_dedup": op9_near_dedup,
+    "op10_token_store": op10_token_store,
 }
 
 ORACLES: dict[str, str] = {
