@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import codecs
 import json
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ from sluiceway.llm.shared import slices
 
 #: Fixed value: the pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Code points below which the same pattern is spelled out for the standard library's engine.
+LATIN = 0x250
 CACHE = 300_000
 #: Bytes up to which a pre-token is taken as one piece of the stream.
 SHORT = 64
@@ -48,6 +52,21 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _ranges(category: str) -> str:
+    """Code points below LATIN of a general category, as a character class's inside."""
+    codes = [c for c in range(LATIN) if unicodedata.category(chr(c))[0] == category]
+    return "".join(re.escape(chr(c)) for c in codes)
+
+
+def pretokenizer():
+    """text -> pre-tokens. Texts of Latin characters take the standard library's engine, which
+    is twice as fast with explicit classes; all others take the pattern as it is."""
+    letter, number, space = _ranges("L"), _ranges("N"), r"\t-\r \x85\xa0"
+    latin = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+    other, every = re.compile(f"[^\0-{chr(LATIN - 1)}]").search, regex.compile(PATTERN).findall
+    return lambda text: every(text) if other(text) else latin(text)
+
+
 class Vocabulary:
     """Tokens and merges of a byte-level BPE file (the JSON form of the tokenizers library)."""
 
@@ -72,7 +91,7 @@ class Vocabulary:
         self.single = np.array([self.id_of[bytes([b])] for b in range(256)], np.int32)
         self.longest = max(map(len, self.id_of))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pretokens = regex.compile(PATTERN).findall
+        self.pretokens = pretokenizer()
 
     def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is it a special token, piece) in order."""
@@ -158,7 +177,7 @@ class Transducer:
         """The ids of a short pre-token. The state after a prefix is the token that ends there,
         whatever follows, so states are shared by all pre-tokens that begin alike."""
         ends, tokens, fits, reach = self._ends, self.tokens, self.fits, self.reach
-        if len(ends) > CACHE:
+        if len(ends) > 3 * CACHE:
             ends.clear()
         known = len(data)
         while known and data[:known] not in ends:
