@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import langid, quality
+from sluiceway.llm import langid, quality, toxicity
 from sluiceway.llm.bpe import bpe_decode, bpe_encode
 from sluiceway.llm.near_dedup import near_dedup
 from sluiceway.llm.substring_dedup import substring_dedup
@@ -60,11 +60,17 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(docs, langid.learn(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
+    "op5_toxicity": op5_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_near_dedup": op9_near_dedup,
     "op10_token_store": op10_token_store,
