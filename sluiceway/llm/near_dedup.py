@@ -6,14 +6,18 @@ empty set and links with nothing. Two documents link when their sets' Jaccard si
 reaches the threshold; components of linked documents share the smallest id reachable.
 
 * Documents with equal sets fall into one class first, so copies are handled once.
-* Keys: two collections of m short bands (two minhashes each) are computed, 4m minhashes in
+* Keys: two collections of m short bands (three minhashes each) are computed, 6m minhashes in
   all, and every pair of a band of one with a band of the other is a table key: m * m tables
   from a number of minhashes that grows as their square root. m is the least for which a pair
   at the threshold is missed with a probability of at most ``miss``.
-* In each bucket every class is compared with the bucket's smallest one (a star), which joins
-  most groups. What is then left are buckets that still hold several components; only pairs
-  across components are compared there, so a group of thousands of copies never makes all its
-  pairs, and no link that changes a component is passed over. Sizes prune pairs first.
+* Three bits of up to 63 of the minhashes make a sketch. Pairs whose sketches differ in more
+  places than a pair at the threshold does but for a probability of 1e-6, or whose sizes alone
+  rule the threshold out, are not compared.
+* In turns, every class is compared with one class only: the least among the smallest members
+  of its buckets that are not in its component yet. This joins nearly all of a group, whatever
+  its size. What is then left are buckets that still hold several components; all pairs across
+  components are compared there, so a group of thousands of copies never makes all its pairs,
+  and no link that changes a component is passed over.
 * A candidate is confirmed on the full sets: sorted arrays of 64-bit shingle hashes.
 * Components: minimum labels with pointer jumping, written to the shared folder each round.
 
@@ -26,17 +30,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.llm import words as W
 from sluiceway.llm.shared import Scratch, slices
 
 _U = np.uint64
-BAND = 2
+BAND = 3
+TURNS = 3
+#: Places of a sketch: 21 in each of three longs, three bits each.
+PLACES = 63
 
 
 def bands_for(threshold: float, miss: float) -> int:
@@ -48,6 +56,16 @@ def bands_for(threshold: float, miss: float) -> int:
     return m
 
 
+def allowed(threshold: float, places: int, miss: float = 1e-6) -> int:
+    """Differing places of a sketch that a pair at the threshold exceeds with probability miss."""
+    p = (1 - threshold) * 7 / 8
+    tail, most = 1.0, -1
+    while tail > miss:
+        most += 1
+        tail -= comb(places, most) * p**most * (1 - p) ** (places - most)
+    return most
+
+
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all documents, end to end, and where each begins."""
     words = W.split(texts)
@@ -87,12 +105,14 @@ def _signatures(size: int, bands: int):
                     x ^= x >> _U(32)
                     low[i] = np.minimum.reduceat(x, at)
                 for i in range(2):
-                    sums[i] = np.add.reduceat(W.mix64(value + _U(i + 1) * _U(0x9E3779B97F4A7C15)), at)
+                    sums[i] = np.add.reduceat(W.mix64(value + _U((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), at)
             half = [reduce(lambda a, b: W.pair(a, b), (low[i * BAND + j] for j in range(BAND))) for i in range(2 * bands)]
             keys = np.stack([W.pair(half[i], half[bands + j], i * bands + j) for i in range(bands) for j in range(bands)], axis=1)
             ids = batch["doc_id"].take(pa.array(full))
+            bits = low[:PLACES] & _U(7)
+            sketch = [np.bitwise_or.reduce([bits[i] << _U(3 * k) for k, i in enumerate(range(w, min(w + 21, len(bits))))], axis=0).view(np.int64) if w < len(bits) else np.zeros(len(full), np.int64) for w in (0, 21, 42)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * bands * bands), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n[full].astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists], ["doc_id", "n_shingles", "s1", "s2", "keys"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n[full].astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *map(pa.array, sketch), lists], ["doc_id", "n_shingles", "s1", "s2", "k0", "k1", "k2", "keys"])
 
     return rows
 
@@ -150,42 +170,57 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, share: int = 80, miss: floa
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     work = Scratch(spark, "near")
     m = bands_for(share / 100, miss)
-    signed = work.cut(own.filter("doc_id is not null and text is not null").mapInArrow(_signatures(shingle, m), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "signed")
+    signed = work.cut(own.filter("doc_id is not null and text is not null").mapInArrow(_signatures(shingle, m), "doc_id long, n_shingles long, s1 long, s2 long, k0 long, k1 long, k2 long, keys array<long>"), "signed")
     least = signed.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class"))
-    # one more join column than the grouping gives the join an exchange of its own, which adaptive execution splits
+    # one more join column than the grouping gives a join an exchange of its own, which adaptive execution splits
     member = work.cut(signed.select("doc_id", "n_shingles", "s1", "s2", F.shiftright("s1", 57).alias("part")).join(least.withColumn("part", F.shiftright("s1", 57)), ["n_shingles", "s1", "s2", "part"]).select("doc_id", "n_shingles", "class").distinct(), "member")
-    first = member.filter("doc_id = class").select("doc_id", F.col("n_shingles").alias("n"))
-    spread = signed.dropDuplicates(["doc_id"]).join(first, "doc_id").select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key"))
-    counted = spread.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("least")).filter("many > 1").select("key", "least", F.shiftright("key", 57).alias("part"))
-    bucket = work.cut(spread.withColumn("part", F.shiftright("key", 57)).join(counted, ["key", "part"]).select("key", "id", "n", "least"), "bucket")
-    work.drop("signed")
-    size = first.withColumnsRenamed({"doc_id": "least", "n": "n_least"})
-    near = lambda x, y: 100 * F.least(x, y) >= share * F.greatest(x, y)
-    star = bucket.filter("id <> least").select("id", "n", "least").distinct().join(size, "least").filter(near(F.col("n"), F.col("n_least")))
-    star = work.cut(star.select(F.col("least").alias("a"), F.col("id").alias("b")), "star")
+    one = signed.join(member.filter("doc_id = class").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")
+    spread = one.select("id", F.explode("keys").alias("key"))
+    counted = spread.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key", F.shiftright("key", 57).alias("part"))
+    shared = spread.withColumn("part", F.shiftright("key", 57)).join(counted, ["key", "part"]).select("key", "id")
+    bucket = work.cut(work.cut(shared, "shared").join(one.select("id", F.col("n_shingles").alias("n"), "k0", "k1", "k2"), "id"), "bucket")
+    work.drop("signed", "shared")
+    sets = work.cut(own.dropna().join(bucket.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    most = allowed(share / 100, min(PLACES, 2 * m * BAND))
+
+    def alike(a: str, b: str) -> Column:
+        """May two rows reach the threshold, by size and sketch?"""
+        x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
+        differ = [F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}")) for k in ("k0", "k1", "k2")]
+        places = [F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0o111111111111111111111))) for d in differ]
+        return (100 * F.least(x, y) >= share * F.greatest(x, y)) & (sum(places[1:], places[0]) <= most)
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = work.cut(own.dropna().join(used, "doc_id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary").dropDuplicates(["id"]), f"{name}-sets")
         with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
         full = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
-        links = work.cut(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(share), "a long, b long"), f"{name}-links")
-        work.drop(f"{name}-sets")
-        return links
-
-    links = confirm(star, "star")
-    label = components(links, work, "first")
-    placed = bucket.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", F.shiftright("key", 57).alias("part"))
-    open_ = work.cut(placed.withColumn("part", F.shiftright("key", 57)).join(mixed, ["key", "part"]).select("key", "id", "n", "label"), "open")
-    work.drop("bucket")
-    a, b = open_.select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "label"))), open_.select("key", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "label")))
-    across = a.join(b, "key").filter((F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & near(F.col("n_a"), F.col("n_b")))
-    across = work.cut(across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "across")
-    work.drop("open")
+        return work.cut(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(share), "a long, b long"), f"{name}-links")
+
+    def mixed(label: DataFrame, name: str) -> DataFrame:
+        """Rows of the buckets that hold several components, with the smallest row of each."""
+        row = F.struct("id", "n", "k0", "k1", "k2", "label")
+        placed = bucket.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        some = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(row).alias("p")).filter("lo <> hi").select("key", "p", F.shiftright("key", 57).alias("part"))
+        return work.cut(placed.withColumn("part", F.shiftright("key", 57)).join(some, ["key", "part"]).select("key", row.alias("r"), "p"), name)
+
+    empty = spark.createDataFrame([], "a long, b long")
+    label, links, tested = spark.createDataFrame([], "node long, label long"), empty, empty
+    for turn in range(TURNS):
+        rows = mixed(label, f"mixed{turn}")
+        near = rows.filter((F.col("r.label") != F.col("p.label")) & alike("r", "p")).select(F.col("p.id").alias("a"), F.col("r.id").alias("b"))
+        fresh = near.join(tested, ["a", "b"], "left_anti").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        pairs = work.cut(fresh, f"pairs{turn}")
+        work.drop(f"mixed{turn}")
+        if pairs.isEmpty():
+            break
+        tested, links = tested.union(pairs), links.union(confirm(pairs, f"turn{turn}"))
+        label = components(links, work, f"labels{turn}")
+    rows = mixed(label, "mixed")
+    a, b = rows.select("key", F.col("r").alias("x")), rows.select("key", F.col("r").alias("y"))
+    across = a.join(b, (a["key"] == b["key"]) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & alike("x", "y"))
+    across = work.cut(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "across")
+    work.drop("mixed", "bucket")
     if not across.isEmpty():
-        links = links.union(confirm(across, "across"))
-        label = components(links, work, "second")
+        label = components(links.union(confirm(across, "across")), work, "labels")
     placed = member.join(label.withColumnsRenamed({"node": "class"}), "class", "left").select("doc_id", "n_shingles", F.coalesce("label", "class").alias("component_id"))
     out = own.select("doc_id").join(placed, "doc_id", "left")
     whole = F.coalesce("component_id", "doc_id")
