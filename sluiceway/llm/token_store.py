@@ -19,7 +19,8 @@ empty folder and no rows. Only the id and text columns are read.
 
 from __future__ import annotations
 
-import zlib
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,9 @@ from sluiceway.llm.shared import Scratch, slices
 
 #: Ones between two kept counts in the high bits.
 BLOCK = 512
+#: Pieces whose ids a worker remembers.
+CACHE = 150_000
+_marks = re.compile("[^\0-\u02ff]").search
 SHARD = "part int, block int, n_docs long, n_ids long, width int, doc_ids binary, ids binary, low_bits int, low binary, high binary, marks binary"
 
 
@@ -82,22 +86,35 @@ class _Pieces(dict):
     space, packed; bounded size."""
 
     def __init__(self, spec: str, dtype: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[bytes, bytes] = {}
         self.tokenizer, self.dtype = Tokenizer.from_str(spec), dtype
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AbZ") == "abz"
 
     def learn(self, pieces: set[bytes]) -> None:
-        new = [p for p in pieces if p not in self]
-        if len(self) + len(new) > 500_000:
+        if len(self) > CACHE:
+            self.old = dict(self)
             self.clear()
-            new = list(pieces)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
-                self[piece] = np.array(e.ids, self.dtype).tobytes()
+        new = [p for p in pieces if p not in self]
+        again = {p: self.old[p] for p in new if p in self.old}
+        self.update(again)
+        new = [p for p in new if p not in again]
+        for at in range(0, len(new), 2048):
+            some = new[at : at + 2048]
+            texts = [p.decode() for p in some]
+            got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(got.ids, self.dtype)
+            begins = np.cumsum([0, *map(len, texts)])[:-1] + np.arange(len(texts))
+            place = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
+            stop = np.searchsorted(place, begins[1:]) * ids.itemsize
+            packed = ids.tobytes()
+            edges = [0, *stop.tolist(), len(packed)]
+            self.update(zip(some, [packed[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], strict=True))
 
 
 _pieces: dict[tuple[str, str], _Pieces] = {}
@@ -114,7 +131,9 @@ def encoded(spec: str, dtype: str, texts: list[str]) -> list[bytes]:
     """Packed ids of whole texts. White space ends every pre-token of this kind of tokenizer,
     so a text's ids are those of its pieces between blanks and line ends (ASCII), in order."""
     known = _known(spec, dtype)
-    parts = [t.encode().split() for t in texts]
+    # Where the tokenizer lower-cases anyway, fewer pieces are new if that comes first; not where
+    # a mark could compose with the letter before it, nor where special strings may stand.
+    parts = [(t.encode().lower() if known.lower and "<|" not in t and not _marks(t) else t.encode()).split() for t in texts]
     known.learn(set().union(*parts))
     return [b"".join(map(known.__getitem__, p)) for p in parts]
 

@@ -134,8 +134,9 @@ def word_scores(letters: np.ndarray, first: np.ndarray, at: np.ndarray, weight:
         if not len(worth):
             continue
         norm = np.sqrt((worth**2).sum())
-        for k in range(0, len(rows), 20_000):
-            some = rows[k : k + 20_000]
+        step = max(1, 1_000_000 // len(worth))
+        for k in range(0, len(rows), step):
+            some = rows[k : k + step]
             out[some] = (weight[_codes(letters, first[at[some]], places)] @ worth) / norm + bias
     return out
 
@@ -168,7 +169,7 @@ def _kernel(letters: np.ndarray, first: np.ndarray, at: np.ndarray, marks: np.nd
     column = np.full(CLASSES**3, len(used), np.int64)
     column[used] = np.arange(len(used))
     own = dense(marks, column, len(used) + 1)[:, :-1]
-    k = np.concatenate([dense(at[i : i + 2000], column, len(used) + 1)[:, :-1] @ own.T for i in range(0, len(at), 2000)])
+    k = np.concatenate([dense(at[i : i + 500], column, len(used) + 1)[:, :-1] @ own.T for i in range(0, len(at), 500)])
     return k, own, used
 
 
@@ -291,7 +292,7 @@ def train(texts: list[str], y: np.ndarray, *, landmarks: int, decay: float, turn
     return zero
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int = 5000, landmarks: int = 160, decay: float = 0.6, turns: int = 3, held_parts: int = 4, held_part: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int = 3000, landmarks: int = 160, decay: float = 0.6, turns: int = 3, held_parts: int = 4, held_part: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> Model:
     got = _sample(docs, labels, label, sample, held_parts, held_part, id_col, text_col).select("doc_id", "y", "text").collect()
     got.sort(key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in got], np.array([r["y"] for r in got], np.int64), landmarks=landmarks, decay=decay, turns=turns, seed=seed)
