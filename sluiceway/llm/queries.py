@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sluiceway.llm import langid, quality, toxicity
 from sluiceway.llm.ann import nearest
 from sluiceway.llm.bpe import bpe_decode, bpe_encode
+from sluiceway.llm.decontaminate import decontaminate
 from sluiceway.llm.near_dedup import near_dedup
 from sluiceway.llm.substring_dedup import substring_dedup
 from sluiceway.llm.token_counts import token_counts
@@ -70,12 +71,17 @@ def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), k=20, query_every=20)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
+    "op6_decontaminate": op6_decontaminate,
     "op7_permutation_index": op7_permutation_index,
     "op8_token_counts": op8_token_counts,
     "op9_near_dedup": op9_near_dedup,
