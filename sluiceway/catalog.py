@@ -1,2 +1,119 @@
-QUERIES = {}
-ORACLES = {}
+"""Registered queries of the reference operators, with DuckDB SQL that says the same."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sluiceway.functions.uri import compact_code, computed
+from sluiceway.operators import identity, profiles
+from sluiceway.plans.derive import CANDIDATES, EXPECTED, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.static_filter(table(spark, sf_dir, CANDIDATES).select("doc_idx", "line_idx", "line"))
+
+
+def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return computed(_filtered(spark, sf_dir).filter("reason is null"), fingerprint=identity.fingerprint())
+
+
+_ID = f"""
+SELECT *, sha256(material) AS fingerprint FROM (
+  SELECT *, '{{"address":"' || server || '","allowInsecure":false,"alpn":' || CASE WHEN p = 2 THEN '["h3"]' ELSE '[]' END
+   || CASE WHEN p < 2 AND t = 2 THEN ',"authority":""' ELSE '' END || ',"credential":"' || coalesce(username, secret) || '"' || CASE WHEN p = 0 THEN ',"encryption":"none"' ELSE '' END
+   || ',"fingerprint":"' || CASE p WHEN 0 THEN 'chrome' WHEN 1 THEN 'firefox' ELSE '' END || '"' || CASE WHEN p = 0 THEN ',"flow":""' ELSE '' END
+   || CASE WHEN p < 2 AND t IN (1, 3) THEN ',"host":""' ELSE '' END || CASE WHEN p < 2 AND t = 2 THEN ',"mode":"gun"' ELSE '' END
+   || ',"network":"' || CASE WHEN p = 2 THEN 'quic' WHEN t = 3 THEN 'ws' ELSE tt END || '"' || CASE WHEN p = 2 THEN ',"obfs":"","obfsPassword":""' ELSE '' END
+   || CASE WHEN p < 2 AND t IN (1, 3) THEN ',"path":"/gate"' ELSE '' END || ',"port":' || port || CASE WHEN p = 2 THEN ',"ports":""' ELSE '' END || ',"protocol":"' || protocol || '"'
+   || CASE WHEN p = 0 AND t = 0 THEN ',"publicKey":"' || repeat('A', 43) || '"' ELSE '' END || CASE WHEN p < 2 THEN ',"security":"' || security || '"' ELSE '' END
+   || CASE WHEN p < 2 AND t = 2 THEN ',"serviceName":""' ELSE '' END || CASE WHEN p = 0 AND t = 0 THEN ',"shortId":"0123abcd"' ELSE '' END || ',"sni":"www.example.com"'
+   || CASE WHEN p = 0 AND t = 0 THEN ',"spiderX":""' ELSE '' END || '}}' AS material
+  FROM ({EXPECTED}) x WHERE reason IS NULL) y
+"""
+_FIRST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY doc_idx, line_idx) AS k FROM ({_ID}) z) WHERE k = 1"
+_CODE = "array_to_string([substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', CAST((CAST('0x' || substr(sha256(fingerprint), 1, 16) AS UBIGINT) % 56800235584) // CAST(pow(62, 5 - i) AS BIGINT) % 62 AS INT) + 1, 1) FOR i IN range(6)], '')"
+
+
+@query(f"SELECT doc_idx, line_idx, CASE WHEN bad <> 8 THEN protocol END AS protocol, CASE WHEN bad <> 8 THEN server END AS server, CAST(CASE WHEN bad <> 8 THEN port END AS INT) AS port, CASE WHEN bad <> 8 THEN username END AS username, CASE WHEN bad <> 8 THEN secret END AS secret, CASE WHEN bad <> 8 THEN security END AS security, CASE WHEN bad <> 8 THEN transport END AS transport, CASE WHEN bad <> 8 THEN split_part(line, '#', 1) END AS original_uri FROM ({EXPECTED}) e")
+def c4_parse_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.parse_profiles(table(spark, sf_dir, CANDIDATES)).select("doc_idx", "line_idx", "protocol", "server", "port", "username", "secret", "security", "transport", "original_uri")
+
+
+@query(f"SELECT doc_idx, line_idx, CASE WHEN bad = 8 THEN NULL ELSE CASE WHEN p < 2 THEN CASE bad WHEN 1 THEN '' ELSE 'www.example.com' END ELSE CASE bad WHEN 1 THEN '' ELSE 'www.example.com' END END END AS sni, CASE WHEN bad <> 8 THEN CASE WHEN bad = 2 THEN 'unknownbrowser' WHEN p = 1 AND bad = 5 THEN '' WHEN p = 0 THEN 'chrome' WHEN p = 1 THEN 'firefox' END END AS fp, CASE WHEN bad <> 8 THEN CASE WHEN p = 1 AND bad = 9 AND t IN (1, 3) THEN 'gate' WHEN p < 2 AND t IN (1, 3) THEN '/gate' END END AS path FROM ({CANDIDATES}) e")
+def c2_query_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = profiles.parse_profiles(table(spark, sf_dir, CANDIDATES))
+    return out.select("doc_idx", "line_idx", *(F.try_element_at("params", F.lit(k)).alias(k) for k in ("sni", "fp", "path")))
+
+
+@query(f"SELECT doc_idx, line_idx, reason, bad <> 8 AS parsed FROM ({EXPECTED}) e")
+def c8_static_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir).select("doc_idx", "line_idx", "reason", "parsed")
+
+
+@query(f"SELECT doc_idx, line_idx, CASE WHEN bad = 7 THEN NULL ELSE reason END AS reason FROM ({EXPECTED}) e")
+def c9_channel_static_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, CANDIDATES).select("doc_idx", "line_idx", "line")
+    return profiles.static_filter(lines, pointers=False).select("doc_idx", "line_idx", "reason")
+
+
+@query(f"SELECT reason, count(*) AS n FROM ({EXPECTED}) e WHERE reason IS NOT NULL GROUP BY reason")
+def c10_exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.exclusion_counts(_filtered(spark, sf_dir))
+
+
+@query(f"SELECT count(*) AS candidate_lines, count(*) FILTER (bad <> 8) AS parsed, count(*) FILTER (reason IS NULL) AS accepted FROM ({EXPECTED}) e")
+def c11_filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.filter_counts(_filtered(spark, sf_dir))
+
+
+@query(f"SELECT doc_idx, line_idx, 'chan_' || (10000 + h) AS handle FROM ({CANDIDATES}) e WHERE bad = 7")
+def b5_channel_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, CANDIDATES).select("doc_idx", "line_idx", profiles.channel_pointer(F.col("line")).alias("handle"))
+    return found.filter("handle is not null")
+
+
+@query(f"SELECT doc_idx, line_idx, material FROM ({_ID}) e")
+def d1_canonical_material(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _accepted(spark, sf_dir).select("doc_idx", "line_idx", identity.canonical_material().alias("material"))
+
+
+@query(f"SELECT doc_idx, line_idx, fingerprint, {_CODE} AS code FROM ({_ID}) e")
+def d2_profile_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _accepted(spark, sf_dir).select("doc_idx", "line_idx", "fingerprint", compact_code(F.col("fingerprint")).alias("code"))
+
+
+@query(f"SELECT doc_idx, line_idx, fingerprint FROM ({_FIRST}) e")
+def d3_deduplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.keep_first(_accepted(spark, sf_dir).select("doc_idx", "line_idx", "fingerprint"), ["fingerprint"], ["doc_idx", "line_idx"])
+
+
+@query(f"SELECT protocol, server AS host, CAST(port AS INT) AS port, coalesce(username, secret) AS credential, count(*) AS n, count(DISTINCT fingerprint) AS n_identities FROM ({_ID}) e GROUP BY ALL")
+def d4_compatibility_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.compatibility_groups(_accepted(spark, sf_dir))
+
+
+@query(f"SELECT p.protocol, count(fingerprint) AS n FROM (VALUES ('vless'), ('trojan'), ('hysteria2')) p(protocol) LEFT JOIN ({_FIRST}) e USING (protocol) GROUP BY p.protocol")
+def d5_split_by_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.split_by_protocol(identity.keep_first(_accepted(spark, sf_dir), ["fingerprint"], ["doc_idx", "line_idx"]))
+
+
+@query(f"SELECT doc_idx, line_idx, fingerprint, split_part(line, '#', 1) || '#' || CASE p WHEN 0 THEN 'VL' WHEN 1 THEN 'TR' ELSE 'HY2' END || '-' || upper(security) || '-' || CASE WHEN p = 2 THEN 'UDP' WHEN t IN (1, 3) THEN 'WS' ELSE upper(tt) END || '-' || {_CODE} AS uri FROM ({_FIRST}) e")
+def published_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = identity.keep_first(_accepted(spark, sf_dir), ["fingerprint"], ["doc_idx", "line_idx"])
+    return first.select("doc_idx", "line_idx", "fingerprint", identity.named_uri().alias("uri"))
