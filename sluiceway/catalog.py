@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.functions.uri import compact_code, computed
-from sluiceway.operators import identity, profiles
-from sluiceway.plans.derive import CANDIDATES, EXPECTED, table
+from sluiceway.operators import channels, identity, probes, profiles, publish
+from sluiceway.plans.derive import ATTEMPTS, CANDIDATES, CURRENT, EXPECTED, METRICS, POOL, POSTS, STATE, TRANSFERS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +118,228 @@ def d5_split_by_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
 def published_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = identity.keep_first(_accepted(spark, sf_dir), ["fingerprint"], ["doc_idx", "line_idx"])
     return first.select("doc_idx", "line_idx", "fingerprint", identity.named_uri().alias("uri"))
+
+
+# Probes and transfers
+
+_KEY = "host, port, use_tls, server_name"
+_AGG = f"""
+SELECT {_KEY}, bool_or(responded) AS responded,
+  coalesce(CASE max(CASE WHEN responded THEN CASE method WHEN 'tcp' THEN 1 WHEN 'http_204' THEN 2 ELSE 3 END END) WHEN 1 THEN 'tcp' WHEN 2 THEN 'http_204' WHEN 3 THEN 'cloudflare_trace' END, 'tcp') AS method,
+  CAST(round_even(median(latency_ms), 0) AS INT) AS latency_ms, count(*) AS attempts_made, count(*) FILTER (responded) AS successful_attempts,
+  coalesce(array_to_string(list(latency_ms ORDER BY attempt_no, latency_ms) FILTER (latency_ms IS NOT NULL), ','), '') AS latencies, bool_and(responded) AS stable,
+  CASE WHEN bool_or(resolution = 'doh') THEN 'doh' ELSE 'system' END AS resolution,
+  CASE WHEN count(DISTINCT tls_version) FILTER (responded) = 1 THEN max(tls_version) FILTER (responded) END AS tls_version,
+  CASE WHEN count(DISTINCT tls_cipher) FILTER (responded) = 1 THEN max(tls_cipher) FILTER (responded) END AS tls_cipher
+FROM ({ATTEMPTS}) a GROUP BY {_KEY}
+"""
+_GRADE = "CASE WHEN latency_ms IS NULL THEN 'unresponsive' WHEN latency_ms <= 150 THEN 'excellent' WHEN latency_ms <= 300 THEN 'good' ELSE 'fair' END"
+
+
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probes.aggregate_attempts(table(spark, sf_dir, ATTEMPTS))
+
+
+@query(f"SELECT DISTINCT server AS host, CAST(port AS INT) AS port, true AS use_tls, 'www.example.com' AS server_name FROM ({_ID}) e WHERE p < 2")
+def e1_distinct_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probes.distinct_endpoints(_accepted(spark, sf_dir))
+
+
+@query(_AGG)
+def e2_aggregate_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _probes(spark, sf_dir).withColumn("latencies", F.array_join("latencies_ms", ",")).drop("latencies_ms")
+
+
+@query(f"SELECT {_KEY}, {_GRADE} AS grade, CASE WHEN latency_ms <= 150 THEN 100.0::DOUBLE WHEN latency_ms <= 300 THEN 70.0::DOUBLE ELSE 40.0::DOUBLE END AS component FROM ({_AGG}) a")
+def e3_e6_latency_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _probes(spark, sf_dir).select(*probes.ENDPOINT, probes.latency_grade(F.col("latency_ms")).alias("grade"), probes.latency_component(F.lit(True), F.col("latency_ms")).alias("component"))
+
+
+_WANTED = "SELECT l_orderkey, l_linenumber, CASE l_partkey % 3 WHEN 0 THEN 'vless' WHEN 1 THEN 'trojan' ELSE 'hysteria2' END AS protocol, 'node' || CAST(l_suppkey % 130 AS STRING) || '.example.org' AS host, 443 + l_partkey % 5 AS port, l_partkey % 2 = 0 AS use_tls, CASE WHEN l_partkey % 2 = 0 THEN 'www.example.com' ELSE '' END AS server_name FROM lineitem"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN protocol <> 'hysteria2' AND NOT coalesce(responded, false) THEN 'unreachable_endpoint' END AS reason FROM ({_WANTED}) w LEFT JOIN ({_AGG}) a USING ({_KEY})")
+def e4_reachability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probes.reachability_gate(table(spark, sf_dir, _WANTED), _probes(spark, sf_dir)).select("l_orderkey", "l_linenumber", "reason")
+
+
+@query(f"SELECT count(*) AS checked, count(*) FILTER (responded) AS responsive, count(*) FILTER (responded AND stable) AS stable, round_even(100.0::DOUBLE * count(*) FILTER (responded AND stable) / greatest(1, count(*) FILTER (responded)), 1) AS stable_percent, count(*) FILTER (resolution = 'doh') AS doh, quantile_disc(latency_ms, 0.5) FILTER (responded) AS p50, quantile_disc(latency_ms, 0.95) FILTER (responded) AS p95, count(*) FILTER (responded AND g = 'excellent') AS excellent, count(*) FILTER (responded AND g = 'good') AS good, count(*) FILTER (responded AND g = 'fair') AS fair FROM (SELECT *, {_GRADE} AS g FROM ({_AGG}) a) b")
+def e5_reachability_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probes.reachability_summary(_probes(spark, sf_dir))
+
+
+@query(f"SELECT doc_idx, line_idx, p < 2 AND security = 'tls' AND ((p = 1 AND tt = 'tcp') OR (p = 0 AND tt IN ('tcp', 'ws'))) AS supported FROM ({_ID}) e")
+def e7_tunnel_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _accepted(spark, sf_dir).select("doc_idx", "line_idx", probes.tunnel_supported().alias("supported"))
+
+
+_WIN = f"""
+SELECT d.profile_key, d.win, coalesce(bytes, 0) AS bytes, coalesce(bytes, 0) / 1024 / greatest(0.001::DOUBLE, CASE WHEN d.win < 0 THEN d.stop WHEN d.win = d.top THEN least(1.8125, d.stop - (0.75 + d.win * 1.8125)) ELSE 1.8125 END) AS kbps
+FROM (SELECT profile_key, top, stop, unnest(CASE WHEN top < 0 THEN [-1] ELSE range(0, top + 1) END) AS win FROM (SELECT profile_key, max(win) AS top, max(elapsed_s) AS stop FROM w GROUP BY profile_key)) d
+LEFT JOIN (SELECT profile_key, win, sum(bytes) AS bytes FROM w GROUP BY profile_key, win) s USING (profile_key, win)
+"""
+_WITH_W = f"WITH w AS (SELECT *, CAST(CASE WHEN elapsed_s <= 0.75 THEN -1 ELSE least(3, floor((elapsed_s - 0.75) / 1.8125)) END AS INT) AS win FROM (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY profile_key ORDER BY elapsed_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({TRANSFERS}) t) WHERE before < 2000000 AND elapsed_s <= 8)"
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probes.transfer_windows(table(spark, sf_dir, TRANSFERS))
+
+
+@query(f"{_WITH_W} SELECT profile_key, CAST(win AS INT) AS win, CAST(round(kbps, 3) AS DOUBLE) AS kbps, CAST(bytes AS BIGINT) AS bytes FROM ({_WIN})")
+def e8_transfer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir).withColumn("kbps", F.round("kbps", 3))
+
+
+_STATS = f"SELECT profile_key, round(avg(kbps), 1) AS mean_kbps, round(max(kbps), 1) AS peak_kbps, CASE WHEN count(*) >= 2 THEN round(stddev_pop(kbps), 1) END AS jitter, round(CASE WHEN avg(kbps) = 0 THEN 0 WHEN count(*) = 1 THEN 1 ELSE least(min(kbps) / avg(kbps), 1) END, 3) AS stability, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM ({_WIN}) GROUP BY profile_key"
+
+
+@query(f"{_WITH_W} {_STATS}")
+def e9_transfer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probes.transfer_stats(_windows(spark, sf_dir))
+
+
+_SCORED = f"SELECT *, round_even(0.6::DOUBLE * least(mean_kbps / 2000, 1) * 100 + 0.25::DOUBLE * least(greatest(stability, 0), 1) * 100 + 0.15::DOUBLE * 60, 1) AS score, CASE WHEN mean_kbps < 200 THEN 'slow_endpoint' WHEN total_bytes < 262144 THEN 'insufficient_data' END AS reason FROM ({_STATS})"
+_G = "CASE WHEN score >= 80 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' ELSE 'D' END"
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = probes.transfer_stats(_windows(spark, sf_dir))
+    scored = stats.withColumn("score", probes.quality_score(F.col("mean_kbps"), F.col("stability"), F.lit(None).cast("double"))).withColumn("reason", probes.speed_verdict())
+    return scored.withColumn("grade", probes.quality_grade(F.col("score")))
+
+
+@query(f"{_WITH_W} SELECT profile_key, score, {_G} AS grade, reason FROM ({_SCORED})")
+def e10_e11_speed_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outcomes(spark, sf_dir).select("profile_key", "score", "grade", "reason")
+
+
+@query(f"{_WITH_W} SELECT c_custkey AS profile_key, CASE WHEN s.profile_key IS NULL THEN 'speed_unmeasured' ELSE reason END AS reason FROM customer LEFT JOIN ({_SCORED}) s ON s.profile_key = c_custkey")
+def e12_speed_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("profile_key"))
+    return probes.speed_gate(own, _outcomes(spark, sf_dir), "strict")
+
+
+@query(f"{_WITH_W} SELECT count(*) AS tested, count(*) FILTER (reason IS NULL) AS passed, count(*) FILTER (reason IS NOT NULL) AS failed, round(median(mean_kbps), 1) AS median_kbps, quantile_disc(mean_kbps, 0.9) AS p90_kbps, count(*) FILTER (g = 'A') AS grade_a, count(*) FILTER (g = 'B') AS grade_b, count(*) FILTER (g = 'C') AS grade_c, count(*) FILTER (g = 'D') AS grade_d FROM (SELECT *, {_G} AS g FROM ({_SCORED}))")
+def e13_speed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probes.speed_summary(_outcomes(spark, sf_dir))
+
+
+# Pool and state
+
+NOW = datetime(2024, 1, 31)
+_MERGED = f"""
+SELECT coalesce(p.protocol, c.protocol) AS protocol, coalesce(p.fingerprint, c.fingerprint) AS fingerprint, coalesce(p.uri, c.uri) AS uri, coalesce(first_added_at, TIMESTAMP '2024-01-31') AS first_added_at,
+  CASE WHEN c.uri IS NOT NULL THEN TIMESTAMP '2024-01-31' ELSE last_seen_at END AS last_seen_at, CAST(coalesce(hits, 0) + CASE WHEN c.uri IS NULL THEN 0 ELSE 1 END AS BIGINT) AS hits,
+  CASE WHEN p.uri IS NULL THEN 'added' WHEN c.uri IS NULL THEN 'carried' ELSE 'refreshed' END AS change
+FROM ({POOL}) p FULL JOIN ({CURRENT}) c ON p.protocol = c.protocol AND p.fingerprint = c.fingerprint
+"""
+_CAPPED = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY protocol ORDER BY last_seen_at DESC, first_added_at DESC, fingerprint DESC) AS k FROM ({_MERGED}) m) WHERE k <= 300"
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return publish.merge_pool(table(spark, sf_dir, POOL), table(spark, sf_dir, CURRENT), NOW)
+
+
+def _times(df: DataFrame) -> DataFrame:
+    return df.select(*(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if t.startswith("timestamp") else F.col(c) for c, t in df.dtypes))
+
+
+_T = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
+
+
+@query(f"SELECT coalesce(s.fingerprint, c.fingerprint) AS fingerprint, strftime(coalesce(first_added_at, TIMESTAMP '2024-01-31'), '%Y-%m-%d %H:%M:%S') AS first_seen_at, strftime(CASE WHEN c.fingerprint IS NULL THEN last_seen_at ELSE TIMESTAMP '2024-01-31' END, '%Y-%m-%d %H:%M:%S') AS last_seen_at FROM ({POOL}) s FULL JOIN ({CURRENT}) c ON s.fingerprint = c.fingerprint")
+def g1_update_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = table(spark, sf_dir, POOL).select("fingerprint", F.col("first_added_at").alias("first_seen_at"), "last_seen_at")
+    return _times(publish.update_seen(state, table(spark, sf_dir, CURRENT), NOW))
+
+
+@query(f"SELECT DISTINCT fingerprint FROM ({CURRENT}) c WHERE fingerprint IN (SELECT fingerprint FROM ({POOL}) p WHERE last_seen_at >= TIMESTAMP '2024-01-31' - INTERVAL 240 HOUR)")
+def g2_first_seen_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = table(spark, sf_dir, POOL).select("fingerprint", F.col("last_seen_at").alias("first_seen_at"))
+    return publish.first_seen_window(table(spark, sf_dir, CURRENT).select("fingerprint").distinct(), state, NOW, 240)
+
+
+_CYCLES = "SELECT DISTINCT o_orderkey % 40 AS d, '2024-01-' || lpad(CAST(1 + o_orderkey % 31 AS STRING), 2, '0') || 'T01:00:00Z' AS cycle_started_at, o_orderkey % 3 + 1 AS generation FROM orders"
+
+
+@query(f"SELECT CASE WHEN r THEN '2024-01-31T00:00:00Z' ELSE cycle_started_at END AS cycle_started_at, generation + CASE WHEN r THEN 1 ELSE 0 END AS generation, r AS reset FROM (SELECT *, epoch(TIMESTAMP '2024-01-31') - epoch(strptime(cycle_started_at, '%Y-%m-%dT%H:%M:%SZ')) >= 6 * 86400 AS r FROM (SELECT DISTINCT cycle_started_at, generation FROM ({_CYCLES}) c))")
+def g4_roll_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cycles = table(spark, sf_dir, _CYCLES).select("cycle_started_at", "generation").distinct()
+    return publish.roll_cycle(cycles, False, NOW)
+
+
+@query(f"SELECT protocol, fingerprint, uri, {_T.format('first_added_at')}, {_T.format('last_seen_at')}, hits, change FROM ({_MERGED}) m")
+def g5_merge_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _times(_merged(spark, sf_dir))
+
+
+@query(f"SELECT protocol, fingerprint FROM ({_CAPPED}) m")
+def g6_enforce_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return publish.enforce_cap(_merged(spark, sf_dir), 300).select("protocol", "fingerprint")
+
+
+@query(f"SELECT protocol, fingerprint, row_number() OVER (PARTITION BY protocol ORDER BY change = 'added', fingerprint) AS place FROM ({_CAPPED}) m")
+def g7_render_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return publish.render_order(publish.enforce_cap(_merged(spark, sf_dir), 300)).select("protocol", "fingerprint", "place")
+
+
+@query(f"SELECT protocol, added, refreshed, merged - coalesce(total, 0) AS evicted, coalesce(total, 0) AS total, greatest(coalesce(total, 0) - added, 0) AS carried FROM (SELECT protocol, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'refreshed') AS refreshed, count(*) AS merged FROM ({_MERGED}) m GROUP BY protocol) a LEFT JOIN (SELECT protocol, count(*) AS total FROM ({_CAPPED}) c GROUP BY protocol) b USING (protocol)")
+def g8_publication_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = _merged(spark, sf_dir)
+    return publish.publication_report(merged, publish.enforce_cap(merged, 300))
+
+
+# Channels
+
+_RUN = "round_even((15 * least(1.0::DOUBLE, fresh_posts) + 15 * (supported_candidates / greatest(1, all_uri_candidates)) + 20 * (static_accepted / greatest(1, supported_candidates)) + 10 * (unique_profiles / greatest(1, static_accepted)) + 5 * CASE WHEN supported_candidates < 2 THEN 1 ELSE greatest(0, least(1, 1 - duplicate_posts / supported_candidates)) END + 10 * (posts_with_profiles / greatest(1, fresh_posts)) + 5 * greatest(0, least(1, (total_text_length / greatest(1, fresh_posts) - 24) / 176)) + 5 * CASE WHEN rate < 1 THEN rate WHEN rate <= 12 THEN 1 ELSE greatest(0, least(1, 1 - (rate - 12) / 36)) END + 15 * ((1 + deep_passed) / (2 + deep_passed + deep_failed))), 2)"
+_SCORES = f"SELECT *, {_RUN} AS run_score FROM (SELECT *, fresh_posts * 24 / greatest(24, span_hours) AS rate FROM ({METRICS}) m) x"
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = table(spark, sf_dir, METRICS).withColumn("run_score", channels.run_score())
+    middle = scored.agg(F.median("run_score").alias("population_median"))  # one row
+    return scored.crossJoin(F.broadcast(middle))
+
+
+@query(f"SELECT handle, CAST(round(run_score, 1) AS DOUBLE) AS run_score FROM ({_SCORES}) s")
+def f6_run_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metrics(spark, sf_dir).select("handle", F.round("run_score", 1).alias("run_score"))
+
+
+@query(f"SELECT round(median(run_score), 1) AS population_median FROM ({_SCORES}) s")
+def f8_population_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metrics(spark, sf_dir).select(F.round("population_median", 1).alias("population_median")).distinct()
+
+
+@query()
+def f10_evaluate_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = table(spark, sf_dir, STATE).withColumn("key", F.sha2("handle", 256)).drop("handle")
+    return _times(channels.evaluate_channels(_metrics(spark, sf_dir), state, F.lit(NOW)))
+
+
+@query(f"SELECT sha256(handle) AS key, handle FROM (SELECT DISTINCT handle FROM ({POSTS}) p)")
+def f2_channel_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, POSTS).select("handle").distinct().select(F.sha2("handle", 256).alias("key"), "handle")
+
+
+_REG = "SELECT DISTINCT 'chan_' || CAST(10000 + user_id AS STRING) AS handle FROM events WHERE user_id % 2 = 0"
+_DISC = "SELECT DISTINCT 'chan_' || CAST(10000 + user_id AS STRING) AS handle FROM events WHERE user_id % 5 = 1"
+
+
+@query(f"SELECT handle FROM ({_DISC}) d UNION SELECT handle FROM ({_REG}) r WHERE handle NOT IN (SELECT handle FROM ({_DISC}) d) AND handle IN (SELECT handle FROM ({STATE}) s WHERE status <> 'excluded' AND runs_since_evaluation + 1 >= 3)")
+def f3_due_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = table(spark, sf_dir, STATE).withColumn("key", F.sha2("handle", 256)).drop("handle")
+    return channels.due_channels(table(spark, sf_dir, _REG), table(spark, sf_dir, _DISC), state)
+
+
+@query(f"SELECT handle, event_id FROM (SELECT *, row_number() OVER (PARTITION BY handle ORDER BY event_id) AS k FROM ({POSTS}) p) WHERE k <= 10")
+def f4_cap_per_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return channels.cap_per_channel(table(spark, sf_dir, POSTS).withColumn("ordinal", F.col("event_id")), 10).select("handle", "event_id")
+
+
+@query(f"SELECT handle, count(*) AS fresh_posts, count(*) - count(DISTINCT text) AS duplicate_posts, CAST(sum(length(text)) AS BIGINT) AS total_text_length, (max(epoch(date_trunc('second', published_at))) - min(epoch(date_trunc('second', published_at)))) / 3600 AS span_hours, count(*) FILTER (event_id % 4 IN (1, 2)) AS posts_with_profiles FROM ({POSTS}) p GROUP BY handle")
+def f5_channel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = table(spark, sf_dir, POSTS).withColumn("has_profile", F.col("text").rlike(r"(?i)(vless|trojan|hy2|hysteria2)://"))
+    none = posts.limit(0)
+    out = channels.channel_metrics(posts, none.select("handle", F.lit(True).alias("supported")), none.select("handle", F.lit(True).alias("parsed"), F.lit(True).alias("capped"), F.lit("").alias("fingerprint")))
+    return out.select("handle", "fresh_posts", "duplicate_posts", "total_text_length", "span_hours", "posts_with_profiles")

@@ -68,8 +68,8 @@ def reachability_summary(probes: DataFrame) -> DataFrame:
         F.count_if(up & F.col("stable")).alias("stable"),
         F.bround(100.0 * F.count_if(up & F.col("stable")) / F.greatest(F.lit(1), F.count_if(up)), 1).alias("stable_percent"),
         F.count_if(F.col("resolution") == "doh").alias("doh"),
-        pct(0.5).alias("p50"),
-        pct(0.95).alias("p95"),
+        pct(0.5).cast("int").alias("p50"),
+        pct(0.95).cast("int").alias("p95"),
         *(F.count_if(up & (grade == g)).alias(g) for g in ("excellent", "good", "fair")),
     )
 

@@ -78,3 +78,29 @@ def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         if name in sql:
             sql = sql.replace(f"FROM {name}", f"FROM parquet.`{sf_dir}/{name}.parquet`")
     return spark.sql(sql)
+
+#: State and pool of earlier runs; fingerprints overlap with this run's.
+POOL = """
+SELECT CASE c_custkey % 3 WHEN 0 THEN 'vless' WHEN 1 THEN 'trojan' ELSE 'hysteria2' END AS protocol, 'fp' || CAST(c_custkey AS STRING) AS fingerprint,
+  'uri' || CAST(c_custkey AS STRING) AS uri, CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS first_added_at,
+  CASE c_custkey % 4 WHEN 0 THEN CAST('2024-01-20 00:00:00' AS TIMESTAMP) WHEN 1 THEN CAST('2024-01-21 00:00:00' AS TIMESTAMP) ELSE CAST('2024-01-22 00:00:00' AS TIMESTAMP) END AS last_seen_at,
+  1 + c_custkey % 5 AS hits
+FROM customer WHERE c_custkey % 5 <> 0
+"""
+CURRENT = """
+SELECT DISTINCT CASE o_custkey % 3 WHEN 0 THEN 'vless' WHEN 1 THEN 'trojan' ELSE 'hysteria2' END AS protocol, 'fp' || CAST(o_custkey AS STRING) AS fingerprint, 'new' || CAST(o_custkey AS STRING) AS uri
+FROM orders WHERE o_orderkey % 3 = 0
+"""
+#: Metrics of one run for each channel, and the state that earlier runs left.
+METRICS = """
+SELECT 'chan_' || CAST(10000 + user_id AS STRING) AS handle, user_id % 17 <> 0 AS preview_available, n AS fresh_posts, n * 2 AS all_uri_candidates, n AS supported_candidates,
+  n - CAST(floor(n / 3) AS INT) AS static_accepted, CAST(floor(n / 2) AS INT) AS unique_profiles, CAST(floor(n / 4) AS INT) AS duplicate_posts, n - CAST(floor(n / 5) AS INT) AS posts_with_profiles, n * (20 + user_id % 90) AS total_text_length,
+  CAST(6 * (user_id % 9) AS DOUBLE) AS span_hours, n - CAST(floor(n / 3) AS INT) AS deep_passed, CAST(floor(n / 3) AS INT) AS deep_failed
+FROM (SELECT user_id, CAST(count(*) AS INT) AS n FROM events GROUP BY user_id) e
+"""
+STATE = """
+SELECT handle, CASE u % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'watch' WHEN 2 THEN 'excluded' ELSE 'candidate' END AS status, CAST(30 + u % 60 AS DOUBLE) AS score, 1 + u % 4 AS evidence_runs,
+  CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS first_seen_at, CASE u % 2 WHEN 0 THEN CAST('2024-01-30 00:00:00' AS TIMESTAMP) ELSE CAST('2024-01-28 00:00:00' AS TIMESTAMP) END AS last_evaluated_at,
+  CAST(u % 10 AS DOUBLE) / 10 AS confidence, CAST(50 AS DOUBLE) AS required_score, u % 5 AS runs_since_evaluation
+FROM (SELECT DISTINCT user_id AS u, 'chan_' || CAST(10000 + user_id AS STRING) AS handle FROM events WHERE user_id % 3 <> 0) e
+"""
