@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.functions.uri import compact_code, computed
-from sluiceway.operators import channels, identity, probes, profiles, publish
-from sluiceway.plans.derive import ATTEMPTS, CANDIDATES, CURRENT, EXPECTED, METRICS, POOL, POSTS, STATE, TRANSFERS, table
+from sluiceway.operators import channels, extract, identity, probes, profiles, publish
+from sluiceway.plans.derive import ATTEMPTS, CANDIDATES, CURRENT, EXPECTED, MENTIONS, METRICS, PAGES, POOL, POSTS, STATE, TRANSFERS, table
+from sluiceway.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -343,3 +344,112 @@ def f5_channel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = posts.limit(0)
     out = channels.channel_metrics(posts, none.select("handle", F.lit(True).alias("supported")), none.select("handle", F.lit(True).alias("parsed"), F.lit(True).alias("capped"), F.lit("").alias("fingerprint")))
     return out.select("handle", "fresh_posts", "duplicate_posts", "total_text_length", "span_hours", "posts_with_profiles")
+
+
+# Extraction
+
+@query(f"SELECT doc_idx, count(DISTINCT line) AS n, min(line) AS low, max(line) AS high FROM ({CANDIDATES}) c GROUP BY doc_idx")
+def b1_b2_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, CANDIDATES).groupBy("doc_idx").agg(F.array_join(F.collect_list("line"), "\r\n").alias("text"))
+    docs = lines.select("doc_idx", F.when(F.col("doc_idx") % 5 == 0, F.base64(F.col("text").cast("binary"))).otherwise(F.col("text")).alias("text"))
+    return extract.document_lines(docs).groupBy("doc_idx").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("low"), F.max("line").alias("high"))
+
+
+@query(f"SELECT DISTINCT doc_idx, handle FROM ({MENTIONS}) m WHERE form < 4")
+def b3_b4_extract_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_handles(table(spark, sf_dir, MENTIONS))
+
+
+@query(f"SELECT DISTINCT handle FROM ({MENTIONS}) m WHERE form < 4")
+def f1_discover_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_handles(table(spark, sf_dir, MENTIONS)).select("handle").distinct()
+
+
+@query(f"SELECT DISTINCT handle, 'https://t.me/s/' || handle AS url FROM ({POSTS}) p")
+def b6_preview_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, POSTS).select("handle", extract.preview_url(F.upper("handle")).alias("url")).distinct()
+
+
+@query(f"SELECT handle, message_id, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at, text FROM ({PAGES}) p")
+def b7_parse_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _times(extract.parse_posts(table(spark, sf_dir, PAGES)).select("handle", "message_id", "published_at", "text"))
+
+
+_KEPT = f"SELECT handle, page_no, message_id FROM ({PAGES}) p WHERE published_at >= TIMESTAMP '2024-01-31' - INTERVAL 480 HOUR"
+
+
+@query(f"SELECT k.handle, k.page_no, message_id FROM ({_KEPT}) k JOIN (SELECT handle, max(page_no) AS last FROM (SELECT handle, page_no, row_number() OVER (PARTITION BY handle ORDER BY page_no) AS r, min(n) OVER (PARTITION BY handle ORDER BY page_no) AS least FROM (SELECT p.handle, p.page_no, count(k.message_id) AS n FROM (SELECT DISTINCT handle, page_no FROM ({PAGES}) p) p LEFT JOIN ({_KEPT}) k USING (handle, page_no) GROUP BY 1, 2)) WHERE least > 0 GROUP BY handle) l ON l.handle = k.handle AND k.page_no <= l.last")
+def b8_page_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = table(spark, sf_dir, PAGES).withColumn("pos", F.col("event_id"))
+    return extract.page_posts(posts, F.lit(NOW), 480).select("handle", "page_no", "message_id")
+
+
+@query(f"SELECT handle, min(event_id) AS ordinal, uri FROM (SELECT handle, event_id, regexp_extract(text, '(trojan://[^ ]+)', 1) AS uri FROM ({POSTS}) p WHERE text LIKE '%trojan://%') GROUP BY handle, uri")
+def b9_extract_profile_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_uris(table(spark, sf_dir, POSTS).withColumn("hrefs", F.array().cast("array<string>")))
+
+
+@query(f"SELECT doc_idx, epoch_ms(1700000000000 + doc_idx * 1000)::VARCHAR AS at FROM ({MENTIONS}) m")
+def b11_post_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, MENTIONS)
+    text = F.when(F.col("doc_idx") % 2 == 0, (F.lit(1700000000) + F.col("doc_idx")).cast("string")).otherwise((F.lit(1700000000000) + F.col("doc_idx") * 1000).cast("string"))
+    return t.select("doc_idx", F.date_format(extract.post_datetime(text), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+# Sources
+
+_SOURCES = "SELECT o_orderkey AS ordinal, CASE o_orderkey % 4 WHEN 0 THEN '# note' WHEN 1 THEN 'http://plain.example/' || CAST(o_custkey AS STRING) ELSE 'https://src' || CAST(o_custkey % 50 AS STRING) || '.example/list # x' END AS value FROM orders"
+
+
+@query(f"SELECT url, min(ordinal) AS ordinal, url LIKE 'https://%' AS valid FROM (SELECT ordinal, trim(split_part(value, '#', 1)) AS url FROM ({_SOURCES}) s) WHERE url <> '' GROUP BY url")
+def a1_read_source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read_source_list(table(spark, sf_dir, _SOURCES))
+
+
+@query("SELECT doc_id AS doc_idx, CASE WHEN doc_id % 7 = 0 THEN 'failed' WHEN octet_length(encode(text)) > 20000 THEN 'failed' WHEN doc_id % 3 = 0 THEN 'unknown' WHEN doc_id % 3 = 1 THEN 'stale' ELSE 'recent' END AS freshness, CASE WHEN doc_id % 7 = 0 THEN 'http_404' WHEN octet_length(encode(text)) > 20000 THEN 'response_too_large' END AS reason, CASE WHEN doc_id % 7 <> 0 AND octet_length(encode(text)) <= 20000 AND doc_id % 3 <> 1 THEN length(text) END AS n FROM documents")
+def a2_classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stamp = F.when(F.col("doc_id") % 3 == 1, "Sat, 20 Jan 2024 10:00:00 GMT").when(F.col("doc_id") % 3 == 2, "Tue, 30 Jan 2024 10:00:00 GMT")
+    landed = docs.select(F.col("doc_id").alias("doc_idx"), F.col("text").cast("binary").alias("body"), stamp.alias("last_modified"), F.when(F.col("doc_id") % 7 == 0, "http_404").alias("reason"))
+    out = tables.classify_documents(landed, F.lit(NOW), max_bytes=20_000)
+    return out.select("doc_idx", "freshness", "reason", F.length("text").cast("long").alias("n"))
+
+
+@query(f"SELECT DISTINCT handle FROM ({_REG}) r")
+def a3_read_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read_registry(table(spark, sf_dir, _REG).select(F.concat(F.lit("@"), F.upper("handle")).alias("value")))
+
+
+@query(f"SELECT key, status, score, runs_since_evaluation FROM (SELECT sha256(handle) AS key, status, score, CASE WHEN handle IN (SELECT handle FROM ({METRICS}) m) THEN 0 ELSE runs_since_evaluation + 1 END AS runs_since_evaluation FROM ({STATE}) s) WHERE runs_since_evaluation > 0")
+def f12_state_not_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = table(spark, sf_dir, STATE).withColumn("key", F.sha2("handle", 256)).drop("handle")
+    evaluated = channels.evaluate_channels(_metrics(spark, sf_dir), state, F.lit(NOW))
+    return channels.update_channel_state(state, evaluated).filter("runs_since_evaluation > 0").select("key", "status", "score", F.col("runs_since_evaluation"))
+
+
+@query(f"SELECT handle FROM ({_REG}) r WHERE handle IN (SELECT handle FROM ({STATE}) s WHERE status = 'approved')")
+def f13_known_approved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = table(spark, sf_dir, STATE).withColumn("key", F.sha2("handle", 256)).drop("handle")
+    none = state.limit(0).select(F.col("key").alias("handle"), "status")
+    return channels.approved_registry(none, table(spark, sf_dir, _REG), state)
+
+
+@query(f"SELECT DISTINCT handle FROM (SELECT handle FROM ({_DISC}) d UNION SELECT handle FROM ({_REG}) r) WHERE handle NOT IN (SELECT handle FROM ({STATE}) s WHERE status = 'excluded')")
+def f14_retained_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return channels.retained_registry(table(spark, sf_dir, _DISC), table(spark, sf_dir, _REG), table(spark, sf_dir, STATE))
+
+
+_RUNS = f"""
+SELECT handle, CAST(day(published_at) AS BIGINT) AS run, CAST(count(*) AS INT) AS fresh_posts, CAST(sum(CASE WHEN event_id % 4 IN (1, 2) THEN 1 ELSE 0 END) AS INT) AS supported_candidates,
+  CAST(sum(CASE WHEN event_id % 4 = 1 THEN 1 ELSE 0 END) AS INT) AS static_accepted, CAST(sum(CASE WHEN event_id % 4 IN (1, 2) THEN 1 ELSE 0 END) AS INT) AS posts_with_profiles, CAST(sum(length(text)) AS BIGINT) AS total_text_length
+FROM ({POSTS}) p GROUP BY handle, day(published_at)
+"""
+
+
+@query()
+def f11_fold_channel_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, _RUNS)
+    full = runs.withColumns({"all_uri_candidates": F.col("fresh_posts"), "unique_profiles": F.col("static_accepted"), "duplicate_posts": F.lit(0), "span_hours": F.lit(24.0), "deep_passed": F.col("static_accepted"), "deep_failed": F.col("supported_candidates") - F.col("static_accepted")})
+    scored = full.withColumn("run_score", channels.run_score()).withColumn("observed_at", F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, int(run))"))
+    middle = scored.groupBy("run").agg(F.when(F.count(F.lit(1)) >= 2, F.median("run_score")).alias("population_median"))
+    return channels.fold_channel_runs(scored.join(middle, "run"))

@@ -173,3 +173,52 @@ def approved_registry(evaluated: DataFrame, known: DataFrame, state: DataFrame)
 
 def retained_registry(discovered: DataFrame, pending: DataFrame, evaluated: DataFrame) -> DataFrame:
     return discovered.select("handle").union(pending.select("handle")).distinct().join(evaluated.filter("status = 'excluded'").select("handle"), "handle", "left_anti")
+
+
+def fold_channel_runs(runs: DataFrame, s: ChannelSettings = DEFAULTS) -> DataFrame:
+    """Many runs in order: runs(run, handle, observed_at, metrics, run_score, population_median)
+    to the evaluation of each. The state of one run feeds the channel's next; channels are
+    independent, since run medians are known before, so each folds by itself over its own few
+    runs."""
+    import pandas as pd
+
+    def clamp(x: float, low: float = 0.0, high: float = 1.0) -> float:
+        return max(low, min(high, x))
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        old, out = None, []
+        for r in rows.sort_values("run").itertuples():
+            evidence = (old["evidence_runs"] if old else 0) + 1
+            coverage = r.posts_with_profiles / max(1, r.fresh_posts)
+            conf = round(0.4 * min(1, evidence / max(1, s.min_evidence_runs)) + 0.3 * min(1, r.fresh_posts / max(1, s.min_fresh_posts)) + 0.3 * coverage, 4)
+            bar = s.approval_score + (1 - conf) * s.new_channel_margin - min(s.discount_floor, s.evidence_discount * max(0, evidence - s.min_evidence_runs))
+            bar -= clamp(r.run_score - old["score"], 0.0, s.momentum_cap) if old else 0.0
+            median = None if pd.isna(r.population_median) else r.population_median
+            if s.relative_approval and median is not None and r.run_score >= median:
+                bar = min(bar, median)
+            bar = round(clamp(bar, max(0.0, s.approval_score - s.relative_floor), 100.0), 2)
+            score = r.run_score
+            if old and not (old["status"] == "excluded" and r.run_score >= bar):
+                hours = max(1.0, (r.observed_at - old["at"]).total_seconds() / 3600)
+                keep = clamp(0.5 ** (hours / s.history_half_life_hours)) * clamp(1 - conf * 0.5, 0.2, 0.9)
+                score = round(old["score"] * keep + r.run_score * (1 - keep), 2)
+            if evidence < s.min_evidence_runs:
+                early = r.run_score >= s.approval_score + s.new_channel_margin or (s.relative_approval and median is not None and r.run_score >= max(s.approval_score, median))
+                status, reason = ("approved", "approved") if early else ("candidate", "insufficient_evidence")
+            elif r.fresh_posts < s.min_fresh_posts:
+                status, reason = "excluded", "insufficient_fresh_posts"
+            elif r.supported_candidates < s.min_supported_candidates:
+                status, reason = "excluded", "insufficient_candidates"
+            elif conf < s.minimum_confidence:
+                status, reason = "watch", "insufficient_confidence"
+            elif score >= bar:
+                status, reason = "approved", "approved"
+            elif bar - score <= s.near_threshold_margin or (old and score > old["score"]):
+                status, reason = "watch", "near_threshold"
+            else:
+                status, reason = "excluded", "below_approval_score"
+            old = {"status": status, "score": score, "evidence_runs": evidence, "at": r.observed_at}
+            out.append((r.handle, r.run, status, score, reason, evidence, conf, bar))
+        return pd.DataFrame(out, columns=["handle", "run", "status", "score", "reason", "evidence_runs", "confidence", "required_score"])
+
+    return runs.groupBy("handle").applyInPandas(fold, "handle string, run long, status string, score double, reason string, evidence_runs int, confidence double, required_score double")

@@ -74,7 +74,7 @@ def strict_policy() -> Column:
 
 
 def alpn_tokens() -> Column:
-    return F.filter(F.transform(F.split(param("alpn"), ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(param("alpn"), ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def deep_analysis() -> Column:

@@ -104,3 +104,20 @@ SELECT handle, CASE u % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'watch' WHEN 2 THEN
   CAST(u % 10 AS DOUBLE) / 10 AS confidence, CAST(50 AS DOUBLE) AS required_score, u % 5 AS runs_since_evaluation
 FROM (SELECT DISTINCT user_id AS u, 'chan_' || CAST(10000 + user_id AS STRING) AS handle FROM events WHERE user_id % 3 <> 0) e
 """
+
+#: Documents of candidate lines (every fifth in a base64 envelope), texts that name a channel in
+#: one of several forms, and channel pages.
+DOCS = f"""
+SELECT doc_idx, array_join(sort_array(collect_list(CAST(line_idx AS STRING) || ' ' || line)), '\\n') AS numbered FROM ({CANDIDATES}) c GROUP BY doc_idx
+"""
+MENTIONS = """
+SELECT l_orderkey * 8 + l_linenumber AS doc_idx, 'chan_' || CAST(10000 + l_suppkey AS STRING) AS handle,
+  CASE l_partkey % 5 WHEN 0 THEN 'hello @Chan_' || CAST(10000 + l_suppkey AS STRING) || ' there' WHEN 1 THEN 'see https://t.me/s/chan_' || CAST(10000 + l_suppkey AS STRING) || '?before=1'
+    WHEN 2 THEN 'go tg://resolve?domain=chan_' || CAST(10000 + l_suppkey AS STRING) WHEN 3 THEN 'at %40chan_' || CAST(10000 + l_suppkey AS STRING) ELSE 'none https://t.me/joinchat/abcdef' END AS text, l_partkey % 5 AS form
+FROM lineitem
+"""
+PAGES = """
+SELECT handle, CAST(event_id % 3 + 1 AS INT) AS page_no, event_id, message_id, published_at, text,
+  '<div class="tgme_widget_message" data-post="' || handle || '/' || message_id || '"><div class="tgme_widget_message_text">' || replace(text, '&', '&amp;') || '</div><time datetime="' || CAST(published_at AS STRING) || '+00:00"></time></div>' AS html
+FROM (SELECT handle, message_id, event_id, date_trunc('second', published_at) AS published_at, text FROM (POSTS) p) q
+""".replace("POSTS", POSTS)
