@@ -23,7 +23,8 @@ def split_uri(uri: Column) -> dict[str, Column]:
     netloc = F.regexp_extract(uri, _RFC, 2)
     userinfo = F.when(F.instr(netloc, "@") > 0, F.regexp_extract(netloc, r"^(.*)@", 1))
     hostport = F.regexp_replace(netloc, r"^.*@", "")
-    host = F.lower(F.regexp_extract(hostport, r"^\[?([^\[\]]*?)\]?(?::[^:\]]*)?$", 1))
+    form = r"^(?:\[([^\[\]]*)\]|([^\[\]:]*))(?::[^:\]]*)?$"
+    host = F.lower(F.concat(F.regexp_extract(hostport, form, 1), F.regexp_extract(hostport, form, 2)))
     number = F.regexp_extract(hostport, r":([0-9]+)$", 1).try_cast("int")
     return {
         "scheme": F.lower(F.regexp_extract(uri, _RFC, 1)),

@@ -96,8 +96,9 @@ def decoded_variants(rows: DataFrame, text: str = "text", max_depth: int = 2) ->
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [variants_of(t, max_depth) if t else [] for t in b[text]]
-            out = b[keep].loc[b.index.repeat([len(x) for x in found])].reset_index(drop=True)
-            yield out.assign(variant=[v for x in found for v, _ in x], depth=[d for x in found for _, d in x])
+            rows = [i for i, x in enumerate(found) for _ in x]
+            columns = {c: [values[i] for i in rows] for c in keep if (values := b[c].tolist()) is not None}
+            yield pd.DataFrame({**columns, "variant": [v for x in found for v, _ in x], "depth": [d for x in found for _, d in x]})
 
     return rows.mapInPandas(expand, schema)
 

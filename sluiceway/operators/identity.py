@@ -48,7 +48,7 @@ def canonical_material() -> Column:
         "spiderX": F.when(reality, param("spx")),
     }
     json = F.to_json(F.struct(*(v.alias(k) for k, v in parts.items())))
-    units = F.split(F.hex(F.encode(json, "UTF-16BE")), r"(?<=\G.{4})")
+    units = F.regexp_extract_all(F.hex(F.encode(json, "UTF-16BE")), F.lit("(.{4})"), 1)
     ascii_only = F.array_join(F.transform(units, lambda u: F.when(u.rlike("^00([0-6]|7[0-9A-E])"), F.decode(F.unhex(u), "UTF-16BE")).otherwise(F.concat(F.lit("\\u"), F.lower(u)))), "")
     return F.when(json.rlike(r"[^\x00-\x7E]"), ascii_only).otherwise(json)
 
