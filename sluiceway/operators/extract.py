@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 from urllib.parse import parse_qsl, unquote, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,14 +94,14 @@ def decoded_variants(rows: DataFrame, text: str = "text", max_depth: int = 2) ->
     keep = [c for c in rows.columns if c != text]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != text) + ", variant string, depth int"
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [variants_of(t, max_depth) if t else [] for t in b[text]]
-            rows = [i for i, x in enumerate(found) for _ in x]
-            columns = {c: [values[i] for i in rows] for c in keep if (values := b[c].tolist()) is not None}
-            yield pd.DataFrame({**columns, "variant": [v for x in found for v, _ in x], "depth": [d for x in found for _, d in x]})
+            found = [variants_of(t, max_depth) if t else [] for t in b[text].to_pylist()]
+            rows = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+            flat = [v for x in found for v in x]
+            yield pa.RecordBatch.from_arrays([*(b[c].take(rows) for c in keep), pa.array([v for v, _ in flat], pa.string()), pa.array([d for _, d in flat], pa.int32())], [*keep, "variant", "depth"])
 
-    return rows.mapInPandas(expand, schema)
+    return rows.mapInArrow(expand, schema)
 
 
 def handles_in(text: Column) -> Column:
