@@ -7,7 +7,8 @@ pivots of how far its places differ, a missing one counting as ``depth``. The be
 by footrule are reranked by the inner product in double precision.
 
 Vectors are scaled to unit length for the index alone, with one more coordinate that carries
-what the longest vector has more, so that near in angle means large in inner product.
+what the longest vector has more (none for a query), so that near in angle means large in
+inner product.
 
 Vectors are dealt into blocks of about ``block`` by a hash of their id, and every block holds
 its own inverted files; the stated queries, in blocks too, meet all of them. In each block the
@@ -93,18 +94,21 @@ def nearest(vectors: DataFrame, *, k: int = 20, query_every: int = 20, pivots: i
         m = m / longest
         return np.hstack([m, np.sqrt(np.maximum(0, 1 - (m * m).sum(1, keepdims=True)))])
 
+    def direction(m: np.ndarray) -> np.ndarray:
+        return np.hstack([m / np.linalg.norm(m, axis=1, keepdims=True), np.zeros((len(m), 1))])
+
     chosen = choose_pivots(unit(some), pivots)
     deep = min(depth, len(chosen))
     sent = spark.sparkContext.broadcast(chosen)  # at most ``pivots`` vectors
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+    def pack(rows: pd.DataFrame, shape) -> pd.DataFrame:
         m = _matrix(rows["v"])
-        order = _orders(unit(m), sent.value, deep).astype(np.int32)
+        order = _orders(shape(m), sent.value, deep).astype(np.int32)
         return pd.DataFrame({"b": [rows["b"].iloc[0]], "ids": [rows["id"].to_numpy(np.int64).tobytes()], "orders": [order.tobytes()], "vectors": [m.tobytes()]})
 
-    def packed(rows: DataFrame, blocks: int) -> DataFrame:
+    def packed(rows: DataFrame, blocks: int, shape) -> DataFrame:
         dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        return dealt.groupBy("b").applyInPandas(pack, "b int, ids binary, orders binary, vectors binary")
+        return dealt.groupBy("b").applyInPandas(lambda x: pack(x, shape), "b int, ids binary, orders binary, vectors binary")
 
     def parts(row: pd.Series, of: str) -> dict[str, np.ndarray]:
         ids = np.frombuffer(row[f"ids{of}"], np.int64)
@@ -120,8 +124,8 @@ def nearest(vectors: DataFrame, *, k: int = 20, query_every: int = 20, pivots: i
     if not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     blocks = int(-(-stats["n"] // block))
-    index = work.cut(packed(classes.select(F.col("class").alias("id"), "v"), blocks), "index")
-    asked = packed(queries, int(-(-n_queries // query_block))).select(F.col("b").alias("qb"), *(F.col(c).alias(f"{c}_q") for c in ("ids", "orders", "vectors")), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    index = work.cut(packed(classes.select(F.col("class").alias("id"), "v"), blocks, unit), "index")
+    asked = packed(queries, int(-(-n_queries // query_block)), direction).select(F.col("b").alias("qb"), *(F.col(c).alias(f"{c}_q") for c in ("ids", "orders", "vectors")), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
     scored = work.cut(asked.join(index, "b").groupBy("b", "qb").applyInPandas(met, "query_id long, id long, score double"), "scored")
     scored = scored.join(classes.select(F.col("class").alias("id"), "copies", "key"), "id")
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
