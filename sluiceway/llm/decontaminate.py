@@ -8,7 +8,8 @@ document frequency and orthonormalised this is the range of a randomised singula
 decomposition of the corpus' TF-IDF matrix: ``rank`` right singular directions.
 
 A second pass projects overlapping passages of every document on these directions and compares
-them with the benchmark's by cosine. Candidates that also share enough of the rarer terms are
+them with the benchmark's by cosine; a random projection of the same TF-IDF vectors, compared
+likewise, drops candidates that share a topic alone. Candidates that also share enough of the rarer terms are
 aligned: the longest common subsequence of the item with the surrounding words must cover
 ``covered`` of the item, or ``partly`` of it if the item's last words (its answer) stand there
 in a row. Word order counts, so passages that merely use the same words are left alone, while
@@ -39,6 +40,8 @@ from sluiceway.llm.shared import slices
 _U = np.uint64
 BITS, CHUNK = 13, 256
 TERMS = 1 << BITS
+#: Random directions beside the latent ones: they tell passages of one topic apart cheaply.
+RANDOM = 64
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] = np.arange(97, 123)
@@ -57,6 +60,7 @@ class Items(NamedTuple):
     words: list[np.ndarray]
     owner: np.ndarray
     vector: np.ndarray
+    random: np.ndarray
     member: np.ndarray
 
 
@@ -118,37 +122,57 @@ def fit(docs: DataFrame, *, span: int = 24, rank: int = 48, text_col: str = "tex
         n = r["n"]
     idf = np.log((n + 1) / (seen + 1)) + 0.1
     basis, _ = np.linalg.qr(idf[:, None] * product)
-    return Corpus(idf.astype(np.float32), (idf[:, None] * basis).astype(np.float32))
+    spread = np.random.default_rng(12).standard_normal((TERMS, RANDOM))
+    return Corpus(idf.astype(np.float32), (idf[:, None] * np.hstack([basis, spread])).astype(np.float32))
 
 
-def _spans(first: np.ndarray, span: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, begin and end of overlapping passages: every ``step`` words and the last."""
+def _spans(first: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, begin and end of overlapping passages of two steps each."""
     n = np.diff(first)
-    count = np.where(n > 0, 1 + np.maximum(0, -(-(n - span) // step)), 0)
+    count = np.maximum(np.where(n > 0, 1, 0), -(-n // step) - 1)
     doc = np.repeat(np.arange(len(n)), count)
     k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    begin = first[:-1][doc] + np.minimum(k * step, np.maximum(0, n[doc] - span))
-    return doc, begin, np.minimum(begin + span, first[1:][doc])
+    begin = first[:-1][doc] + k * step
+    return doc, begin, np.minimum(begin + 2 * step, first[1:][doc])
 
 
-def _projected(t: np.ndarray, begin: np.ndarray, end: np.ndarray, corpus: Corpus) -> np.ndarray:
-    """Unit vectors of passages, by prefix sums over the directions of their words."""
-    sums = np.concatenate([np.zeros((1, corpus.directions.shape[1]), np.float32), np.cumsum(corpus.directions[t], axis=0, dtype=np.float64).astype(np.float64)])
-    v = (sums[end] - sums[begin]).astype(np.float32)
+def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
+def _projected(t: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray, step: int, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
+    """Passages on the latent directions and on random ones, each as unit vectors: sums of
+    steps, two for a passage."""
+    n = np.diff(first)
+    doc = np.repeat(np.arange(len(n)), -(-n // step))
+    edge = first[:-1][doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(-(-n // step)) - -(-n // step), -(-n // step)))
+    sums = np.add.reduceat(corpus.directions[t], edge)
+    sums = np.vstack([sums, np.zeros((1, sums.shape[1]), np.float32)])
+    at = np.searchsorted(edge, begin)
+    v = sums[at] + sums[np.where(end - begin > step, at + 1, len(edge))]
+    latent = corpus.directions.shape[1] - RANDOM
+    return _unit(v[:, :latent]), _unit(v[:, latent:])
+
+
 def items(benchmark: DataFrame, corpus: Corpus, *, span: int = 24, step: int = 6, most_items: int = 200_000, id_col: str = "item_id", text_col: str = "text") -> Items:
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null").limit(most_items + 1).collect()
     if len(rows) > most_items:
         raise ValueError(f"more than {most_items} benchmark items")
     h, first = plain_words(pa.array([r["text"] for r in rows], pa.string()))
     t = term(h)
-    doc, begin, end = _spans(first, span, step)
-    member = np.zeros((len(doc), TERMS), bool)
+    whole = [h[first[i] : first[i + 1]] for i in range(len(rows))]
+    n = np.diff(first)
+    count = np.where(n > 0, 1 + np.maximum(0, -(-(n - span) // step)), 0)
+    doc = np.repeat(np.arange(len(n)), count)
+    k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    begin = first[:-1][doc] + np.minimum(k * step, np.maximum(0, n[doc] - span))
+    end = np.minimum(begin + span, first[1:][doc])
+    member, vector = np.zeros((len(doc), TERMS), bool), np.zeros((len(doc), corpus.directions.shape[1]), np.float32)
     for i, (a, b) in enumerate(zip(begin, end, strict=True)):
         member[i, t[a:b]] = True
-    return Items([r["id"] for r in rows], [h[first[i] : first[i + 1]] for i in range(len(rows))], doc, _projected(t, begin, end, corpus), member)
+        vector[i] = corpus.directions[t[a:b]].sum(0)
+    latent = vector.shape[1] - RANDOM
+    return Items([r["id"] for r in rows], whole, doc, _unit(vector[:, :latent]), _unit(vector[:, latent:]), member)
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -179,9 +203,9 @@ def matches(item: np.ndarray, around: np.ndarray, covered: float, partly: float,
     return 0.0
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, span: int = 24, step: int = 12, rank: int = 48, cosine: float = 0.6, shared: float = 0.4, covered: float = 0.7, partly: float = 0.5, answer: int = 4, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, span: int = 24, rank: int = 48, cosine: float = 0.5, spread: float = 0.3, shared: float = 0.4, covered: float = 0.7, partly: float = 0.5, answer: int = 4, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, contaminated, item_id (the best covered item, or null), coverage."""
-    spark = docs.sparkSession
+    spark, step = docs.sparkSession, span // 2
     corpus = fit(docs, span=span, rank=rank, text_col=text_col)
     sent = spark.sparkContext.broadcast((corpus, items(benchmark, corpus, span=span)))
 
@@ -193,11 +217,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, span: int = 24, step
             h, first = plain_words(batch["text"])
             if len(h) and len(bench.owner):
                 t = term(h)
-                doc, begin, end = _spans(first, span, step)
-                vector, weight = _projected(t, begin, end, corpus), corpus.idf[t]
+                doc, begin, end = _spans(first, step)
+                (vector, random), weight = _projected(t, first, begin, end, step, corpus), corpus.idf[t]
                 tried: set[tuple[int, int, int]] = set()
                 for at in range(0, len(doc), 4096):
-                    passage, which = np.nonzero(vector[at : at + 4096] @ bench.vector.T >= cosine)
+                    passage, which = np.nonzero((random[at : at + 4096] @ bench.random.T >= spread) & (vector[at : at + 4096] @ bench.vector.T >= cosine))
                     passage += at
                     for k in range(0, len(passage), 200_000):
                         p, w = passage[k : k + 200_000], which[k : k + 200_000]
