@@ -15,6 +15,14 @@ aligned: the longest common subsequence of the item with the surrounding words m
 in a row. Word order counts, so passages that merely use the same words are left alone, while
 changed, added and dropped words are tolerated.
 
+Cosines are low where an item is much shorter than a passage, so two more paths find
+candidates by words alone, without a threshold. An item's last words (the whole of a short
+item) are looked up among the documents' windows: every whole item and every item with its
+answer in a row is found. For the rest, at least ``c`` of an item's n words must be there, so
+at least ``k`` of any n - c + k of them; the n - c + k rarest are looked up, and wherever ``k``
+stand within a run of n + min(n, span) words, the item is aligned. Whatever covers an item
+within such a run is found.
+
 The benchmark is sent to the workers, after a check of its size (``most_items``); documents are
 read twice and never shuffled. Edge cases: null and empty texts are clean; null or empty items
 match nothing; items of fewer than ``least_words`` words are only matched in whole; an empty
@@ -55,6 +63,78 @@ class Corpus(NamedTuple):
     directions: np.ndarray
 
 
+class Keys(NamedTuple):
+    """Sorted hashes, the item of each, and which upper 16 bits occur among them."""
+
+    key: np.ndarray
+    item: np.ndarray
+    near: np.ndarray
+
+    @staticmethod
+    def of(parts: list[tuple[np.ndarray, int]]) -> Keys:
+        key = np.concatenate([np.zeros(0, _U), *(k for k, _ in parts)])
+        item = np.repeat(np.array([i for _, i in parts], np.int64), [len(k) for k, _ in parts])
+        order = np.argsort(key, kind="stable")
+        near = np.zeros(1 << 16, bool)
+        near[key >> _U(48)] = True
+        return Keys(key[order], item[order], near)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in h that hold a key and its item, a row for each pair."""
+        at = np.flatnonzero(self.near[h >> _U(48)])
+        low = np.searchsorted(self.key, h[at])
+        n = np.searchsorted(self.key, h[at], side="right") - low
+        return np.repeat(at, n), self.item[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+class Complete(NamedTuple):
+    """ends: by their number, the last words of items; rare: the rarest words of items, of
+    which ``need`` must stand within ``reach`` words."""
+
+    ends: dict[int, Keys]
+    rare: Keys
+    need: np.ndarray
+    reach: np.ndarray
+
+    @staticmethod
+    def of(items: list[np.ndarray], corpus: Corpus, *, span: int, covered: float, answer: int, least_words: int) -> Complete:
+        ends: dict[int, list[tuple[np.ndarray, int]]] = {}
+        rare, need, reach = [], np.ones(len(items), np.int64), np.ones(len(items), np.int64)
+        for i, words in enumerate(items):
+            n = len(words)
+            if not n:
+                continue
+            tail = words if n < least_words else words[-answer:]
+            ends.setdefault(len(tail), []).append((W.windows(tail, len(tail)), i))
+            if n < least_words:
+                continue
+            least = next((c for c in range(n) if c / n >= covered), n)
+            need[i], reach[i] = max(1, least // 3), n + min(n, span)
+            order = np.argsort(-corpus.idf[term(words)], kind="stable")
+            rare.append((np.unique(words[order[: n - least + need[i]]]), i))
+        return Complete({k: Keys.of(v) for k, v in ends.items()}, Keys.of(rare), need, reach)
+
+    def candidates(self, h: np.ndarray, first: np.ndarray, items: list[np.ndarray], span: int) -> Iterator[tuple[int, int, int, int]]:
+        """Document, item, and begin and end of the words to align it with."""
+        for length, keys in self.ends.items():
+            place, item = keys.find(W.windows(h, length) if len(h) >= length else h[:0])
+            doc = np.searchsorted(first, place, side="right") - 1
+            inside = place + length <= first[doc + 1]
+            for d, i, end in zip(doc[inside].tolist(), item[inside].tolist(), (place[inside] + length).tolist(), strict=True):
+                yield d, i, max(int(first[d]), end - 2 * len(items[i]) - span), end
+        place, item = self.rare.find(h)
+        order = np.lexsort((place, item))
+        place, item = place[order], item[order]
+        doc = np.searchsorted(first, place, side="right") - 1
+        last = np.minimum(np.arange(len(place)) + self.need[item] - 1, len(place) - 1)
+        other = place[last]
+        full = last - np.arange(len(place)) == self.need[item] - 1
+        full &= (item[last] == item) & (doc[last] == doc) & (other - place < self.reach[item])
+        doc, item, place, other = doc[full], item[full], place[full], other[full]
+        begin, end = np.maximum(first[doc], other + 1 - self.reach[item]), np.minimum(first[doc + 1], place + self.reach[item])
+        yield from zip(doc.tolist(), item.tolist(), begin.tolist(), end.tolist(), strict=True)
+
+
 class Items(NamedTuple):
     ids: list[int]
     words: list[np.ndarray]
@@ -207,10 +287,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, span: int = 24, rank
     """doc_id, contaminated, item_id (the best covered item, or null), coverage."""
     spark, step = docs.sparkSession, span // 2
     corpus = fit(docs, span=span, rank=rank, text_col=text_col)
-    sent = spark.sparkContext.broadcast((corpus, items(benchmark, corpus, span=span)))
+    bench = items(benchmark, corpus, span=span)
+    complete = Complete.of(bench.words, corpus, span=span, covered=covered, answer=answer, least_words=least_words)
+    sent = spark.sparkContext.broadcast((corpus, bench, complete))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus, bench = sent.value
+        corpus, bench, complete = sent.value
         mass = bench.member @ corpus.idf
         for batch in slices(batches, limit=1 << 20):
             best = [(0.0, None)] * batch.num_rows
@@ -219,7 +301,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, span: int = 24, rank
                 t = term(h)
                 doc, begin, end = _spans(first, step)
                 (vector, random), weight = _projected(t, first, begin, end, step, corpus), corpus.idf[t]
-                tried: set[tuple[int, int, int]] = set()
+                tried: set[tuple[int, int, int, int]] = set()
+
+                def judge(d: int, item: int, a: int, b: int) -> None:
+                    if best[d][0] < 1 and (d, item, a, b) not in tried:
+                        tried.add((d, item, a, b))
+                        share = matches(bench.words[item], h[a:b], covered, partly, answer, least_words)
+                        if share > best[d][0]:
+                            best[d] = share, bench.ids[item]
+
+                for candidate in complete.candidates(h, first, bench.words, span):
+                    judge(*candidate)
                 for at in range(0, len(doc), 4096):
                     passage, which = np.nonzero((random[at : at + 4096] @ bench.random.T >= spread) & (vector[at : at + 4096] @ bench.vector.T >= cosine))
                     passage += at
@@ -232,15 +324,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, span: int = 24, rank
                         own = np.minimum(heavy.sum(1), mass[w])
                         for i in np.flatnonzero(part >= shared * own):
                             d, item = int(doc[p[i]]), int(bench.owner[w[i]])
-                            words = bench.words[item]
-                            a = max(first[d], begin[p[i]] - len(words))
-                            b = min(first[d + 1], end[p[i]] + len(words))
-                            if (d, item, int(a)) in tried:
-                                continue
-                            tried.add((d, item, int(a)))
-                            share = matches(words, h[a:b], covered, partly, answer, least_words)
-                            if share > best[d][0]:
-                                best[d] = share, bench.ids[item]
+                            n = len(bench.words[item])
+                            judge(d, item, int(max(first[d], begin[p[i]] - n)), int(min(first[d + 1], end[p[i]] + n)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s > 0 for s, _ in best]), pa.array([i for _, i in best], pa.int64()), pa.array([s for s, _ in best], pa.float64())], ["doc_id", "contaminated", "item_id", "coverage"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -201,6 +201,31 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.decontaminate(empty, bench).count() == 0
 
 
+def test_decontaminate_short_items(spark):
+    rng = random.Random(10)
+    vocab, other = (["".join(rng.choice(letters) for _ in range(5)) for _ in range(300)] for letters in ("abcdefgh", "ijklmnop"))
+    say = lambda n, of=other: [rng.choice(of) for _ in range(n)]
+    items = {n: say(n, vocab) for n in range(1, 16)}
+    rows, want = [], {}
+
+    def plant(words, item):
+        want[len(rows)] = item
+        rows.append((len(rows), " ".join([*say(rng.randint(0, 90)), *words, *say(rng.randint(0, 90))])))
+
+    for n, words in items.items():
+        plant(words, n)
+        if n > 1:
+            plant([*words[:-1], "zz"] if n < 8 else [*words[: n // 2], *say(n)], None)
+        if n >= 8:
+            keep = range(n - 4 - (-(-n // 2) - 4), n)
+            plant([w if k in keep else "zz" for k, w in enumerate(words)], n)
+            plant([w if (k + 1) % 4 else "zz" for k, w in enumerate(words)], n if 4 * (n - n // 4) >= 2.8 * n else None)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items() if i > 1], "item_id long, text string")
+    del want[0]
+    got = {r.doc_id: r.item_id for r in decontaminate.decontaminate(spark.createDataFrame(rows[1:], "doc_id long, text string"), bench).collect()}
+    assert got == want
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(50):
