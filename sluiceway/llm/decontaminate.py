@@ -1,6 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts are cut into passages of ``span`` words (runs of letters and digits, A-Z lower-cased).
+Texts are cut into passages of ``span`` words (runs of letters and digits, lower-cased
+by Unicode's rules before they are hashed).
 A first pass over all documents counts in how many passages each hashed term stands and, for a
 fixed random matrix R, sums T'TR over all passages (T: term counts); both are sums over rows,
 so every task adds up its own and two small aggregations add up the tasks. Weighted by inverse
@@ -193,7 +194,7 @@ def fit(docs: DataFrame, *, span: int = 24, rank: int = 48, text_col: str = "tex
         product = sum(np.frombuffer(x) for x in pdf["product"])
         return pd.DataFrame({"salt": [0], "chunk": [pdf["chunk"].iloc[0]], "n": [pdf["n"].sum()], "seen": [seen.tobytes()], "product": [product.tobytes()]})
 
-    sums = docs.select(F.col(text_col).alias("text")).filter("text is not null").mapInArrow(rows, schema)
+    sums = docs.select(F.lower(text_col).alias("text")).filter("text is not null").mapInArrow(rows, schema)
     got = sums.groupBy("salt", "chunk").applyInPandas(added, schema).groupBy("chunk").applyInPandas(added, schema).collect()  # TERMS / CHUNK rows
     seen, product, n = np.zeros(TERMS), np.zeros((TERMS, rank)), 0
     for r in got:
@@ -235,7 +236,7 @@ def _projected(t: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndar
 
 
 def items(benchmark: DataFrame, corpus: Corpus, *, span: int = 24, step: int = 6, most_items: int = 200_000, id_col: str = "item_id", text_col: str = "text") -> Items:
-    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null").limit(most_items + 1).collect()
+    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("text")).filter("text is not null").limit(most_items + 1).collect()
     if len(rows) > most_items:
         raise ValueError(f"more than {most_items} benchmark items")
     h, first = plain_words(pa.array([r["text"] for r in rows], pa.string()))
@@ -328,5 +329,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, span: int = 24, rank
                             judge(d, item, int(max(first[d], begin[p[i]] - n)), int(min(first[d + 1], end[p[i]] + n)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s > 0 for s, _ in best]), pa.array([i for _, i in best], pa.int64()), pa.array([s for s, _ in best], pa.float64())], ["doc_id", "contaminated", "item_id", "coverage"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_col).alias("text"))
     return own.mapInArrow(rows, "doc_id long, contaminated boolean, item_id long, coverage double")

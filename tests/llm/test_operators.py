@@ -226,6 +226,17 @@ def test_decontaminate_short_items(spark):
     assert got == want
 
 
+def test_decontaminate_folds_all_letters(spark):
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("éñóèçжд") for _ in range(5)) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [say(30), say(6), say(30).upper()]
+    rows = [(0, f"{say(40)} {items[0]} {say(40)}".upper()), (1, f"{say(40)} {items[1]} {say(40)}".upper()), (2, f"{say(40)} {items[2].lower()} {say(40)}"), (3, say(90).upper())]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: r.item_id for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: None}
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(50):
