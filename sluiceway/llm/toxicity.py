@@ -6,7 +6,8 @@ kernel value when letters are inserted. A mark stands before the first letter, s
 count. Punctuation inside words is dropped, and runs of single letters are read as one word
 ("s t u p i d").
 
-Training is on a bounded, labelled sample of documents. Landmarks are the words that speak most
+Training is on a bounded, labelled sample of documents, of which tasks send the distinct words
+and not the texts. Landmarks are the words that speak most
 for label 1 and words of clean documents. The Nystroem map of a word is K_mm^(-1/2) k_m(word);
 a linear support vector machine is trained on it in numpy. Only documents are labelled, so it
 starts from words that stand in toxic documents alone more often than chance allows, also with
@@ -231,15 +232,38 @@ def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(b[0], 1e-3) / width), float(b[1] - max(b[0], 1e-3) * mean / width)
 
 
-def train(texts: list[str], y: np.ndarray, *, landmarks: int, decay: float, turns: int, seed: int, penalty: float = 1e-2) -> Model:
+def own_words(texts: pa.Array) -> list[bytes]:
+    """The distinct words of each document as letter classes, each with its leading mark."""
+    t = tokens(texts)
+    at, word = distinct(t)
+    doc, some = np.unique(np.stack([t.owner, word]), axis=1)
+    size = t.first[at[some] + 1] - t.first[at[some]]
+    edge = np.concatenate([[0], np.cumsum(size)])
+    letters = t.letters[np.repeat(t.first[at[some]] - edge[:-1], size) + np.arange(edge[-1])]
+    bound = edge[np.searchsorted(doc, np.arange(len(texts) + 1))]
+    return [letters[a:b].tobytes() for a, b in zip(bound[:-1], bound[1:], strict=True)]
+
+
+def joined(sets: list[bytes]) -> tuple[Tokens, np.ndarray]:
+    """Every word of ``own_words`` once, and for each document's words their place among these
+    (owner: the document of each of the latter)."""
+    place: dict[bytes, int] = {}
+    rows = [np.array([place.setdefault(w, len(place)) for w in own.split(b"\1")[1:]], np.int64) for own in sets]
+    letters = np.frombuffer(b"".join(b"\1" + w for w in place), np.uint8)
+    first = np.concatenate([[0], np.cumsum([len(w) + 1 for w in place], dtype=np.int64)])
+    return Tokens(letters, first, np.repeat(np.arange(len(sets)), [len(r) for r in rows])), np.concatenate([np.zeros(0, np.int64), *rows])
+
+
+def train(sets: list[bytes], y: np.ndarray, *, landmarks: int, decay: float, turns: int, seed: int, penalty: float = 1e-2) -> Model:
     zero = Model(np.zeros(CLASSES**3, np.float32), 0.0, decay, 0.0, -50.0)
     if not len(y) or y.min() == y.max():
         return zero
-    t = tokens(pa.array(texts, pa.string()))
+    t, word = joined(sets)
     if not len(t.owner):
         return zero
     rng = np.random.default_rng(seed)
-    at, word = distinct(t)
+    at, place = distinct(t)
+    word = place[word]
     seen = np.unique(np.stack([t.owner, word]), axis=1)
     own_group = groups(seen[0], seen[1], len(y))
     pairs = np.unique(np.stack([own_group[seen[0]], seen[1]])[:, y[seen[0]] == 1], axis=1)
@@ -292,10 +316,14 @@ def train(texts: list[str], y: np.ndarray, *, landmarks: int, decay: float, turn
     return zero
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int = 3000, landmarks: int = 160, decay: float = 0.6, turns: int = 3, held_parts: int = 4, held_part: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> Model:
-    got = _sample(docs, labels, label, sample, held_parts, held_part, id_col, text_col).select("doc_id", "y", "text").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in got], np.array([r["y"] for r in got], np.int64), landmarks=landmarks, decay=decay, turns=turns, seed=seed)
+def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int = 5000, landmarks: int = 160, decay: float = 0.6, turns: int = 3, held_parts: int = 4, held_part: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> Model:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], pa.array(own_words(batch["text"]), pa.binary())], ["doc_id", "y", "words"])
+
+    got = _sample(docs, labels, label, sample, held_parts, held_part, id_col, text_col).mapInArrow(rows, "doc_id long, y int, words binary").collect()
+    got.sort(key=lambda r: (r["doc_id"], sorted(r["words"].split(b"\1"))))
+    return train([r["words"] for r in got], np.array([r["y"] for r in got], np.int64), landmarks=landmarks, decay=decay, turns=turns, seed=seed)
 
 
 def scores(model: Model, texts: pa.Array) -> np.ndarray:

@@ -181,6 +181,25 @@ def test_quality_and_toxicity(spark, docs, empty):
         assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got) and score(empty, model).count() == 0
 
 
+def test_toxicity_sample(spark, monkeypatch):
+    rows = [(i, f"same w{i} same zz{i % 3}") for i in range(7200)]
+    table = spark.createDataFrame([*rows, (7200, None), (7201, ""), (7202, "!")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(7203)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda sets, y, **_: seen.append((sets, y)))
+    toxicity.learn(table, marks)
+    sets, y = seen[0]
+    assert len(sets) == len(y) >= 4990 and max(map(len, sets)) <= 1 + 4 + 1 + 5 + 1 + 3
+    texts = [rows[0][1], None, "b a b", "", "s t u p i d " + "x" * 90]
+    own = toxicity.own_words(pa.array(texts, pa.string()))
+    t, word = toxicity.joined(own)
+    for i, text in enumerate(texts):
+        u = toxicity.tokens(pa.array([text], pa.string()))
+        want = {u.letters[a:b].tobytes() for a, b in zip(u.first, u.first[1:])}
+        got = [t.letters[t.first[w] : t.first[w + 1]].tobytes() for w in word[t.owner == i]]
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_toxicity_tolerates_gaps():
     t = toxicity.tokens(pa.array(["s t u p i d now", "st.up-id", None, ""]))
     assert len(t.owner) == 3
