@@ -3,9 +3,10 @@
 Each language is a distribution over hashed byte trigrams, counted over every training
 document (text and a known language, outside the held-out fold). A document is taken as a
 mixture of these: expectation-maximisation finds the proportions of all languages; then the
-set of languages is grown in the order of their proportions for as long as the likelihood,
-less a penalty of log(n) / 2 for each language added (n: trigrams, counted as a third since
-they overlap), goes up. The prediction is the language with the largest proportion in the set;
+set of languages is grown, tried in the order of their proportions, until no further language
+raises the likelihood less a penalty of log(n) / 2 for each language added (n: trigrams, counted
+as a third since they overlap). The likelihood is concave, so its slope towards a language bounds
+what adding it can gain; languages that can't make up for the penalty are not tried. The prediction is the language with the largest proportion in the set;
 its proportion is the score.
 
 The model is a table of languages x 2^14 buckets, whatever the corpus' size; it is broadcast
@@ -103,7 +104,7 @@ def _mix(n: np.ndarray, p: np.ndarray, doc: np.ndarray, first: np.ndarray, among
     return pi, np.add.reduceat(n * np.log(np.maximum((pi[:, doc] * p).sum(0), 1e-30)), first)
 
 
-def infer(model: Model, texts: pa.Array, rounds: int = 12, most: int = 4) -> tuple[list[str], np.ndarray, list[dict[str, float]]]:
+def infer(model: Model, texts: pa.Array, rounds: int = 12) -> tuple[list[str], np.ndarray, list[dict[str, float]]]:
     """Predicted language, its proportion, and the proportions of the selected set."""
     counts = trigram_counts(texts)
     live = [i for i, (c, t) in enumerate(zip(counts, texts.to_pylist(), strict=True)) if t and c.any() and _letter(t)]
@@ -122,19 +123,31 @@ def infer(model: Model, texts: pa.Array, rounds: int = 12, most: int = 4) -> tup
     pi, _ = _mix(n, p, doc, first, every, rounds)
     order = np.argsort(-pi, axis=0, kind="stable")
     penalty = np.log(np.maximum(np.add.reduceat(n, first) / 3, 2)) / 2
-    best_pi, best_value, open_ = None, None, np.ones(len(live), bool)
-    for k in range(1, min(most, len(model.names)) + 1):
-        among = np.zeros_like(every)
-        np.put_along_axis(among, order[:k], 1, axis=0)
-        pi, fit = _mix(n, p, doc, first, among, rounds if k > 1 else 1)
-        value = fit / 3 - penalty * (k - 1)
-        if best_pi is None:
-            best_pi, best_value = pi, value
-            continue
-        open_ &= value > best_value
-        best_pi, best_value = np.where(open_, pi, best_pi), np.where(open_, value, best_value)
-        if not open_.any():
+    chosen = np.zeros(every.shape, bool)
+    np.put_along_axis(chosen, order[:1], True, axis=0)
+    best_pi, fit = _mix(n, p, doc, first, chosen.astype(np.float32), 1)
+    best_value, tried, open_ = fit / 3, chosen.copy(), np.arange(len(live))
+    while len(open_):
+        slope = np.add.reduceat(n * p / np.maximum((best_pi[:, open_][:, doc] * p).sum(0), 1e-30), first, axis=1) - np.add.reduceat(n, first)
+        free = ~tried[:, open_] & (slope > 3 * penalty[open_])
+        still = free.any(0)
+        kept = still[doc]
+        open_, free, n, p = open_[still], free[:, still], n[kept], p[:, kept]
+        if not len(open_):
             break
+        doc = (np.cumsum(still) - 1)[doc[kept]]
+        first = np.searchsorted(doc, np.arange(len(open_)))
+        own = order[:, open_]
+        new = np.take_along_axis(own, np.take_along_axis(free, own, axis=0).argmax(0)[None], axis=0)[0]
+        among = chosen[:, open_]
+        among[new, np.arange(len(open_))] = True
+        pi, fit = _mix(n, p, doc, first, among.astype(np.float32), rounds)
+        value = fit / 3 - penalty[open_] * (among.sum(0) - 1)
+        better = value > best_value[open_]
+        tried[new, open_] = True
+        grown = open_[better]
+        best_pi[:, grown], best_value[grown] = pi[:, better], value[better]
+        chosen[:, grown] = tried[:, grown] = among[:, better]
     top = best_pi.argmax(0)
     for j, i in enumerate(live):
         names[i], score[i] = model.names[top[j]], min(1.0, float(best_pi[top[j], j]))

@@ -159,6 +159,18 @@ def test_language_id(docs, empty, spark):
     assert langid.language_id(docs, langid.learn(empty)).count() == docs.count() and langid.language_id(empty, model).count() == 0
 
 
+def test_language_id_of_many_languages(spark):
+    rng = random.Random(12)
+    make = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(9)}
+    say = lambda lang, n: " ".join(rng.choice(make[lang]) for _ in range(n))
+    model = langid.learn(spark.createDataFrame([(i, say(lang, 60), lang) for i in range(180) for lang in [f"l{i % 9}"]], "doc_id long, text string, lang string"))
+    texts = [" ".join(say(f"l{k}", 40 + 5 * k) for k in range(size)) for size in (1, 2, 5, 6, 9)]
+    _, score, parts = langid.infer(model, pa.array(texts, pa.string()))
+    for size, share, part in zip((1, 2, 5, 6, 9), score, parts, strict=True):
+        assert set(part) == {f"l{k}" for k in range(size)} and abs(sum(part.values()) - 1) < 1e-3
+        assert abs(share - (35 + 5 * size) / sum(40 + 5 * k for k in range(size))) < 0.03
+
+
 def test_quality_and_toxicity(spark, docs, empty):
     rng = random.Random(8)
     vocab = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(400)]
