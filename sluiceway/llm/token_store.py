@@ -194,6 +194,25 @@ def read_shards(spark: SparkSession, where: str) -> DataFrame:
     return placed.select("n_docs", "width", "doc_ids", "ids", "low_bits", "low", "high", "marks", (F.col("part_start") + F.col("block_start")).alias("start")).mapInArrow(rows, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def read_documents(spark: SparkSession, where: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id, n_tokens and ids (as of ``read_shards``) of the documents asked for; ``select``
+    gives their boundaries, and no others are decoded."""
+    wanted = np.array(sorted(set(doc_ids)), np.int64)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "ids"):
+            for s in batch.to_pylist():
+                names = np.frombuffer(s["doc_ids"], dtype="?,<i8")
+                found = np.flatnonzero(names["f0"] & np.isin(names["f1"], wanted)).tolist()
+                ef = EliasFano(s["low_bits"], *(np.frombuffer(s[k], t) for k, t in (("low", np.uint8), ("high", np.uint8), ("marks", np.uint32))))
+                ids = np.frombuffer(s["ids"], f"<u{s['width']}")
+                own = [ids[ef.select(i) : ef.select(i + 1)].astype("<u4") for i in found]
+                yield pa.RecordBatch.from_arrays([pa.array(names["f1"][found], pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["doc_id", "n_tokens", "ids"])
+
+    shards = spark.read.schema(SHARD).parquet(where)
+    return shards.select("doc_ids", "ids", "low_bits", "low", "high", "marks", "width").mapInArrow(rows, "doc_id long, n_tokens long, ids binary")
+
+
 def token_store(docs: DataFrame, *, tokenizer: str, end_id: int = 1, **columns: str) -> DataFrame:
     """docs written as shards to the shared folder and read back: doc_id, start, n_tokens, ids."""
     work = Scratch(docs.sparkSession, "tokens")

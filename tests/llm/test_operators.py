@@ -121,6 +121,15 @@ def test_token_store(docs, empty):
     assert sorted(got, key=lambda x: x[1]) == want and token_store.token_store(empty, tokenizer=CASED).count() == 0
 
 
+def test_token_store_by_document(spark, docs, tmp_path):
+    where = f"{tmp_path}/shards"
+    token_store.write_shards(docs, where, tokenizer=CASED)
+    every = sorted((r.doc_id, r.n_tokens, r.ids) for r in token_store.read_shards(spark, where).collect() if r.doc_id is not None)
+    some = {i for i, _, _ in every[::3]}
+    got = sorted((r.doc_id, r.n_tokens, r.ids) for r in token_store.read_documents(spark, where, [*some, -5]).collect())
+    assert got == [r for r in every if r[0] in some] and token_store.read_documents(spark, where, []).count() == 0
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n in (1, 2, 511, 513, 3000):
