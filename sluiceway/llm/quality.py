@@ -38,13 +38,16 @@ class Model(NamedTuple):
     bias: float
 
 
-def _doc_sums(first: np.ndarray, value: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
-    return total[first[1:]] - total[first[:-1]]
+def _doc_sums(first: np.ndarray, stop: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Sums of value[first[d]:stop[d]], each added up in the same order whatever surrounds it."""
+    edges = np.stack([first, stop], axis=1).ravel()
+    sums = np.add.reduceat(np.append(value.astype(np.float64), 0.0), edges)[::2] if len(edges) else np.zeros(0)
+    return np.where(stop > first, sums, 0.0)
 
 
-def features(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Bucket arrays (words, pairs, 4-grams) and, for each, where every document begins."""
+def features(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Bucket arrays (words, pairs, 4-grams) and, for each, where every document begins and
+    stops: nothing spans two documents."""
     words = W.split(texts)
     h = W.hashes(words)
     shift = _U(64 - BITS)
@@ -62,7 +65,8 @@ def features(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
         x = b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)
         x = (x ^ x >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
         code = ((x ^ x >> np.uint32(12)) * np.uint32(0x297A2D39) >> np.uint32(32 - BITS)).astype(np.int32)
-    return [one, two, code], [words.first, pairs, np.minimum(offs, len(code))]
+    begin = np.minimum(offs[:-1], len(code))
+    return [one, two, code], [words.first[:-1], pairs[:-1], begin], [words.first[1:], pairs[1:], np.maximum(begin, offs[1:] - 3)]
 
 
 def _sample(docs: DataFrame, labels: DataFrame, label: str, size: int, parts: int, part: int, id_col: str, text_col: str) -> DataFrame:
@@ -75,10 +79,10 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, size: int, parts: in
 def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = 5000, dim: int = 12, epochs: int = 8, rate: float = 0.5, held_parts: int = 5, held_part: int = 0, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> Model:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            buckets, firsts = features(batch["text"])
+            buckets, firsts, stops = features(batch["text"])
             ids, counts = [], []
             for d in range(batch.num_rows):
-                own = np.concatenate([b[f[d] : f[d + 1]] for b, f in zip(buckets, firsts, strict=True)])
+                own = np.concatenate([b[f[d] : e[d]] for b, f, e in zip(buckets, firsts, stops, strict=True)])
                 at, n = np.unique(own, return_counts=True)
                 ids.append(at.astype(np.int32).tobytes())
                 counts.append(n.astype(np.float32).tobytes())
@@ -122,10 +126,10 @@ def quality_scores(docs: DataFrame, model: Model, *, cut: float = 0.3, held_part
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            buckets, firsts = features(batch["text"])
+            buckets, firsts, stops = features(batch["text"])
             weight, bias = sent.value
-            total = sum(_doc_sums(f, weight[b]) for b, f in zip(buckets, firsts, strict=True))
-            n = np.maximum(sum(np.diff(f) for f in firsts), 1)
+            total = sum(_doc_sums(f, e, weight[b]) for b, f, e in zip(buckets, firsts, stops, strict=True))
+            n = np.maximum(sum(e - f for f, e in zip(firsts, stops, strict=True)), 1)
             score = 1 / (1 + np.exp(-np.clip(total / n + bias, -50, 50)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(score), pa.array((score >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
