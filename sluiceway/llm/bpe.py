@@ -1,15 +1,19 @@
 """BPE encoding by a bounded-lookahead streaming transducer, and incremental decoding.
 
-Encoding walks a pre-token byte by byte. For each position it keeps the one token that ends
-there in the BPE of the bytes so far: the token that is compatible with the one ending where
-it begins. Two tokens are compatible if no merge across their border would have come before
-the merges that made them; that is read off the merge list by undoing both edges in turn.
-Whatever follows, the next token begins at one of the last ``longest`` positions, so a token
-that lies behind all of these on every path is stable and is emitted; only positions after it
-stay in memory. A border moves only because of a merge of lower rank at the next border, so a
-chain of changes is at most as long as the merge list: ``lookahead`` is that bound in bytes
-(Berglund and van der Merwe, "Formalizing BPE Tokenization", 2023). Pre-tokens are short, and
-what each gives is remembered in a cache of bounded size.
+``sufficient_lookahead`` is computed from the merge list: how far left of the last byte read
+the borders between tokens can still change, whatever follows. A border depends on what is to
+its right only through a merge of lower rank at a border inside or at the end of the merge's
+right half, so the distances add up along chains of falling rank, and one pass over the merges
+in rank order gives the longest (after Berglund and van der Merwe, "Formalizing BPE
+Tokenization", 2023). For the 50k byte-level list it is 119 bytes.
+
+Encoding keeps the BPE of the bytes read so far: a sequence of tokens that are compatible in
+pairs, which is unique. Two tokens are compatible if no merge across their border would have
+come before the merges that made them; that is read off the merge list by undoing both edges in
+turn. Each step reads the longest token that is compatible with the last, or takes the last one
+back where there is none. Whatever lies more than the lookahead behind the end is emitted and
+forgotten, so memory is constant however long a pre-token is; at its end the rest follows. Ids of
+pre-tokens up to the lookahead are remembered in a cache of bounded size.
 
 Decoding is a state machine from ids to bytes to text: it takes blocks of ids and carries an
 incomplete UTF-8 sequence over to the next block; malformed bytes become U+FFFD.
@@ -25,7 +29,9 @@ import codecs
 import json
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +45,10 @@ from sluiceway.llm.shared import slices
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Code points below which the same pattern is spelled out for the standard library's engine.
 LATIN = 0x250
-CACHE = 300_000
-#: Bytes up to which a pre-token is taken as one piece of the stream.
-SHORT = 64
+#: Entries of a worker's caches: pre-tokens in each of two generations (some 45 MB in all), pairs of tokens (20 MB).
+CACHE, PAIRS = 150_000, 250_000
+#: Characters beyond which a text's pre-tokens are not listed all at once.
+LONG = 1 << 20
 _FOREVER = 1 << 60
 
 
@@ -59,12 +66,17 @@ def _ranges(category: str) -> str:
 
 
 def pretokenizer():
-    """text -> pre-tokens. Texts of Latin characters take the standard library's engine, which
+    """text -> iterable of pre-tokens. Texts of Latin characters take the standard library's engine, which
     is twice as fast with explicit classes; all others take the pattern as it is."""
     letter, number, space = _ranges("L"), _ranges("N"), r"\t-\r \x85\xa0"
-    latin = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
-    other, every = re.compile(f"[^\0-{chr(LATIN - 1)}]").search, regex.compile(PATTERN).findall
-    return lambda text: every(text) if other(text) else latin(text)
+    latin = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+    other, every = re.compile(f"[^\0-{chr(LATIN - 1)}]").search, regex.compile(PATTERN)
+
+    def pretokens(text: str):
+        engine = every if other(text) else latin
+        return engine.findall(text) if len(text) < LONG else (m.group() for m in engine.finditer(text))
+
+    return pretokens
 
 
 class Vocabulary:
@@ -103,19 +115,59 @@ class Vocabulary:
                 yield bool(i % 2), piece
 
 
+def sufficient_lookahead(v: Vocabulary) -> int:
+    """Bytes after which no border between tokens can change any more."""
+    rank_of, size, parts, made = v.rank, {i: len(b) for i, b in v.bytes_of.items()}, v.parts, v.made
+    reach: dict[int, int] = {}  # by rank: how far left of the end the merge's border can be and still change
+    by_left: dict[int, tuple[list[int], list[int]]] = {}  # ranks of a token's merges as left half, and the farthest reach up to each
+    inside: dict[int, int] = {}
+
+    def between(token: int, upto: int) -> int:
+        """Farthest reach of merges that take the token away after it is made, before ``upto``."""
+        ranks, far = by_left.get(token, ((), ()))
+        i = bisect_left(ranks, upto)
+        return far[i - 1] if i and ranks[i - 1] > made.get(token, -1) else 0
+
+    def edge(token: int, upto: int) -> int:
+        """The same for every token along the right edge."""
+        far = between(token, upto)
+        while token in parts:
+            upto, token = made[token], parts[token][1]
+            far = max(far, between(token, upto))
+        return far
+
+    def within(token: int) -> int:
+        """Farthest reach through a border inside the token."""
+        if token not in parts:
+            return 0
+        if token not in inside:
+            left, right = parts[token]
+            deeper = within(right)
+            inside[token] = max(within(left), size[left] + max(reach[made[token]], edge(left, made[token])), size[left] + deeper if deeper else 0)
+        return inside[token]
+
+    for (left, right), rank in sorted(rank_of.items(), key=lambda x: x[1]):
+        reach[rank] = max(size[right] + edge(right, rank), within(right))
+        ranks, far = by_left.setdefault(left, ([], []))
+        ranks.append(rank)
+        far.append(max(reach[rank], far[-1] if far else 0))
+    return max(reach.values(), default=0)
+
+
 class Transducer:
     """Encoder of one vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.lookahead = len(vocabulary.rank) * vocabulary.longest
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.lookahead = sufficient_lookahead(vocabulary)
+        self._fits: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
-        self._ends: dict[bytes, int] = {}
         self.tokens = {b: i for b, i in vocabulary.id_of.items() if self._own(i)}
-        self.reach: dict[bytes, int] = {}  # longest token by its last two bytes
+        self.ahead: dict[bytes, int] = {}  # longest token by its first two bytes
         for b in self.tokens:
-            self.reach[b[-2:]] = max(self.reach.get(b[-2:], 1), len(b))
+            self.ahead[b[:2]] = max(self.ahead.get(b[:2], 1), len(b))
+        #: by token: the next shorter token that begins it
+        self.shorter = {i: next((self.tokens[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in self.tokens), None) for b, i in self.tokens.items()}
 
     def _own(self, token: int) -> bool:
         """Is the token the BPE of its own bytes? (Some vocabularies hold tokens that no text gives.)"""
@@ -143,74 +195,48 @@ class Transducer:
                 end_b, b = made_b, parts[b][0]
 
     def fits(self, a: int, b: int) -> bool:
-        key = a, b
+        key = a << 32 | b
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) >= PAIRS:
                 self._fits.clear()
             known = self._fits[key] = self._apart(a, b, _FOREVER)
         return known
 
     def stream(self, data: bytes) -> Iterator[int]:
-        """Token ids of one pre-token, each as soon as it is stable."""
-        tokens, longest, fits, reach = self.tokens, self.v.longest, self.fits, self.reach
-        base, last, size = 0, [-1], [0]  # last[i]: the token that ends at base + i; size: its bytes
-        for at in range(1, len(data) + 1):
-            for begin in range(max(base, at - reach.get(data[max(0, at - 2) : at], 1)), at):
-                token = tokens.get(data[begin:at])
-                if token is not None and (begin == 0 or fits(last[begin - base], token)):
-                    last.append(token)
-                    size.append(at - begin)
-                    break
-            else:
-                raise ValueError("bytes outside the vocabulary")
-            if len(last) >= 8 * longest:
-                stable = self._meet(size, longest)
-                if stable:
-                    yield from self._path(last, size, stable)
-                    base += stable
-                    del last[:stable], size[:stable]
-                    size[0] = 0
-        yield from self._path(last, size, len(last) - 1)
-
-    def short(self, data: bytes) -> list[int]:
-        """The ids of a short pre-token. The state after a prefix is the token that ends there,
-        whatever follows, so states are shared by all pre-tokens that begin alike."""
-        ends, tokens, fits, reach = self._ends, self.tokens, self.fits, self.reach
-        if len(ends) > 3 * CACHE:
-            ends.clear()
-        known = len(data)
-        while known and data[:known] not in ends:
-            known -= 1
-        for at in range(known + 1, len(data) + 1):
-            for begin in range(max(0, at - reach.get(data[max(0, at - 2) : at], 1)), at):
-                token = tokens.get(data[begin:at])
-                if token is not None and (begin == 0 or fits(ends[data[:begin]], token)):
-                    ends[data[:at]] = token
-                    break
-        out, of = [], self.v.bytes_of
-        while data:
-            out.append(ends[data])
-            data = data[: -len(of[out[-1]])]
-        return out[::-1]
-
-    @staticmethod
-    def _meet(size: list[int], longest: int) -> int:
-        """The last position that the paths from all of the last ``longest`` positions share."""
-        live = set(range(len(size) - longest, len(size)))
-        while len(live) > 1:
-            top = max(live)
-            live.discard(top)
-            live.add(top - size[top])
-        return live.pop()
-
-    @staticmethod
-    def _path(last: list[int], size: list[int], end: int) -> list[int]:
-        out = []
-        while end > 0 and size[end]:
-            out.append(last[end])
-            end -= size[end]
-        return out[::-1]
+        """Token ids of one pre-token, each once more than the lookahead follows it."""
+        tokens, fits, ahead, of, shorter, end = self.tokens, self.fits, self.ahead, self.v.bytes_of, self.shorter, len(data)
+        path: list[int] = []  # tokens not emitted yet, the last of which ends at ``at``
+        dead: set[int] = set()  # ends of the path from which there is no way on
+        at = emitted = 0
+        last = token = None
+        while at < end or token is not None:
+            if token is None:
+                stop = min(end, at + ahead.get(data[at : at + 2], 1))
+                while (token := tokens.get(data[at:stop])) is None:
+                    stop -= 1
+            while token is not None and (at + len(of[token]) in dead or last is not None and not fits(last, token)):
+                token = shorter[token]
+            if token is None:
+                if not path:
+                    raise ValueError("bytes outside the vocabulary")
+                dead.add(at)
+                token = path.pop()
+                at -= len(of[token])
+                last = path[-1] if path else None
+                continue
+            path.append(token)
+            at += len(of[token])
+            last, token = token, None
+            if len(path) > 4 * self.lookahead:
+                n = 0
+                while emitted + len(of[path[n]]) < at - self.lookahead:
+                    emitted += len(of[path[n]])
+                    n += 1
+                yield from path[:n]
+                del path[:n]
+                dead = {x for x in dead if x > emitted}
+        yield from path
 
 
 class _Known(dict):
@@ -228,23 +254,27 @@ class _Known(dict):
         if value is None:
             data = piece.encode()
             token = self.encoder.tokens.get(data)
-            ids = (token,) if token is not None else self.encoder.short(data) if len(data) <= SHORT else self.encoder.stream(data)
-            value = np.fromiter(ids, "<u4").tobytes()
-        if len(piece) <= SHORT:
+            value = token.to_bytes(4, "little") if token is not None else np.fromiter(self.encoder.stream(data), "<u4").tobytes()
+        if len(piece) <= self.encoder.lookahead:
             self[piece] = value
         return value
 
 
-_loaded: dict[str, tuple[Vocabulary, _Known]] = {}
-
-
+@lru_cache(maxsize=1)
 def loaded(spec: str) -> tuple[Vocabulary, _Known]:
     """One vocabulary and its cache for each Python worker."""
-    if spec not in _loaded:
-        _loaded.clear()
-        vocabulary = Vocabulary(spec)
-        _loaded[spec] = vocabulary, _Known(Transducer(vocabulary))
-    return _loaded[spec]
+    vocabulary = Vocabulary(spec)
+    return vocabulary, _Known(Transducer(vocabulary))
+
+
+@lru_cache(maxsize=1)
+def token_bytes(spec: str) -> list[bytes]:
+    """The bytes of each id, which is all that decoding needs."""
+    letters = byte_letters()
+    parsed = json.loads(spec)
+    special = {t["id"]: t["content"].encode() for t in parsed.get("added_tokens", [])}
+    of = {i: special[i] if i in special else bytes(letters[c] for c in t) for t, i in parsed["model"]["vocab"].items()} | special
+    return [of.get(i, b"") for i in range(max(of) + 1)]
 
 
 def encode_text(spec: str, text: str) -> bytes:
@@ -259,7 +289,7 @@ def encode_text(spec: str, text: str) -> bytes:
 
 
 def decode_ids(spec: str, packed: bytes, block: int = 65536) -> str:
-    of = loaded(spec)[0].bytes_of
+    of = token_bytes(spec)
     state = codecs.getincrementaldecoder("utf-8")("replace")
     out = [state.decode(b"".join(map(of.__getitem__, np.frombuffer(packed, "<u4", min(block, len(packed) // 4 - at), 4 * at).tolist()))) for at in range(0, len(packed) // 4, block)]
     return "".join([*out, state.decode(b"", True)])
