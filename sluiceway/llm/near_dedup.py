@@ -6,23 +6,29 @@ empty set and links with nothing. Two documents link when their sets' Jaccard si
 reaches the threshold; components of linked documents share the smallest id reachable.
 
 * Documents with equal sets fall into one class first, so copies are handled once.
-* Keys: two collections of m short bands (three minhashes each) are computed, 6m minhashes in
+* Keys: two collections of m short bands (two minhashes each) are computed, 4m minhashes in
   all, and every pair of a band of one with a band of the other is a table key: m * m tables
   from a number of minhashes that grows as their square root. m is the least for which a pair
   at the threshold is missed with a probability of at most ``miss``.
 * Three bits of up to 63 of the minhashes make a sketch. Pairs whose sketches differ in more
   places than a pair at the threshold does but for a probability of 1e-6, or whose sizes alone
   rule the threshold out, are not compared.
-* In turns, every class is compared with one class only: the least among the smallest members
-  of its buckets that are not in its component yet. This joins nearly all of a group, whatever
-  its size. What is then left are buckets that still hold several components; all pairs across
-  components are compared there, so a group of thousands of copies never makes all its pairs,
-  and no link that changes a component is passed over.
+* In turns, every class is compared with one class only: the most central one of its buckets
+  that is not in its component yet (the one that shares most keys with others: copies with few
+  changes share most). This joins nearly all of a group, whatever its size.
+* What is then left are buckets that still hold several components, mostly copies that differ
+  a little too much from all others. Their shingles are ordered by how many of these classes
+  hold them, rarest first. Two sets that reach the threshold share one of their first
+  n - ceil(threshold * n) + 1 shingles, and so many follow it in both as the threshold asks for,
+  so only pairs across components that do are compared. A copy's own changes come first in this
+  order: where they are too many, nothing is left to compare, however large the group is. No
+  pair that reaches the threshold is passed over.
 * A candidate is confirmed on the full sets: sorted arrays of 64-bit shingle hashes.
 * Components: minimum labels with pointer jumping, written to the shared folder each round.
 
 Edge cases: null text has no words. Rows with a null id keep a null component and are kept;
-they link with nothing. Rows that share an id are one node. Empty tables give empty results.
+they link with nothing. Rows that share an id are one node; where their texts differ, the least
+set counts (by size, then hash). Empty tables give empty results.
 Only the id and text columns are read.
 """
 
@@ -34,15 +40,16 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceway.llm import words as W
 from sluiceway.llm.shared import Scratch, slices
 
 _U = np.uint64
-BAND = 3
-TURNS = 3
+BAND = 2
+#: Turns go on while at least this part of the compared pairs are links.
+WORTH = 0.1
 #: Places of a sketch: 21 in each of three longs, three bits each.
 PLACES = 63
 
@@ -97,36 +104,50 @@ def _signatures(size: int, bands: int):
             full = np.flatnonzero(n)
             at = first[:-1][full]
             low = np.zeros((len(seeds), len(full)), _U)
-            sums = np.zeros((2, len(full)), _U)
+            sums = _sums(value, at) if len(full) else [np.zeros(0, np.int64)] * 2
             if len(full):
                 for i, seed in enumerate(seeds):
                     x = value ^ seed
                     x *= _U(0xBF58476D1CE4E5B9)
                     x ^= x >> _U(32)
                     low[i] = np.minimum.reduceat(x, at)
-                for i in range(2):
-                    sums[i] = np.add.reduceat(W.mix64(value + _U((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), at)
             half = [reduce(lambda a, b: W.pair(a, b), (low[i * BAND + j] for j in range(BAND))) for i in range(2 * bands)]
             keys = np.stack([W.pair(half[i], half[bands + j], i * bands + j) for i in range(bands) for j in range(bands)], axis=1)
             ids = batch["doc_id"].take(pa.array(full))
             bits = low[:PLACES] & _U(7)
             sketch = [np.bitwise_or.reduce([bits[i] << _U(3 * k) for k, i in enumerate(range(w, min(w + 21, len(bits))))], axis=0).view(np.int64) if w < len(bits) else np.zeros(len(full), np.int64) for w in (0, 21, 42)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * bands * bands), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n[full].astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *map(pa.array, sketch), lists], ["doc_id", "n_shingles", "s1", "s2", "k0", "k1", "k2", "keys"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n[full].astype(np.int64)), *map(pa.array, sums), *map(pa.array, sketch), lists], ["doc_id", "n_shingles", "s1", "s2", "k0", "k1", "k2", "keys"])
 
     return rows
 
 
+def _sums(value: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """128-bit hashes of sets that begin at ``at`` (none is empty), as two columns."""
+    return [np.add.reduceat(W.mix64(value + _U((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), at).view(np.int64) for i in range(2)]
+
+
 def _sets(size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             value, first = shingle_sets(batch["text"], size)
-            packed = [value[first[i] : first[i + 1]].tobytes() for i in range(len(first) - 1)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(packed, pa.binary())], ["id", "shingles"])
+            full = np.flatnonzero(np.diff(first))
+            if not len(full):
+                continue
+            packed = [value[first[i] : first[i + 1]].tobytes() for i in full]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(full)), pa.array(np.diff(first)[full].astype(np.int64)), *map(pa.array, _sums(value, first[:-1][full])), pa.array(packed, pa.binary())], ["id", "n", "s1", "s2", "shingles"])
 
     return rows
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and s: one row for each shingle of a set."""
+    for batch in slices(batches, "shingles"):
+        values = [np.frombuffer(x.as_buffer(), np.int64) for x in batch["shingles"]]
+        ids = np.repeat(np.asarray(batch["id"], dtype=np.int64), [len(v) for v in values])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(values))], ["id", "s"])
+
+
 def _confirmed(share: int):
     """Map function: pairs with 100 * intersection >= share * union."""
 
@@ -171,16 +192,22 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, share: int = 80, miss: floa
     work = Scratch(spark, "near")
     m = bands_for(share / 100, miss)
     signed = work.cut(own.filter("doc_id is not null and text is not null").mapInArrow(_signatures(shingle, m), "doc_id long, n_shingles long, s1 long, s2 long, k0 long, k1 long, k2 long, keys array<long>"), "signed")
-    least = signed.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class"))
+    least = F.min(F.struct("n_shingles", "s1", "s2"))
+    single = signed.groupBy("doc_id").agg(least.alias("m")).select("doc_id", "m.*")
+    classes = single.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class"))
     # one more join column than the grouping gives a join an exchange of its own, which adaptive execution splits
-    member = work.cut(signed.select("doc_id", "n_shingles", "s1", "s2", F.shiftright("s1", 57).alias("part")).join(least.withColumn("part", F.shiftright("s1", 57)), ["n_shingles", "s1", "s2", "part"]).select("doc_id", "n_shingles", "class").distinct(), "member")
-    one = signed.join(member.filter("doc_id = class").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")
+    part = F.shiftright("s1", 57).alias("part")
+    member = work.cut(single.select("*", part).join(classes.select("*", part), ["n_shingles", "s1", "s2", "part"]).select("doc_id", "n_shingles", "s1", "s2", "class"), "member")
+    # the rows that are left for an id are equal
+    one = signed.join(member.filter("doc_id = class").select("doc_id", "n_shingles", "s1", "s2"), ["doc_id", "n_shingles", "s1", "s2"], "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")
     spread = one.select("id", F.explode("keys").alias("key"))
-    counted = spread.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key", F.shiftright("key", 57).alias("part"))
-    shared = spread.withColumn("part", F.shiftright("key", 57)).join(counted, ["key", "part"]).select("key", "id")
-    bucket = work.cut(work.cut(shared, "shared").join(one.select("id", F.col("n_shingles").alias("n"), "k0", "k1", "k2"), "id"), "bucket")
+    counted = spread.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key", "many", F.shiftright("key", 57).alias("part"))
+    shared = work.cut(spread.withColumn("part", F.shiftright("key", 57)).join(counted, ["key", "part"]).select("key", "id", "many"), "shared")
+    central = shared.groupBy("id").agg((-F.sum("many")).alias("far")).join(one.select("id", F.col("n_shingles").alias("n"), "k0", "k1", "k2"), "id")
+    bucket = work.cut(shared.select("key", "id").join(central, "id"), "bucket")
     work.drop("signed", "shared")
-    sets = work.cut(own.dropna().join(bucket.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    texts = own.dropna().join(bucket.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = work.cut(texts.mapInArrow(_sets(shingle), "id long, n long, s1 long, s2 long, shingles binary").groupBy("id").agg(F.min_by("shingles", F.struct("n", "s1", "s2")).alias("shingles")), "sets")
     most = allowed(share / 100, min(PLACES, 2 * m * BAND))
 
     def alike(a: str, b: str) -> Column:
@@ -195,32 +222,60 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, share: int = 80, miss: floa
         full = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
         return work.cut(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(share), "a long, b long"), f"{name}-links")
 
+    row = F.struct("far", "id", "n", "k0", "k1", "k2", "label")
+
     def mixed(label: DataFrame, name: str) -> DataFrame:
-        """Rows of the buckets that hold several components, with the smallest row of each."""
-        row = F.struct("id", "n", "k0", "k1", "k2", "label")
+        """Rows of the buckets that hold several components, with the most central row of each."""
         placed = bucket.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         some = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(row).alias("p")).filter("lo <> hi").select("key", "p", F.shiftright("key", 57).alias("part"))
-        return work.cut(placed.withColumn("part", F.shiftright("key", 57)).join(some, ["key", "part"]).select("key", row.alias("r"), "p"), name)
+        return work.cut(placed.withColumn("part", F.shiftright("key", 57)).join(some, ["key", "part"]).select(row.alias("r"), "p"), name)
+
+    def prefixes(nodes: DataFrame) -> DataFrame:
+        """s, at and r of each class' first shingles, the rarest among the classes first."""
+        held = sets.join(nodes.select("id"), "id", "left_semi").mapInArrow(_elements, "id long, s long")
+        often = held.groupBy("s").agg(F.count(F.lit(1)).alias("f")).filter("f > 1").select("s", "f", F.shiftright("s", 57).alias("part"))
+        several = held.withColumn("part", F.shiftright("s", 57)).join(often, ["s", "part"]).select("id", "s", "f")
+        # shingles that one class alone holds come first and match nothing: they only take up places
+        by_rarity = Window.partitionBy("id").orderBy("f", "s")
+        ranked = several.select("*", F.row_number().over(by_rarity).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("id")).alias("total"))
+        at = F.col("r.n") - F.col("total") + F.col("rank") - 1
+        placed = ranked.join(nodes, "id").select("s", at.alias("at"), "r")
+        return placed.filter(100 * (F.col("r.n") - F.col("at")) >= share * F.col("r.n"))
 
     empty = spark.createDataFrame([], "a long, b long")
     label, links, tested = spark.createDataFrame([], "node long, label long"), empty, empty
-    for turn in range(TURNS):
+    turn, found = 0, True
+    while found:
         rows = mixed(label, f"mixed{turn}")
-        near = rows.filter((F.col("r.label") != F.col("p.label")) & alike("r", "p")).select(F.col("p.id").alias("a"), F.col("r.id").alias("b"))
-        fresh = near.join(tested, ["a", "b"], "left_anti").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        near = rows.filter((F.col("r.label") != F.col("p.label")) & alike("r", "p")).select(F.col("p.far").alias("far"), F.col("p.id").alias("a"), F.col("r.id").alias("b"))
+        fresh = near.join(tested, ["a", "b"], "left_anti").groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a")).select("a", "b")
         pairs = work.cut(fresh, f"pairs{turn}")
         work.drop(f"mixed{turn}")
-        if pairs.isEmpty():
+        compared = pairs.count()
+        if not compared:
             break
-        tested, links = tested.union(pairs), links.union(confirm(pairs, f"turn{turn}"))
+        new = confirm(pairs, f"turn{turn}")
+        found = new.count() >= WORTH * compared
+        tested, links = tested.union(pairs), links.union(new)
         label = components(links, work, f"labels{turn}")
-    rows = mixed(label, "mixed")
-    a, b = rows.select("key", F.col("r").alias("x")), rows.select("key", F.col("r").alias("y"))
-    across = a.join(b, (a["key"] == b["key"]) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & alike("x", "y"))
-    across = work.cut(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "across")
+        turn += 1
+    nodes = work.cut(mixed(label, "mixed").select("r.id", "r").distinct(), "nodes")
     work.drop("mixed", "bucket")
-    if not across.isEmpty():
-        label = components(links.union(confirm(across, "across")), work, "labels")
+    if not nodes.isEmpty():
+        first = work.cut(prefixes(nodes), "prefixes")
+        # all rows of a shingle's largest component need not meet each other
+        sizes = first.groupBy("s", "r.label").agg(F.count(F.lit(1)).alias("n"))
+        some = sizes.groupBy("s").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label"))["label"].alias("top")).filter("labels > 1").select("s", "top", F.shiftright("s", 57).alias("part"))
+        live = first.withColumn("part", F.shiftright("s", 57)).join(some, ["s", "part"])
+        x, y = live.filter("r.label <> top").select("s", F.col("at").alias("at_x"), F.col("r").alias("x")), live.select("s", F.col("at").alias("at_y"), F.col("r").alias("y"), "top")
+        reach = F.least(F.col("x.n") - F.col("at_x"), F.col("y.n") - F.col("at_y")) * (100 + share) >= share * (F.col("x.n") + F.col("y.n"))
+        across = x.join(y, "s").filter((F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("top")) | (F.col("x.id") < F.col("y.id"))) & reach & alike("x", "y"))
+        pairs = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = work.cut(pairs.join(done, ["a", "b"], "left_anti"), "across")
+        work.drop("nodes", "prefixes")
+        if not pairs.isEmpty():
+            label = components(links.union(confirm(pairs, "across")), work, "labels")
     placed = member.join(label.withColumnsRenamed({"node": "class"}), "class", "left").select("doc_id", "n_shingles", F.coalesce("label", "class").alias("component_id"))
     out = own.select("doc_id").join(placed, "doc_id", "left")
     whole = F.coalesce("component_id", "doc_id")

@@ -12,14 +12,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a task looks at together; one document may be longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Rows that a task looks at together: short texts may be many to a slice.
+SLICE_ROWS = 2048
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session
+    (one process, as in tests) gets a folder of its own and any other an error, since executors
+    don't see each other's local folders."""
     conf = spark.sparkContext.getConf()
     where = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = getattr(spark, "_sluiceway_scratch", None) or tempfile.mkdtemp(prefix="spark-sluiceway-")
         spark._sluiceway_scratch = where
     return where.rstrip("/")
@@ -55,8 +61,9 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches of at most ``limit`` text bytes (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in record batches of at most ``rows`` rows and ``limit`` text bytes (one
+    row at least)."""
     import numpy as np
 
     for batch in batches:
@@ -66,6 +73,6 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         at = 0
         while at < batch.num_rows:
             done = size[at - 1] if at else 0
-            upto = max(at + 1, int(np.searchsorted(size, done + limit, side="right")))
+            upto = min(at + rows, max(at + 1, int(np.searchsorted(size, done + limit, side="right"))))
             yield batch.slice(at, upto - at)
             at = upto
