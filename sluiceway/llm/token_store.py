@@ -3,9 +3,9 @@
 A shard holds consecutive documents in ascending id order: their ids end to end as unsigned
 16-bit (or 32-bit, for larger vocabularies) integers, and the n + 1 boundaries as an
 Elias-Fano sequence: the low bits of each boundary packed side by side, the high bits in
-unary in a bit vector. ``select`` finds a boundary in constant time from counts of ones kept
-for each block of the vector, so no 64-bit offset table is stored: the boundaries take about
-2 + log2(ids per document) bits each.
+unary in a bit vector. ``select`` finds boundaries from the places of every 512th one, looking
+into the blocks asked for alone, so no 64-bit offset table is stored: the boundaries take about
+2 + log2(ids per document) bits each. All offsets that are read back come from ``select``.
 
 Shards are rows of a Parquet folder with binary columns, so Spark's committers write them
 (a lost executor's part is written again) and any store that Spark reaches can hold them.
@@ -14,7 +14,9 @@ to give each shard's place in the whole.
 
 Edge cases: null and empty texts give a document that is only the end id. Rows with a null id
 come first; rows with one id keep an order among themselves by text. An empty table gives an
-empty folder and no rows. Only the id and text columns are read.
+empty folder and no rows. Only the id and text columns are read. Texts are cut at white space
+and pieces remembered only after a test that the tokenizer's pre-tokens end there; under any
+other tokenizer whole texts are encoded.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ from sluiceway.llm.shared import Scratch, slices
 BLOCK = 512
 #: Pieces whose ids a worker remembers.
 CACHE = 150_000
+#: Text bytes of a range partition, where that makes more of them than the session's number.
+PART_BYTES = 64 << 20
+#: Punctuation that may end a word: its ids are looked up apart from the word's.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _marks = re.compile("[^\0-\u02ff]").search
 SHARD = "part int, block int, n_docs long, n_ids long, width int, doc_ids binary, ids binary, low_bits int, low binary, high binary, marks binary"
 
@@ -57,33 +63,32 @@ class EliasFano:
         high[ones] = 1
         return cls(low_bits, np.packbits(low.astype(np.uint8).ravel()), np.packbits(high), ones[::BLOCK].astype(np.uint32))
 
-    def select(self, i: int) -> int:
-        """Value i: the place of the i-th one in the high bits gives its high part."""
-        begin = int(self.marks[i // BLOCK])
-        left, byte = i % BLOCK, begin // 8
-        bits = np.unpackbits(self.high[byte : byte + 64])[begin % 8 :]
-        at, seen = begin, 0
-        while True:
-            ones = np.flatnonzero(bits)
-            if seen + len(ones) > left:
-                place = at + int(ones[left - seen])
-                break
-            seen += len(ones)
-            at += len(bits)
-            bits = np.unpackbits(self.high[at // 8 : at // 8 + 64])
-        own = np.unpackbits(self.low[i * self.low_bits // 8 : ((i + 1) * self.low_bits + 7) // 8])[i * self.low_bits % 8 :][: self.low_bits]
-        return (place - i) << self.low_bits | int(own.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64)))
+    def select(self, i: int | np.ndarray) -> int | np.ndarray:
+        """Values at one place or at many: the place of the i-th one in the high bits gives the
+        high part. Only the blocks that hold them are looked into."""
+        if np.isscalar(i):
+            return int(self.select(np.array([i]))[0])
+        i = np.asarray(i, np.int64)
+        place = np.zeros(len(i), np.int64)
+        block = i // BLOCK
+        for b in np.unique(block).tolist():
+            begin = int(self.marks[b])
+            stop = int(self.marks[b + 1]) if b + 1 < len(self.marks) else 8 * len(self.high)
+            ones = np.flatnonzero(np.unpackbits(self.high[begin // 8 : (stop + 7) // 8])[begin % 8 :])
+            own = block == b
+            place[own] = begin + ones[i[own] - b * BLOCK]
+        bit = (i[:, None] * self.low_bits + np.arange(self.low_bits)).ravel()
+        low = (self.low[bit // 8] >> (7 - bit % 8).astype(np.uint8) & 1).reshape(len(i), self.low_bits).astype(np.int64)
+        return (place - i) << self.low_bits | low @ (1 << np.arange(self.low_bits, dtype=np.int64))
 
     def values(self, n: int) -> np.ndarray:
         """The first n values."""
-        ones = np.flatnonzero(np.unpackbits(self.high))[:n]
-        low = np.unpackbits(self.low)[: n * self.low_bits].reshape(n, self.low_bits).astype(np.int64) if self.low_bits else np.zeros((n, 0), np.int64)
-        return (ones - np.arange(n)) << self.low_bits | low @ (1 << np.arange(self.low_bits, dtype=np.int64))
+        return self.select(np.arange(n))
 
 
 class _Pieces(dict):
-    """Ids of white-space separated pieces under a tokenizer whose pre-tokens hold no white
-    space, packed; bounded size."""
+    """Ids of white-space separated pieces, packed; bounded size. ``apart``: do white space and
+    TAIL after a word end a pre-token?"""
 
     def __init__(self, spec: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -95,26 +100,67 @@ class _Pieces(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AbZ") == "abz"
+        whole = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.apart = whole(" ab\n12 , \tab.. cd  ") == [i for p in ("ab", "12", ",", "ab..", "cd") for i in whole(p)]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(True) + 1, bool)
+        if suffix and self.apart and all(whole(f"ab{c}{c}") == whole("ab") + whole(c + c) for c in TAIL):
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     def learn(self, pieces: set[bytes]) -> None:
         if len(self) > CACHE:
             self.old = dict(self)
             self.clear()
+        new = self._unknown(pieces)
+        if not self.last.any():
+            self._by_offsets([p.decode() for p in new])
+            return
+        words, rest, made = set(), [], []
+        for p in new:
+            text = p.decode()
+            core = text.rstrip(TAIL)
+            if not core.lower().isalpha():
+                rest.append(text)
+            elif core == text:
+                words.add(p)
+            else:
+                made.append((p, core.encode(), text[len(core) :].encode()))
+        self._by_offsets(rest)
+        self._by_offsets([p.decode() for p in self._unknown({t for _, _, t in made})])
+        self._words([p.decode() for p in self._unknown(words | {c for _, c, _ in made})])
+        self.update((p, self[core] + self[tail]) for p, core, tail in made)
+
+    def _unknown(self, pieces: set[bytes]) -> list[bytes]:
         new = [p for p in pieces if p not in self]
         again = {p: self.old[p] for p in new if p in self.old}
         self.update(again)
-        new = [p for p in new if p not in again]
-        for at in range(0, len(new), 2048):
-            some = new[at : at + 2048]
-            texts = [p.decode() for p in some]
-            got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        return [p for p in new if p not in again]
+
+    def _words(self, texts: list[str]) -> None:
+        """Pieces of letters alone: each ends with the one token that ends a word."""
+        for at in range(0, len(texts), 2048):
+            some = texts[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            stop = (np.flatnonzero(self.last[ids]) + 1) * ids.itemsize
+            if len(stop) != len(some):  # letters that the tokenizer takes apart
+                self._by_offsets(some)
+                continue
+            packed = ids.tobytes()
+            edges = [0, *stop.tolist()]
+            self.update((text.encode(), packed[a:b]) for text, a, b in zip(some, edges[:-1], edges[1:], strict=True))
+
+    def _by_offsets(self, texts: list[str]) -> None:
+        for at in range(0, len(texts), 2048):
+            some = texts[at : at + 2048]
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids = np.array(got.ids, self.dtype)
-            begins = np.cumsum([0, *map(len, texts)])[:-1] + np.arange(len(texts))
+            begins = np.cumsum([0, *map(len, some)])[:-1] + np.arange(len(some))
             place = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
             stop = np.searchsorted(place, begins[1:]) * ids.itemsize
             packed = ids.tobytes()
             edges = [0, *stop.tolist(), len(packed)]
-            self.update(zip(some, [packed[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], strict=True))
+            self.update((text.encode(), packed[a:b]) for text, a, b in zip(some, edges[:-1], edges[1:], strict=True))
 
 
 _pieces: dict[tuple[str, str], _Pieces] = {}
@@ -128,9 +174,11 @@ def _known(spec: str, dtype: str) -> _Pieces:
 
 
 def encoded(spec: str, dtype: str, texts: list[str]) -> list[bytes]:
-    """Packed ids of whole texts. White space ends every pre-token of this kind of tokenizer,
-    so a text's ids are those of its pieces between blanks and line ends (ASCII), in order."""
+    """Packed ids of whole texts. Where white space ends every pre-token, a text's ids are those
+    of its pieces between blanks and line ends (ASCII), in order."""
     known = _known(spec, dtype)
+    if not known.apart:
+        return [np.array(x.ids, dtype).tobytes() for x in known.tokenizer.encode_batch(texts, add_special_tokens=False)]
     # Where the tokenizer lower-cases anyway, fewer pieces are new if that comes first; not where
     # a mark could compose with the letter before it, nor where special strings may stand.
     parts = [(t.encode().lower() if known.lower and "<|" not in t and not _marks(t) else t.encode()).split() for t in texts]
@@ -165,7 +213,8 @@ def write_shards(docs: DataFrame, where: str, *, tokenizer: str, end_id: int = 1
 
     schema = to_arrow_schema(StructType.fromDDL(SHARD))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = own.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(rows, SHARD).write.parquet(where)
 
 
@@ -183,7 +232,7 @@ def read_shards(spark: SparkSession, where: str) -> DataFrame:
         for batch in slices(batches, "ids"):
             for s in batch.to_pylist():
                 ef = EliasFano(s["low_bits"], *(np.frombuffer(s[k], t) for k, t in (("low", np.uint8), ("high", np.uint8), ("marks", np.uint32))))
-                bound = ef.values(s["n_docs"] + 1)
+                bound = ef.select(np.arange(s["n_docs"] + 1))
                 ids = np.frombuffer(s["ids"], f"<u{s['width']}").astype("<u4")
                 names = np.frombuffer(s["doc_ids"], dtype="?,<i8")
                 yield pa.RecordBatch.from_arrays(
@@ -203,10 +252,10 @@ def read_documents(spark: SparkSession, where: str, doc_ids: list[int]) -> DataF
         for batch in slices(batches, "ids"):
             for s in batch.to_pylist():
                 names = np.frombuffer(s["doc_ids"], dtype="?,<i8")
-                found = np.flatnonzero(names["f0"] & np.isin(names["f1"], wanted)).tolist()
+                found = np.flatnonzero(names["f0"] & np.isin(names["f1"], wanted))
                 ef = EliasFano(s["low_bits"], *(np.frombuffer(s[k], t) for k, t in (("low", np.uint8), ("high", np.uint8), ("marks", np.uint32))))
                 ids = np.frombuffer(s["ids"], f"<u{s['width']}")
-                own = [ids[ef.select(i) : ef.select(i + 1)].astype("<u4") for i in found]
+                own = [ids[a:b].astype("<u4") for a, b in zip(ef.select(found), ef.select(found + 1), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(names["f1"][found], pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     shards = spark.read.schema(SHARD).parquet(where)
