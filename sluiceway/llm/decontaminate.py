@@ -4,17 +4,19 @@ Texts are cut into passages of ``span`` words (runs of letters and digits, lower
 by Unicode's rules before they are hashed).
 A first pass over all documents counts in how many passages each hashed term stands and, for a
 fixed random matrix R, sums T'TR over all passages (T: term counts); both are sums over rows,
-so every task adds up its own and two small aggregations add up the tasks. Weighted by inverse
-document frequency and orthonormalised this is the range of a randomised singular value
-decomposition of the corpus' TF-IDF matrix: ``rank`` right singular directions.
-
-A second pass projects overlapping passages of every document on these directions and compares
-them with the benchmark's by cosine; a random projection of the same TF-IDF vectors, compared
-likewise, drops candidates that share a topic alone. Candidates that also share enough of the rarer terms are
-aligned: the longest common subsequence of the item with the surrounding words must cover
-``covered`` of the item, or ``partly`` of it if the item's last words (its answer) stand there
-in a row. Word order counts, so passages that merely use the same words are left alone, while
-changed, added and dropped words are tolerated.
+so every task adds up its own and two small aggregations add up the tasks. From these sums alone
+follows a randomised singular value decomposition of the corpus' TF-IDF matrix A: with A'A's
+product with a random matrix known, the small matrix of products among the random columns gives
+A'A's leading eigenvectors and values (Nystroem's form of the randomised decomposition), which
+are A's right singular vectors and squared singular values. The ``rank`` leading ones are kept;
+``extra`` more columns only steady them.
+
+A second pass projects overlapping passages of every document on these directions and on random
+ones, which drop pairs that share a topic alone; pairs that both cosines let through and that
+share enough of the rarer terms are aligned: the longest common subsequence of the item with the
+surrounding words must cover ``covered`` of the item, or ``partly`` of it if the item's last
+words (its answer) stand there in a row. Word order counts, so passages that merely use the same
+words are left alone, while changed, added and dropped words are tolerated.
 
 Cosines are low where an item is much shorter than a passage, so two more paths find
 candidates by words alone, without a threshold. An item's last words (the whole of a short
@@ -24,11 +26,12 @@ at least ``k`` of any n - c + k of them; the n - c + k rarest are looked up, and
 stand within a run of n + min(n, span) words, the item is aligned. Whatever covers an item
 within such a run is found.
 
-The benchmark is sent to the workers, after a check of its size (``most_items``); documents are
+The benchmark is sent to the workers in parts of at most ``part_bytes`` of text, one pass over the
+documents for each part (one in all for any common benchmark); documents are
 read twice and never shuffled. Edge cases: null and empty texts are clean; null or empty items
 match nothing; items of fewer than ``least_words`` words are only matched in whole; an empty
 benchmark leaves every document clean. Rows with a null id are judged as any other; rows that
-share an id are judged one by one. Only the id and text columns are read.
+share an id are judged one by one; of items that are covered alike the smallest id counts. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.llm import words as W
-from sluiceway.llm.shared import slices
+from sluiceway.llm.shared import Scratch, slices
 
 _U = np.uint64
 BITS, CHUNK = 13, 256
@@ -58,10 +61,12 @@ _PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 32
 
 
 class Corpus(NamedTuple):
-    """idf of each term, and the directions weighted by it (terms x rank)."""
+    """idf of each term, the directions weighted by it (terms x rank, then random ones), and the
+    singular values of the former."""
 
     idf: np.ndarray
     directions: np.ndarray
+    values: np.ndarray
 
 
 class Keys(NamedTuple):
@@ -142,7 +147,8 @@ class Items(NamedTuple):
     owner: np.ndarray
     vector: np.ndarray
     random: np.ndarray
-    member: np.ndarray
+    held: np.ndarray  # passage * TERMS + term, sorted: the terms of each passage
+    mass: np.ndarray
 
 
 def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -154,32 +160,50 @@ def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def term(h: np.ndarray) -> np.ndarray:
-    return (h >> _U(64 - BITS)).astype(np.int32)
+    return (h >> _U(64 - BITS)).astype(np.uint16)
 
 
 def _test_matrix(rank: int) -> np.ndarray:
     return np.random.default_rng(11).standard_normal((TERMS, rank), np.float32)
 
 
-def fit(docs: DataFrame, *, span: int = 24, rank: int = 48, text_col: str = "text") -> Corpus:
+def decomposed(product: np.ndarray, random: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leading eigenvectors of a positive semi-definite C and the roots of their values, from
+    product = C @ random."""
+    shift = np.finfo(float).eps * max(np.linalg.norm(product), 1e-300)
+    shifted = product + shift * random
+    small = random.T @ shifted
+    value, vector = np.linalg.eigh((small + small.T) / 2)
+    fine = value > value.max(initial=0) * 1e-12
+    left, root, _ = np.linalg.svd(shifted @ (vector[:, fine] / np.sqrt(value[fine])), full_matrices=False)
+    return left[:, :rank], np.sqrt(np.maximum(root[:rank] ** 2 - shift, 0))
+
+
+def sums_of(t: np.ndarray, first: np.ndarray, span: int, random: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Passages, in how many of them each term stands, and rows of T'TR with their terms."""
+    sums = _step_sums(t, first, span, random)
+    doc_steps = -(-np.diff(first) // span)
+    begin = np.repeat(np.cumsum(doc_steps) - doc_steps, np.diff(first))
+    passage = begin + (np.arange(len(t)) - np.repeat(first[:-1], np.diff(first))) // span
+    order = np.argsort(t, kind="stable")  # 16-bit terms: a radix sort
+    term_at, passage_at = t[order], passage[order]
+    new = np.r_[True, term_at[1:] != term_at[:-1]]
+    distinct = new | np.r_[True, passage_at[1:] != passage_at[:-1]]
+    at = np.flatnonzero(new)
+    return len(sums), np.bincount(term_at[distinct], minlength=TERMS), term_at[at].astype(np.int64), np.add.reduceat(sums[passage_at], at)
+
+
+def fit(docs: DataFrame, *, span: int = 24, rank: int = 40, extra: int = 8, text_col: str = "text") -> Corpus:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random = _test_matrix(rank)
-        seen, product, n = np.zeros(TERMS, np.int64), np.zeros((TERMS, rank), np.float64), 0
-        for batch in slices(batches, limit=1 << 20):
+        random = _test_matrix(rank + extra)
+        seen, product, n = np.zeros(TERMS, np.int64), np.zeros((TERMS, rank + extra), np.float64), 0
+        for batch in slices(batches):
             h, first = plain_words(batch["text"])
-            if not len(h):
-                continue
-            t = term(h)
-            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            inner = (np.arange(len(t)) - first[:-1][doc]) // span
-            begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (inner[1:] != inner[:-1])])
-            passage = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(t))))
-            seen += np.bincount(np.unique(passage.astype(np.int64) * TERMS + t) % TERMS, minlength=TERMS)
-            n += len(begin)
-            projected = np.add.reduceat(random[t], begin)
-            order = np.argsort(t, kind="stable")
-            at = np.flatnonzero(np.r_[True, np.diff(t[order]) != 0])
-            product[t[order[at]]] += np.add.reduceat(projected[passage[order]], at)
+            if len(h):
+                passages, own, terms, part = sums_of(term(h), first, span, random)
+                n += passages
+                seen += own
+                product[terms] += part
         part = TaskContext.get().partitionId()
         parts = range(0, TERMS, CHUNK)
         yield pa.RecordBatch.from_arrays(
@@ -196,15 +220,37 @@ def fit(docs: DataFrame, *, span: int = 24, rank: int = 48, text_col: str = "tex
 
     sums = docs.select(F.lower(text_col).alias("text")).filter("text is not null").mapInArrow(rows, schema)
     got = sums.groupBy("salt", "chunk").applyInPandas(added, schema).groupBy("chunk").applyInPandas(added, schema).collect()  # TERMS / CHUNK rows
-    seen, product, n = np.zeros(TERMS), np.zeros((TERMS, rank)), 0
+    seen, product, n = np.zeros(TERMS), np.zeros((TERMS, rank + extra)), 0
     for r in got:
         seen[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["seen"], np.int64)
-        product[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["product"]).reshape(CHUNK, rank)
+        product[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["product"]).reshape(CHUNK, -1)
         n = r["n"]
+    return corpus_of(seen, product, n, rank)
+
+
+def corpus_of(seen: np.ndarray, product: np.ndarray, n: int, rank: int) -> Corpus:
+    """A = T diag(idf): A'A times R / idf is idf times T'TR."""
     idf = np.log((n + 1) / (seen + 1)) + 0.1
-    basis, _ = np.linalg.qr(idf[:, None] * product)
+    directions, values = decomposed(idf[:, None] * product, _test_matrix(product.shape[1]) / idf[:, None], rank)
     spread = np.random.default_rng(12).standard_normal((TERMS, RANDOM))
-    return Corpus(idf.astype(np.float32), (idf[:, None] * np.hstack([basis, spread])).astype(np.float32))
+    return Corpus(idf.astype(np.float32), (idf[:, None] * np.hstack([directions, spread])).astype(np.float32), values)
+
+
+def _step_sums(t: np.ndarray, first: np.ndarray, step: int, table: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows of each run of ``step`` words of a document (the last is shorter)."""
+    n = np.diff(first)
+    count = -(-n // step)
+    doc = np.repeat(np.arange(len(n)), count)
+    begin = first[:-1][doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count))
+    size = np.minimum(first[1:][doc] - begin, step)
+    out = table[t[begin]] if len(begin) else np.zeros((0, table.shape[1]), table.dtype)
+    for k in range(1, step):
+        whole = size > k
+        if whole.all():
+            out += table[t[begin + k]]
+        else:
+            out[whole] += table[t[begin[whole] + k]]
+    return out
 
 
 def _spans(first: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,9 +271,10 @@ def _projected(t: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndar
     """Passages on the latent directions and on random ones, each as unit vectors: sums of
     steps, two for a passage."""
     n = np.diff(first)
-    doc = np.repeat(np.arange(len(n)), -(-n // step))
-    edge = first[:-1][doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(-(-n // step)) - -(-n // step), -(-n // step)))
-    sums = np.add.reduceat(corpus.directions[t], edge)
+    count = -(-n // step)
+    doc = np.repeat(np.arange(len(n)), count)
+    edge = first[:-1][doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count))
+    sums = _step_sums(t, first, step, corpus.directions)
     sums = np.vstack([sums, np.zeros((1, sums.shape[1]), np.float32)])
     at = np.searchsorted(edge, begin)
     v = sums[at] + sums[np.where(end - begin > step, at + 1, len(edge))]
@@ -235,10 +282,10 @@ def _projected(t: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndar
     return _unit(v[:, :latent]), _unit(v[:, latent:])
 
 
-def items(benchmark: DataFrame, corpus: Corpus, *, span: int = 24, step: int = 6, most_items: int = 200_000, id_col: str = "item_id", text_col: str = "text") -> Items:
-    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("text")).filter("text is not null").limit(most_items + 1).collect()
-    if len(rows) > most_items:
-        raise ValueError(f"more than {most_items} benchmark items")
+def items(benchmark: DataFrame, corpus: Corpus, *, span: int = 24, step: int = 6, id_col: str = "item_id", text_col: str = "text") -> Items:
+    """The rows of a benchmark (of one part of it, which the caller bounds), ready to send."""
+    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("text")).filter("text is not null").collect()
+    rows.sort(key=lambda r: (r["id"] is None, r["id"], r["text"]))
     h, first = plain_words(pa.array([r["text"] for r in rows], pa.string()))
     t = term(h)
     whole = [h[first[i] : first[i + 1]] for i in range(len(rows))]
@@ -248,12 +295,14 @@ def items(benchmark: DataFrame, corpus: Corpus, *, span: int = 24, step: int = 6
     k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     begin = first[:-1][doc] + np.minimum(k * step, np.maximum(0, n[doc] - span))
     end = np.minimum(begin + span, first[1:][doc])
-    member, vector = np.zeros((len(doc), TERMS), bool), np.zeros((len(doc), corpus.directions.shape[1]), np.float32)
+    held, vector = [np.zeros(0, np.int64)], np.zeros((len(doc), corpus.directions.shape[1]), np.float32)
     for i, (a, b) in enumerate(zip(begin, end, strict=True)):
-        member[i, t[a:b]] = True
+        held.append(i * TERMS + np.unique(t[a:b]).astype(np.int64))
         vector[i] = corpus.directions[t[a:b]].sum(0)
+    every = np.concatenate(held)
+    mass = np.bincount(every // TERMS, corpus.idf[every % TERMS], minlength=len(doc))
     latent = vector.shape[1] - RANDOM
-    return Items([r["id"] for r in rows], whole, doc, _unit(vector[:, :latent]), _unit(vector[:, latent:]), member)
+    return Items([r["id"] for r in rows], whole, doc, _unit(vector[:, :latent]), _unit(vector[:, latent:]), every, mass)
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -284,50 +333,75 @@ def matches(item: np.ndarray, around: np.ndarray, covered: float, partly: float,
     return 0.0
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, span: int = 24, rank: int = 48, cosine: float = 0.5, spread: float = 0.3, shared: float = 0.4, covered: float = 0.7, partly: float = 0.5, answer: int = 4, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, contaminated, item_id (the best covered item, or null), coverage."""
+def _parts(benchmark: DataFrame, text_col: str, part_bytes: int) -> int:
+    size = benchmark.agg(F.sum(F.octet_length(text_col).cast("long")).alias("n")).first()["n"] or 0
+    return max(1, -(-size // part_bytes))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, span: int = 24, rank: int = 40, cosine: float = 0.5, spread: float = 0.3, shared: float = 0.4, covered: float = 0.7, partly: float = 0.5, answer: int = 4, least_words: int = 8, part_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, contaminated, item_id (the best covered item, or null), coverage, and the columns
+    of docs named in ``carry``."""
     spark, step = docs.sparkSession, span // 2
     corpus = fit(docs, span=span, rank=rank, text_col=text_col)
-    bench = items(benchmark, corpus, span=span)
-    complete = Complete.of(bench.words, corpus, span=span, covered=covered, answer=answer, least_words=least_words)
-    sent = spark.sparkContext.broadcast((corpus, bench, complete))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus, bench, complete = sent.value
-        mass = bench.member @ corpus.idf
-        for batch in slices(batches, limit=1 << 20):
-            best = [(0.0, None)] * batch.num_rows
-            h, first = plain_words(batch["text"])
-            if len(h) and len(bench.owner):
-                t = term(h)
-                doc, begin, end = _spans(first, step)
-                (vector, random), weight = _projected(t, first, begin, end, step, corpus), corpus.idf[t]
-                tried: set[tuple[int, int, int, int]] = set()
-
-                def judge(d: int, item: int, a: int, b: int) -> None:
-                    if best[d][0] < 1 and (d, item, a, b) not in tried:
-                        tried.add((d, item, a, b))
-                        share = matches(bench.words[item], h[a:b], covered, partly, answer, least_words)
-                        if share > best[d][0]:
-                            best[d] = share, bench.ids[item]
-
-                for candidate in complete.candidates(h, first, bench.words, span):
-                    judge(*candidate)
-                for at in range(0, len(doc), 4096):
-                    passage, which = np.nonzero((random[at : at + 4096] @ bench.random.T >= spread) & (vector[at : at + 4096] @ bench.vector.T >= cosine))
-                    passage += at
-                    for k in range(0, len(passage), 200_000):
-                        p, w = passage[k : k + 200_000], which[k : k + 200_000]
-                        place = np.minimum(begin[p][:, None] + np.arange(span), end[p][:, None] - 1)
-                        inside = begin[p][:, None] + np.arange(span) < end[p][:, None]
-                        heavy = weight[place] * inside
-                        part = (heavy * bench.member[w[:, None], t[place]]).sum(1)
-                        own = np.minimum(heavy.sum(1), mass[w])
-                        for i in np.flatnonzero(part >= shared * own):
-                            d, item = int(doc[p[i]]), int(bench.owner[w[i]])
-                            n = len(bench.words[item])
-                            judge(d, item, int(max(first[d], begin[p[i]] - n)), int(min(first[d + 1], end[p[i]] + n)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s > 0 for s, _ in best]), pa.array([i for _, i in best], pa.int64()), pa.array([s for s, _ in best], pa.float64())], ["doc_id", "contaminated", "item_id", "coverage"])
-
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_col).alias("text"))
-    return own.mapInArrow(rows, "doc_id long, contaminated boolean, item_id long, coverage double")
+    def judged(source: DataFrame, some: DataFrame) -> DataFrame:
+        bench = items(some, corpus, span=span)
+        complete = Complete.of(bench.words, corpus, span=span, covered=covered, answer=answer, least_words=least_words)
+        sent = spark.sparkContext.broadcast((corpus, bench, complete))
+
+        def better(share: float, item: int | None, than: tuple[float, int | None]) -> bool:
+            return share > than[0] or 0 < share == than[0] and item is not None and (than[1] is None or item < than[1])
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            corpus, bench, complete = sent.value
+            for batch in slices(batches, "_lower"):
+                best = list(zip(batch["coverage"].to_pylist(), batch["item_id"].to_pylist(), strict=True))
+                h, first = plain_words(batch["_lower"])
+                if len(h) and len(bench.owner):
+                    t = term(h)
+                    doc, begin, end = _spans(first, step)
+                    (vector, random), weight = _projected(t, first, begin, end, step, corpus), corpus.idf[t]
+                    tried: set[tuple[int, int, int, int]] = set()
+
+                    def judge(d: int, item: int, a: int, b: int) -> None:
+                        if better(1.0, bench.ids[item], best[d]) and (d, item, a, b) not in tried:
+                            tried.add((d, item, a, b))
+                            share = matches(bench.words[item], h[a:b], covered, partly, answer, least_words)
+                            if better(share, bench.ids[item], best[d]):
+                                best[d] = share, bench.ids[item]
+
+                    for candidate in complete.candidates(h, first, bench.words, span):
+                        judge(*candidate)
+                    wide = max(1, (1 << 22) // len(bench.owner))
+                    for at in range(0, len(doc), wide):
+                        near = np.flatnonzero((random[at : at + wide] @ bench.random.T).ravel() >= spread)
+                        passage, which = at + near // len(bench.owner), near % len(bench.owner)
+                        for k in range(0, len(passage), 100_000):
+                            p, w = passage[k : k + 100_000], which[k : k + 100_000]
+                            alike = np.einsum("ij,ij->i", vector[p], bench.vector[w]) >= cosine
+                            p, w = p[alike], w[alike]
+                            place = np.minimum(begin[p][:, None] + np.arange(span), end[p][:, None] - 1)
+                            inside = begin[p][:, None] + np.arange(span) < end[p][:, None]
+                            heavy = weight[place] * inside
+                            key = w[:, None] * TERMS + t[place]
+                            found = bench.held[np.minimum(np.searchsorted(bench.held, key), len(bench.held) - 1)] == key
+                            own = np.minimum(heavy.sum(1), bench.mass[w])
+                            for i in np.flatnonzero((heavy * found).sum(1) >= shared * own):
+                                d, item = int(doc[p[i]]), int(bench.owner[w[i]])
+                                n = len(bench.words[item])
+                                judge(d, item, int(max(first[d], begin[p[i]] - n)), int(min(first[d + 1], end[p[i]] + n)))
+                columns = {c: batch[c] for c in batch.schema.names} | {"coverage": pa.array([s for s, _ in best], pa.float64()), "item_id": pa.array([i for _, i in best], pa.int64())}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+        return source.mapInArrow(rows, source.schema)
+
+    kept = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry or [])]
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_col).alias("_lower"), F.lit(0.0).alias("coverage"), F.lit(None).cast("long").alias("item_id"), *kept)
+    parts = _parts(benchmark, "text", part_bytes)
+    work = Scratch(spark, "leaks")
+    for part in range(parts):
+        some = benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part) if parts > 1 else benchmark
+        out = judged(out, some)
+        if part < parts - 1:
+            out = work.cut(out, f"part{part}")
+    return out.select("doc_id", (F.col("coverage") > 0).alias("contaminated"), "item_id", "coverage", *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry or [])))
