@@ -10,7 +10,8 @@ what adding it can gain; languages that can't make up for the penalty are not tr
 its proportion is the score.
 
 The model is a table of languages x 2^14 buckets, whatever the corpus' size; it is broadcast
-after a check of that size. All documents of a slice are handled as one sparse array.
+after a check that there are no more languages than could be. Documents are handled as sparse
+arrays, as many at a time as keep languages x features within a bound.
 
 Edge cases: null texts and texts without a letter give ``und`` with score 0; so does every
 text when nothing could be learned. Rows with a null id are predicted and count as held out
@@ -32,8 +33,10 @@ from sluiceway.llm.shared import fold, slices
 from sluiceway.llm.words import buffer_of
 
 BUCKETS = 1 << 14
-#: Most languages a model may have; beyond it the broadcast would not be small.
-MOST_LANGUAGES = 2000
+#: Most languages a model may have: twice the codes of ISO 639-3, at 64 KB each.
+MOST_LANGUAGES = 16_384
+#: Numbers in a table of languages x features.
+CELLS = 1 << 21
 _letter = regex.compile(r"\p{L}").search
 
 _CLASS = np.full(256, 32, np.uint8)
@@ -46,21 +49,34 @@ class Model(NamedTuple):
     log_p: np.ndarray
 
 
-def trigram_counts(texts: pa.Array) -> list[np.ndarray]:
-    """Bucket counts of each document's byte trigrams with at most one non-letter."""
+def trigram_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, bucket and count of the byte trigrams with at most one non-letter, in order of
+    document and bucket; memory is bounded by the text's bytes."""
     buf, offs = buffer_of(texts)
     c = _CLASS[buf]
     if len(c) < 3:
-        return [np.zeros(BUCKETS, np.int64) for _ in range(len(texts))]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     code = c[:-2].astype(np.uint32) << 16 | c[1:-1].astype(np.uint32) << 8 | c[2:]
-    bucket = ((code * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int32)
+    bucket = ((code * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int64)
     blank = c == 32
     good = (blank[:-2].astype(np.int8) + blank[1:-1] + blank[2:]) < 2
-    out = []
-    for a, b in zip(offs[:-1], offs[1:], strict=True):
-        end = max(a, b - 2)
-        out.append(np.bincount(bucket[a:end][good[a:end]], minlength=BUCKETS))
-    return out
+    size = np.diff(offs)
+    doc = np.repeat(np.arange(len(size)), size)[:-2]
+    good &= np.arange(len(doc)) + 2 < offs[1:][doc]
+    key = doc[good] * BUCKETS + bucket[good]
+    edges = np.searchsorted(key // BUCKETS, np.arange(0, len(size) + 32, 32))
+    found, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if b - a < 8 * BUCKETS:  # few: sorting them is cheaper than a table of all buckets
+            at, n = np.unique(key[a:b], return_counts=True)
+        else:
+            table = np.bincount(key[a:b] - 32 * k * BUCKETS)
+            at = np.flatnonzero(table)
+            n, at = table[at], at + 32 * k * BUCKETS
+        found.append(at)
+        many.append(n)
+    at = np.concatenate(found)
+    return at // BUCKETS, at % BUCKETS, np.concatenate(many)
 
 
 def learn(docs: DataFrame, *, smoothing: float = 0.5, held_parts: int = 4, held_part: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -68,15 +84,22 @@ def learn(docs: DataFrame, *, smoothing: float = 0.5, held_parts: int = 4, held_
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, counts in sums.items():
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bucket", "n"])
+            sums.clear()
+
         for batch in slices(batches):
-            for lang, counts in zip(batch["lang"].to_pylist(), trigram_counts(batch["text"]), strict=True):
-                if lang in sums:
-                    sums[lang] += counts
-                else:
-                    sums[lang] = counts
-        for lang, counts in sums.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bucket", "n"])
+            doc, bucket, n = trigram_counts(batch["text"])
+            first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            for i, lang in enumerate(batch["lang"].to_pylist()):
+                own = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                own[bucket[first[i] : first[i + 1]]] += n[first[i] : first[i + 1]]
+            if len(sums) > 512:  # partial sums, so that many languages don't add up in a task
+                yield from out()
+        yield from out()
 
     own = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), fold(F.col(id_col), held_parts).alias("part"))
     train = own.filter(f"part <> {held_part} and lang is not null and text is not null").select("text", "lang")
@@ -106,19 +129,32 @@ def _mix(n: np.ndarray, p: np.ndarray, doc: np.ndarray, first: np.ndarray, among
 
 def infer(model: Model, texts: pa.Array, rounds: int = 12) -> tuple[list[str], np.ndarray, list[dict[str, float]]]:
     """Predicted language, its proportion, and the proportions of the selected set."""
-    counts = trigram_counts(texts)
-    live = [i for i, (c, t) in enumerate(zip(counts, texts.to_pylist(), strict=True)) if t and c.any() and _letter(t)]
     names, score, parts = ["und"] * len(texts), np.zeros(len(texts)), [{} for _ in range(len(texts))]
+    doc, bucket, n = trigram_counts(texts)
+    first = np.searchsorted(doc, np.arange(len(texts) + 1))
+    live = []
     for i, t in enumerate(texts.to_pylist()):
-        if model.names and t and not counts[i].any() and _letter(t):
-            names[i], score[i] = model.names[0], 1 / len(model.names)
-    if not live or not model.names:
-        return names, score, parts
-    at = [np.flatnonzero(counts[i]) for i in live]
-    doc = np.repeat(np.arange(len(live)), [len(x) for x in at])
+        if model.names and t and _letter(t):
+            if first[i] < first[i + 1]:
+                live.append(i)
+            else:
+                names[i], score[i] = model.names[0], 1 / len(model.names)
+    most = max(1, CELLS // max(1, len(model.names)))
+    at = 0
+    while at < len(live):
+        size = np.cumsum([first[i + 1] - first[i] for i in live[at : at + most]])
+        some = live[at : at + max(1, int(np.searchsorted(size, most, side="right")))]
+        at += len(some)
+        _infer(model, some, [(bucket[first[i] : first[i + 1]], n[first[i] : first[i + 1]]) for i in some], rounds, names, score, parts)
+    return names, score, parts
+
+
+def _infer(model: Model, live: list[int], counts: list[tuple[np.ndarray, np.ndarray]], rounds: int, names: list[str], score: np.ndarray, parts: list[dict[str, float]]) -> None:
+    """Fills in the documents ``live``; counts: buckets and counts of each."""
+    doc = np.repeat(np.arange(len(live)), [len(x) for x, _ in counts])
     first = np.searchsorted(doc, np.arange(len(live)))
-    n = np.concatenate([counts[i][x] for i, x in zip(live, at, strict=True)]).astype(np.float32)
-    p = np.exp(model.log_p[:, np.concatenate(at)])
+    n = np.concatenate([x for _, x in counts]).astype(np.float32)
+    p = np.exp(model.log_p[:, np.concatenate([x for x, _ in counts])])
     every = np.ones((len(model.names), len(live)), np.float32)
     pi, _ = _mix(n, p, doc, first, every, rounds)
     order = np.argsort(-pi, axis=0, kind="stable")
@@ -152,7 +188,6 @@ def infer(model: Model, texts: pa.Array, rounds: int = 12) -> tuple[list[str], n
     for j, i in enumerate(live):
         names[i], score[i] = model.names[top[j]], min(1.0, float(best_pi[top[j], j]))
         parts[i] = {model.names[x]: float(best_pi[x, j]) for x in np.flatnonzero(best_pi[:, j] > 0)}
-    return names, score, parts
 
 
 def language_id(docs: DataFrame, model: Model, *, held_parts: int = 4, held_part: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +195,7 @@ def language_id(docs: DataFrame, model: Model, *, held_parts: int = 4, held_part
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches):
             names, score, parts = infer(sent.value, batch["text"])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(names, pa.string()), pa.array(score), pa.array([list(x.items()) for x in parts], pa.map_(pa.string(), pa.float64()))], ["doc_id", "held_out", "lang_pred", "score", "proportions"])
 
