@@ -17,7 +17,7 @@ vectors are one entry: they are expanded after the search, with as many of the s
 can be asked for, so thousands of copies of one vector don't crowd a file.
 
 Edge cases: null and zero vectors, and those with null or non-finite components, take no part,
-neither do rows with a null id. With fewer candidates than asked, all are returned. Vectors of
+neither do rows with a null id. Of rows that share an id the least vector counts. With fewer candidates than asked, all are returned. Vectors of
 another length than the most common one take no part. Only the id and vector columns are read.
 """
 
@@ -80,12 +80,12 @@ def nearest(vectors: DataFrame, *, k: int = 20, query_every: int = 20, pivots: i
     sizes = fine.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    fine = fine.filter(F.size("v") == sizes["d"])
+    fine = fine.filter(F.size("v") == sizes["d"]).groupBy("vec_id").agg(F.min("v").alias("v"))
     key = F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256)
     # the smallest k + 1 ids of each distinct vector: no search can return more of them
     slim = fine.select(key.alias("key"), "vec_id", "v")
     first = slim.groupBy("key").agg(F.min("vec_id").alias("class"), F.count(F.lit(1)).alias("copies"))
-    classes = work.cut(slim.join(first, "key").filter("vec_id = class").dropDuplicates(["class"]).select("class", "v", "copies", "key"), "classes")
+    classes = work.cut(slim.join(first, "key").filter("vec_id = class").select("class", "v", "copies", "key"), "classes")
     stats = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).first()
     longest = float(np.sqrt(stats["top"]))
     some = _matrix(classes.orderBy(F.xxhash64("class"), "class").limit(sample).select("v").toPandas()["v"])
@@ -119,7 +119,7 @@ def nearest(vectors: DataFrame, *, k: int = 20, query_every: int = 20, pivots: i
         which, found, score = search(v, q, deep, share, k + 1)
         return pd.DataFrame({"query_id": q["id"][which], "id": v["id"][found], "score": score})
 
-    queries = fine.filter(F.col("vec_id") % query_every == 0).select(F.col("vec_id").alias("id"), "v").dropDuplicates(["id"])
+    queries = fine.filter(F.col("vec_id") % query_every == 0).select(F.col("vec_id").alias("id"), "v")
     n_queries = queries.count()
     if not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

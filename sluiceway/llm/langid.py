@@ -28,6 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, MapType, StringType, StructType
 
 from sluiceway.llm.shared import fold, slices
 from sluiceway.llm.words import buffer_of
@@ -190,15 +191,21 @@ def _infer(model: Model, live: list[int], counts: list[tuple[np.ndarray, np.ndar
         parts[i] = {model.names[x]: float(best_pi[x, j]) for x in np.flatnonzero(best_pi[:, j] > 0)}
 
 
-def language_id(docs: DataFrame, model: Model, *, held_parts: int = 4, held_part: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score, proportions (map of the selected languages)."""
+def language_id(docs: DataFrame, model: Model, *, held_parts: int = 4, held_part: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, proportions (map of the selected languages), and the
+    columns of docs named in ``carry``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry or [])]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             names, score, parts = infer(sent.value, batch["text"])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(names, pa.string()), pa.array(score), pa.array([list(x.items()) for x in parts], pa.map_(pa.string(), pa.float64()))], ["doc_id", "held_out", "lang_pred", "score", "proportions"])
+            found = {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score), "proportions": pa.array([list(x.items()) for x in parts], pa.map_(pa.string(), pa.float64()))}
+            columns = {c: batch[c] for c in batch.schema.names if c != "text"} | found
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     held = F.coalesce(fold(F.col(id_col), held_parts) == held_part, F.lit(True))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    return own.mapInArrow(rows, "doc_id long, held_out boolean, lang_pred string, score double, proportions map<string,double>")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"), *kept)
+    schema = StructType([f for f in own.schema.fields if f.name != "text"]).add("lang_pred", "string").add("score", "double").add("proportions", MapType(StringType(), DoubleType()))
+    out = own.mapInArrow(rows, schema)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "proportions", *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry or [])))

@@ -28,7 +28,7 @@ reaches the threshold; components of linked documents share the smallest id reac
 
 Edge cases: null text has no words. Rows with a null id keep a null component and are kept;
 they link with nothing. Rows that share an id are one node; where their texts differ, the least
-set counts (by size, then hash). Empty tables give empty results.
+text counts. Empty tables give empty results.
 Only the id and text columns are read.
 """
 
@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceway.llm import words as W
-from sluiceway.llm.shared import Scratch, slices
+from sluiceway.llm.shared import Scratch, one_text, slices
 
 _U = np.uint64
 BAND = 2
@@ -135,7 +135,7 @@ def _sets(size: int):
             if not len(full):
                 continue
             packed = [value[first[i] : first[i + 1]].tobytes() for i in full]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(full)), pa.array(np.diff(first)[full].astype(np.int64)), *map(pa.array, _sums(value, first[:-1][full])), pa.array(packed, pa.binary())], ["id", "n", "s1", "s2", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(full)), pa.array(packed, pa.binary())], ["id", "shingles"])
 
     return rows
 
@@ -188,18 +188,17 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, share: int = 80, miss: floa
     """One row per document: doc_id, n_shingles, component_id, kept. share: the similarity in
     hundredths."""
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = one_text(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     work = Scratch(spark, "near")
     m = bands_for(share / 100, miss)
     signed = work.cut(own.filter("doc_id is not null and text is not null").mapInArrow(_signatures(shingle, m), "doc_id long, n_shingles long, s1 long, s2 long, k0 long, k1 long, k2 long, keys array<long>"), "signed")
-    least = F.min(F.struct("n_shingles", "s1", "s2"))
-    single = signed.groupBy("doc_id").agg(least.alias("m")).select("doc_id", "m.*")
+    single = signed.select("doc_id", "n_shingles", "s1", "s2").distinct()
     classes = single.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class"))
     # one more join column than the grouping gives a join an exchange of its own, which adaptive execution splits
     part = F.shiftright("s1", 57).alias("part")
     member = work.cut(single.select("*", part).join(classes.select("*", part), ["n_shingles", "s1", "s2", "part"]).select("doc_id", "n_shingles", "s1", "s2", "class"), "member")
-    # the rows that are left for an id are equal
-    one = signed.join(member.filter("doc_id = class").select("doc_id", "n_shingles", "s1", "s2"), ["doc_id", "n_shingles", "s1", "s2"], "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")
+    # rows of one id are equal by now, so it doesn't matter which of them stays
+    one = signed.join(member.filter("doc_id = class").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")
     spread = one.select("id", F.explode("keys").alias("key"))
     counted = spread.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key", "many", F.shiftright("key", 57).alias("part"))
     shared = work.cut(spread.withColumn("part", F.shiftright("key", 57)).join(counted, ["key", "part"]).select("key", "id", "many"), "shared")
@@ -207,7 +206,7 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, share: int = 80, miss: floa
     bucket = work.cut(shared.select("key", "id").join(central, "id"), "bucket")
     work.drop("signed", "shared")
     texts = own.dropna().join(bucket.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = work.cut(texts.mapInArrow(_sets(shingle), "id long, n long, s1 long, s2 long, shingles binary").groupBy("id").agg(F.min_by("shingles", F.struct("n", "s1", "s2")).alias("shingles")), "sets")
+    sets = work.cut(texts.mapInArrow(_sets(shingle), "id long, shingles binary").dropDuplicates(["id"]), "sets")
     most = allowed(share / 100, min(PLACES, 2 * m * BAND))
 
     def alike(a: str, b: str) -> Column:

@@ -56,6 +56,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def one_text(own: DataFrame) -> DataFrame:
+    """own (doc_id, text and more), where rows of one id that differ in their text are given the
+    least of these texts. Looking for such ids moves ids and hashes only."""
+    seen = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = own.filter("doc_id is not null").groupBy("doc_id").agg(F.min(seen).alias("lo"), F.max(seen).alias("hi")).filter("lo <> hi").select("doc_id")
+    if several.isEmpty():
+        return own
+    least = own.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("_least"))
+    return own.join(least, "doc_id", "left").withColumn("text", F.coalesce("_least", "text")).drop("_least").select(own.columns)
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)

@@ -22,7 +22,8 @@ execution can split, so a passage in a third of all documents meets in no single
 are written to the shared folder; text is joined by id, never collected.
 
 Edge cases: null text has no words. Rows whose id is null are kept whole and not compared.
-Rows that share an id count as one document stored twice: each gets the same result. An empty
+Rows that share an id count as one document stored twice: each gets the same result, and where
+their texts differ, the least text counts. An empty
 table gives an empty result. Only the id and text columns are read, whatever else there is.
 """
 
@@ -35,9 +36,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sluiceway.llm import words as W
-from sluiceway.llm.shared import Scratch, slices
+from sluiceway.llm.shared import Scratch, one_text, slices
 
 _U = np.uint64
 _MOST = _U(0xFFFFFFFFFFFFFFFF)
@@ -193,7 +195,9 @@ def _kept(window: int):
             np.add.at(offsets, doc + 1, size)
             text = pa.Array.from_buffers(pa.string(), len(n), [None, pa.py_buffer(np.cumsum(offsets, dtype=np.int32)), pa.py_buffer(data)])
             left = np.bincount(doc, minlength=len(n))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n.astype(np.int64)), pa.array((n - left).astype(np.int64)), text], ["doc_id", "n_words", "n_removed", "kept_text"])
+            found = {"n_words": pa.array(n.astype(np.int64)), "n_removed": pa.array((n - left).astype(np.int64)), "kept_text": text}
+            columns = {c: batch[c] for c in batch.schema.names if c not in ("text", "gone")} | found
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return rows
 
@@ -206,11 +210,13 @@ def _repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("part", F.shiftright(keys[0], 57)).join(again, [*keys, "part"]).drop("part")
 
 
-def substring_dedup(docs: DataFrame, *, window: int = 20, first_level: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_text (kept words, one space)."""
+def substring_dedup(docs: DataFrame, *, window: int = 20, first_level: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_text (kept words, one space), and
+    the columns of docs named in ``carry``."""
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = own.filter("doc_id is not null and text is not null")
+    kept = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry or [])]
+    own = one_text(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *kept))
+    known = own.filter("doc_id is not null and text is not null").select("doc_id", "text")
     lengths = level_lengths(window, first_level)
     work = Scratch(spark, "substring")
     below, at = None, None
@@ -233,5 +239,8 @@ def substring_dedup(docs: DataFrame, *, window: int = 20, first_level: int = 5,
     single = _repeats(rows, ["a", "b"]).filter("struct(doc_id, start) != first").select("doc_id", "start", F.lit(1).alias("len"))
     gone = work.cut(later.union(single).groupBy("doc_id").agg(F.collect_set(F.struct("start", "len")).alias("gone")), "gone")
     work.drop("windows", "later")
-    return own.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    last = own.join(gone, "doc_id", "left")
+    schema = StructType([f for f in last.schema.fields if f.name not in ("text", "gone")]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    out = last.mapInArrow(_kept(window), schema)
+    return out.select("doc_id", "n_words", "n_removed", "kept_text", *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry or [])))
 
