@@ -1,7 +1,14 @@
 """A corpus pipeline of five stages, each one operator of sluiceway.llm.
 
 Every stage takes the documents its predecessor kept and returns rows with the columns of
-documents; the last returns each document's token ids beside its decoded text.
+documents; the last returns each document's token ids beside its decoded text. Row-wise stages
+carry the documents' columns through their operator, so no text is joined back.
+
+Edge cases: rows with a null id are judged by their own text in the stages language, leaks and
+tokens, and are kept as they are by the two that compare documents. Rows that share an id share
+the decision and, where their texts differ, the least of these in those two stages. Null and
+empty texts go in the first stage (no language). Columns other than those of documents are
+dropped. Empty tables give empty results; an empty benchmark drops nothing.
 """
 
 from __future__ import annotations
@@ -24,28 +31,28 @@ LEAST_SHARE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose main language is clear; ``lang`` becomes the prediction."""
-    found = langid.language_id(docs, langid.learn(docs)).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("doc_id", "lang_pred").dropDuplicates(["doc_id"])
-    return docs.join(found, "doc_id").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    found = langid.language_id(docs, langid.learn(docs), carry=["text", "source", "n_chars"])
+    clear = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    return clear.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near duplicates (five words, 0.8)."""
-    kept = near_dedup(docs, shingle=5, share=80).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    copies = near_dedup(docs, shingle=5, share=80).filter("not kept").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that earlier documents hold; a document of which nothing is left goes."""
-    cut = substring_dedup(docs).dropDuplicates(["doc_id"]).select("doc_id", "n_words", "n_removed", "kept_text")
+    cut = substring_dedup(docs, carry=["text", "lang", "source"]).filter("n_removed = 0 or n_removed < n_words")
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
-    out = docs.join(cut, "doc_id").filter("n_removed = 0 or n_removed < n_words")
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    return cut.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=COLUMNS[1:])
+    return found.filter("not contaminated").select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +63,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("leaks", leaks), ("tokens", tokens)]
 
-#: SQL can't express the language stage, which learns a model; tests hold each stage against brute force.
+#: SQL can't express the language stage, which learns a model; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
