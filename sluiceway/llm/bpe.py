@@ -36,10 +36,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.shared import slices
+from sluiceway.llm.shared import held, slices
 
 #: Fixed value: the pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -260,11 +261,14 @@ class _Known(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def loaded(spec: str) -> tuple[Vocabulary, _Known]:
     """One vocabulary and its cache for each Python worker."""
-    vocabulary = Vocabulary(spec)
-    return vocabulary, _Known(Transducer(vocabulary))
+
+    def build() -> tuple[Vocabulary, _Known]:
+        vocabulary = Vocabulary(spec)
+        return vocabulary, _Known(Transducer(vocabulary))
+
+    return held(("bpe", spec), build)
 
 
 @lru_cache(maxsize=1)
@@ -300,28 +304,49 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def bpe_encode(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit). tokenizer: path of a
-    byte-level BPE file on the driver; its text goes to the workers as a broadcast, whose size
-    the vocabulary bounds."""
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
-
+def _encoded(spec: Broadcast):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, keep=True):
             ids = [encode_text(spec.value, t or "") for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(rows, "doc_id long, n_tokens long, ids binary")
+    return rows
 
 
-def bpe_decode(encoded: DataFrame, *, tokenizer: str) -> DataFrame:
-    """The rows of bpe_encode with their text: doc_id, n_tokens, ids, text."""
-    spec = encoded.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
-
+def _decoded(spec: Broadcast):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ids"):
+        for batch in slices(batches, "ids", keep=True):
             texts = [decode_ids(spec.value, x or b"") for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(rows, "doc_id long, n_tokens long, ids binary, text string")
+    return rows
+
+
+_ENCODED = "doc_id long, n_tokens long, ids binary"
+
+
+def _sent(docs: DataFrame, tokenizer: str) -> Broadcast:
+    """The tokenizer's file as a broadcast, whose size the vocabulary bounds."""
+    return docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
+
+
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def bpe_encode(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit). tokenizer: path of a
+    byte-level BPE file on the driver."""
+    return _own(docs, id_col, text_col).mapInArrow(_encoded(_sent(docs, tokenizer)), _ENCODED)
+
+
+def bpe_decode(encoded: DataFrame, *, tokenizer: str) -> DataFrame:
+    """The rows of bpe_encode with their text: doc_id, n_tokens, ids, text."""
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decoded(_sent(encoded, tokenizer)), f"{_ENCODED}, text string")
+
+
+def bpe_round_trip(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """bpe_decode of bpe_encode in one pass, so that a task needs one Python worker, not two."""
+    spec = _sent(docs, tokenizer)
+    encoded, decoded = _encoded(spec), _decoded(spec)
+    return _own(docs, id_col, text_col).mapInArrow(lambda batches: decoded(encoded(batches)), f"{_ENCODED}, text string")

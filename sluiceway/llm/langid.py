@@ -37,7 +37,7 @@ BUCKETS = 1 << 14
 #: Most languages a model may have: twice the codes of ISO 639-3, at 64 KB each.
 MOST_LANGUAGES = 16_384
 #: Numbers in a table of languages x features.
-CELLS = 1 << 21
+CELLS = 1 << 20
 _letter = regex.compile(r"\p{L}").search
 
 _CLASS = np.full(256, 32, np.uint8)
@@ -195,17 +195,18 @@ def language_id(docs: DataFrame, model: Model, *, held_parts: int = 4, held_part
     """doc_id, held_out, lang_pred, score, proportions (map of the selected languages), and the
     columns of docs named in ``carry``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry or [])]
+    kept = {c: "text" if c == text_col else f"_{i}" for i, c in enumerate(carry or [])}  # the text goes once
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             names, score, parts = infer(sent.value, batch["text"])
             found = {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score), "proportions": pa.array([list(x.items()) for x in parts], pa.map_(pa.string(), pa.float64()))}
-            columns = {c: batch[c] for c in batch.schema.names if c != "text"} | found
+            columns = {c: batch[c] for c in batch.schema.names if c in names_out} | found
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     held = F.coalesce(fold(F.col(id_col), held_parts) == held_part, F.lit(True))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"), *kept)
-    schema = StructType([f for f in own.schema.fields if f.name != "text"]).add("lang_pred", "string").add("score", "double").add("proportions", MapType(StringType(), DoubleType()))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for c, k in kept.items() if k != "text"))
+    names_out = {"doc_id", "held_out", *kept.values()}
+    schema = StructType([f for f in own.schema.fields if f.name in names_out]).add("lang_pred", "string").add("score", "double").add("proportions", MapType(StringType(), DoubleType()))
     out = own.mapInArrow(rows, schema)
-    return out.select("doc_id", "held_out", "lang_pred", "score", "proportions", *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry or [])))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "proportions", *(F.col(k).alias(c) for c, k in kept.items()))

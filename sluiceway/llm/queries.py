@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.llm import langid, quality, toxicity
 from sluiceway.llm.ann import nearest
-from sluiceway.llm.bpe import bpe_decode, bpe_encode
+from sluiceway.llm.bpe import bpe_round_trip
 from sluiceway.llm.decontaminate import decontaminate
 from sluiceway.llm.near_dedup import near_dedup
 from sluiceway.llm.substring_dedup import substring_dedup
@@ -34,8 +34,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary("byte_bpe_50k.json")
-    out = bpe_decode(bpe_encode(_table(spark, sf_dir, "documents"), tokenizer=path), tokenizer=path)
+    out = bpe_round_trip(_table(spark, sf_dir, "documents"), tokenizer=vocabulary("byte_bpe_50k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -72,11 +72,25 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, build: Callable[[], object]) -> object:
+    """What a Python worker keeps from one task to the next: one thing at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, rows: int = SLICE_ROWS, keep: bool = False) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of at most ``rows`` rows and ``limit`` text bytes (one
-    row at least)."""
+    row at least). Without ``keep``, what another operator held in this worker goes first."""
     import numpy as np
 
+    if not keep:
+        _held.clear()
+
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -171,7 +171,7 @@ def _window_rows(window: int):
     return rows
 
 
-def _kept(window: int):
+def _kept(window: int, carried: set[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = W.split(batch["text"])
@@ -196,7 +196,7 @@ def _kept(window: int):
             text = pa.Array.from_buffers(pa.string(), len(n), [None, pa.py_buffer(np.cumsum(offsets, dtype=np.int32)), pa.py_buffer(data)])
             left = np.bincount(doc, minlength=len(n))
             found = {"n_words": pa.array(n.astype(np.int64)), "n_removed": pa.array((n - left).astype(np.int64)), "kept_text": text}
-            columns = {c: batch[c] for c in batch.schema.names if c not in ("text", "gone")} | found
+            columns = {c: batch[c] for c in batch.schema.names if c in carried} | found
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return rows
@@ -214,8 +214,8 @@ def substring_dedup(docs: DataFrame, *, window: int = 20, first_level: int = 5,
     """One row per document: doc_id, n_words, n_removed, kept_text (kept words, one space), and
     the columns of docs named in ``carry``."""
     spark = docs.sparkSession
-    kept = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry or [])]
-    own = one_text(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *kept))
+    kept = {c: "text" if c == text_col else f"_{i}" for i, c in enumerate(carry or [])}  # the text goes once
+    own = one_text(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for c, k in kept.items() if k != "text")))
     known = own.filter("doc_id is not null and text is not null").select("doc_id", "text")
     lengths = level_lengths(window, first_level)
     work = Scratch(spark, "substring")
@@ -240,7 +240,8 @@ def substring_dedup(docs: DataFrame, *, window: int = 20, first_level: int = 5,
     gone = work.cut(later.union(single).groupBy("doc_id").agg(F.collect_set(F.struct("start", "len")).alias("gone")), "gone")
     work.drop("windows", "later")
     last = own.join(gone, "doc_id", "left")
-    schema = StructType([f for f in last.schema.fields if f.name not in ("text", "gone")]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
-    out = last.mapInArrow(_kept(window), schema)
-    return out.select("doc_id", "n_words", "n_removed", "kept_text", *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry or [])))
+    carried = {"doc_id", *kept.values()}
+    schema = StructType([f for f in last.schema.fields if f.name in carried]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    out = last.mapInArrow(_kept(window, carried), schema)
+    return out.select("doc_id", "n_words", "n_removed", "kept_text", *(F.col(k).alias(c) for c, k in kept.items()))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.llm.bpe import Vocabulary, read_spec
-from sluiceway.llm.shared import slices
+from sluiceway.llm.shared import held, slices
 
 _NONE = np.int32(2**31 - 1)
 _U = np.uint64
@@ -140,14 +140,8 @@ class Counter:
         return [n + sum(map(get, own)) for n, own in zip(specials, parts, strict=True)]
 
 
-_counters: dict[str, Counter] = {}
-
-
 def _counter(spec: str) -> Counter:
-    if spec not in _counters:
-        _counters.clear()
-        _counters[spec] = Counter(spec)
-    return _counters[spec]
+    return held(("counts", spec), lambda: Counter(spec))
 
 
 def token_counts(docs: DataFrame, *, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +163,7 @@ def token_counts(docs: DataFrame, *, tokenizer: str, limit: int = 1024, id_col:
             return _counter(spec.value).count(texts)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, keep=True):
             n = np.array(count([t or "" for t in batch["text"].to_pylist()]), np.int64)
             size = pc.cast(pc.fill_null(pc.binary_length(batch["text"]), 0), pa.int64())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], size, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

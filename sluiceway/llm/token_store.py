@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluiceway.llm.bpe import read_spec
-from sluiceway.llm.shared import Scratch, slices
+from sluiceway.llm.shared import Scratch, held, slices
 
 #: Ones between two kept counts in the high bits.
 BLOCK = 512
@@ -163,14 +163,8 @@ class _Pieces(dict):
             self.update((text.encode(), packed[a:b]) for text, a, b in zip(some, edges[:-1], edges[1:], strict=True))
 
 
-_pieces: dict[tuple[str, str], _Pieces] = {}
-
-
 def _known(spec: str, dtype: str) -> _Pieces:
-    if (spec, dtype) not in _pieces:
-        _pieces.clear()
-        _pieces[spec, dtype] = _Pieces(spec, dtype)
-    return _pieces[spec, dtype]
+    return held(("pieces", spec, dtype), lambda: _Pieces(spec, dtype))
 
 
 def encoded(spec: str, dtype: str, texts: list[str]) -> list[bytes]:
@@ -198,7 +192,7 @@ def write_shards(docs: DataFrame, where: str, *, tokenizer: str, end_id: int = 1
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block = TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
+        for batch in slices(batches, keep=True):
             for at in range(0, batch.num_rows, block_docs):
                 some = batch.slice(at, block_docs)
                 ids = [x + tail for x in encoded(spec.value, dtype, [t or "" for t in some["text"].to_pylist()])]
@@ -229,7 +223,7 @@ def read_shards(spark: SparkSession, where: str) -> DataFrame:
     placed = shards.join(before, "part").join(inner, ["part", "block"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ids"):
+        for batch in slices(batches, "ids", keep=True):
             for s in batch.to_pylist():
                 ef = EliasFano(s["low_bits"], *(np.frombuffer(s[k], t) for k, t in (("low", np.uint8), ("high", np.uint8), ("marks", np.uint32))))
                 bound = ef.select(np.arange(s["n_docs"] + 1))
@@ -249,7 +243,7 @@ def read_documents(spark: SparkSession, where: str, doc_ids: list[int]) -> DataF
     wanted = np.array(sorted(set(doc_ids)), np.int64)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ids"):
+        for batch in slices(batches, "ids", keep=True):
             for s in batch.to_pylist():
                 names = np.frombuffer(s["doc_ids"], dtype="?,<i8")
                 found = np.flatnonzero(names["f0"] & np.isin(names["f1"], wanted))
