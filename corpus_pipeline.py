@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.llm import langid
-from sluiceway.llm.bpe import bpe_decode, bpe_encode
+from sluiceway.llm.bpe import bpe_round_trip
 from sluiceway.llm.decontaminate import decontaminate
 from sluiceway.llm.near_dedup import near_dedup
 from sluiceway.llm.queries import vocabulary
@@ -57,8 +57,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and its text as decoded from them."""
-    path = vocabulary("byte_bpe_50k.json")
-    return bpe_decode(bpe_encode(docs, tokenizer=path), tokenizer=path).select("doc_id", "text", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+    return bpe_round_trip(docs, tokenizer=vocabulary("byte_bpe_50k.json")).select("doc_id", "text", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("leaks", leaks), ("tokens", tokens)]
