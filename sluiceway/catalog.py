@@ -86,8 +86,8 @@ def c11_filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_idx, line_idx, 'chan_' || (10000 + h) AS handle FROM ({CANDIDATES}) e WHERE bad = 7")
 def b5_channel_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, CANDIDATES).select("doc_idx", "line_idx", profiles.channel_pointer(F.col("line")).alias("handle"))
-    return found.filter("handle is not null")
+    found = profiles.channel_pointer(table(spark, sf_dir, CANDIDATES).select("doc_idx", "line_idx", "line"), "line")
+    return found.filter("pointer is not null").select("doc_idx", "line_idx", F.col("pointer").alias("handle"))
 
 
 @query(f"SELECT doc_idx, line_idx, material FROM ({_ID}) e")

@@ -17,38 +17,32 @@ def unquote(text: Column, plus: bool = False) -> Column:
     return F.when(text.contains("%") | (text.contains("+") if plus else F.lit(False)), F.coalesce(F.try_url_decode(guarded), text)).otherwise(text)
 
 
-def split_uri(uri: Column) -> dict[str, Column]:
-    """scheme (lower), username, host (lower, null if invalid), port (null if invalid), path,
-    query and fragment (null if there is none)."""
-    netloc = F.regexp_extract(uri, _RFC, 2)
-    userinfo = F.when(F.instr(netloc, "@") > 0, F.regexp_extract(netloc, r"^(.*)@", 1))
-    hostport = F.regexp_replace(netloc, r"^.*@", "")
-    form = r"^(?:\[([^\[\]]*)\]|([^\[\]:]*))(?::[^:\]]*)?$"
-    host = F.lower(F.concat(F.regexp_extract(hostport, form, 1), F.regexp_extract(hostport, form, 2)))
-    number = F.regexp_extract(hostport, r":([0-9]+)$", 1).try_cast("int")
-    return {
-        "scheme": F.lower(F.regexp_extract(uri, _RFC, 1)),
-        "username": F.regexp_extract(userinfo, r"^([^:]*)", 1),
-        "host": F.when(host.rlike(r"^[a-z0-9._:-]+$"), host),
-        "port": F.when(number.between(1, 65535), number),
-        "path": F.regexp_extract(uri, _RFC, 3),
-        "query": F.regexp_extract(uri, _RFC, 4),
-        "fragment": F.when(F.instr(uri, "#") > 0, F.regexp_extract(uri, _RFC, 5)),
-    }
-
-
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """df with more columns, each computed once for a row however often it is used: the
     optimizer doesn't copy expressions through a generator as it does through projections."""
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
+def split_uri(df: DataFrame, uri: Column) -> DataFrame:
+    """df with _scheme (lower), _user, _host (lower, null if invalid), _port (null if invalid) and
+    _query, in steps, so that no piece is taken out twice."""
+    out = computed(df, _uri=uri)
+    out = computed(out, _scheme=F.lower(F.regexp_extract("_uri", _RFC, 1)), _netloc=F.regexp_extract("_uri", _RFC, 2), _query=F.regexp_extract("_uri", _RFC, 4))
+    out = computed(out, _at=F.length("_netloc") - F.length(F.substring_index("_netloc", "@", -1)))
+    out = computed(out, _user=F.when(F.col("_at") > 0, F.substring_index(F.expr("substr(_netloc, 1, _at - 1)"), ":", 1)), _hostport=F.expr("substr(_netloc, _at + 1)"))
+    port = F.regexp_extract("_hostport", r":([0-9]+)$", 1).try_cast("int")
+    plain = F.when(F.col("_hostport").rlike(r"^[^\[\]:]*(?::[^:\]]*)?$"), F.substring_index("_hostport", ":", 1))
+    bracketed = F.regexp_extract("_hostport", r"^\[([^\[\]]*)\](?::[^:\]]*)?$", 1)
+    out = computed(out, _name=F.lower(F.when(F.startswith("_hostport", F.lit("[")), bracketed).otherwise(plain)), _number=port)
+    out = computed(out, _host=F.when(F.col("_name").rlike(r"^[a-z0-9._:-]+$"), F.col("_name")), _port=F.when(F.col("_number").between(1, 65535), F.col("_number")))
+    return out.drop("_uri", "_netloc", "_at", "_hostport", "_name", "_number")
+
+
 def query_entries(query: Column) -> Column:
     """(k, v) of a query's parameters in order: names lower, values decoded and trimmed."""
-    return F.transform(
-        F.filter(F.split(query, "&"), lambda p: p != ""),
-        lambda p: F.struct(F.lower(unquote(F.substring_index(p, "=", 1), True)).alias("k"), F.trim(unquote(F.regexp_extract(p, r"=([\s\S]*)$", 1), True)).alias("v")),
-    )
+    pieces = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(p.alias("p"), F.instr(p, "=").alias("at")))
+    cut = F.transform(pieces, lambda x: F.struct(F.when(x["at"] > 0, F.substring(x["p"], F.lit(1), x["at"] - 1)).otherwise(x["p"]).alias("k"), F.when(x["at"] > 0, F.substring(x["p"], x["at"] + 1, F.length(x["p"]))).otherwise("").alias("v")))
+    return F.transform(cut, lambda x: F.struct(F.lower(unquote(x["k"], True)).alias("k"), F.trim(unquote(x["v"], True)).alias("v")))
 
 
 def query_map(entries: str) -> Column:
@@ -60,9 +54,10 @@ def query_map(entries: str) -> Column:
 
 
 def valid_reality_key(key: Column) -> Column:
-    """Does the key hold 32 bytes of URL-safe base64 (other characters don't count)?"""
-    n = F.length(F.regexp_replace(F.translate(key, "-_", "+/"), r"[^A-Za-z0-9+/]", ""))
-    return F.coalesce(n == 43, F.lit(False))
+    """Does the key hold 32 bytes of URL-safe base64? Other characters don't count, but the
+    padding that is added is that of the whole length, so a stray one can leave it short."""
+    padded = F.concat(F.translate(key, "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.length(key), F.lit(4))))
+    return F.coalesce(F.regexp_replace(padded, r"[^A-Za-z0-9+/=]", "").rlike(r"^[A-Za-z0-9+/]{43}="), F.lit(False))
 
 
 def compact_code(fingerprint: Column) -> Column:
