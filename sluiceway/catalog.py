@@ -279,9 +279,14 @@ def g6_enforce_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.enforce_cap(_merged(spark, sf_dir), 300).select("protocol", "fingerprint")
 
 
-@query(f"SELECT protocol, fingerprint, row_number() OVER (PARTITION BY protocol ORDER BY change = 'added', fingerprint) AS place FROM ({_CAPPED}) m")
+_KIND = "CASE CAST(substr(fingerprint, 3) AS INT) % 2 WHEN 0 THEN 'tls' ELSE 'reality' END AS security, CASE CAST(substr(fingerprint, 3) AS INT) % 5 WHEN 0 THEN 'ws' WHEN 1 THEN 'grpc' ELSE 'tcp' END AS transport"
+
+
+@query(f"SELECT protocol, fingerprint, row_number() OVER (PARTITION BY protocol ORDER BY change = 'added', CASE WHEN change = 'added' THEN security END, CASE WHEN change = 'added' THEN transport END, fingerprint) AS place FROM (SELECT *, {_KIND} FROM ({_CAPPED}) m) k")
 def g7_render_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return publish.render_order(publish.enforce_cap(_merged(spark, sf_dir), 300)).select("protocol", "fingerprint", "place")
+    current = table(spark, sf_dir, f"SELECT *, {_KIND} FROM ({CURRENT}) c")
+    merged = publish.merge_pool(table(spark, sf_dir, POOL), current, NOW)
+    return publish.render_order(publish.enforce_cap(merged, 300)).select("protocol", "fingerprint", "place")
 
 
 @query(f"SELECT protocol, added, refreshed, merged - coalesce(total, 0) AS evicted, coalesce(total, 0) AS total, greatest(coalesce(total, 0) - added, 0) AS carried FROM (SELECT protocol, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'refreshed') AS refreshed, count(*) AS merged FROM ({_MERGED}) m GROUP BY protocol) a LEFT JOIN (SELECT protocol, count(*) AS total FROM ({_CAPPED}) c GROUP BY protocol) b USING (protocol)")
@@ -384,9 +389,18 @@ def b8_page_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.page_posts(posts, F.lit(NOW), 480).select("handle", "page_no", "message_id")
 
 
-@query(f"SELECT handle, min(event_id) AS ordinal, uri FROM (SELECT handle, event_id, regexp_extract(text, '(trojan://[^ ]+)', 1) AS uri FROM ({POSTS}) p WHERE text LIKE '%trojan://%') GROUP BY handle, uri")
+_HREF = "'trojan://h' || CAST(event_id % 5 AS STRING) || '@h.example.org:1'"
+
+
+@query(f"SELECT handle, min(event_id) AS ordinal, uri FROM (SELECT handle, event_id, unnest([u, split_part(u, '?', 1)]) AS uri FROM (SELECT handle, event_id, regexp_extract(text, '(trojan://[^ ]+)', 1) AS u FROM ({POSTS}) p WHERE text LIKE '%trojan://%') UNION ALL SELECT handle, event_id, {_HREF} FROM ({POSTS}) q WHERE event_id % 4 = 0) GROUP BY handle, uri")
 def b9_extract_profile_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract_uris(table(spark, sf_dir, POSTS).withColumn("hrefs", F.array().cast("array<string>")))
+    """The part before '?' is a variant of its own: the path of the text read as a URL."""
+    return extract.extract_uris(table(spark, sf_dir, f"SELECT *, CASE WHEN event_id % 4 = 0 THEN array({_HREF}) END AS hrefs FROM ({POSTS}) p"))
+
+
+@query(f"SELECT handle, min(event_id) AS ordinal, uri FROM (SELECT handle, event_id, unnest(CASE event_id % 4 WHEN 3 THEN ['ttps://example.org/' || CAST(event_id % 3 AS STRING)] ELSE list_concat(regexp_extract_all(text, '[a-z]+://[^ ]+'), [split_part(x, '?', 1) FOR x IN regexp_extract_all(text, '[a-z]+://[^ ]+')]) END) AS uri FROM ({POSTS}) p) GROUP BY handle, uri")
+def b10_extract_generic_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_uris(table(spark, sf_dir, POSTS).withColumn("hrefs", F.array().cast("array<string>")), generic=True)
 
 
 @query(f"SELECT doc_idx, epoch_ms(1700000000000 + doc_idx * 1000)::VARCHAR AS at FROM ({MENTIONS}) m")

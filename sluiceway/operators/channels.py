@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,6 +41,7 @@ class ChannelSettings:
 
 DEFAULTS = ChannelSettings()
 HANDLE_KEY = "sha2(handle, 256)"
+Getter = Callable[[str], Column]
 
 
 def _clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -98,8 +100,8 @@ def run_score(s: ChannelSettings = DEFAULTS) -> Column:
     return F.bround(total / sum(w for w, _ in parts) * 100, 2)
 
 
-def confidence(evidence: Column, s: ChannelSettings = DEFAULTS) -> Column:
-    return F.bround(0.4 * F.least(F.lit(1.0), evidence / max(1, s.min_evidence_runs)) + 0.3 * F.least(F.lit(1.0), F.col("fresh_posts") / max(1, s.min_fresh_posts)) + 0.3 * _share("posts_with_profiles", "fresh_posts"), 4)
+def confidence(evidence: Column, s: ChannelSettings = DEFAULTS, m: Getter = F.col) -> Column:
+    return F.bround(0.4 * F.least(F.lit(1.0), evidence / max(1, s.min_evidence_runs)) + 0.3 * F.least(F.lit(1.0), m("fresh_posts") / max(1, s.min_fresh_posts)) + 0.3 * _share(m("posts_with_profiles"), m("fresh_posts")), 4)
 
 
 def required_score(conf: Column, evidence: Column, previous: Column, run: Column, median: Column, s: ChannelSettings = DEFAULTS) -> Column:
@@ -110,42 +112,65 @@ def required_score(conf: Column, evidence: Column, previous: Column, run: Column
     return F.bround(_clamp(bar, max(0.0, s.approval_score - s.relative_floor), 100.0), 2)
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def next_state(old: Getter, m: Getter, now: Column, s: ChannelSettings = DEFAULTS) -> Column:
+    """A struct of status, reason, score, evidence_runs, confidence and required_score after a
+    run with metrics m; old gives the state before it, all null for an unknown channel."""
+    known, run, median = old("status").isNotNull(), m("run_score"), m("population_median")
+    hours = F.greatest(F.lit(1.0), (F.unix_timestamp(now) - F.unix_timestamp(old("last_evaluated_at"))) / 3600)
+    early = (run >= s.approval_score + s.new_channel_margin) | (F.lit(s.relative_approval) & median.isNotNull() & (run >= F.greatest(F.lit(s.approval_score), median)))
+
+    def judged(x: Column) -> Column:
+        evidence, conf, bar, score = (x[k] for k in ("evidence_runs", "confidence", "required_score", "score"))
+        near = (bar - score <= s.near_threshold_margin) | (known & (score > old("score")))
+        verdict = (
+            F.when(evidence < s.min_evidence_runs, F.when(early, "approved/approved").otherwise("candidate/insufficient_evidence"))
+            .when(m("fresh_posts") < s.min_fresh_posts, "excluded/insufficient_fresh_posts")
+            .when(m("supported_candidates") < s.min_supported_candidates, "excluded/insufficient_candidates")
+            .when(conf < s.minimum_confidence, "watch/insufficient_confidence")
+            .when(score >= bar, "approved/approved")
+            .when(near, "watch/near_threshold")
+            .otherwise("excluded/below_approval_score")
+        )
+        return _with(verdict, lambda v: F.struct(F.substring_index(v, "/", 1).alias("status"), F.substring_index(v, "/", -1).alias("reason"), score.alias("score"), evidence.alias("evidence_runs"), conf.alias("confidence"), bar.alias("required_score")))
+
+    def scored(x: Column) -> Column:
+        keep = _clamp(F.pow(F.lit(0.5), hours / s.history_half_life_hours)) * _clamp(1 - x["confidence"] * 0.5, 0.2, 0.9)
+        fresh = ~known | ((old("status") == "excluded") & (run >= x["required_score"]))
+        return F.when(fresh, run).otherwise(_with(keep, lambda k: F.bround(old("score") * k + run * (1 - k), 2)))
+
+    def barred(x: Column) -> Column:
+        bar = required_score(x["confidence"], x["evidence_runs"], old("score"), run, median, s)
+        return _with(F.struct(x["evidence_runs"].alias("evidence_runs"), x["confidence"].alias("confidence"), bar.alias("required_score")), lambda y: judged_with(y, scored(y)))
+
+    def judged_with(x: Column, score: Column) -> Column:
+        return _with(F.struct(*(x[k].alias(k) for k in ("evidence_runs", "confidence", "required_score")), score.alias("score")), judged)
+
+    count = F.coalesce(old("evidence_runs"), F.lit(0)) + 1
+    return _with(count, lambda n: _with(F.struct(n.alias("evidence_runs"), confidence(n, s, m).alias("confidence")), barred))
+
+
 def evaluate_channels(metrics: DataFrame, state: DataFrame, now: Column, s: ChannelSettings = DEFAULTS) -> DataFrame:
     """metrics with run_score and population_median, left-joined with the state, to the new
     state rows. A channel whose preview is unavailable keeps its old row."""
     old = state.select(*(F.col(c).alias(f"old_{c}") if c != "key" else F.col(c) for c in state.columns))
     d = metrics.withColumn("key", F.expr(HANDLE_KEY)).join(old, "key", "left")
-    known = F.col("old_status").isNotNull()
-    d = d.withColumn("evidence_runs", F.coalesce("old_evidence_runs", F.lit(0)) + 1).withColumn("confidence", confidence(F.col("evidence_runs"), s))
-    run, conf, median = F.col("run_score"), F.col("confidence"), F.col("population_median")
-    d = d.withColumn("required_score", required_score(conf, F.col("evidence_runs"), F.col("old_score"), run, median, s))
-    hours = F.greatest(F.lit(1.0), (F.unix_timestamp(now) - F.unix_timestamp("old_last_evaluated_at")) / 3600)
-    keep = _clamp(F.pow(F.lit(0.5), hours / s.history_half_life_hours)) * _clamp(1 - conf * 0.5, 0.2, 0.9)
-    fresh = ~known | ((F.col("old_status") == "excluded") & (run >= F.col("required_score")))
-    d = d.withColumn("score", F.when(fresh, run).otherwise(F.bround(F.col("old_score") * keep + run * (1 - keep), 2)))
-    early = (run >= s.approval_score + s.new_channel_margin) | (F.lit(s.relative_approval) & median.isNotNull() & (run >= F.greatest(F.lit(s.approval_score), median)))
-    near = (F.col("required_score") - F.col("score") <= s.near_threshold_margin) | (known & (F.col("score") > F.col("old_score")))
-    ladder = (
-        F.when(F.col("evidence_runs") < s.min_evidence_runs, F.when(early, "approved/approved").otherwise("candidate/insufficient_evidence"))
-        .when(F.col("fresh_posts") < s.min_fresh_posts, "excluded/insufficient_fresh_posts")
-        .when(F.col("supported_candidates") < s.min_supported_candidates, "excluded/insufficient_candidates")
-        .when(conf < s.minimum_confidence, "watch/insufficient_confidence")
-        .when(F.col("score") >= F.col("required_score"), "approved/approved")
-        .when(near, "watch/near_threshold")
-        .otherwise("excluded/below_approval_score")
-    )
-    carried = known & ~F.col("preview_available")
-    d = d.withColumn("_ladder", ladder)
-    pick = lambda name, new: F.when(carried, F.col(f"old_{name}")).otherwise(new).alias(name)
+    d = d.withColumn("_new", next_state(lambda c: F.col(f"old_{c}"), F.col, now, s))
+    carried = F.col("old_status").isNotNull() & ~F.col("preview_available")
+    pick = lambda name: F.when(carried, F.col(f"old_{name}")).otherwise(F.col(f"_new.{name}")).alias(name)
     return d.select(
         "handle",
         "key",
-        pick("status", F.substring_index("_ladder", "/", 1)),
-        pick("score", F.col("score")),
-        F.when(carried, "preview_unavailable").otherwise(F.substring_index("_ladder", "/", -1)).alias("reason"),
-        pick("evidence_runs", F.col("evidence_runs")),
-        pick("confidence", F.col("confidence")),
-        pick("required_score", F.col("required_score")),
+        pick("status"),
+        pick("score"),
+        F.when(carried, "preview_unavailable").otherwise(F.col("_new.reason")).alias("reason"),
+        pick("evidence_runs"),
+        pick("confidence"),
+        pick("required_score"),
         F.coalesce("old_first_seen_at", now).alias("first_seen_at"),
         now.alias("last_evaluated_at"),
     )
@@ -178,47 +203,18 @@ def retained_registry(discovered: DataFrame, pending: DataFrame, evaluated: Data
 def fold_channel_runs(runs: DataFrame, s: ChannelSettings = DEFAULTS) -> DataFrame:
     """Many runs in order: runs(run, handle, observed_at, metrics, run_score, population_median)
     to the evaluation of each. The state of one run feeds the channel's next; channels are
-    independent, since run medians are known before, so each folds by itself over its own few
-    runs."""
-    import pandas as pd
-
-    def clamp(x: float, low: float = 0.0, high: float = 1.0) -> float:
-        return max(low, min(high, x))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        old, out = None, []
-        for r in rows.sort_values("run").itertuples():
-            evidence = (old["evidence_runs"] if old else 0) + 1
-            coverage = r.posts_with_profiles / max(1, r.fresh_posts)
-            conf = round(0.4 * min(1, evidence / max(1, s.min_evidence_runs)) + 0.3 * min(1, r.fresh_posts / max(1, s.min_fresh_posts)) + 0.3 * coverage, 4)
-            bar = s.approval_score + (1 - conf) * s.new_channel_margin - min(s.discount_floor, s.evidence_discount * max(0, evidence - s.min_evidence_runs))
-            bar -= clamp(r.run_score - old["score"], 0.0, s.momentum_cap) if old else 0.0
-            median = None if pd.isna(r.population_median) else r.population_median
-            if s.relative_approval and median is not None and r.run_score >= median:
-                bar = min(bar, median)
-            bar = round(clamp(bar, max(0.0, s.approval_score - s.relative_floor), 100.0), 2)
-            score = r.run_score
-            if old and not (old["status"] == "excluded" and r.run_score >= bar):
-                hours = max(1.0, (r.observed_at - old["at"]).total_seconds() / 3600)
-                keep = clamp(0.5 ** (hours / s.history_half_life_hours)) * clamp(1 - conf * 0.5, 0.2, 0.9)
-                score = round(old["score"] * keep + r.run_score * (1 - keep), 2)
-            if evidence < s.min_evidence_runs:
-                early = r.run_score >= s.approval_score + s.new_channel_margin or (s.relative_approval and median is not None and r.run_score >= max(s.approval_score, median))
-                status, reason = ("approved", "approved") if early else ("candidate", "insufficient_evidence")
-            elif r.fresh_posts < s.min_fresh_posts:
-                status, reason = "excluded", "insufficient_fresh_posts"
-            elif r.supported_candidates < s.min_supported_candidates:
-                status, reason = "excluded", "insufficient_candidates"
-            elif conf < s.minimum_confidence:
-                status, reason = "watch", "insufficient_confidence"
-            elif score >= bar:
-                status, reason = "approved", "approved"
-            elif bar - score <= s.near_threshold_margin or (old and score > old["score"]):
-                status, reason = "watch", "near_threshold"
-            else:
-                status, reason = "excluded", "below_approval_score"
-            old = {"status": status, "score": score, "evidence_runs": evidence, "at": r.observed_at}
-            out.append((r.handle, r.run, status, score, reason, evidence, conf, bar))
-        return pd.DataFrame(out, columns=["handle", "run", "status", "score", "reason", "evidence_runs", "confidence", "required_score"])
-
-    return runs.groupBy("handle").applyInPandas(fold, "handle string, run long, status string, score double, reason string, evidence_runs int, confidence double, required_score double")
+    independent, since run medians are known before, so each folds ``next_state`` over its own
+    runs in their order."""
+    needed = ["run", "observed_at", "fresh_posts", "posts_with_profiles", "supported_candidates", "run_score", "population_median"]
+    step = "struct<run: bigint, at: timestamp, status: string, reason: string, score: double, evidence_runs: int, confidence: double, required_score: double>"
+
+    def folded(done: Column, r: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        old = lambda c: last["at" if c == "last_evaluated_at" else c]
+        new = next_state(old, lambda c: r[c], r["observed_at"], s)
+        row = _with(new, lambda x: F.struct(r["run"].cast("bigint").alias("run"), r["observed_at"].alias("at"), *(x[c].alias(c) for c in ("status", "reason", "score", "evidence_runs", "confidence", "required_score"))).cast(step))
+        return F.concat(done, F.array(row))
+
+    own = runs.groupBy("handle").agg(F.array_sort(F.collect_list(F.struct(*needed))).alias("runs"))
+    out = own.select("handle", F.inline(F.aggregate("runs", F.array().cast(f"array<{step}>"), folded)))
+    return out.select("handle", "run", "status", "score", "reason", "evidence_runs", "confidence", "required_score")

@@ -16,14 +16,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Schemes, hosts and handle form.
+from sluiceway.operators.profiles import DEEP_LINK, HANDLE, PUBLIC_LINK
+
+#: Schemes, forms of a handle and of packed text, and what channel pages are marked with.
 SCHEMES = "vless|trojan|hy2|hysteria2"
-PUBLIC_HOSTS = r"(?:t\.me|telegram\.me|telegram\.dog|telesco\.pe)"
-HANDLE = r"[A-Za-z][A-Za-z0-9_]{4,31}"
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
-TEXT_CLASSES = ("tgme_widget_message_text", "tgme_widget_message_caption")
-LINK_ATTRIBUTES = ("href", "data-url", "data-href", "src", "content", "data-link")
-TIME_ATTRIBUTES = ("datetime", "data-datetime", "data-time", "data-timestamp")
+AT_HANDLE = rf"(?U)(?<![\w@])@({HANDLE})(?=$|[\s,;!?()\[\]{{}}])"
+PACKED = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_+/=-])([A-Za-z0-9_+/=-]{24,})(?![A-Za-z0-9_+/=-])")
+MESSAGE = "tgme_widget_message"
+TEXT_CLASSES = ("tgme_widget_message_text", "tgme_widget_message_caption", "js-message_text")
+TEXT_TAGS = ("pre", "code", "blockquote")
+LINK_ATTRIBUTES = ("href", "data-url", "data-href", "data-telegram-url", "data-obfuscated-url", "data-link")
+DATE_NAMES = re.compile("date|time", re.IGNORECASE)
+ISO = r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:?\d\d)"
+UNIX = r"(?<!\d)(\d{10}|\d{13})(?!\d)"
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
 def candidate_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -52,40 +59,46 @@ def document_lines(docs: DataFrame) -> DataFrame:
 
 
 def _base64_text(value: str) -> str | None:
-    packed = re.sub(r"\s", "", value).replace("-", "+").replace("_", "/").rstrip("=")
-    if len(packed) < 8 or len(packed) > 1 << 20 or not re.fullmatch(r"[A-Za-z0-9+/]+", packed):
+    """The text in a strict base64 string of either alphabet, or null; what doesn't come out
+    the same when packed again is not one."""
+    token = value.strip()
+    bare = token.rstrip("=")
+    if len(token) > 1 << 20 or not PACKED.fullmatch(token) or not bare or "=" in bare:
         return None
+    packed = bare.translate(str.maketrans("-_", "+/"))
     try:
-        return base64.b64decode(packed + "=" * (-len(packed) % 4), validate=True).decode()
+        data = base64.b64decode(packed + "=" * (-len(packed) % 4), validate=True)
+        return data.decode() if base64.b64encode(data).decode().rstrip("=") == packed else None
     except (binascii.Error, UnicodeDecodeError):
         return None
 
 
+def _plain(text: str) -> str:
+    return html.unescape(unquote(text))
+
+
+def _inside(text: str) -> Iterator[str | None]:
+    """What a text holds one level down: parts of a URL, the whole as base64, base64 tokens."""
+    try:
+        u = urlsplit(text)
+    except ValueError:
+        pass
+    else:
+        queries = [u.query, u.fragment.partition("?")[2]]
+        yield from map(_plain, (u.path, u.fragment, u.query, *(v for q in queries for _, v in parse_qsl(q, keep_blank_values=True))))
+    yield from map(_base64_text, (text, *TOKEN.findall(text)))
+
+
 def variants_of(text: str, max_depth: int = 2) -> list[tuple[str, int]]:
-    """The text and what is decoded from it, breadth first: percent and entity decoding, parts
-    of a URL, the whole as base64, and base64 tokens inside."""
-    seen, level = {}, [text]
+    """The text without percent and entity escapes and what is decoded from it, breadth first,
+    each once with its depth."""
+    seen: dict[str, int] = {}
+    level = [_plain(text)]
     for depth in range(max_depth + 1):
-        following = []
-        for value in level:
-            plain = html.unescape(unquote(value))
-            for v in (value, plain):
-                if v and v not in seen:
-                    seen[v] = depth
-                    following.append(v)
-        if depth == max_depth:
-            break
-        level = []
-        for v in following:
-            parts = []
-            try:
-                u = urlsplit(v.strip())
-                if u.scheme:
-                    parts += [u.path.lstrip("/"), u.fragment, u.query, *(x for _, x in parse_qsl(u.query)), *(x for _, x in parse_qsl(u.fragment))]
-            except ValueError:
-                parts += re.findall(r"[=#?&/]([^=#?&/]{5,})", v)
-            parts += [_base64_text(v) or "", *(_base64_text(m) or "" for m in TOKEN.findall(v))]
-            level += [unquote(x) for x in parts if x]
+        fresh = [v for v in dict.fromkeys(level) if v and v not in seen]
+        seen.update(dict.fromkeys(fresh, depth))
+        if depth < max_depth:
+            level = [x for v in fresh for x in _inside(v)]
     return list(seen.items())
 
 
@@ -106,10 +119,8 @@ def decoded_variants(rows: DataFrame, text: str = "text", max_depth: int = 2) ->
 
 def handles_in(text: Column) -> Column:
     """Lower-cased handles that a text names in any of the known forms."""
-    at = F.regexp_extract_all(text, F.lit(rf"(?U)(?<![\w@./])@({HANDLE})(?![\w])"), 1)
-    link = F.regexp_extract_all(text, F.lit(rf"(?i)(?<![\w.-]){PUBLIC_HOSTS}/(?:s/)?(?!joinchat\b|c/|\+)({HANDLE})(?![A-Za-z0-9_])"), 1)
-    deep = F.regexp_extract_all(text, F.lit(rf"(?i)tg://resolve\?domain=({HANDLE})(?![A-Za-z0-9_])"), 1)
-    return F.array_distinct(F.transform(F.concat(at, link, deep), F.lower))
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(form), 1) for form in (AT_HANDLE, PUBLIC_LINK, DEEP_LINK)))
+    return F.array_distinct(F.transform(found, F.lower))
 
 
 def extract_handles(docs: DataFrame) -> DataFrame:
@@ -123,60 +134,116 @@ def preview_url(handle: Column) -> Column:
 
 
 def post_datetime(text: Column) -> Column:
-    """A timestamp from ISO text with a zone, embedded ISO, or 10 or 13 digits of Unix time."""
-    iso = F.regexp_extract(text, r"(\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d)?(?:\.\d+)?(?:Z|[+-]\d\d:?\d\d))", 1)
-    digits = F.regexp_extract(F.trim(text), r"^(\d{10}|\d{13})$", 1)
+    """A timestamp from ISO text with a zone, or else from 10 or 13 digits of Unix time, alone or
+    inside a longer text."""
+    iso = F.regexp_extract(text, rf"(\d{{4}}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d)?(?:\.\d+)?(?:Z|[+-]\d\d:?\d\d))", 1)
+    digits = F.regexp_extract(text, UNIX, 1)
     seconds = F.when(F.length(digits) == 13, digits.try_cast("bigint") / 1000).when(F.length(digits) == 10, digits.try_cast("bigint"))
     return F.coalesce(F.nullif(iso, F.lit("")).try_cast("timestamp"), F.timestamp_seconds(seconds))
 
 
+class _Post:
+    """One message while its page is read. dates: candidates in order, as lists of pieces;
+    texts: (selector, pieces); stack: piece lists that are open, by depth."""
+
+    def __init__(self, a: dict[str, str]):
+        self.id = a.get("data-post", "").rpartition("/")[2] if "/" in a.get("data-post", "") else ""
+        self.first: str | None = None
+        self.dates: list[list[str]] = []
+        self.texts: list[tuple[int, list[str]]] = []
+        self.all: list[str] = []
+        self.hrefs: dict[str, None] = {}
+        self.stack: list[tuple[int, list[str]]] = []
+
+    def element(self, tag: str, a: dict[str, str], depth: int | None) -> None:
+        """An element that begins here; depth: where it is closed again, null if it can't be."""
+        if tag == "time" and self.first is None:
+            self.first = a.get("datetime")
+        self.dates += [[v] for k, v in a.items() if DATE_NAMES.search(k)]
+        if depth is not None and tag in ("time", "script"):
+            self.dates.append([])
+            self.stack.append((depth, self.dates[-1]))
+        self.dates += [[a[k]] for k in ("title", "aria-label") if k in a]
+        classes = a.get("class", "").split()
+        kinds = [i for i, c in enumerate(TEXT_CLASSES) if c in classes] + [len(TEXT_CLASSES) + i for i, t in enumerate(TEXT_TAGS) if t == tag]
+        for kind in kinds if depth is not None else []:
+            self.texts.append((kind, []))
+            self.stack.append((depth, self.texts[-1][1]))
+
+    def text(self) -> str:
+        found = [" ".join(pieces) for _, pieces in sorted(self.texts, key=lambda x: x[0])]
+        return " ".join(dict.fromkeys(x for x in found if x)) or " ".join(self.all)
+
+    def date(self) -> datetime | None:
+        candidates = [*([self.first] if self.first else []), *(" ".join(x) for x in self.dates)]
+        return next((d for x in candidates if (d := _when(x))), None)
+
+
 class _Posts(HTMLParser):
-    """Messages of a channel preview page: id, first date, texts and links."""
+    """Messages of a channel preview page."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.posts: list[dict] = []
-        self.depth, self.open, self.texts = 0, None, []
+        self.posts: list[_Post] = []
+        self.open: list[str] = []
+        self.depth: int | None = None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
-        void = tag in ("br", "img", "meta", "link", "input", "hr")
-        if "tgme_widget_message" in a.get("class", "").split() and "data-post" in a:
-            self.posts.append({"id": a["data-post"].rpartition("/")[2], "date": None, "texts": [], "all": [], "hrefs": []})
-            self.open, self.texts = self.depth, []
-        if self.open is not None:
-            post = self.posts[-1]
-            post["hrefs"] += [a[k] for k in LINK_ATTRIBUTES if a.get(k) and a[k] not in post["hrefs"]]
-            post["date"] = post["date"] or next((d for k in TIME_ATTRIBUTES if a.get(k) and (d := _when(a[k]))), None)
-            if not void and any(c in a.get("class", "").split() for c in TEXT_CLASSES):
-                self.texts.append(self.depth)
-        self.depth += not void
+        closed = None if tag in VOID else len(self.open)
+        if closed is not None:
+            self.open.append(tag)
+        if MESSAGE in a.get("class", "").split():
+            self.posts.append(_Post(a))
+            self.depth = closed
+        elif self.depth is not None:
+            self.posts[-1].hrefs |= dict.fromkeys(a[k] for k in LINK_ATTRIBUTES if k in a)
+        if self.depth is not None:
+            self.posts[-1].element(tag, a, closed)
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("br", "img", "meta", "link", "input", "hr"):
+        if tag not in self.open:
             return
-        self.depth -= 1
-        if self.texts and self.depth <= self.texts[-1]:
-            self.texts.pop()
-        if self.open is not None and self.depth <= self.open:
-            self.open = None
+        while self.open:
+            last = self.open.pop()
+            if self.depth is not None:
+                post = self.posts[-1]
+                post.stack = [x for x in post.stack if x[0] < len(self.open)]
+                if len(self.open) <= self.depth:
+                    self.depth = None
+            if last == tag:
+                break
 
     def handle_data(self, data: str) -> None:
-        if self.open is not None and data.strip():
+        piece = data.strip()
+        if self.depth is not None and piece:
             post = self.posts[-1]
-            post["all"].append(data.strip())
-            if self.texts:
-                post["texts"].append(data.strip())
+            if "script" not in self.open[self.depth :]:
+                post.all.append(piece)
+            for _, pieces in post.stack:
+                pieces.append(piece)
 
 
 def _when(text: str) -> datetime | None:
-    if re.fullmatch(r"\d{10}|\d{13}", text.strip()):
-        return datetime.fromtimestamp(int(text) / (1000 if len(text.strip()) == 13 else 1), UTC)
-    try:
-        found = datetime.fromisoformat(text.strip().replace("Z", "+00:00"))
-    except ValueError:
-        return None
-    return found.astimezone(UTC) if found.tzinfo else None
+    """The first timestamp of a text: the whole of it, ISO inside it, Unix digits inside it."""
+    for found in (text, *re.findall(ISO, text)):
+        try:
+            at = datetime.fromisoformat(found.replace("Z", "+00:00"))
+        except ValueError:
+            continue
+        if at.tzinfo:
+            return at.astimezone(UTC)
+    for digits in re.findall(UNIX, text):
+        try:
+            return datetime.fromtimestamp(int(digits) / (1000 if len(digits) == 13 else 1), UTC)
+        except (OverflowError, OSError, ValueError):
+            continue
+    return None
 
 
 def parse_posts(pages: DataFrame) -> DataFrame:
@@ -190,9 +257,9 @@ def parse_posts(pages: DataFrame) -> DataFrame:
                 parser = _Posts()
                 parser.feed(source or "")
                 for pos, p in enumerate(parser.posts):
-                    text = " ".join(dict.fromkeys(p["texts"] or p["all"]))
-                    if p["id"].isdigit() and p["date"] and text:
-                        rows.append((handle, page, pos, p["id"], p["date"].replace(tzinfo=None), text, p["hrefs"]))
+                    text, at = p.text(), p.date()
+                    if p.id.isdigit() and at and text:
+                        rows.append((handle, page, pos, p.id, at.replace(tzinfo=None), text, list(p.hrefs)))
             yield pd.DataFrame(rows, columns=["handle", "page_no", "pos", "message_id", "published_at", "text", "hrefs"])
 
     return pages.select("handle", "page_no", "html").mapInPandas(parse, "handle string, page_no int, pos int, message_id string, published_at timestamp, text string, hrefs array<string>")
@@ -214,7 +281,7 @@ def extract_uris(posts: DataFrame, generic: bool = False) -> DataFrame:
     """handle, ordinal, uri: URIs in texts and links and what is decoded from them, unique in a
     channel without regard to case, the first spelling wins. generic: any scheme but web and
     channel links at the start of a match."""
-    pattern = r"(?i)((?!https?://|tg://|telegram://)[a-z][a-z0-9+.-]*://[^\s<>\"']+)" if generic else rf"(?i)((?:{SCHEMES})://[^\s<>\"']+)"
+    pattern = r"(?i)((?!https?://|tg://|telegram://)[a-z][a-z0-9+.-]{1,15}://[^\s<>\"']+)" if generic else rf"(?i)((?:{SCHEMES})://[^\s<>\"']+)"
     pieces = posts.select("handle", F.col("message_id").try_cast("bigint").alias("ordinal"), F.posexplode(F.concat(F.array("text"), F.coalesce("hrefs", F.array()))).alias("piece", "text"))
     found = decoded_variants(pieces).select("handle", "ordinal", "piece", "depth", F.posexplode(F.regexp_extract_all("variant", F.lit(pattern), 1)).alias("pos", "raw"))
     found = found.withColumn("uri", F.regexp_replace("raw", r"[.,;!)\]}\"']+$", ""))

@@ -32,8 +32,10 @@ def roll_cycle(cycle: DataFrame, pool_is_empty: bool, now: datetime, days: int =
 
 def merge_pool(pool: DataFrame, current: DataFrame, now: datetime) -> DataFrame:
     """Full outer upsert on (protocol, fingerprint): new rows start with one hit, known ones get
-    another and keep their URI. ``change`` is added, refreshed or carried."""
-    new = current.select("protocol", "fingerprint", F.col("uri").alias("_uri"))
+    another and keep their URI. ``change`` is added, refreshed or carried; security and transport
+    of current rows are passed on where they are there."""
+    more = [c for c in ("security", "transport") if c in current.columns]
+    new = current.select("protocol", "fingerprint", F.col("uri").alias("_uri"), *more)
     joined = pool.join(new, ["protocol", "fingerprint"], "full_outer")
     here, known = F.col("_uri").isNotNull(), F.col("uri").isNotNull()
     stamp = F.lit(now)
@@ -45,6 +47,7 @@ def merge_pool(pool: DataFrame, current: DataFrame, now: datetime) -> DataFrame:
         F.when(here, stamp).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
         (F.coalesce("hits", F.lit(0)) + here.cast("int")).alias("hits"),
         F.when(~known, "added").when(here, "refreshed").otherwise("carried").alias("change"),
+        *more,
     )
 
 
@@ -69,7 +72,9 @@ def publication_order(profiles: DataFrame) -> DataFrame:
 
 
 def render_order(capped: DataFrame) -> DataFrame:
-    """Rows of each protocol with their place in its file: carried ones by fingerprint, new
-    ones after them."""
-    order = Window.partitionBy("protocol").orderBy((F.col("change") == "added").cast("int"), "fingerprint")
+    """Rows of each protocol with their place in its file: carried and refreshed ones by
+    fingerprint, then new ones in publication order (security, transport, fingerprint)."""
+    added = F.col("change") == "added"
+    new = lambda c: F.when(added, F.col(c))
+    order = Window.partitionBy("protocol").orderBy(added.cast("int"), new("security"), new("transport"), "fingerprint")
     return capped.withColumn("place", F.row_number().over(order))
