@@ -307,20 +307,52 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.crossJoin(F.broadcast(middle))
 
 
-@query(f"SELECT handle, CAST(round(run_score, 1) AS DOUBLE) AS run_score FROM ({_SCORES}) s")
+@query(f"SELECT handle, CAST(run_score AS DOUBLE) AS run_score FROM ({_SCORES}) s")
 def f6_run_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(spark, sf_dir).select("handle", F.round("run_score", 1).alias("run_score"))
+    return _metrics(spark, sf_dir).select("handle", "run_score")
 
 
-@query(f"SELECT round(median(run_score), 1) AS population_median FROM ({_SCORES}) s")
+@query(f"SELECT round(median(run_score), 3) AS population_median FROM ({_SCORES}) s")
 def f8_population_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(spark, sf_dir).select(F.round("population_median", 1).alias("population_median")).distinct()
+    return _metrics(spark, sf_dir).select(F.round("population_median", 3).alias("population_median")).distinct()
 
 
-@query()
-def f10_evaluate_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+_EVIDENCE = f"""
+SELECT m.*, population_median, o.status AS old_status, o.score AS old_score, o.evidence_runs AS old_evidence, o.last_evaluated_at AS old_at, o.first_seen_at AS old_first, o.confidence AS old_confidence, o.required_score AS old_required,
+  coalesce(o.evidence_runs, 0) + 1 AS evidence
+FROM ({_SCORES}) m CROSS JOIN (SELECT median(run_score) AS population_median FROM ({_SCORES}) s) LEFT JOIN ({STATE}) o USING (handle)
+"""
+_BARS = f"""
+SELECT *, round_even(greatest(35.0::DOUBLE, least(100.0::DOUBLE, CASE WHEN run_score >= population_median THEN least(bar, population_median) ELSE bar END)), 2) AS required
+FROM (SELECT *, 45.0::DOUBLE + (1 - conf) * 8 - least(15, 2 * greatest(0, evidence - 2)) - coalesce(CASE WHEN old_score IS NOT NULL THEN greatest(0, least(5, run_score - old_score)) END, 0) AS bar
+  FROM (SELECT *, round_even(0.4::DOUBLE * least(1.0::DOUBLE, evidence / 2) + 0.3::DOUBLE * least(1, fresh_posts) + 0.3::DOUBLE * (posts_with_profiles / greatest(1, fresh_posts)), 4) AS conf FROM ({_EVIDENCE}) e) c) b
+"""
+_JUDGED = f"""
+SELECT *, CASE WHEN evidence < 2 THEN CASE WHEN run_score >= 53 OR run_score >= greatest(45, population_median) THEN 'approved/approved' ELSE 'candidate/insufficient_evidence' END
+  WHEN fresh_posts < 1 THEN 'excluded/insufficient_fresh_posts' WHEN supported_candidates < 1 THEN 'excluded/insufficient_candidates' WHEN conf < 0.3 THEN 'watch/insufficient_confidence'
+  WHEN now_score >= required THEN 'approved/approved' WHEN required - now_score <= 12 OR now_score > old_score THEN 'watch/near_threshold' ELSE 'excluded/below_approval_score' END AS verdict,
+  old_status IS NOT NULL AND NOT preview_available AS carried
+FROM (SELECT *, CASE WHEN old_status IS NULL OR old_status = 'excluded' AND run_score >= required THEN run_score ELSE round_even(old_score * keep + run_score * (1 - keep), 2) END AS now_score
+  FROM (SELECT *, pow(0.5::DOUBLE, greatest(1.0::DOUBLE, (epoch(TIMESTAMP '2024-01-31') - epoch(old_at)) / 3600) / 72) * greatest(0.2::DOUBLE, least(0.9::DOUBLE, 1 - conf * 0.5)) AS keep FROM ({_BARS}) r) k) j
+"""
+_EVALUATED = f"""
+SELECT handle, sha256(handle) AS key, CASE WHEN carried THEN old_status ELSE split_part(verdict, '/', 1) END AS status, CAST(CASE WHEN carried THEN old_score ELSE now_score END AS DOUBLE) AS score,
+  CASE WHEN carried THEN 'preview_unavailable' ELSE split_part(verdict, '/', 2) END AS reason, CAST(CASE WHEN carried THEN old_evidence ELSE evidence END AS INT) AS evidence_runs,
+  CASE WHEN carried THEN old_confidence ELSE conf END AS confidence, CASE WHEN carried THEN old_required ELSE required END AS required_score,
+  strftime(coalesce(old_first, TIMESTAMP '2024-01-31'), '%Y-%m-%d %H:%M:%S') AS first_seen_at, '2024-01-31 00:00:00' AS last_evaluated_at
+FROM ({_JUDGED}) v
+"""
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """State of earlier runs and what this run's evaluation gives."""
     state = table(spark, sf_dir, STATE).withColumn("key", F.sha2("handle", 256)).drop("handle")
-    return _times(channels.evaluate_channels(_metrics(spark, sf_dir), state, F.lit(NOW)))
+    return state, channels.evaluate_channels(_metrics(spark, sf_dir), state, F.lit(NOW))
+
+
+@query(_EVALUATED)
+def f10_evaluate_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _times(_evaluated(spark, sf_dir)[1])
 
 
 @query(f"SELECT sha256(handle) AS key, handle FROM (SELECT DISTINCT handle FROM ({POSTS}) p)")
@@ -353,11 +385,15 @@ def f5_channel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Extraction
 
-@query(f"SELECT doc_idx, count(DISTINCT line) AS n, min(line) AS low, max(line) AS high FROM ({CANDIDATES}) c GROUP BY doc_idx")
+_NUMBERED = f"SELECT doc_idx, first AS line_idx, line FROM (SELECT doc_idx, line, min(r) AS first FROM (SELECT doc_idx, line, row_number() OVER (PARTITION BY doc_idx ORDER BY line_idx, line) AS r FROM ({CANDIDATES}) c) GROUP BY doc_idx, line)"
+
+
+@query(f"SELECT doc_idx, CAST(row_number() OVER (PARTITION BY doc_idx ORDER BY line_idx) - 1 AS INT) AS line_idx, line FROM ({_NUMBERED}) n")
 def b1_b2_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, CANDIDATES).groupBy("doc_idx").agg(F.array_join(F.collect_list("line"), "\r\n").alias("text"))
+    own = table(spark, sf_dir, CANDIDATES).groupBy("doc_idx").agg(F.array_sort(F.collect_list(F.struct("line_idx", "line")))["line"].alias("lines"))
+    lines = own.select("doc_idx", F.array_join("lines", "\r\n").alias("text"))
     docs = lines.select("doc_idx", F.when(F.col("doc_idx") % 5 == 0, F.base64(F.col("text").cast("binary"))).otherwise(F.col("text")).alias("text"))
-    return extract.document_lines(docs).groupBy("doc_idx").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("low"), F.max("line").alias("high"))
+    return extract.document_lines(docs).select("doc_idx", "line_idx", "line")
 
 
 @query(f"SELECT DISTINCT doc_idx, handle FROM ({MENTIONS}) m WHERE form < 4")
@@ -434,18 +470,22 @@ def a3_read_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_registry(table(spark, sf_dir, _REG).select(F.concat(F.lit("@"), F.upper("handle")).alias("value")))
 
 
-@query(f"SELECT key, status, score, runs_since_evaluation FROM (SELECT sha256(handle) AS key, status, score, CASE WHEN handle IN (SELECT handle FROM ({METRICS}) m) THEN 0 ELSE runs_since_evaluation + 1 END AS runs_since_evaluation FROM ({STATE}) s) WHERE runs_since_evaluation > 0")
-def f12_state_not_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = table(spark, sf_dir, STATE).withColumn("key", F.sha2("handle", 256)).drop("handle")
-    evaluated = channels.evaluate_channels(_metrics(spark, sf_dir), state, F.lit(NOW))
-    return channels.update_channel_state(state, evaluated).filter("runs_since_evaluation > 0").select("key", "status", "score", F.col("runs_since_evaluation"))
+_SOME = "SELECT DISTINCT 'chan_' || CAST(10000 + user_id AS STRING) AS handle FROM events WHERE user_id % 4 <> 1"
 
 
-@query(f"SELECT handle FROM ({_REG}) r WHERE handle IN (SELECT handle FROM ({STATE}) s WHERE status = 'approved')")
-def f13_known_approved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = table(spark, sf_dir, STATE).withColumn("key", F.sha2("handle", 256)).drop("handle")
-    none = state.limit(0).select(F.col("key").alias("handle"), "status")
-    return channels.approved_registry(none, table(spark, sf_dir, _REG), state)
+@query(f"SELECT key, status, score, CAST(runs AS INT) AS runs_since_evaluation FROM (SELECT sha256(handle) AS key, status, score, runs_since_evaluation + 1 AS runs FROM ({STATE}) s WHERE handle NOT IN (SELECT handle FROM ({_SOME}) m) UNION ALL SELECT key, status, score, 0 FROM ({_EVALUATED}) e WHERE handle IN (SELECT handle FROM ({_SOME}) m))")
+def f12_update_channel_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the channels is not evaluated in this run."""
+    state, evaluated = _evaluated(spark, sf_dir)
+    some = evaluated.join(table(spark, sf_dir, _SOME), "handle", "left_semi")
+    return channels.update_channel_state(state, some).select("key", "status", "score", F.col("runs_since_evaluation").cast("int").alias("runs_since_evaluation"))
+
+
+@query(f"SELECT handle FROM ({_EVALUATED}) e WHERE status = 'approved' AND handle IN (SELECT handle FROM ({_SOME}) m) UNION SELECT handle FROM ({_REG}) r WHERE handle NOT IN (SELECT handle FROM ({_SOME}) m) AND handle IN (SELECT handle FROM ({STATE}) s WHERE status = 'approved')")
+def f13_approved_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, evaluated = _evaluated(spark, sf_dir)
+    some = evaluated.join(table(spark, sf_dir, _SOME), "handle", "left_semi")
+    return channels.approved_registry(some, table(spark, sf_dir, _REG), state)
 
 
 @query(f"SELECT DISTINCT handle FROM (SELECT handle FROM ({_DISC}) d UNION SELECT handle FROM ({_REG}) r) WHERE handle NOT IN (SELECT handle FROM ({STATE}) s WHERE status = 'excluded')")

@@ -106,7 +106,7 @@ def confidence(evidence: Column, s: ChannelSettings = DEFAULTS, m: Getter = F.co
 
 def required_score(conf: Column, evidence: Column, previous: Column, run: Column, median: Column, s: ChannelSettings = DEFAULTS) -> Column:
     extra = F.greatest(F.lit(0), evidence - s.min_evidence_runs)
-    bar = s.approval_score + (1 - conf) * s.new_channel_margin - F.least(F.lit(s.discount_floor), s.evidence_discount * extra) - F.coalesce(_clamp(run - previous, 0.0, s.momentum_cap), F.lit(0.0))
+    bar = s.approval_score + (1 - conf) * s.new_channel_margin - F.least(F.lit(s.discount_floor), s.evidence_discount * extra) - F.when(previous.isNotNull(), _clamp(run - previous, 0.0, s.momentum_cap)).otherwise(0.0)
     if s.relative_approval:
         bar = F.when(median.isNotNull() & (run >= median), F.least(bar, median)).otherwise(bar)
     return F.bround(_clamp(bar, max(0.0, s.approval_score - s.relative_floor), 100.0), 2)
