@@ -221,9 +221,196 @@ def test_toxicity_sample(spark, monkeypatch):
         assert set(got) == want and len(got) == len(want)
 
 
-def test_toxicity_tolerates_gaps():
-    t = toxicity.tokens(pa.array(["s t u p i d now", "st.up-id", None, ""]))
-    assert len(t.owner) == 3
+def test_toxicity_tolerates_gaps(spark):
+    """An insult with letters put in scores like the insult, and higher than clean words that
+    share as many letters with it."""
+    rng = random.Random(21)
+    vocab = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(300)]
+    say = lambda: [rng.choice(vocab) for _ in range(25)]
+    rows = [(i, " ".join([*say(), *(["zwixxolkurg"] if i % 3 == 0 else [])]), int(i % 3 == 0)) for i in range(500)]
+    table = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.learn(table, spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int"))
+    gapped = [" ".join([*say(), w]) for w in ("zwi.xxolkurg", "zwixxo-lkurg", "zwixxaolkurg", "zwiixxolkurg") for _ in range(5)]
+    clean = [" ".join([*say(), w]) for w in ("gruklo", "lokurita", "xilo", "wizgul") for _ in range(5)]
+    out = toxicity.toxicity_scores(spark.createDataFrame(list(enumerate(gapped + clean)), "doc_id long, text string"), model).collect()
+    score = {r.doc_id: r.score for r in out}
+    assert min(score[i] for i in range(len(gapped))) > max(score[i] for i in range(len(gapped), len(gapped + clean)))
+
+
+def test_quality_reads_each_text_alone(spark, docs):
+    model = quality.Model(np.random.default_rng(0).normal(size=1 << quality.BITS).astype(np.float32), 0.1)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.score)
+    whole = sorted(quality.quality_scores(docs.repartition(1), model).collect(), key=key)
+    assert whole == sorted(quality.quality_scores(docs.repartition(7), model).collect(), key=key)
+    for t in ["abc", "abcd", "", None, "two words here"]:
+        alone = quality.features(pa.array([t], pa.string()))
+        beside = quality.features(pa.array(["before", t, "after it"], pa.string()))
+        for i in range(3):
+            a, b = (x[0][i][x[1][i][k] : x[2][i][k]].tolist() for x, k in ((alone, 0), (beside, 1)))
+            assert a == b
+
+
+def test_quality_scores_by_hand():
+    weight, texts = np.random.default_rng(1).normal(size=1 << quality.BITS).astype(np.float32), ["a b a b", "q", "", "some longer text, with words"]
+    buckets, firsts, stops = quality.features(pa.array(texts, pa.string()))
+    for d, t in enumerate(texts):
+        n = len(WORD.findall(t))
+        assert [int(e[d] - f[d]) for f, e in zip(firsts, stops, strict=True)] == [n, max(0, n - 1), max(0, len(t.encode()) - 3)]
+        want = sum(float(weight[x]) for b, f, e in zip(buckets, firsts, stops, strict=True) for x in b[f[d] : e[d]])
+        assert abs(sum(quality._doc_sums(f, e, weight[b])[d] for b, f, e in zip(buckets, firsts, stops, strict=True)) - want) < 1e-4
+
+
+def test_lookahead_is_sufficient_and_drives_emission():
+    """Borders before the lookahead never change, and long pre-tokens are emitted while they are read."""
+    rng, coder = random.Random(7), bpe.loaded(bpe.read_spec(BYTE))[1].encoder
+    size = coder.v.bytes_of
+    assert 1 < coder.lookahead < 1000
+
+    def borders(data):
+        at, out = 0, set()
+        for i in coder.stream(data):
+            at += len(size[i])
+            out.add(at)
+        return out
+
+    for letters in ("ab", "etaoin", " ", "é漢", "-=", "the", "0123456789"):
+        data = "".join(rng.choice(letters) for _ in range(600)).encode()
+        whole = borders(data)
+        for q in rng.sample(range(200, len(data)), 8):
+            assert {x for x in borders(data[:q]) if x < q - coder.lookahead} == {x for x in whole if x < q - coder.lookahead}
+    read = 0
+
+    class Watched(bytes):
+        def __getitem__(self, key):
+            nonlocal read
+            read = max(read, key.stop or 0)
+            return bytes.__getitem__(self, key)
+
+    data = Watched("".join(rng.choice("etaoin") for _ in range(20_000)).encode())
+    first = next(coder.stream(data))
+    assert read < len(data) / 2 and data.startswith(size[first])
+
+
+def test_language_of_short_texts_in_little_memory():
+    import tracemalloc
+
+    model = langid.Model(list("abcd"), np.log(np.full((4, langid.BUCKETS), 1 / langid.BUCKETS, np.float32)))
+    tracemalloc.start()
+    langid.infer(model, pa.array(["ab"] * 10_000))
+    langid.infer(model, pa.array(["abc"] * 10_000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
+
+def test_mixture_against_plain_em():
+    rng = np.random.default_rng(5)
+    p = rng.random((3, langid.BUCKETS)) ** 8 + 1e-9
+    model = langid.Model(list("abc"), np.log(p / p.sum(1, keepdims=True)).astype(np.float32))
+    text = "some text with a few words and more of them than one would need"
+    _, bucket, n = langid.trigram_counts(pa.array([text]))
+    q = np.exp(model.log_p[:, bucket].astype(float))
+    pi = np.full(3, 1 / 3)
+    for _ in range(12):
+        share = pi[:, None] * q
+        pi = (share / share.sum(0) * n).sum(1) / n.sum()
+    got, _ = langid._mix(n.astype(np.float32), q.astype(np.float32), np.zeros(len(n), int), np.array([0]), np.ones((3, 1), np.float32), 12)
+    assert np.allclose(got[:, 0], pi, atol=1e-3)
+
+
+def test_singular_values():
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(300, 15)) @ rng.normal(size=(15, 80)) * np.linspace(1, 3, 80)
+    r = rng.normal(size=(80, 24))
+    directions, values = decontaminate.decomposed(a.T @ a @ r, r, 10)
+    _, s, v = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(values, s[:10]) and np.allclose(np.abs((directions * v[:10].T).sum(0)), 1)
+
+
+def test_decontaminate_against_all_pairs(spark):
+    """Every pair of a document and an item judged by the alignment alone: the same leaks."""
+    rng = random.Random(13)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    bench = [say(rng.randint(10, 45)) for _ in range(12)]
+    rows = []
+    for i in range(90):
+        item = bench[i % 12]
+        keep = [w if rng.random() > 0.02 * (i % 25) else rng.choice(vocab) for w in item]
+        rows.append((i, [*say(rng.randint(0, 60)), *(keep if i % 3 else []), *say(rng.randint(0, 60))]))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(bench)], "item_id long, text string")
+    got = {r.doc_id for r in decontaminate.decontaminate(table, items).filter("contaminated").collect()}
+    hashed = [decontaminate.plain_words(pa.array([" ".join(w)]))[0] for _, w in rows]
+    want = set()
+    for i, words_ in enumerate(hashed):
+        for w in bench:
+            item, n = decontaminate.plain_words(pa.array([" ".join(w)]))[0], len(w)
+            around = (words_[max(0, a - n) : a + 2 * n] for a in range(0, len(words_), 6))
+            if any(decontaminate.matches(item, x, 0.7, 0.5, 4, 8) for x in around):
+                want.add(i)
+    assert len(got & want) >= 0.9 * len(want) and not got - want and len(want) > 30
+    parts = decontaminate.decontaminate(table, items, part_bytes=500)
+    assert {r.doc_id for r in parts.filter("contaminated").collect()} == got
+
+
+def test_decontaminate_ties(spark):
+    text = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(9, text), (4, text), (None, text), (6, text)], "item_id long, text string")
+    got = decontaminate.decontaminate(spark.createDataFrame([(1, f"x {text} y"), (2, "clean")], "doc_id long, text string"), bench).collect()
+    assert {r.doc_id: r.item_id for r in got} == {1: 4, 2: None}
+
+
+def test_select_alone_gives_offsets(spark, docs, monkeypatch, tmp_path):
+    where = f"{tmp_path}/shards"
+    token_store.write_shards(docs, where, tokenizer=CASED)
+    row = spark.read.parquet(where).orderBy("part").first()
+    e = token_store.EliasFano(row.low_bits, *(np.frombuffer(row[k], t) for k, t in (("low", np.uint8), ("high", np.uint8), ("marks", np.uint32))))
+    assert e.select(np.array([row.n_docs])).tolist() == [row.n_ids]
+    shuffled = np.random.default_rng(3).permutation(row.n_docs + 1)
+    assert (e.select(shuffled) == e.values(row.n_docs + 1)[shuffled]).all()
+
+
+def test_token_store_of_another_tokenizer(spark, docs):
+    library = Tokenizer.from_file(BYTE)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_store.token_store(docs, tokenizer=BYTE, end_id=7).collect() if r.doc_id is not None}
+    assert got == {i: [*library.encode(t, add_special_tokens=False).ids, 7] for i, t in known(docs)}
+
+
+def test_rows_that_share_an_id(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, base), (2, "b " + base), (2, "a " + base), (3, base), (4, "x y z")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = sorted((r.doc_id, r.n_words, r.kept_text) for r in substring_dedup.substring_dedup(table).collect())
+    assert cut == [(1, 40, base), (2, 41, "a"), (2, 41, "a"), (3, 40, ""), (4, 3, "x y z")]
+    near = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_dedup(table).collect())
+    assert near == [(1, 36, 1), (2, 37, 1), (2, 37, 1), (3, 36, 1), (4, 1, 4)]
+    vectors = spark.createDataFrame([(20, [0.0, 1.0]), (20, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [3.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id, r.score) for r in ann.nearest(vectors.withColumn("v", F.lit(1)).withColumn("key", F.lit("k"))).orderBy("rank").collect()] == [(20, 1, 2.0), (20, 2, 1.0)]
+
+
+def test_near_dedup_of_a_large_group_of_loose_copies(spark):
+    """Copies of one text whose changes take many of them just below the threshold."""
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(160):
+        edits = set(rng.sample(range(120), rng.randint(0, 9)))
+        rows.append((i, [f"e{rng.randint(0, 30)}" if k in edits else w for k, w in enumerate(base)]))
+    sets = {i: {tuple(w[k : k + 3]) for k in range(118)} for i, w in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = near_dedup.near_dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"), shingle=3, share=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in sets}
 
 
 def test_decontaminate(spark, docs, empty):

@@ -27,3 +27,19 @@ def test_stages(spark):
     assert 9001 in kept["language"] and 9001 not in kept["near_duplicates"]
     assert 9003 in kept["repeated_passages"] and 9003 not in kept["leaks"]
     assert kept["leaks"] == kept["tokens"] and len(kept["language"]) >= 55
+
+
+def test_edge_cases(spark):
+    """Null ids, repeated ids, empty tables and further columns, by the module's docstring."""
+    words = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("lang = 'en' and n_chars > 1500").first().text
+    folder = tempfile.mkdtemp(prefix="spark-sluiceway-")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_removed int, keys string"
+    rows = [(i, f"{words[i * 40 : i * 40 + 700]} {i}", "en", "s", 1, 0, "k") for i in range(4)] + [(None, words[-600:], "en", "s", 1, 0, "k"), (None, words[-600:], "en", "s", 1, 0, "k"), (7, "", "en", "s", 1, 0, "k")]
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert sum(r.doc_id is None and r.text == words[-600:] for r in out) == 2 and 7 not in {r.doc_id for r in out} and {0, 1} & {r.doc_id for r in out}
+    nothing = tempfile.mkdtemp(prefix="spark-sluiceway-")
+    spark.createDataFrame([], schema).write.parquet(f"{nothing}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{nothing}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, nothing).count() == 0
