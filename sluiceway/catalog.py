@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.functions.uri import compact_code, computed
-from sluiceway.operators import channels, extract, identity, probes, profiles, publish
-from sluiceway.plans.derive import ATTEMPTS, CANDIDATES, CURRENT, EXPECTED, MENTIONS, METRICS, PAGES, POOL, POSTS, STATE, TRANSFERS, table
+from sluiceway.operators import channels, extract, identity, outbound, probes, profiles, publish
+from sluiceway.plans.derive import ATTEMPTS, CANDIDATES, CURRENT, EXPECTED, MENTIONS, METRICS, OUTBOUND, PAGES, POOL, POSTS, STATE, TRANSFERS, table
 from sluiceway.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,6 +121,48 @@ def published_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("doc_idx", "line_idx", "fingerprint", identity.named_uri().alias("uri"))
 
 
+# Outbounds
+
+_NODE = "lower(host) || '\",\"{0}\":' || port_text"
+_XRAY = f"""
+SELECT doc_idx, line_idx, '{{"tag":"out","protocol":"' || CASE p WHEN 0 THEN 'vless' WHEN 1 THEN 'trojan' ELSE 'hysteria' END || '","settings":{{'
+  || CASE p WHEN 0 THEN '"vnext":[{{"address":"' || {_NODE.format("port")} || ',"users":[{{"id":"' || userinfo || '","encryption":"none"' || CASE WHEN t = 0 AND v > 1 THEN ',"flow":"xtls-rprx-vision"' ELSE '' END || '}}]}}]'
+    WHEN 1 THEN '"servers":[{{"address":"' || {_NODE.format("port")} || ',"password":"pass ' || s || '"}}]' ELSE '"version":2,"address":"' || {_NODE.format("port")} END
+  || '}},"streamSettings":{{"network":"' || CASE WHEN p = 2 THEN 'hysteria' WHEN t <> 2 THEN tt WHEN v = 0 THEN 'grpc' WHEN v = 2 THEN 'httpupgrade' ELSE 'xhttp' END
+  || CASE WHEN p = 0 AND t = 0 THEN '","security":"reality","realitySettings":{{"serverName":"www.example.com","fingerprint":"chrome","publicKey":"' || repeat('A', 43) || '","shortId":"0123abcd","spiderX":""}}'
+    ELSE '","security":"tls","tlsSettings":{{"serverName":"www.example.com","allowInsecure":false' || CASE p WHEN 0 THEN ',"fingerprint":"chrome"' WHEN 1 THEN ',"fingerprint":"firefox"' ELSE ',"alpn":["h3"]' END || '}}' END
+  || CASE WHEN p = 2 THEN ',"hysteriaSettings":{{"version":2,"auth":"pass ' || s || '"}}' || CASE WHEN v < 2 THEN ',"finalmask":{{"udp":[{{"type":"salamander","settings":{{"password":"mist"}}}}]}}' ELSE '' END
+    WHEN t = 1 THEN ',"wsSettings":{{"path":"/gate"}}' WHEN t <> 2 THEN '' WHEN v = 0 THEN ',"grpcSettings":{{"serviceName":"unit","multiMode":true}}'
+    WHEN v = 1 THEN ',"xhttpSettings":{{"path":"/deep","host":"' || lower(host) || '","mode":"stream-one"}}' WHEN v = 2 THEN ',"httpupgradeSettings":{{"path":"/","host":"edge.example.net"}}'
+    ELSE ',"xhttpSettings":{{"path":"/","mode":"auto","extra":{{"pad":[1,"x"]}}}}' END || '}}}}' AS outbound
+FROM ({OUTBOUND}) o
+"""
+_SINGBOX = f"""
+SELECT doc_idx, line_idx, '{{"tag":"out","server":"' || {_NODE.format("server_port")} || CASE p WHEN 0 THEN ',"type":"vless","uuid":"' || userinfo WHEN 1 THEN ',"type":"trojan","password":"pass ' || s ELSE ',"type":"hysteria2","password":"pass ' || s END
+  || '","tls":{{"enabled":true,"server_name":"www.example.com","insecure":false' || CASE p WHEN 0 THEN ',"utls":{{"enabled":true,"fingerprint":"chrome"}}' WHEN 1 THEN ',"utls":{{"enabled":true,"fingerprint":"firefox"}}' ELSE '' END
+  || CASE WHEN p = 0 AND t = 0 THEN ',"reality":{{"enabled":true,"public_key":"' || repeat('A', 43) || '","short_id":"0123abcd"}}' ELSE '' END || '}}' || CASE WHEN p = 0 AND t = 0 AND v > 1 THEN ',"flow":"xtls-rprx-vision"' ELSE '' END
+  || CASE WHEN p = 2 THEN CASE WHEN v < 2 THEN ',"obfs":{{"type":"salamander","password":"mist"}}' ELSE '' END WHEN t = 0 THEN '' WHEN t <> 2 THEN ',"transport":{{"type":"ws","path":"/gate"}}'
+    WHEN v = 0 THEN ',"transport":{{"type":"grpc","service_name":"unit"}}' WHEN v = 1 THEN ',"transport":{{"type":"http","host":["' || lower(host) || '"]}}'
+    WHEN v = 2 THEN ',"transport":{{"type":"httpupgrade","path":"/"}}' ELSE ',"transport":{{"type":"http","path":"/"}}' END || '}}' AS outbound
+FROM ({OUTBOUND}) o
+"""
+
+
+def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, OUTBOUND).select("doc_idx", "line_idx", F.col("uri").alias("line"))
+    return profiles.static_filter(lines).filter("reason is null")
+
+
+@query(_XRAY)
+def c12_client_outbound_xray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _usable(spark, sf_dir).select("doc_idx", "line_idx", outbound.xray_outbound(F.lit("out")).alias("outbound"))
+
+
+@query(_SINGBOX)
+def c13_client_outbound_singbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _usable(spark, sf_dir).select("doc_idx", "line_idx", outbound.singbox_outbound(F.lit("out")).alias("outbound"))
+
+
 # Probes and transfers
 
 _KEY = "host, port, use_tls, server_name"

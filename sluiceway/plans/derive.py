@@ -48,6 +48,17 @@ SELECT c.*, CASE p WHEN 0 THEN 'vless' WHEN 1 THEN 'trojan' ELSE 'hysteria2' END
 FROM ({CANDIDATES}) c
 """
 
+#: Accepted candidates in every transport, with flow, obfuscation and an ``extra`` object.
+OUTBOUND = f"""
+SELECT *, CASE p WHEN 0 THEN CASE WHEN t = 0 AND v > 1 THEN replace(line, '&fp=chrome', '&fp=chrome&flow=xtls-rprx-vision') ELSE moved END
+  WHEN 1 THEN moved ELSE CASE WHEN v < 2 THEN replace(line, '&alpn=h3', '&alpn=h3&obfs=salamander&obfs-password=mist') ELSE line END END AS uri
+FROM (
+  SELECT *, doc_idx % 4 AS v, CASE WHEN t = 2 THEN replace(line, 'type=grpc', CASE doc_idx % 4 WHEN 0 THEN 'type=grpc&serviceName=unit&mode=multi'
+    WHEN 1 THEN 'type=h2&path=%2Fdeep' WHEN 2 THEN 'type=httpupgrade&host=edge.example.net' ELSE 'type=xhttp&mode=auto&extra=%7B%22pad%22%3A%5B1%2C%22x%22%5D%7D' END) ELSE line END AS moved
+  FROM ({CANDIDATES}) c WHERE bad >= 10
+) m
+"""
+
 ATTEMPTS = """
 SELECT 'node' || CAST(l_suppkey % 100 AS STRING) || '.example.org' AS host, 443 + l_partkey % 5 AS port, l_partkey % 2 = 0 AS use_tls,
   CASE WHEN l_partkey % 2 = 0 THEN 'www.example.com' ELSE '' END AS server_name, l_orderkey * 8 + l_linenumber AS attempt_no,
