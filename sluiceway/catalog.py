@@ -333,8 +333,26 @@ def g7_render_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT protocol, added, refreshed, merged - coalesce(total, 0) AS evicted, coalesce(total, 0) AS total, greatest(coalesce(total, 0) - added, 0) AS carried FROM (SELECT protocol, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'refreshed') AS refreshed, count(*) AS merged FROM ({_MERGED}) m GROUP BY protocol) a LEFT JOIN (SELECT protocol, count(*) AS total FROM ({_CAPPED}) c GROUP BY protocol) b USING (protocol)")
 def g8_publication_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = _merged(spark, sf_dir)
-    return publish.publication_report(merged, publish.enforce_cap(merged, 300))
+    return publish.publication_report(_merged(spark, sf_dir), 300)
+
+
+_ROUND = f"""
+SELECT p.protocol, added, refreshed, merged - total AS evicted, total, greatest(total - added, 0) AS carried, 4 AS day, 3 AS days_until_reset, 2 AS generation, false AS reset
+FROM (SELECT protocol, count(*) AS merged, least(count(*), 50) AS total, count(*) FILTER (here AND NOT known) AS added, count(*) FILTER (here AND known) AS refreshed
+  FROM (SELECT coalesce(a.protocol, b.protocol) AS protocol, a.fingerprint IS NOT NULL AS known, b.fingerprint IS NOT NULL AS here
+    FROM (SELECT DISTINCT protocol, fingerprint FROM ({_FIRST}) f WHERE doc_idx % 2 = 0) a FULL JOIN (SELECT protocol, fingerprint FROM ({_FIRST}) f) b ON a.fingerprint = b.fingerprint) m GROUP BY protocol) p
+"""
+
+
+@query(_ROUND)
+def g9_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a run that follows one which had published every other document."""
+    found, start = _accepted(spark, sf_dir), "2024-01-28T00:00:00Z"
+    first = identity.keep_first(found.select("doc_idx", "line_idx", "protocol", "fingerprint", "original_uri"), ["fingerprint"], ["doc_idx", "line_idx"]).filter("doc_idx % 2 = 0")
+    early = F.lit(datetime(2024, 1, 28)).cast("timestamp")
+    pool = first.select("protocol", "fingerprint", F.col("original_uri").alias("uri"), early.alias("first_added_at"), early.alias("last_seen_at"), F.lit(1).alias("hits"))
+    cycle = spark.createDataFrame([(start, 2)], "cycle_started_at string, generation int")
+    return publish.publish(found, pool, cycle, NOW, 50)[2]
 
 
 # Channels
@@ -360,7 +378,7 @@ def f8_population_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EVIDENCE = f"""
-SELECT m.*, population_median, o.status AS old_status, o.score AS old_score, o.evidence_runs AS old_evidence, o.last_evaluated_at AS old_at, o.first_seen_at AS old_first, o.confidence AS old_confidence, o.required_score AS old_required,
+SELECT m.*, population_median, o.status AS old_status, o.score AS old_score, o.evidence_runs AS old_evidence, o.last_evaluated_at AS old_at, o.first_seen_at AS old_first, o.confidence AS old_confidence, o.required_score AS old_required, o.deep_accepted AS old_passed, o.deep_rejected AS old_failed,
   coalesce(o.evidence_runs, 0) + 1 AS evidence
 FROM ({_SCORES}) m CROSS JOIN (SELECT median(run_score) AS population_median FROM ({_SCORES}) s) LEFT JOIN ({STATE}) o USING (handle)
 """
@@ -381,7 +399,8 @@ _EVALUATED = f"""
 SELECT handle, sha256(handle) AS key, CASE WHEN carried THEN old_status ELSE split_part(verdict, '/', 1) END AS status, CAST(CASE WHEN carried THEN old_score ELSE now_score END AS DOUBLE) AS score,
   CASE WHEN carried THEN 'preview_unavailable' ELSE split_part(verdict, '/', 2) END AS reason, CAST(CASE WHEN carried THEN old_evidence ELSE evidence END AS INT) AS evidence_runs,
   CASE WHEN carried THEN old_confidence ELSE conf END AS confidence, CASE WHEN carried THEN old_required ELSE required END AS required_score,
-  strftime(coalesce(old_first, TIMESTAMP '2024-01-31'), '%Y-%m-%d %H:%M:%S') AS first_seen_at, '2024-01-31 00:00:00' AS last_evaluated_at
+  strftime(coalesce(old_first, TIMESTAMP '2024-01-31'), '%Y-%m-%d %H:%M:%S') AS first_seen_at, '2024-01-31 00:00:00' AS last_evaluated_at,
+  CAST(coalesce(old_passed, 0) + CASE WHEN carried THEN 0 ELSE deep_passed END AS BIGINT) AS deep_accepted, CAST(coalesce(old_failed, 0) + CASE WHEN carried THEN 0 ELSE deep_failed END AS BIGINT) AS deep_rejected
 FROM ({_JUDGED}) v
 """
 
@@ -425,6 +444,14 @@ def f5_channel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("handle", "fresh_posts", "duplicate_posts", "total_text_length", "span_hours", "posts_with_profiles")
 
 
+_SUMS = "CAST(sum(supported_candidates) AS BIGINT) AS uri_candidates, CAST(sum(static_accepted) AS BIGINT) AS static_accepted_profiles, CAST(sum(unique_profiles) AS BIGINT) AS unique_profiles, CAST(sum(deep_passed) AS BIGINT) AS deep_accepted_profiles"
+
+
+@query(f"SELECT (SELECT count(*) FROM ({_DISC}) d) AS discovered_channels, (SELECT count(*) FROM ({ORACLES['f3_due_channels']}) u) AS reevaluated_channels, (SELECT count(*) FROM ({_EVALUATED}) e WHERE status = 'approved') AS approved_channels, {_SUMS} FROM ({METRICS}) m")
+def f15_telegram_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return channels.telegram_summary(table(spark, sf_dir, _DISC), f3_due_channels(spark, sf_dir), _evaluated(spark, sf_dir)[1], table(spark, sf_dir, METRICS))
+
+
 # Extraction
 
 _NUMBERED = f"SELECT doc_idx, first AS line_idx, line FROM (SELECT doc_idx, line, min(r) AS first FROM (SELECT doc_idx, line, row_number() OVER (PARTITION BY doc_idx ORDER BY line_idx, line) AS r FROM ({CANDIDATES}) c) GROUP BY doc_idx, line)"
@@ -498,13 +525,23 @@ def a1_read_source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_source_list(table(spark, sf_dir, _SOURCES))
 
 
-@query("SELECT doc_id AS doc_idx, CASE WHEN doc_id % 7 = 0 THEN 'failed' WHEN octet_length(encode(text)) > 20000 THEN 'failed' WHEN doc_id % 3 = 0 THEN 'unknown' WHEN doc_id % 3 = 1 THEN 'stale' ELSE 'recent' END AS freshness, CASE WHEN doc_id % 7 = 0 THEN 'http_404' WHEN octet_length(encode(text)) > 20000 THEN 'response_too_large' END AS reason, CASE WHEN doc_id % 7 <> 0 AND octet_length(encode(text)) <= 20000 AND doc_id % 3 <> 1 THEN length(text) END AS n FROM documents")
-def a2_classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stamp = F.when(F.col("doc_id") % 3 == 1, "Sat, 20 Jan 2024 10:00:00 GMT").when(F.col("doc_id") % 3 == 2, "Tue, 30 Jan 2024 10:00:00 GMT")
     landed = docs.select(F.col("doc_id").alias("doc_idx"), F.col("text").cast("binary").alias("body"), stamp.alias("last_modified"), F.when(F.col("doc_id") % 7 == 0, "http_404").alias("reason"))
-    out = tables.classify_documents(landed, F.lit(NOW), max_bytes=20_000)
-    return out.select("doc_idx", "freshness", "reason", F.length("text").cast("long").alias("n"))
+    return tables.classify_documents(landed, F.lit(NOW), max_bytes=20_000)
+
+
+@query("SELECT doc_id AS doc_idx, CASE WHEN doc_id % 7 = 0 THEN 'failed' WHEN octet_length(encode(text)) > 20000 THEN 'failed' WHEN doc_id % 3 = 0 THEN 'unknown' WHEN doc_id % 3 = 1 THEN 'stale' ELSE 'recent' END AS freshness, CASE WHEN doc_id % 7 = 0 THEN 'http_404' WHEN octet_length(encode(text)) > 20000 THEN 'response_too_large' END AS reason, CASE WHEN doc_id % 7 <> 0 AND octet_length(encode(text)) <= 20000 AND doc_id % 3 <> 1 THEN length(text) END AS n FROM documents")
+def a2_classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir).select("doc_idx", "freshness", "reason", F.length("text").cast("long").alias("n"))
+
+
+@query(f"SELECT 'sources' AS block, '{{\"freshness\":\"' || freshness || '\",\"last_modified\":' || CASE WHEN doc_idx % 3 = 0 THEN 'null' WHEN doc_idx % 3 = 1 THEN '\"2024-01-20T10:00:00Z\"' ELSE '\"2024-01-30T10:00:00Z\"' END || ',\"reason\":' || coalesce('\"' || reason || '\"', 'null') || '}}' AS body FROM ({ORACLES['a2_classify_documents']}) a UNION ALL SELECT 'excluded', '{{\"reason\":\"' || reason || '\",\"n\":' || n || '}}' FROM ({ORACLES['c10_exclusion_counts']}) c UNION ALL SELECT 'counts', '{{\"candidate_lines\":' || candidate_lines || ',\"parsed\":' || parsed || ',\"accepted\":' || accepted || '}}' FROM ({ORACLES['c11_filter_counts']}) k UNION ALL SELECT 'publication', '{{\"protocol\":\"' || protocol || '\",\"added\":' || added || ',\"refreshed\":' || refreshed || ',\"evicted\":' || evicted || ',\"total\":' || total || ',\"carried\":' || carried || '}}' FROM ({ORACLES['g8_publication_report']}) g")
+def a10_build_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = _classified(spark, sf_dir)
+    blocks = {"excluded": c10_exclusion_counts(spark, sf_dir), "counts": c11_filter_counts(spark, sf_dir), "publication": g8_publication_report(spark, sf_dir)}
+    return tables.build_report(sources, blocks)
 
 
 @query(f"SELECT DISTINCT handle FROM ({_REG}) r")

@@ -156,11 +156,13 @@ def next_state(old: Getter, m: Getter, now: Column, s: ChannelSettings = DEFAULT
 
 def evaluate_channels(metrics: DataFrame, state: DataFrame, now: Column, s: ChannelSettings = DEFAULTS) -> DataFrame:
     """metrics with run_score and population_median, left-joined with the state, to the new
-    state rows. A channel whose preview is unavailable keeps its old row."""
+    state rows. A channel whose preview is unavailable keeps its old row. The deep counters add
+    up over all runs; a state without them counts as none before."""
     old = state.select(*(F.col(c).alias(f"old_{c}") if c != "key" else F.col(c) for c in state.columns))
     d = metrics.withColumn("key", F.expr(HANDLE_KEY)).join(old, "key", "left")
     d = d.withColumn("_new", next_state(lambda c: F.col(f"old_{c}"), F.col, now, s))
     carried = F.col("old_status").isNotNull() & ~F.col("preview_available")
+    deep = lambda name, new: (F.coalesce(F.col(f"old_{name}") if name in state.columns else F.lit(0), F.lit(0)) + F.when(carried, 0).otherwise(F.greatest(F.lit(0), F.col(new)))).cast("long").alias(name)
     pick = lambda name: F.when(carried, F.col(f"old_{name}")).otherwise(F.col(f"_new.{name}")).alias(name)
     return d.select(
         "handle",
@@ -173,6 +175,8 @@ def evaluate_channels(metrics: DataFrame, state: DataFrame, now: Column, s: Chan
         pick("required_score"),
         F.coalesce("old_first_seen_at", now).alias("first_seen_at"),
         now.alias("last_evaluated_at"),
+        deep("deep_accepted", "deep_passed"),
+        deep("deep_rejected", "deep_failed"),
     )
 
 
@@ -200,6 +204,16 @@ def retained_registry(discovered: DataFrame, pending: DataFrame, evaluated: Data
     return discovered.select("handle").union(pending.select("handle")).distinct().join(evaluated.filter("status = 'excluded'").select("handle"), "handle", "left_anti")
 
 
+def telegram_summary(discovered: DataFrame, due: DataFrame, evaluated: DataFrame, metrics: DataFrame) -> DataFrame:
+    """One row on a run's channels: counts of handles, and sums over their metrics."""
+    found = discovered.agg(F.count_distinct("handle").alias("discovered_channels"))
+    again = due.agg(F.count_distinct("handle").alias("reevaluated_channels"))
+    approved = evaluated.agg(F.count_if(F.col("status") == "approved").alias("approved_channels"))
+    parts = {"uri_candidates": "supported_candidates", "static_accepted_profiles": "static_accepted", "unique_profiles": "unique_profiles", "deep_accepted_profiles": "deep_passed"}
+    sums = metrics.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(k) for k, c in parts.items()))
+    return found.crossJoin(again).crossJoin(approved).crossJoin(sums)  # one row each
+
+
 def fold_channel_runs(runs: DataFrame, s: ChannelSettings = DEFAULTS) -> DataFrame:
     """Many runs in order: runs(run, handle, observed_at, metrics, run_score, population_median)
     to the evaluation of each. The state of one run feeds the channel's next; channels are

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluiceway.operators import identity
+
 
 def update_seen(state: DataFrame, current: DataFrame, now: datetime) -> DataFrame:
     """fingerprint, first_seen_at, last_seen_at: absent rows stay as they are for ever."""
@@ -57,14 +59,23 @@ def enforce_cap(pool: DataFrame, cap: int = 10_000) -> DataFrame:
     return pool.withColumn("_k", F.row_number().over(newest)).filter(F.col("_k") <= cap).drop("_k")
 
 
-def publication_report(merged: DataFrame, capped: DataFrame, reset: bool = False) -> DataFrame:
-    """added, refreshed, evicted, total and carried of each protocol; carried is what is left
-    after eviction, less what was added before it."""
-    before = merged.groupBy("protocol").agg(F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "refreshed").alias("refreshed"), F.count(F.lit(1)).alias("merged"))
-    after = capped.groupBy("protocol").agg(F.count(F.lit(1)).alias("total"))
-    total = F.coalesce("total", F.lit(0))
+def cycle_position(started: Column, now: datetime, days: int = 6) -> Column:
+    """A struct of the cycle's day, from 1, and the days until its reset. A start that can't be
+    read counts as day 1; a cycle that has run out as the day after its last."""
+    age = F.floor((F.unix_timestamp(F.lit(now)) - F.unix_timestamp(F.try_to_timestamp(started))) / 86400)
+    past = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(days), age)), F.lit(0)).cast("int")
+    return F.struct((past + 1).alias("day"), (F.lit(days) - past).alias("days_until_reset"))
+
+
+def publication_report(merged: DataFrame, cap: int = 10_000, reset: bool = False) -> DataFrame:
+    """added, refreshed, evicted, total and carried of each of the three protocols; carried is
+    what is left after eviction, less what was added before it."""
+    counted = merged.groupBy("protocol").agg(F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "refreshed").alias("refreshed"), F.count(F.lit(1)).alias("merged"))
+    every = merged.sparkSession.createDataFrame([(p,) for p in identity.PROTOCOL_LABELS], "protocol string")
+    rows = every.join(counted, "protocol", "left").na.fill(0)
+    total = F.least(F.col("merged"), F.lit(cap))
     carried = F.lit(0) if reset else F.greatest(total - F.col("added"), F.lit(0))
-    return before.join(after, "protocol", "left").select("protocol", "added", "refreshed", (F.col("merged") - total).alias("evicted"), total.alias("total"), carried.cast("long").alias("carried"))
+    return rows.select("protocol", "added", "refreshed", (F.col("merged") - total).alias("evicted"), total.alias("total"), carried.cast("long").alias("carried"))
 
 
 def publication_order(profiles: DataFrame) -> DataFrame:
@@ -78,3 +89,17 @@ def render_order(capped: DataFrame) -> DataFrame:
     new = lambda c: F.when(added, F.col(c))
     order = Window.partitionBy("protocol").orderBy(added.cast("int"), new("security"), new("transport"), "fingerprint")
     return capped.withColumn("place", F.row_number().over(order))
+
+
+def publish(profiles: DataFrame, pool: DataFrame, cycle: DataFrame, now: datetime, cap: int = 10_000, days: int = 6) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One publication of accepted profiles (with fingerprint, doc_idx and line_idx) into the pool:
+    the new pool with each row's place in its protocol's file, the cycle table, and the report of
+    each protocol with the cycle's position. A reset begins with an empty pool."""
+    rolled = roll_cycle(cycle, pool.isEmpty(), now, days)
+    reset = bool(rolled.first()["reset"])  # the cycle table has one row
+    first = identity.keep_first(profiles.select("doc_idx", "line_idx", "protocol", "fingerprint", "original_uri", "security", "transport"), ["protocol", "fingerprint"], ["doc_idx", "line_idx"])
+    current = first.select("protocol", "fingerprint", identity.named_uri().alias("uri"), "security", "transport")
+    merged = merge_pool(pool.filter(F.lit(not reset)), current, now)
+    position = rolled.select(cycle_position(F.col("cycle_started_at"), now, days).alias("at"), "generation", "reset").select("at.*", "generation", "reset")
+    report = publication_report(merged, cap, reset).crossJoin(F.broadcast(position))  # one row
+    return render_order(enforce_cap(merged, cap)), rolled.drop("reset"), report

@@ -112,7 +112,7 @@ FROM (SELECT user_id, CAST(count(*) AS INT) AS n FROM events GROUP BY user_id) e
 STATE = """
 SELECT handle, CASE u % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'watch' WHEN 2 THEN 'excluded' ELSE 'candidate' END AS status, CAST(30 + u % 60 AS DOUBLE) AS score, 1 + u % 4 AS evidence_runs,
   CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS first_seen_at, CASE u % 2 WHEN 0 THEN CAST('2024-01-30 00:00:00' AS TIMESTAMP) ELSE CAST('2024-01-28 00:00:00' AS TIMESTAMP) END AS last_evaluated_at,
-  CAST(u % 10 AS DOUBLE) / 10 AS confidence, CAST(50 AS DOUBLE) AS required_score, u % 5 AS runs_since_evaluation
+  CAST(u % 10 AS DOUBLE) / 10 AS confidence, CAST(50 AS DOUBLE) AS required_score, u % 5 AS runs_since_evaluation, u % 7 AS deep_accepted, u % 6 AS deep_rejected
 FROM (SELECT DISTINCT user_id AS u, 'chan_' || CAST(10000 + user_id AS STRING) AS handle FROM events WHERE user_id % 3 <> 0) e
 """
 

@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.operators.extract import HANDLE
+from sluiceway.operators.identity import PROTOCOL_LABELS
 
 _ENTRY = "struct<uri: string, first_added_at: string, last_seen_at: string, hits: string>"
 _SEEN = "struct<first_seen_at: string, last_seen_at: string>"
+_NUMBER = r"(BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))"
+#: The fields of a stored channel and their types, in the order that a variant's schema has.
+_CHANNEL = {
+    "confidence": _NUMBER,
+    "deep_accepted": "BIGINT",
+    "deep_rejected": "BIGINT",
+    "evidence_runs": "BIGINT",
+    "first_seen_at": "STRING",
+    "last_evaluated_at": "STRING",
+    "last_seen_at": "STRING",
+    "reason": "STRING",
+    "required_score": _NUMBER,
+    "runs_since_evaluation": "BIGINT",
+    "score": _NUMBER,
+    "status": "STRING",
+}
 
 
 def read_source_list(lines: DataFrame) -> DataFrame:
@@ -54,6 +74,29 @@ def load_seen_state(text: DataFrame) -> DataFrame:
     return doc.select(F.explode("d.records").alias("fingerprint", "e")).select("fingerprint", "e.*").filter("length(fingerprint) = 64 and first_seen_at is not null and last_seen_at is not null")
 
 
+def pool_cycle(text: DataFrame) -> DataFrame:
+    """cycle_started_at and generation of a stored JSON state (value), one row for each: the epoch
+    and 1 where they are missing or of another type, and for another schema version."""
+    doc = F.try_parse_json("value")
+    fine = F.coalesce(F.try_variant_get(doc, "$.schema", "int") == 1, F.lit(False))
+    shape = F.coalesce(F.schema_of_variant(doc), F.lit(""))
+    started = F.when(fine & shape.rlike(r"\bcycle_started_at: STRING"), F.try_variant_get(doc, "$.cycle_started_at", "string"))
+    number = F.when(fine & shape.rlike(r"\bgeneration: BIGINT"), F.try_variant_get(doc, "$.generation", "int"))
+    return text.select(F.coalesce(started, F.lit("1970-01-01T00:00:00Z")).alias("cycle_started_at"), F.when(number >= 1, number).otherwise(1).alias("generation"))
+
+
+def parse_channel_state(text: DataFrame) -> DataFrame:
+    """State rows of a stored JSON state (value) of version 5; a channel with other keys, or a value
+    of another type, goes."""
+    doc = text.select(F.from_json("value", "version string, channels map<string, string>").alias("d")).filter("d.version = '5'")
+    rows = doc.select(F.explode("d.channels").alias("key", "_json"))
+    fields = ", ".join(f"{k} {'double' if t == _NUMBER else t}" for k, t in _CHANNEL.items())
+    exact = rf"^OBJECT<{', '.join(f'{k}: {t}' for k, t in _CHANNEL.items())}>$"
+    typed = rows.filter(F.schema_of_variant(F.try_parse_json("_json")).rlike(exact))
+    fine = typed.select("key", F.from_json("_json", fields).alias("c")).select("key", "c.*")
+    return load_channel_state(fine.filter("deep_accepted >= 0 and deep_rejected >= 0 and required_score between 0 and 100 and reason <> '' and first_seen_at <> '' and last_seen_at <> '' and last_evaluated_at <> ''"))
+
+
 def load_channel_state(rows: DataFrame) -> DataFrame:
     """State rows within their bounds, scores rounded."""
     fine = rows.filter("length(key) = 64 and status in ('candidate', 'approved', 'watch', 'excluded') and score between 0 and 100 and evidence_runs >= 1 and confidence between 0 and 1 and runs_since_evaluation >= 0")
@@ -61,19 +104,40 @@ def load_channel_state(rows: DataFrame) -> DataFrame:
 
 
 def save_state(df: DataFrame, root: str, version: int) -> str:
-    """A new version beside the old ones; the folder that is read is never overwritten."""
+    """A new version beside the old ones; the folder that is read is never overwritten. A row in the
+    log of versions follows the data, so a version that was cut short is never current and may
+    be written again."""
     path = f"{root}/v{version:08d}"
-    df.write.parquet(path)
+    df.write.mode("overwrite").parquet(path)
+    df.sparkSession.createDataFrame([(version,)], "version long").write.mode("append").parquet(f"{root}/versions")
     return path
 
 
-def write_protocol_files(pool: DataFrame, path: str) -> None:
-    """One folder of text for each protocol, lines in the order of ``place``."""
-    pool.repartition("protocol").sortWithinPartitions("protocol", "place").select("protocol", "uri").write.mode("overwrite").partitionBy("protocol").text(path)
+def current_version(spark: SparkSession, root: str) -> int | None:
+    """The newest complete version under root, or None."""
+    try:
+        return spark.read.schema("version long").parquet(f"{root}/versions").agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
 
+def load_state(spark: SparkSession, root: str) -> DataFrame | None:
+    version = current_version(spark, root)
+    return None if version is None else spark.read.parquet(f"{root}/v{version:08d}")
 
-def build_report(counts: DataFrame, publication: DataFrame) -> DataFrame:
-    """One JSON document of reason counts and the report of each protocol; no URLs."""
-    a = counts.agg(F.sort_array(F.collect_list(F.struct("reason", "n"))).alias("excluded"))
-    b = publication.agg(F.sort_array(F.collect_list(F.struct("protocol", "added", "refreshed", "evicted", "total", "carried"))).alias("profiles"))
-    return a.crossJoin(b).select(F.to_json(F.struct("excluded", "profiles")).alias("report"))  # one row each
+
+def write_protocol_files(pool: DataFrame, path: str) -> None:
+    """One folder of text for each of the three protocols, lines in the order of ``place``; one
+    without rows is there and empty."""
+    for protocol in PROTOCOL_LABELS:
+        pool.filter(F.col("protocol") == protocol).orderBy("place").select("uri").write.mode("overwrite").text(f"{path}/protocol={protocol}")
+
+
+def build_report(sources: DataFrame, blocks: dict[str, DataFrame]) -> DataFrame:
+    """The audit record as rows (block, body): a JSON object for each source, which tells how fresh
+    it was and why it failed but not where it is, and for each row of the other blocks."""
+    told = sources.select("freshness", "last_modified", "reason")
+    rows = [df.select(F.lit(name).alias("block"), F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'", "ignoreNullFields": "false"}).alias("body")) for name, df in {"sources": told, **blocks}.items()]
+    return reduce(DataFrame.unionByName, rows)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.operators import publish
 
+_POOL = "protocol string, fingerprint string, uri string, first_added_at timestamp, last_seen_at timestamp, hits int"
+_CYCLE = "cycle_started_at string, generation int"
+
 
 def stream_fresh_posts(posts: DataFrame, hours: int = 72) -> DataFrame:
     """Each (handle, message_id) once within the watermark; later posts are dropped as late."""
@@ -21,17 +25,27 @@ def stream_channel_activity(posts: DataFrame) -> DataFrame:
     return daily.select("handle", F.col("w.start").alias("day"), F.col("count").alias("n"))
 
 
-def stream_accumulate(current: DataFrame, root: str, now: datetime, cap: int = 10_000):
-    """Merges every micro-batch into a versioned pool table under ``root``. The version is the
-    batch id, so a repeated batch writes the same version again."""
+def accumulated(spark: SparkSession, root: str, batch_id: int) -> tuple[DataFrame, DataFrame]:
+    """The pool and the one-row cycle table that a batch of ``stream_accumulate`` has left."""
+    at = f"{root}/v{batch_id % 3}"
+    return spark.read.schema(_POOL).parquet(f"{at}/pool"), spark.read.schema(_CYCLE).parquet(f"{at}/cycle")
+
+
+def stream_accumulate(current: DataFrame, root: str, clock: Callable[[], datetime] = datetime.now, cap: int = 10_000, days: int = 6):
+    """Merges every micro-batch into the pool under ``root``, at the batch's own time, with the
+    reset cycle. Three versions take turns: a batch reads the one before it and overwrites one that
+    nothing reads any more, so a repeated batch writes the same version again."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        schema = "protocol string, fingerprint string, uri string, first_added_at timestamp, last_seen_at timestamp, hits int"
-        old = spark.read.schema(schema).parquet(f"{root}/v{batch_id - 1:08d}") if batch_id else spark.createDataFrame([], schema)
+        spark, now = batch.sparkSession, clock()
+        fresh = spark.createDataFrame([], _POOL), spark.createDataFrame([("1970-01-01T00:00:00Z", 1)], _CYCLE)
+        old, cycle = accumulated(spark, root, batch_id - 1) if batch_id else fresh
+        rolled = publish.roll_cycle(cycle, old.isEmpty(), now, days)
+        kept = old.filter(F.lit(not rolled.first()["reset"]))  # the cycle table has one row
         one = batch.groupBy("protocol", "fingerprint").agg(F.min("uri").alias("uri"))
-        merged = publish.enforce_cap(publish.merge_pool(old, one, now), cap).drop("change")
-        merged.withColumn("hits", F.col("hits").cast("int")).write.mode("overwrite").parquet(f"{root}/v{batch_id:08d}")
+        merged = publish.enforce_cap(publish.merge_pool(kept, one, now), cap).drop("change")
+        merged.withColumn("hits", F.col("hits").cast("int")).write.mode("overwrite").parquet(f"{root}/v{batch_id % 3}/pool")
+        rolled.select("cycle_started_at", F.col("generation").cast("int").alias("generation")).write.mode("overwrite").parquet(f"{root}/v{batch_id % 3}/cycle")
 
     return current.writeStream.foreachBatch(merge)
 

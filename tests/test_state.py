@@ -1,7 +1,8 @@
 """Pool, channels, extraction and streams."""
 
+import json
 import tempfile
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -143,21 +144,73 @@ def test_files_round_trip(spark):
     pool = spark.createDataFrame([("vless", "u2", 2), ("vless", "u1", 1), ("trojan", "t", 1)], "protocol string, uri string, place int")
     tables.write_protocol_files(pool, f"{root}/out")
     back = spark.read.text(f"{root}/out")
+    assert spark.read.text(f"{root}/out/protocol=hysteria2").isEmpty()
     assert [r.value for r in back.filter("protocol = 'vless'").collect()] == ["u1", "u2"]
     tables.write_registry(spark.createDataFrame([("B_chan_name",), ("a_chan_name",)], "handle string"), f"{root}/reg")
     assert sorted(r.handle for r in tables.read_registry(spark.read.text(f"{root}/reg")).collect()) == ["a_chan_name", "b_chan_name"]
 
 
+def test_stored_cycle(spark):
+    texts = ['{"schema":1,"cycle_started_at":"2026-08-10T00:00:00Z","generation":3}', '{"schema":1,"cycle_started_at":5,"generation":"4"}', '{"schema":2,"generation":7}', '{"schema":1,"generation":0}', "broken"]
+    got = [tuple(r) for r in tables.pool_cycle(spark.createDataFrame([(t,) for t in texts], "value string")).collect()]
+    assert got == [("2026-08-10T00:00:00Z", 3)] + [("1970-01-01T00:00:00Z", 1)] * 4
+
+
+def test_stored_channels(spark):
+    good = {"status": "watch", "score": 41.236, "reason": "r", "evidence_runs": 2, "first_seen_at": "a", "last_seen_at": "b", "last_evaluated_at": "c", "confidence": 1, "required_score": 50, "deep_accepted": 0, "deep_rejected": 4, "runs_since_evaluation": 0}
+    bad = [{"score": "41"}, {"score": 101}, {"evidence_runs": 1.5}, {"evidence_runs": True}, {"reason": ""}, {"first_seen_at": 3}, {"status": "other"}, {"deep_rejected": -1}, {"more": 1}]
+    channels_of = {"k" * 63 + "0": good, "short": good} | {"k" * 63 + str(n + 1): good | b for n, b in enumerate(bad[:9])}
+    channels_of["m" * 64] = {k: v for k, v in good.items() if k != "reason"}
+    text = [json.dumps({"version": v, "channels": channels_of}) for v in (5, 4)]
+    rows = tables.parse_channel_state(spark.createDataFrame([(t,) for t in text], "value string")).collect()
+    assert [(r.key, r.score, r.confidence, r.required_score, r.deep_rejected) for r in rows] == [("k" * 63 + "0", 41.24, 1.0, 50.0, 4)]
+
+
+def test_versions(spark):
+    root = tempfile.mkdtemp(prefix="spark-sluiceway-")
+    assert tables.current_version(spark, root) is None and tables.load_state(spark, root) is None
+    for version in (1, 2):
+        tables.save_state(spark.range(version), root, version)
+    spark.range(9).write.parquet(f"{root}/v00000003")  # cut short: not in the log
+    assert tables.current_version(spark, root) == 2 and tables.load_state(spark, root).count() == 2
+    tables.save_state(spark.range(5), root, 3)
+    assert tables.load_state(spark, root).count() == 5
+
+
+def test_publication(spark):
+    rows = [(0, 0, "trojan", "a" * 64, "trojan://x@h:1", "tls", "ws"), (0, 1, "trojan", "b" * 64, "trojan://y@h:1", "tls", "tcp"), (1, 0, "trojan", "b" * 64, "trojan://z@h:1", "tls", "tcp")]
+    found = spark.createDataFrame(rows, "doc_idx long, line_idx int, protocol string, fingerprint string, original_uri string, security string, transport string")
+    old = datetime(2026, 8, 10)
+    pool = spark.createDataFrame([("trojan", "a" * 64, "kept", old, old, 1), ("vless", "c" * 64, "other", old, old, 1)], POOL)
+
+    def run(start):
+        cycle = spark.createDataFrame([(start, 4)], "cycle_started_at string, generation int")
+        new, rolled, report = publish.publish(found, pool, cycle, NOW)
+        return sorted((r.protocol, r.place, r.uri.split("#")[0]) for r in new.collect()), tuple(rolled.first()), {r.protocol: tuple(r)[1:] for r in report.collect()}
+
+    new, rolled, report = run("2026-08-11T00:00:00Z")
+    assert new == [("trojan", 1, "kept"), ("trojan", 2, "trojan://y@h:1"), ("vless", 1, "other")] and rolled == ("2026-08-11T00:00:00Z", 4)
+    assert report == {"trojan": (1, 1, 0, 2, 1, 5, 2, 4, False), "vless": (0, 0, 0, 1, 1, 5, 2, 4, False), "hysteria2": (0, 0, 0, 0, 0, 5, 2, 4, False)}
+    new, rolled, report = run("2026-08-01T00:00:00Z")
+    assert new == [("trojan", 1, "trojan://y@h:1"), ("trojan", 2, "trojan://x@h:1")] and rolled == ("2026-08-15T12:00:00Z", 5)
+    assert report["trojan"] == (2, 0, 0, 2, 0, 1, 6, 5, True) and report["vless"] == (0, 0, 0, 0, 0, 1, 6, 5, True)
+
+
 def test_streams_equal_batch(spark):
     root = tempfile.mkdtemp(prefix="spark-sluiceway-")
     current = spark.createDataFrame([("vless", f"f{i % 7}", f"u{i % 7}") for i in range(20)], "protocol string, fingerprint string, uri string")
     current.repartition(3).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(current.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    q = jobs.stream_accumulate(stream, f"{root}/pool", NOW).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
+    times = iter([NOW + timedelta(days=d) for d in (0, 1, 9, 10, 11, 12)])
+    q = jobs.stream_accumulate(stream, f"{root}/pool", lambda: next(times)).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     last = q.lastProgress["batchId"]
-    pool = spark.read.parquet(f"{root}/pool/v{last:08d}")
-    assert {(r.fingerprint, r.uri) for r in pool.collect()} == {(f"f{i}", f"u{i}") for i in range(7)}
+    pool, cycle = jobs.accumulated(spark, f"{root}/pool", last)
+    assert last == 2 and {r.hits for r in pool.collect()} == {1} and {r.last_seen_at for r in pool.collect()} == {NOW + timedelta(days=9)}  # the third batch begins a new cycle
+    assert tuple(cycle.first()) == ("2026-08-24T12:00:00Z", 2)
+    before, cycle = jobs.accumulated(spark, f"{root}/pool", last - 1)
+    assert tuple(cycle.first()) == ("2026-08-15T12:00:00Z", 1)
+    assert {r.fingerprint for r in before.collect()} >= {r.fingerprint for r in spark.read.parquet(f"{root}/in").collect()} - {r.fingerprint for r in pool.collect()}
     posts = spark.createDataFrame([("c", str(i % 5), NOW) for i in range(20)], "handle string, message_id string, published_at timestamp")
     posts.write.parquet(f"{root}/posts")
     fresh = jobs.stream_fresh_posts(spark.readStream.schema(posts.schema).parquet(f"{root}/posts"))
