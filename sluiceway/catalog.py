@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.functions.uri import compact_code, computed
 from sluiceway.operators import channels, extract, identity, outbound, probes, profiles, publish
-from sluiceway.plans.derive import ATTEMPTS, CANDIDATES, CURRENT, EXPECTED, MENTIONS, METRICS, OUTBOUND, PAGES, POOL, POSTS, STATE, TRANSFERS, table
+from sluiceway.plans.derive import ATTEMPTS, CANDIDATES, CURRENT, EXPECTED, MENTIONS, METRICS, OUTBOUND, PAGES, POOL, POSTS, STATE, TRANSFERS, WALK, table
 from sluiceway.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,7 +61,7 @@ def c4_parse_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_idx, line_idx, CASE WHEN bad = 8 THEN NULL ELSE CASE WHEN p < 2 THEN CASE bad WHEN 1 THEN '' ELSE 'www.example.com' END ELSE CASE bad WHEN 1 THEN '' ELSE 'www.example.com' END END END AS sni, CASE WHEN bad <> 8 THEN CASE WHEN bad = 2 THEN 'unknownbrowser' WHEN p = 1 AND bad = 5 THEN '' WHEN p = 0 THEN 'chrome' WHEN p = 1 THEN 'firefox' END END AS fp, CASE WHEN bad <> 8 THEN CASE WHEN p = 1 AND bad = 9 AND t IN (1, 3) THEN 'gate' WHEN p < 2 AND t IN (1, 3) THEN '/gate' END END AS path FROM ({CANDIDATES}) e")
 def c2_query_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = profiles.parse_profiles(table(spark, sf_dir, CANDIDATES))
-    return out.select("doc_idx", "line_idx", *(F.try_element_at("params", F.lit(k)).alias(k) for k in ("sni", "fp", "path")))
+    return out.select("doc_idx", "line_idx", "params.sni", "params.fp", "params.path")
 
 
 @query(f"SELECT doc_idx, line_idx, reason, bad <> 8 AS parsed FROM ({EXPECTED}) e")
@@ -193,12 +194,15 @@ def e2_aggregate_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _probes(spark, sf_dir).withColumn("latencies", F.array_join("latencies_ms", ",")).drop("latencies_ms")
 
 
-@query(f"SELECT {_KEY}, {_GRADE} AS grade, CASE WHEN latency_ms <= 150 THEN 100.0::DOUBLE WHEN latency_ms <= 300 THEN 70.0::DOUBLE ELSE 40.0::DOUBLE END AS component FROM ({_AGG}) a")
-def e3_e6_latency_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _probes(spark, sf_dir).select(*probes.ENDPOINT, probes.latency_grade(F.col("latency_ms")).alias("grade"), probes.latency_component(F.lit(True), F.col("latency_ms")).alias("component"))
+_WANTED = "SELECT l_orderkey, l_linenumber, CASE l_partkey % 3 WHEN 0 THEN 'vless' WHEN 1 THEN 'trojan' ELSE 'hysteria2' END AS protocol, 'node' || CAST(l_suppkey % 130 AS STRING) || '.example.org' AS host, 443 + l_partkey % 5 AS port, l_partkey % 2 = 0 AS use_tls, CASE WHEN l_partkey % 2 = 0 THEN 'www.example.com' ELSE '' END AS server_name FROM lineitem"
 
 
-_WANTED = "SELECT l_orderkey, l_linenumber, CASE l_partkey % 3 WHEN 0 THEN 'vless' WHEN 1 THEN 'trojan' ELSE 'hysteria2' END AS protocol, 'node' || CAST(l_suppkey % 130 AS STRING) || '.example.org' AS host, 443 + l_partkey % 5 AS port, l_partkey % 2 = 0 AS use_tls, CASE WHEN l_partkey % 2 = 0 THEN 'www.example.com' ELSE '' END AS server_name FROM lineitem"
+@query(f"SELECT {_KEY}, {_GRADE} AS grade, CASE WHEN attempts_made IS NULL THEN 60.0::DOUBLE WHEN latency_ms <= 150 THEN 100.0::DOUBLE WHEN latency_ms <= 300 THEN 70.0::DOUBLE ELSE 40.0::DOUBLE END AS component FROM (SELECT DISTINCT {_KEY} FROM ({_WANTED}) w) LEFT JOIN ({_AGG}) a USING ({_KEY})")
+def e3_e6_latency_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all endpoints that profiles name; a quarter of them was never probed."""
+    named = table(spark, sf_dir, _WANTED).select(*probes.ENDPOINT).distinct().join(_probes(spark, sf_dir), probes.ENDPOINT, "left")
+    ms = F.col("latency_ms")
+    return named.select(*probes.ENDPOINT, probes.latency_grade(ms).alias("grade"), probes.latency_component(F.col("attempts_made").isNotNull(), ms).alias("component"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, CASE WHEN protocol <> 'hysteria2' AND NOT coalesce(responded, false) THEN 'unreachable_endpoint' END AS reason FROM ({_WANTED}) w LEFT JOIN ({_AGG}) a USING ({_KEY})")
@@ -217,54 +221,72 @@ def e7_tunnel_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WIN = f"""
-SELECT d.profile_key, d.win, coalesce(bytes, 0) AS bytes, coalesce(bytes, 0) / 1024 / greatest(0.001::DOUBLE, CASE WHEN d.win < 0 THEN d.stop WHEN d.win = d.top THEN least(1.8125, d.stop - (0.75 + d.win * 1.8125)) ELSE 1.8125 END) AS kbps
-FROM (SELECT profile_key, top, stop, unnest(CASE WHEN top < 0 THEN [-1] ELSE range(0, top + 1) END) AS win FROM (SELECT profile_key, max(win) AS top, max(elapsed_s) AS stop FROM w GROUP BY profile_key)) d
+SELECT d.profile_key, d.win, received, coalesce(bytes, 0) AS bytes, seconds, coalesce(bytes, 0) / 1024 / greatest(0.000001::DOUBLE, seconds) AS kbps
+FROM (SELECT *, CASE WHEN win < 0 THEN stop WHEN win = top THEN least(2.0::DOUBLE, stop - (0.75 + win * 2.0)) ELSE 2.0::DOUBLE END AS seconds
+  FROM (SELECT profile_key, top, stop, received, unnest(CASE WHEN top < 0 THEN [-1] ELSE range(0, top + 1) END) AS win FROM (SELECT profile_key, max(win) AS top, max(elapsed_s) AS stop, sum(bytes) AS received FROM w GROUP BY profile_key))) d
 LEFT JOIN (SELECT profile_key, win, sum(bytes) AS bytes FROM w GROUP BY profile_key, win) s USING (profile_key, win)
 """
-_WITH_W = f"WITH w AS (SELECT *, CAST(CASE WHEN elapsed_s <= 0.75 THEN -1 ELSE least(3, floor((elapsed_s - 0.75) / 1.8125)) END AS INT) AS win FROM (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY profile_key ORDER BY elapsed_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({TRANSFERS}) t) WHERE before < 2000000 AND elapsed_s <= 8)"
+_WITH_W = f"WITH w AS (SELECT *, CASE WHEN elapsed_s <= 0.75 THEN -1 ELSE CAST(ceil((elapsed_s - 0.75) / 2.0) AS INT) - 1 END AS win FROM (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY profile_key ORDER BY elapsed_s, bytes ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({TRANSFERS}) t WHERE elapsed_s <= 8.75) WHERE before < 2000000)"
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probes.transfer_windows(table(spark, sf_dir, TRANSFERS))
 
 
-@query(f"{_WITH_W} SELECT profile_key, CAST(win AS INT) AS win, CAST(round(kbps, 3) AS DOUBLE) AS kbps, CAST(bytes AS BIGINT) AS bytes FROM ({_WIN})")
+@query(f"{_WITH_W} SELECT profile_key, CAST(win AS INT) AS win, CAST(round(kbps, 3) AS DOUBLE) AS kbps, CAST(bytes AS BIGINT) AS bytes, CAST(received AS BIGINT) AS received FROM ({_WIN})")
 def e8_transfer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _windows(spark, sf_dir).withColumn("kbps", F.round("kbps", 3))
+    return _windows(spark, sf_dir).select("profile_key", "win", F.round("kbps", 3).alias("kbps"), "bytes", "received")
 
 
-_STATS = f"SELECT profile_key, round(avg(kbps), 1) AS mean_kbps, round(max(kbps), 1) AS peak_kbps, CASE WHEN count(*) >= 2 THEN round(stddev_pop(kbps), 1) END AS jitter, round(CASE WHEN avg(kbps) = 0 THEN 0 WHEN count(*) = 1 THEN 1 ELSE least(min(kbps) / avg(kbps), 1) END, 3) AS stability, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM ({_WIN}) GROUP BY profile_key"
+_STATS = f"""
+SELECT profile_key, round_even(mean, 1) AS mean_kbps, round_even(peak, 1) AS peak_kbps, CASE WHEN n >= 2 THEN round_even(spread, 1) END AS jitter, round_even(steadiness, 3) AS stability, total_bytes, mean, steadiness
+FROM (SELECT *, CASE WHEN n < 2 THEN 1.0::DOUBLE WHEN mean > 0 THEN least(least_kbps / mean, 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS steadiness
+  FROM (SELECT profile_key, count(*) AS n, sum(bytes) / 1024 / greatest(sum(seconds), 0.000001::DOUBLE) AS mean, max(kbps) AS peak, stddev_pop(kbps) AS spread, min(kbps) AS least_kbps, CAST(max(received) AS BIGINT) AS total_bytes FROM ({_WIN}) GROUP BY profile_key) a) b
+"""
 
 
-@query(f"{_WITH_W} {_STATS}")
+@query(f"{_WITH_W} SELECT profile_key, mean_kbps, peak_kbps, jitter, stability, total_bytes FROM ({_STATS})")
 def e9_transfer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probes.transfer_stats(_windows(spark, sf_dir))
+    return probes.transfer_stats(_windows(spark, sf_dir)).drop("mean", "steadiness")
 
 
-_SCORED = f"SELECT *, round_even(0.6::DOUBLE * least(mean_kbps / 2000, 1) * 100 + 0.25::DOUBLE * least(greatest(stability, 0), 1) * 100 + 0.15::DOUBLE * 60, 1) AS score, CASE WHEN mean_kbps < 200 THEN 'slow_endpoint' WHEN total_bytes < 262144 THEN 'insufficient_data' END AS reason FROM ({_STATS})"
+#: The probe's latency component of a profile, null where it was not probed.
+_COMPONENT = "CASE profile_key % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST(100 AS DOUBLE) WHEN 2 THEN CAST(70 AS DOUBLE) ELSE CAST(40 AS DOUBLE) END"
+_SCORED = f"SELECT *, round_even(0.6::DOUBLE * least(mean / 2000, 1) * 100 + 0.25::DOUBLE * least(greatest(steadiness, 0), 1) * 100 + 0.15::DOUBLE * coalesce({_COMPONENT}, 60), 1) AS score, CASE WHEN mean < 200 THEN 'slow_endpoint' WHEN total_bytes < 262144 THEN 'insufficient_data' END AS reason FROM ({_STATS})"
 _G = "CASE WHEN score >= 80 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' ELSE 'D' END"
+#: Every seventh customer's profile can't be measured.
+_TESTED = f"SELECT profile_key, mean_kbps, stability, {_G} AS grade, reason FROM ({_SCORED}) WHERE profile_key % 7 <> 0 UNION ALL SELECT c_custkey, NULL, NULL, NULL, 'speed_unsupported' FROM customer WHERE c_custkey % 7 = 0"
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = probes.transfer_stats(_windows(spark, sf_dir))
-    scored = stats.withColumn("score", probes.quality_score(F.col("mean_kbps"), F.col("stability"), F.lit(None).cast("double"))).withColumn("reason", probes.speed_verdict())
+    scored = stats.withColumn("score", probes.quality_score(F.col("mean"), F.col("steadiness"), F.expr(_COMPONENT))).withColumn("reason", probes.speed_verdict())
     return scored.withColumn("grade", probes.quality_grade(F.col("score")))
 
 
+def _tested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes with those of the profiles that can't be measured."""
+    done = _outcomes(spark, sf_dir).filter("profile_key % 7 <> 0").select("profile_key", "mean_kbps", "stability", "grade", "reason")
+    none = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 7 = 0")
+    return done.unionByName(none.select(F.col("c_custkey").alias("profile_key"), F.lit(probes.UNSUPPORTED).alias("reason")), allowMissingColumns=True)
+
+
 @query(f"{_WITH_W} SELECT profile_key, score, {_G} AS grade, reason FROM ({_SCORED})")
 def e10_e11_speed_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outcomes(spark, sf_dir).select("profile_key", "score", "grade", "reason")
 
 
-@query(f"{_WITH_W} SELECT c_custkey AS profile_key, CASE WHEN s.profile_key IS NULL THEN 'speed_unmeasured' ELSE reason END AS reason FROM customer LEFT JOIN ({_SCORED}) s ON s.profile_key = c_custkey")
+@query(f"{_WITH_W} SELECT c_custkey AS profile_key, mode, CASE WHEN s.profile_key IS NULL OR reason = 'speed_unsupported' THEN CASE mode WHEN 'strict' THEN 'speed_unmeasured' END ELSE reason END AS reason FROM customer CROSS JOIN (VALUES ('strict'), ('best_effort')) m(mode) LEFT JOIN ({_TESTED}) s ON s.profile_key = c_custkey")
 def e12_speed_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("profile_key"))
-    return probes.speed_gate(own, _outcomes(spark, sf_dir), "strict")
+    outcomes = _tested(spark, sf_dir)
+    strict, kept = (probes.speed_gate(own, outcomes, mode).withColumn("mode", F.lit(mode)) for mode in ("strict", "best_effort"))
+    return strict.union(kept)
 
 
-@query(f"{_WITH_W} SELECT count(*) AS tested, count(*) FILTER (reason IS NULL) AS passed, count(*) FILTER (reason IS NOT NULL) AS failed, round(median(mean_kbps), 1) AS median_kbps, quantile_disc(mean_kbps, 0.9) AS p90_kbps, count(*) FILTER (g = 'A') AS grade_a, count(*) FILTER (g = 'B') AS grade_b, count(*) FILTER (g = 'C') AS grade_c, count(*) FILTER (g = 'D') AS grade_d FROM (SELECT *, {_G} AS g FROM ({_SCORED}))")
+@query(f"{_WITH_W}, t AS ({_TESTED}), p AS (SELECT * FROM t WHERE reason IS NULL) SELECT (SELECT count(*) FROM t) AS tested, count(*) AS passed, (SELECT count(*) FROM t) - count(*) AS failed, (SELECT count(*) FROM t WHERE reason = 'speed_unsupported') AS unsupported_kept, coalesce(round_even(median(mean_kbps), 1), 0) AS median_kbps, coalesce(quantile_disc(mean_kbps, 0.9), 0) AS p90_kbps, round_even(avg(stability), 3) AS avg_stability, count(*) FILTER (grade = 'A') AS grade_a, count(*) FILTER (grade = 'B') AS grade_b, count(*) FILTER (grade = 'C') AS grade_c, count(*) FILTER (grade = 'D') AS grade_d FROM p")
 def e13_speed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probes.speed_summary(_outcomes(spark, sf_dir))
+    return probes.speed_summary(_tested(spark, sf_dir))
 
 
 # Pool and state
@@ -399,7 +421,7 @@ _EVALUATED = f"""
 SELECT handle, sha256(handle) AS key, CASE WHEN carried THEN old_status ELSE split_part(verdict, '/', 1) END AS status, CAST(CASE WHEN carried THEN old_score ELSE now_score END AS DOUBLE) AS score,
   CASE WHEN carried THEN 'preview_unavailable' ELSE split_part(verdict, '/', 2) END AS reason, CAST(CASE WHEN carried THEN old_evidence ELSE evidence END AS INT) AS evidence_runs,
   CASE WHEN carried THEN old_confidence ELSE conf END AS confidence, CASE WHEN carried THEN old_required ELSE required END AS required_score,
-  strftime(coalesce(old_first, TIMESTAMP '2024-01-31'), '%Y-%m-%d %H:%M:%S') AS first_seen_at, '2024-01-31 00:00:00' AS last_evaluated_at,
+  strftime(coalesce(old_first, TIMESTAMP '2024-01-31'), '%Y-%m-%d %H:%M:%S') AS first_seen_at, '2024-01-31 00:00:00' AS last_seen_at, '2024-01-31 00:00:00' AS last_evaluated_at,
   CAST(coalesce(old_passed, 0) + CASE WHEN carried THEN 0 ELSE deep_passed END AS BIGINT) AS deep_accepted, CAST(coalesce(old_failed, 0) + CASE WHEN carried THEN 0 ELSE deep_failed END AS BIGINT) AS deep_rejected
 FROM ({_JUDGED}) v
 """
@@ -425,10 +447,14 @@ _REG = "SELECT DISTINCT 'chan_' || CAST(10000 + user_id AS STRING) AS handle FRO
 _DISC = "SELECT DISTINCT 'chan_' || CAST(10000 + user_id AS STRING) AS handle FROM events WHERE user_id % 5 = 1"
 
 
-@query(f"SELECT handle FROM ({_DISC}) d UNION SELECT handle FROM ({_REG}) r WHERE handle NOT IN (SELECT handle FROM ({_DISC}) d) AND handle IN (SELECT handle FROM ({STATE}) s WHERE status <> 'excluded' AND runs_since_evaluation + 1 >= 3)")
+_DUE = f"SELECT handle FROM ({_REG}) r WHERE handle NOT IN (SELECT handle FROM ({_DISC}) d) AND handle IN (SELECT handle FROM ({STATE}) s WHERE status <> 'excluded' AND runs_since_evaluation + 1 >= 3)"
+
+
+@query(f"SELECT handle FROM ({_DISC}) d UNION ({_DUE})")
 def f3_due_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = table(spark, sf_dir, STATE).withColumn("key", F.sha2("handle", 256)).drop("handle")
-    return channels.due_channels(table(spark, sf_dir, _REG), table(spark, sf_dir, _DISC), state)
+    discovered = table(spark, sf_dir, _DISC)
+    return channels.evaluation_targets(discovered, channels.due_channels(table(spark, sf_dir, _REG), discovered, state))
 
 
 @query(f"SELECT handle, event_id FROM (SELECT *, row_number() OVER (PARTITION BY handle ORDER BY event_id) AS k FROM ({POSTS}) p) WHERE k <= 10")
@@ -436,20 +462,44 @@ def f4_cap_per_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return channels.cap_per_channel(table(spark, sf_dir, POSTS).withColumn("ordinal", F.col("event_id")), 10).select("handle", "event_id")
 
 
-@query(f"SELECT handle, count(*) AS fresh_posts, count(*) - count(DISTINCT text) AS duplicate_posts, CAST(sum(length(text)) AS BIGINT) AS total_text_length, (max(epoch(date_trunc('second', published_at))) - min(epoch(date_trunc('second', published_at)))) / 3600 AS span_hours, count(*) FILTER (event_id % 4 IN (1, 2)) AS posts_with_profiles FROM ({POSTS}) p GROUP BY handle")
+#: URIs of a channel's posts: those of supported schemes, and all others.
+_URIS = f"""
+SELECT handle, uri, uri LIKE 'trojan://%' AS supported, uri LIKE 'trojan://pass%?%' AS accepted, split_part(uri, '#', 1) AS identity FROM (
+  SELECT DISTINCT handle, unnest(list_concat(u, [split_part(x, '?', 1) FOR x IN u])) AS uri FROM (
+    SELECT handle, CASE event_id % 4 WHEN 3 THEN ['ttps://example.org/' || CAST(event_id % 3 AS STRING)] ELSE regexp_extract_all(text, '[a-z]+://[^ ]+') END AS u FROM ({POSTS}) p))
+"""
+
+
+@query(f"""
+SELECT p.*, coalesce(all_uri_candidates, 0) AS all_uri_candidates, coalesce(supported_candidates, 0) AS supported_candidates, coalesce(accepted, 0) AS static_accepted, coalesce(unique_profiles, 0) AS unique_profiles,
+  coalesce(accepted, 0) AS deep_passed, coalesce(parsed, 0) - coalesce(accepted, 0) AS deep_failed
+FROM (SELECT handle, count(*) AS fresh_posts, count(*) - count(DISTINCT text) AS duplicate_posts, CAST(sum(length(text)) AS BIGINT) AS total_text_length, (max(epoch(date_trunc('second', published_at))) - min(epoch(date_trunc('second', published_at)))) / 3600 AS span_hours, count(*) FILTER (event_id % 4 IN (1, 2)) AS posts_with_profiles FROM ({POSTS}) p GROUP BY handle) p
+LEFT JOIN (SELECT handle, count(*) AS all_uri_candidates, count(*) FILTER (supported) AS supported_candidates, count(*) FILTER (supported) AS parsed, least(3, count(*) FILTER (accepted)) AS accepted FROM ({_URIS}) u GROUP BY handle) u USING (handle)
+LEFT JOIN (SELECT handle, count(DISTINCT identity) AS unique_profiles FROM (SELECT handle, identity, row_number() OVER (PARTITION BY handle ORDER BY place) AS k FROM (
+  SELECT handle, identity, min((CAST(event_id AS BIGINT), uri)) AS place FROM (SELECT handle, event_id, uri, split_part(uri, '#', 1) AS identity FROM (SELECT handle, event_id, regexp_extract(text, '(trojan://pass[^ ]+)', 1) AS uri FROM ({POSTS}) p WHERE event_id % 4 = 1)) GROUP BY handle, identity, uri)) WHERE k <= 3 GROUP BY handle) c USING (handle)
+""")
 def f5_channel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = table(spark, sf_dir, POSTS).withColumn("has_profile", F.col("text").rlike(r"(?i)(vless|trojan|hy2|hysteria2)://"))
-    none = posts.limit(0)
-    out = channels.channel_metrics(posts, none.select("handle", F.lit(True).alias("supported")), none.select("handle", F.lit(True).alias("parsed"), F.lit(True).alias("capped"), F.lit("").alias("fingerprint")))
-    return out.select("handle", "fresh_posts", "duplicate_posts", "total_text_length", "span_hours", "posts_with_profiles")
+    """Posts, the URIs found in them, and their profiles through the channels' filter and cap."""
+    posts = table(spark, sf_dir, POSTS).withColumns({"has_profile": F.col("text").rlike(r"(?i)(vless|trojan|hy2|hysteria2)://"), "hrefs": F.array().cast("array<string>")})
+    found = extract.extract_uris(posts, order=("event_id",))
+    every = extract.extract_uris(posts, generic=True, order=("event_id",))
+    uris = every.select("handle", F.col("uri").rlike("^(vless|trojan|hy2|hysteria2)://").alias("supported"))
+    checked = profiles.static_filter(found.withColumnRenamed("uri", "line"), pointers=False)
+    good = computed(checked.filter("reason is null"), fingerprint=identity.fingerprint())
+    capped = channels.cap_per_channel(good, 3).select("handle", "ordinal", F.lit(True).alias("capped"), "fingerprint")
+    rows = checked.select("handle", "ordinal", "parsed").join(capped, ["handle", "ordinal"], "left").withColumn("capped", F.coalesce("capped", F.lit(False)))
+    return channels.channel_metrics(posts, uris, rows).drop("preview_available")
 
 
 _SUMS = "CAST(sum(supported_candidates) AS BIGINT) AS uri_candidates, CAST(sum(static_accepted) AS BIGINT) AS static_accepted_profiles, CAST(sum(unique_profiles) AS BIGINT) AS unique_profiles, CAST(sum(deep_passed) AS BIGINT) AS deep_accepted_profiles"
 
 
-@query(f"SELECT (SELECT count(*) FROM ({_DISC}) d) AS discovered_channels, (SELECT count(*) FROM ({ORACLES['f3_due_channels']}) u) AS reevaluated_channels, (SELECT count(*) FROM ({_EVALUATED}) e WHERE status = 'approved') AS approved_channels, {_SUMS} FROM ({METRICS}) m")
+@query(f"SELECT (SELECT count(*) FROM ({_DISC}) d) AS discovered_channels, (SELECT count(*) FROM ({_DUE}) u) AS reevaluated_channels, (SELECT count(*) FROM ({_EVALUATED}) e WHERE status = 'approved') AS approved_channels, {_SUMS} FROM ({METRICS}) m")
 def f15_telegram_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return channels.telegram_summary(table(spark, sf_dir, _DISC), f3_due_channels(spark, sf_dir), _evaluated(spark, sf_dir)[1], table(spark, sf_dir, METRICS))
+    state, evaluated = _evaluated(spark, sf_dir)
+    discovered = table(spark, sf_dir, _DISC)
+    due = channels.due_channels(table(spark, sf_dir, _REG), discovered, state)
+    return channels.telegram_summary(discovered, due, evaluated, table(spark, sf_dir, METRICS))
 
 
 # Extraction
@@ -459,8 +509,10 @@ _NUMBERED = f"SELECT doc_idx, first AS line_idx, line FROM (SELECT doc_idx, line
 
 @query(f"SELECT doc_idx, CAST(row_number() OVER (PARTITION BY doc_idx ORDER BY line_idx) - 1 AS INT) AS line_idx, line FROM ({_NUMBERED}) n")
 def b1_b2_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines stand between blanks of several kinds; every fifth document is in an envelope."""
     own = table(spark, sf_dir, CANDIDATES).groupBy("doc_idx").agg(F.array_sort(F.collect_list(F.struct("line_idx", "line")))["line"].alias("lines"))
-    lines = own.select("doc_idx", F.array_join("lines", "\r\n").alias("text"))
+    around = F.transform(F.col("lines"), lambda x, i: F.concat(F.element_at(F.array(*map(F.lit, ("", "\t", "\u00a0 ", "\x0b\r"))), (i % 4 + 1).cast("int")), x, F.element_at(F.array(*map(F.lit, (" ", "\u3000", "", "\t\x1f"))), (i % 4 + 1).cast("int"))))
+    lines = own.select("doc_idx", F.array_join(around, "\r\n").alias("text"))
     docs = lines.select("doc_idx", F.when(F.col("doc_idx") % 5 == 0, F.base64(F.col("text").cast("binary"))).otherwise(F.col("text")).alias("text"))
     return extract.document_lines(docs).select("doc_idx", "line_idx", "line")
 
@@ -485,34 +537,65 @@ def b7_parse_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _times(extract.parse_posts(table(spark, sf_dir, PAGES)).select("handle", "message_id", "published_at", "text"))
 
 
-_KEPT = f"SELECT handle, page_no, message_id FROM ({PAGES}) p WHERE published_at >= TIMESTAMP '2024-01-31' - INTERVAL 480 HOUR"
+_WALKED = f"""
+WITH RECURSIVE pages AS (SELECT handle, page_no, max(reason) AS reason, row_number() OVER (PARTITION BY handle ORDER BY page_no) AS place FROM ({WALK}) w GROUP BY handle, page_no),
+fresh AS (SELECT handle, page_no, message_id FROM ({WALK}) w WHERE reason IS NULL AND NOT (CAST(substr(handle, 6) AS INT) % 6 = 2 AND page_no = 3) AND published_at >= TIMESTAMP '2024-01-31' - INTERVAL 480 HOUR),
+news AS (SELECT * FROM (SELECT *, min(page_no) OVER (PARTITION BY handle, message_id) AS f FROM fresh) WHERE page_no = f),
+marked AS (SELECT p.*, p.reason IS NOT NULL AS failed, p.reason IS NOT NULL OR n.handle IS NULL AS stop FROM pages p LEFT JOIN (SELECT DISTINCT handle, page_no FROM news) n USING (handle, page_no)),
+walk AS (SELECT * FROM marked WHERE place = 1 UNION ALL SELECT m.* FROM walk w JOIN marked m ON m.handle = w.handle AND m.place = w.place + 1 WHERE NOT w.stop AND m.place <= 4)
+"""
+
 
+def _walk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages of channels: some failed at the first or second page, some have an empty third one."""
+    landed = table(spark, sf_dir, WALK)
+    pages = landed.groupBy("handle", "page_no").agg(F.max("reason").alias("reason"))
+    empty = (F.expr("CAST(substr(handle, 6) AS INT) % 6") == 2) & (F.col("page_no") == 3)
+    posts = landed.filter(F.col("reason").isNull() & ~empty)
+    return extract.page_walk(pages, posts, F.lit(NOW), 480, 4)
 
-@query(f"SELECT k.handle, k.page_no, message_id FROM ({_KEPT}) k JOIN (SELECT handle, max(page_no) AS last FROM (SELECT handle, page_no, row_number() OVER (PARTITION BY handle ORDER BY page_no) AS r, min(n) OVER (PARTITION BY handle ORDER BY page_no) AS least FROM (SELECT p.handle, p.page_no, count(k.message_id) AS n FROM (SELECT DISTINCT handle, page_no FROM ({PAGES}) p) p LEFT JOIN ({_KEPT}) k USING (handle, page_no) GROUP BY 1, 2)) WHERE least > 0 GROUP BY handle) l ON l.handle = k.handle AND k.page_no <= l.last")
+
+@query(f"{_WALKED} SELECT n.handle, n.page_no, n.message_id FROM news n JOIN walk w ON w.handle = n.handle AND w.page_no = n.page_no AND NOT w.stop")
 def b8_page_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = table(spark, sf_dir, PAGES).withColumn("pos", F.col("event_id"))
-    return extract.page_posts(posts, F.lit(NOW), 480).select("handle", "page_no", "message_id")
+    return _walk(spark, sf_dir)[0].select("handle", "page_no", "message_id")
+
+
+@query(f"{_WALKED} SELECT handle, bool_or(place = 1 AND NOT failed) AS available, count(*) FILTER (NOT failed) AS pages_read, min(page_no) FILTER (stop) AS stop_page FROM walk GROUP BY handle")
+def b8_page_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _walk(spark, sf_dir)[1]
 
 
 _HREF = "'trojan://h' || CAST(event_id % 5 AS STRING) || '@h.example.org:1'"
+#: Places of URIs in the order of extraction: by page and place in it, then text before links, then depth.
+_PLACED = "SELECT handle, row_number() OVER (PARTITION BY handle ORDER BY place) AS ordinal, uri FROM (SELECT handle, uri, min((page_no, pos, piece, depth, nth)) AS place FROM ({0}) f GROUP BY handle, uri)"
+_PAGED = f"SELECT handle, event_id, text, CAST(event_id % 3 + 1 AS INT) AS page_no, CAST(-event_id AS INT) AS pos FROM ({POSTS}) p"
+_B9 = f"SELECT handle, page_no, pos, 0 AS piece, d AS depth, 0 AS nth, CASE d WHEN 0 THEN u ELSE split_part(u, '?', 1) END AS uri FROM (SELECT *, regexp_extract(text, '(trojan://[^ ]+)', 1) AS u, unnest([0, 1]) AS d FROM ({_PAGED}) p WHERE text LIKE '%trojan://%') UNION ALL SELECT handle, page_no, pos, 1, 0, 0, {_HREF} FROM ({_PAGED}) q WHERE event_id % 4 = 0"
+_B10 = f"SELECT handle, page_no, pos, 0 AS piece, d AS depth, nth, CASE WHEN event_id % 4 = 3 THEN 'ttps://example.org/' || CAST(event_id % 3 AS STRING) WHEN d = 0 THEN u[nth] ELSE split_part(u[nth], '?', 1) END AS uri FROM (SELECT *, unnest(range(1, len(u) + 1)) AS nth FROM (SELECT *, regexp_extract_all(text, '[a-z]+://[^ ]+') AS u, unnest([0, 1]) AS d FROM ({_PAGED}) p))"
 
 
-@query(f"SELECT handle, min(event_id) AS ordinal, uri FROM (SELECT handle, event_id, unnest([u, split_part(u, '?', 1)]) AS uri FROM (SELECT handle, event_id, regexp_extract(text, '(trojan://[^ ]+)', 1) AS u FROM ({POSTS}) p WHERE text LIKE '%trojan://%') UNION ALL SELECT handle, event_id, {_HREF} FROM ({POSTS}) q WHERE event_id % 4 = 0) GROUP BY handle, uri")
+@query(_PLACED.format(_B9))
 def b9_extract_profile_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part before '?' is a variant of its own: the path of the text read as a URL."""
-    return extract.extract_uris(table(spark, sf_dir, f"SELECT *, CASE WHEN event_id % 4 = 0 THEN array({_HREF}) END AS hrefs FROM ({POSTS}) p"))
+    """The part before '?' is a variant of its own: the path of the text read as a URL. Newer posts
+    come first on a page, so order is not that of ids."""
+    return extract.extract_uris(table(spark, sf_dir, f"SELECT *, CASE WHEN event_id % 4 = 0 THEN array({_HREF}) END AS hrefs FROM ({_PAGED}) p"))
 
 
-@query(f"SELECT handle, min(event_id) AS ordinal, uri FROM (SELECT handle, event_id, unnest(CASE event_id % 4 WHEN 3 THEN ['ttps://example.org/' || CAST(event_id % 3 AS STRING)] ELSE list_concat(regexp_extract_all(text, '[a-z]+://[^ ]+'), [split_part(x, '?', 1) FOR x IN regexp_extract_all(text, '[a-z]+://[^ ]+')]) END) AS uri FROM ({POSTS}) p) GROUP BY handle, uri")
+@query(_PLACED.format(_B10))
 def b10_extract_generic_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract_uris(table(spark, sf_dir, POSTS).withColumn("hrefs", F.array().cast("array<string>")), generic=True)
+    return extract.extract_uris(table(spark, sf_dir, _PAGED).withColumn("hrefs", F.array().cast("array<string>")), generic=True)
+
+
+_STAMP = "CAST(1700000000 + doc_idx AS STRING)"
+_DATED = f"""
+SELECT doc_idx, CASE doc_idx % 8 WHEN 0 THEN {_STAMP} WHEN 1 THEN {_STAMP} || '250' WHEN 2 THEN 'at ' || {_STAMP} || ', 12 digits 123456789012' WHEN 3 THEN 'seen 2023-11-14T22:13:20+01:30 and ' || {_STAMP}
+  WHEN 4 THEN '2023-11-14T22:13:20.5Z' WHEN 5 THEN '2023-11-14T22:13:20' WHEN 6 THEN 'x' || {_STAMP} || '0' ELSE 'no date' END AS text FROM (MENTIONS) m
+""".replace("MENTIONS", MENTIONS)
 
 
-@query(f"SELECT doc_idx, epoch_ms(1700000000000 + doc_idx * 1000)::VARCHAR AS at FROM ({MENTIONS}) m")
+@query(f"SELECT doc_idx, CASE doc_idx % 8 WHEN 3 THEN '2023-11-14 20:43:20' WHEN 4 THEN '2023-11-14 22:13:20' WHEN 5 THEN NULL WHEN 6 THEN NULL WHEN 7 THEN NULL ELSE strftime(make_timestamp((1700000000 + doc_idx) * 1000000), '%Y-%m-%d %H:%M:%S') END AS at FROM ({_DATED}) m")
 def b11_post_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, MENTIONS)
-    text = F.when(F.col("doc_idx") % 2 == 0, (F.lit(1700000000) + F.col("doc_idx")).cast("string")).otherwise((F.lit(1700000000000) + F.col("doc_idx") * 1000).cast("string"))
-    return t.select("doc_idx", F.date_format(extract.post_datetime(text), "yyyy-MM-dd HH:mm:ss").alias("at"))
+    """Digits alone and inside a text, of 10, 11 and 13 digits, and ISO with and without a zone."""
+    return table(spark, sf_dir, _DATED).select("doc_idx", F.date_format(extract.post_datetime(F.col("text")), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 # Sources
@@ -537,11 +620,60 @@ def a2_classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir).select("doc_idx", "freshness", "reason", F.length("text").cast("long").alias("n"))
 
 
-@query(f"SELECT 'sources' AS block, '{{\"freshness\":\"' || freshness || '\",\"last_modified\":' || CASE WHEN doc_idx % 3 = 0 THEN 'null' WHEN doc_idx % 3 = 1 THEN '\"2024-01-20T10:00:00Z\"' ELSE '\"2024-01-30T10:00:00Z\"' END || ',\"reason\":' || coalesce('\"' || reason || '\"', 'null') || '}}' AS body FROM ({ORACLES['a2_classify_documents']}) a UNION ALL SELECT 'excluded', '{{\"reason\":\"' || reason || '\",\"n\":' || n || '}}' FROM ({ORACLES['c10_exclusion_counts']}) c UNION ALL SELECT 'counts', '{{\"candidate_lines\":' || candidate_lines || ',\"parsed\":' || parsed || ',\"accepted\":' || accepted || '}}' FROM ({ORACLES['c11_filter_counts']}) k UNION ALL SELECT 'publication', '{{\"protocol\":\"' || protocol || '\",\"added\":' || added || ',\"refreshed\":' || refreshed || ',\"evicted\":' || evicted || ',\"total\":' || total || ',\"carried\":' || carried || '}}' FROM ({ORACLES['g8_publication_report']}) g")
+_REJECTED = f"""
+SELECT coalesce(reason, freshness) AS reason FROM ({ORACLES['a2_classify_documents']}) a WHERE n IS NULL
+UNION ALL SELECT reason FROM ({EXPECTED}) e WHERE reason IS NOT NULL
+UNION ALL SELECT reason FROM ({ORACLES['e4_reachability_gate']}) g WHERE reason IS NOT NULL
+UNION ALL SELECT reason FROM ({ORACLES['e12_speed_gate']}) s WHERE reason IS NOT NULL AND mode = 'strict'
+"""
+
+
+@query(f"SELECT reason, count(*) AS n FROM ({_REJECTED}) r GROUP BY reason")
+def c10_run_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejections of all stages: documents, static filter, reachability and speed gates."""
+    gates = [e4_reachability_gate(spark, sf_dir), e12_speed_gate(spark, sf_dir).filter("mode = 'strict'")]
+    stages = [tables.source_rejections(_classified(spark, sf_dir)), _filtered(spark, sf_dir), *gates]
+    return profiles.exclusion_counts(reduce(DataFrame.union, [df.select("reason") for df in stages]))
+
+
+@query(f"SELECT freshness, count(*) AS n FROM ({ORACLES['a2_classify_documents']}) a GROUP BY freshness")
+def c11_source_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.freshness_counts(_classified(spark, sf_dir))
+
+
+def _json_of(columns: str, source: str) -> str:
+    """SQL of the one row of source as JSON."""
+    return f"(SELECT '{{' || concat_ws(',', {', '.join(f"""'"{c}":' || coalesce(to_json({c})::VARCHAR, 'null')""" for c in columns.split())}) || '}}' FROM ({source}) j)"
+
+
+_MAP = "(SELECT '{{' || string_agg(to_json({0})::VARCHAR || ':' || {1}, ',' ORDER BY {0}) || '}}' FROM ({2}) j)"
+_SPEED = "tested passed failed unsupported_kept median_kbps p90_kbps avg_stability grade_a grade_b grade_c grade_d"
+_CHANNELS = "discovered_channels reevaluated_channels approved_channels uri_candidates static_accepted_profiles unique_profiles deep_accepted_profiles"
+_REACHED = "checked responsive stable stable_percent doh p50 p95 excellent good fair"
+_PUBLISHED = """'{{"added":' || added || ',"refreshed":' || refreshed || ',"evicted":' || evicted || ',"total":' || total || ',"carried":' || carried || '}}'"""
+_REPORT = f"""
+SELECT 'source' AS block, '{{"freshness":"' || freshness || '","last_modified":' || CASE WHEN doc_idx % 3 = 0 THEN 'null' WHEN doc_idx % 3 = 1 THEN '"2024-01-20T10:00:00Z"' ELSE '"2024-01-30T10:00:00Z"' END || ',"reason":' || coalesce('"' || reason || '"', 'null') || '}}' AS body FROM ({ORACLES['a2_classify_documents']}) a
+UNION ALL SELECT 'report', '{{"generated_at":"2024-01-31T00:00:00Z","policy":"Strict Secure","max_source_age_hours":72,"strict_first_seen":false,"publication":' || {_MAP.format("protocol", _PUBLISHED.format(), ORACLES['g8_publication_report'])}
+  || ',"counts":' || replace({_json_of("candidate_lines parsed accepted", ORACLES['c11_filter_counts'])}, '}}', '') || ',"source_freshness":' || {_MAP.format("freshness", "n", ORACLES['c11_source_freshness'])} || ',"excluded":' || {_MAP.format("reason", "n", ORACLES['c10_run_exclusions'])}
+  || '}},"telegram":' || {_json_of(_CHANNELS, ORACLES['f15_telegram_summary'])} || ',"speed_test":' || {_json_of(_SPEED, ORACLES['e13_speed_summary'])} || ',"reachability":' || {_json_of(_REACHED, ORACLES['e5_reachability_summary'])} || '}}'
+"""
+
+
+@query(_REPORT)
 def a10_build_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = _classified(spark, sf_dir)
-    blocks = {"excluded": c10_exclusion_counts(spark, sf_dir), "counts": c11_filter_counts(spark, sf_dir), "publication": g8_publication_report(spark, sf_dir)}
-    return tables.build_report(sources, blocks)
+    """The record of a whole run: all blocks from the tables of their stages."""
+    head = {"generated_at": F.lit(NOW), "policy": F.lit("Strict Secure"), "max_source_age_hours": F.lit(72), "strict_first_seen": F.lit(False)}
+    publication = g8_publication_report(spark, sf_dir)
+    return tables.build_report(
+        _classified(spark, sf_dir),
+        head=head,
+        publication=publication,
+        counts=c11_filter_counts(spark, sf_dir),
+        excluded=c10_run_exclusions(spark, sf_dir),
+        telegram=f15_telegram_summary(spark, sf_dir),
+        speed=e13_speed_summary(spark, sf_dir),
+        reachability=e5_reachability_summary(spark, sf_dir),
+    )
 
 
 @query(f"SELECT DISTINCT handle FROM ({_REG}) r")
@@ -572,17 +704,34 @@ def f14_retained_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return channels.retained_registry(table(spark, sf_dir, _DISC), table(spark, sf_dir, _REG), table(spark, sf_dir, STATE))
 
 
+#: Runs of channels; a tenth of the previews could not be had.
 _RUNS = f"""
-SELECT handle, CAST(day(published_at) AS BIGINT) AS run, CAST(count(*) AS INT) AS fresh_posts, CAST(sum(CASE WHEN event_id % 4 IN (1, 2) THEN 1 ELSE 0 END) AS INT) AS supported_candidates,
-  CAST(sum(CASE WHEN event_id % 4 = 1 THEN 1 ELSE 0 END) AS INT) AS static_accepted, CAST(sum(CASE WHEN event_id % 4 IN (1, 2) THEN 1 ELSE 0 END) AS INT) AS posts_with_profiles, CAST(sum(length(text)) AS BIGINT) AS total_text_length
-FROM ({POSTS}) p GROUP BY handle, day(published_at)
+SELECT handle, run, run % 10 <> CAST(substr(handle, 6) AS INT) % 10 AS preview_available, fresh_posts, fresh_posts AS all_uri_candidates, supported_candidates, static_accepted, static_accepted AS unique_profiles, 0 AS duplicate_posts,
+  posts_with_profiles, total_text_length, CAST(24 AS DOUBLE) AS span_hours, static_accepted AS deep_passed, supported_candidates - static_accepted AS deep_failed
+FROM (
+  SELECT handle, CAST(day(published_at) AS BIGINT) AS run, CAST(count(*) AS INT) AS fresh_posts, CAST(sum(CASE WHEN event_id % 4 IN (1, 2) THEN 1 ELSE 0 END) AS INT) AS supported_candidates,
+    CAST(sum(CASE WHEN event_id % 4 = 1 THEN 1 ELSE 0 END) AS INT) AS static_accepted, CAST(sum(CASE WHEN event_id % 4 IN (1, 2) THEN 1 ELSE 0 END) AS INT) AS posts_with_profiles, CAST(sum(length(text)) AS BIGINT) AS total_text_length
+  FROM ({POSTS}) p GROUP BY handle, day(published_at)) r
 """
-
-
-@query()
+_FOLDED = _JUDGED.replace(_BARS, "@BARS").replace("TIMESTAMP '2024-01-31'", "observed_at").replace("@BARS", _BARS).replace(_EVIDENCE, """
+SELECT r.*, s.status AS old_status, s.score AS old_score, s.evidence_runs AS old_evidence, s.last_evaluated_at AS old_at, s.confidence AS old_confidence, s.required_score AS old_required, s.deep_accepted AS old_passed, s.deep_rejected AS old_failed, coalesce(s.evidence_runs, 0) + 1 AS evidence
+FROM fold s JOIN runs r ON r.handle = s.handle AND r.k = s.k + 1
+""")
+
+
+@query(f"""
+WITH RECURSIVE scored AS (SELECT *, CAST({_RUN} AS DOUBLE) AS run_score, make_timestamp((1704067200 + run * 86400) * 1000000) AS observed_at FROM (SELECT *, fresh_posts * 24 / greatest(24, span_hours) AS rate FROM ({_RUNS}) m) x),
+runs AS (SELECT s.*, population_median, row_number() OVER (PARTITION BY handle ORDER BY run) AS k FROM scored s JOIN (SELECT run, CASE WHEN count(*) >= 2 THEN median(run_score) END AS population_median FROM scored GROUP BY run) USING (run)),
+fold AS (
+  SELECT DISTINCT handle, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS run, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS INT) AS evidence_runs, CAST(NULL AS DOUBLE) AS confidence, CAST(NULL AS DOUBLE) AS required_score, CAST(NULL AS TIMESTAMP) AS last_evaluated_at, CAST(NULL AS BIGINT) AS deep_accepted, CAST(NULL AS BIGINT) AS deep_rejected FROM runs
+  UNION ALL
+  SELECT handle, k, run, CASE WHEN carried THEN old_status ELSE split_part(verdict, '/', 1) END, CAST(CASE WHEN carried THEN old_score ELSE now_score END AS DOUBLE), CASE WHEN carried THEN 'preview_unavailable' ELSE split_part(verdict, '/', 2) END, CAST(CASE WHEN carried THEN old_evidence ELSE evidence END AS INT), CASE WHEN carried THEN old_confidence ELSE conf END, CASE WHEN carried THEN old_required ELSE required END, observed_at,
+    CAST(coalesce(old_passed, 0) + CASE WHEN carried THEN 0 ELSE deep_passed END AS BIGINT), CAST(coalesce(old_failed, 0) + CASE WHEN carried THEN 0 ELSE deep_failed END AS BIGINT)
+  FROM ({_FOLDED}) v)
+SELECT handle, run, status, score, reason, evidence_runs, confidence, required_score, deep_accepted, deep_rejected FROM fold WHERE k > 0
+""")
 def f11_fold_channel_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, _RUNS)
-    full = runs.withColumns({"all_uri_candidates": F.col("fresh_posts"), "unique_profiles": F.col("static_accepted"), "duplicate_posts": F.lit(0), "span_hours": F.lit(24.0), "deep_passed": F.col("static_accepted"), "deep_failed": F.col("supported_candidates") - F.col("static_accepted")})
-    scored = full.withColumn("run_score", channels.run_score()).withColumn("observed_at", F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, int(run))"))
+    scored = runs.withColumn("run_score", channels.run_score()).withColumn("observed_at", F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, int(run))"))
     middle = scored.groupBy("run").agg(F.when(F.count(F.lit(1)) >= 2, F.median("run_score")).alias("population_median"))
     return channels.fold_channel_runs(scored.join(middle, "run"))

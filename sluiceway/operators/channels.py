@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_EVEN, Decimal
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,58 +104,114 @@ def run_score(s: ChannelSettings = DEFAULTS) -> Column:
     return F.bround(total / sum(w for w, _ in parts) * 100, 2)
 
 
-def confidence(evidence: Column, s: ChannelSettings = DEFAULTS, m: Getter = F.col) -> Column:
-    return F.bround(0.4 * F.least(F.lit(1.0), evidence / max(1, s.min_evidence_runs)) + 0.3 * F.least(F.lit(1.0), m("fresh_posts") / max(1, s.min_fresh_posts)) + 0.3 * _share(m("posts_with_profiles"), m("fresh_posts")), 4)
+class _Columns:
+    """What the ladder needs besides arithmetic, on Columns; null is unknown."""
 
+    known, least, greatest, power = staticmethod(lambda x: x.isNotNull()), staticmethod(F.least), staticmethod(F.greatest), staticmethod(F.pow)
+    number, both = staticmethod(F.lit), staticmethod(lambda a, b: F.coalesce(a, b))
+    rounded = staticmethod(F.bround)
+
+    @staticmethod
+    def where(cond: Column, a: Column | str, b: Column | str) -> Column:
+        return F.when(cond, a).otherwise(b)
+
+    @staticmethod
+    def struct(**fields: Column) -> Column:
+        return F.struct(*(v.alias(k) for k, v in fields.items()))
+
+    @staticmethod
+    def let(value: Column, body: Callable[[Column], Column]) -> Column:
+        """body of a value that is computed once, however often the body reads it."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+
+class _Arrays:
+    """The same on numpy arrays; NaN is unknown."""
+
+    known, power = staticmethod(lambda x: ~np.isnan(x)), staticmethod(np.power)
+    number, where, struct = staticmethod(np.float64), staticmethod(np.where), staticmethod(dict)
+    both = staticmethod(lambda a, b: np.where(np.isnan(a), b, a))
+    let = staticmethod(lambda value, body: body(value))
+
+    @staticmethod
+    def least(*x):
+        return reduce(np.minimum, x)
+
+    @staticmethod
+    def greatest(*x):
+        return reduce(np.maximum, x)
+
+    @staticmethod
+    def rounded(x: np.ndarray, places: int) -> np.ndarray:
+        """Half to even on the number's decimal text, as ``bround`` has it."""
+        x = np.asarray(x, np.float64)
+        out, unit = np.round(x, places), 10.0**places
+        for i in np.flatnonzero(np.abs(np.abs(x * unit) % 1 - 0.5) < 1e-6):
+            out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-places), ROUND_HALF_EVEN))
+        return out
 
-def required_score(conf: Column, evidence: Column, previous: Column, run: Column, median: Column, s: ChannelSettings = DEFAULTS) -> Column:
-    extra = F.greatest(F.lit(0), evidence - s.min_evidence_runs)
-    bar = s.approval_score + (1 - conf) * s.new_channel_margin - F.least(F.lit(s.discount_floor), s.evidence_discount * extra) - F.when(previous.isNotNull(), _clamp(run - previous, 0.0, s.momentum_cap)).otherwise(0.0)
-    if s.relative_approval:
-        bar = F.when(median.isNotNull() & (run >= median), F.least(bar, median)).otherwise(bar)
-    return F.bround(_clamp(bar, max(0.0, s.approval_score - s.relative_floor), 100.0), 2)
 
+def _within(x, low, high, o):
+    return o.greatest(o.number(low), o.least(o.number(high), x))
 
-def _with(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often the body reads it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
 
+def confidence(evidence, m: Getter, s: ChannelSettings = DEFAULTS, o=_Columns):
+    one = o.number(1.0)
+    share = o.greatest(o.number(0.0), m("posts_with_profiles") / o.greatest(one, m("fresh_posts")))
+    return o.rounded(0.4 * o.least(one, evidence / max(1, s.min_evidence_runs)) + 0.3 * o.least(one, m("fresh_posts") / max(1, s.min_fresh_posts)) + 0.3 * share, 4)
 
-def next_state(old: Getter, m: Getter, now: Column, s: ChannelSettings = DEFAULTS) -> Column:
-    """A struct of status, reason, score, evidence_runs, confidence and required_score after a
-    run with metrics m; old gives the state before it, all null for an unknown channel."""
-    known, run, median = old("status").isNotNull(), m("run_score"), m("population_median")
-    hours = F.greatest(F.lit(1.0), (F.unix_timestamp(now) - F.unix_timestamp(old("last_evaluated_at"))) / 3600)
-    early = (run >= s.approval_score + s.new_channel_margin) | (F.lit(s.relative_approval) & median.isNotNull() & (run >= F.greatest(F.lit(s.approval_score), median)))
 
-    def judged(x: Column) -> Column:
+def required_score(conf, evidence, previous, run, median, s: ChannelSettings = DEFAULTS, o=_Columns):
+    extra = o.greatest(o.number(0.0), evidence - s.min_evidence_runs)
+    bar = s.approval_score + (1 - conf) * s.new_channel_margin - o.least(o.number(s.discount_floor), s.evidence_discount * extra) - o.where(o.known(previous), _within(run - previous, 0.0, s.momentum_cap, o), o.number(0.0))
+    if s.relative_approval:
+        bar = o.where(o.known(median) & (run >= median), o.least(bar, median), bar)
+    return o.rounded(_within(bar, max(0.0, s.approval_score - s.relative_floor), 100.0, o), 2)
+
+
+def next_state(old: Getter, m: Getter, hours, s: ChannelSettings = DEFAULTS, o=_Columns):
+    """status, reason, score, evidence_runs, confidence, required_score and the deep counters after a
+    run with metrics m, ``hours`` after the last one; old gives the state before it, unknown for a
+    new channel. A known channel whose preview is unavailable keeps its state."""
+    known, run, median = o.known(old("evidence_runs")), m("run_score"), m("population_median")
+    carried = known & ~m("preview_available")
+    early = run >= s.approval_score + s.new_channel_margin
+    if s.relative_approval:
+        early = early | (o.known(median) & (run >= o.greatest(o.number(s.approval_score), median)))
+
+    def judged(x):
         evidence, conf, bar, score = (x[k] for k in ("evidence_runs", "confidence", "required_score", "score"))
         near = (bar - score <= s.near_threshold_margin) | (known & (score > old("score")))
-        verdict = (
-            F.when(evidence < s.min_evidence_runs, F.when(early, "approved/approved").otherwise("candidate/insufficient_evidence"))
-            .when(m("fresh_posts") < s.min_fresh_posts, "excluded/insufficient_fresh_posts")
-            .when(m("supported_candidates") < s.min_supported_candidates, "excluded/insufficient_candidates")
-            .when(conf < s.minimum_confidence, "watch/insufficient_confidence")
-            .when(score >= bar, "approved/approved")
-            .when(near, "watch/near_threshold")
-            .otherwise("excluded/below_approval_score")
-        )
-        return _with(verdict, lambda v: F.struct(F.substring_index(v, "/", 1).alias("status"), F.substring_index(v, "/", -1).alias("reason"), score.alias("score"), evidence.alias("evidence_runs"), conf.alias("confidence"), bar.alias("required_score")))
-
-    def scored(x: Column) -> Column:
-        keep = _clamp(F.pow(F.lit(0.5), hours / s.history_half_life_hours)) * _clamp(1 - x["confidence"] * 0.5, 0.2, 0.9)
+        ladder = [
+            (carried, "/preview_unavailable"),
+            ((evidence < s.min_evidence_runs) & early, "approved/approved"),
+            (evidence < s.min_evidence_runs, "candidate/insufficient_evidence"),
+            (m("fresh_posts") < s.min_fresh_posts, "excluded/insufficient_fresh_posts"),
+            (m("supported_candidates") < s.min_supported_candidates, "excluded/insufficient_candidates"),
+            (conf < s.minimum_confidence, "watch/insufficient_confidence"),
+            (score >= bar, "approved/approved"),
+            (near, "watch/near_threshold"),
+        ]
+        return reduce(lambda rest, step: o.where(step[0], step[1], rest), reversed(ladder), "excluded/below_approval_score")
+
+    def told(x):
+        pick = lambda name: o.where(carried, old(name), x[name])
+        more = lambda name, new: o.both(old(name), o.number(0.0)) + o.where(carried, o.number(0.0), o.greatest(o.number(0.0), m(new)))
+        numbers = {name: pick(name) for name in ("score", "evidence_runs", "confidence", "required_score")}
+        return o.struct(verdict=judged(x), deep_accepted=more("deep_accepted", "deep_passed"), deep_rejected=more("deep_rejected", "deep_failed"), **numbers)
+
+    def scored(x):
+        keep = _within(o.power(o.number(0.5), o.greatest(o.number(1.0), hours) / s.history_half_life_hours), 0.0, 1.0, o) * _within(1 - x["confidence"] * 0.5, 0.2, 0.9, o)
         fresh = ~known | ((old("status") == "excluded") & (run >= x["required_score"]))
-        return F.when(fresh, run).otherwise(_with(keep, lambda k: F.bround(old("score") * k + run * (1 - k), 2)))
+        blend = o.let(keep, lambda k: o.rounded(old("score") * k + run * (1 - k), 2))
+        return o.let(o.struct(score=o.where(fresh, run, blend), **{k: x[k] for k in ("evidence_runs", "confidence", "required_score")}), told)
 
-    def barred(x: Column) -> Column:
-        bar = required_score(x["confidence"], x["evidence_runs"], old("score"), run, median, s)
-        return _with(F.struct(x["evidence_runs"].alias("evidence_runs"), x["confidence"].alias("confidence"), bar.alias("required_score")), lambda y: judged_with(y, scored(y)))
+    def barred(x):
+        bar = required_score(x["confidence"], x["evidence_runs"], old("score"), run, median, s, o)
+        return o.let(o.struct(required_score=bar, **{k: x[k] for k in ("evidence_runs", "confidence")}), scored)
 
-    def judged_with(x: Column, score: Column) -> Column:
-        return _with(F.struct(*(x[k].alias(k) for k in ("evidence_runs", "confidence", "required_score")), score.alias("score")), judged)
-
-    count = F.coalesce(old("evidence_runs"), F.lit(0)) + 1
-    return _with(count, lambda n: _with(F.struct(n.alias("evidence_runs"), confidence(n, s, m).alias("confidence")), barred))
+    count = o.both(old("evidence_runs"), o.number(0.0)) + 1
+    return o.let(count, lambda n: o.let(o.struct(evidence_runs=n, confidence=confidence(n, m, s, o)), barred))
 
 
 def evaluate_channels(metrics: DataFrame, state: DataFrame, now: Column, s: ChannelSettings = DEFAULTS) -> DataFrame:
@@ -160,23 +220,23 @@ def evaluate_channels(metrics: DataFrame, state: DataFrame, now: Column, s: Chan
     up over all runs; a state without them counts as none before."""
     old = state.select(*(F.col(c).alias(f"old_{c}") if c != "key" else F.col(c) for c in state.columns))
     d = metrics.withColumn("key", F.expr(HANDLE_KEY)).join(old, "key", "left")
-    d = d.withColumn("_new", next_state(lambda c: F.col(f"old_{c}"), F.col, now, s))
-    carried = F.col("old_status").isNotNull() & ~F.col("preview_available")
-    deep = lambda name, new: (F.coalesce(F.col(f"old_{name}") if name in state.columns else F.lit(0), F.lit(0)) + F.when(carried, 0).otherwise(F.greatest(F.lit(0), F.col(new)))).cast("long").alias(name)
-    pick = lambda name: F.when(carried, F.col(f"old_{name}")).otherwise(F.col(f"_new.{name}")).alias(name)
+    before = lambda c: F.col(f"old_{c}") if c in state.columns else F.lit(None).cast("double")
+    hours = (F.unix_timestamp(now) - F.unix_timestamp("old_last_evaluated_at")) / 3600
+    d = d.withColumn("_new", next_state(before, F.col, hours, s))
     return d.select(
         "handle",
         "key",
-        pick("status"),
-        pick("score"),
-        F.when(carried, "preview_unavailable").otherwise(F.col("_new.reason")).alias("reason"),
-        pick("evidence_runs"),
-        pick("confidence"),
-        pick("required_score"),
+        F.coalesce(F.nullif(F.substring_index("_new.verdict", "/", 1), F.lit("")), "old_status").alias("status"),
+        "_new.score",
+        F.substring_index("_new.verdict", "/", -1).alias("reason"),
+        F.col("_new.evidence_runs").cast("int").alias("evidence_runs"),
+        "_new.confidence",
+        "_new.required_score",
         F.coalesce("old_first_seen_at", now).alias("first_seen_at"),
+        now.alias("last_seen_at"),
         now.alias("last_evaluated_at"),
-        deep("deep_accepted", "deep_passed"),
-        deep("deep_rejected", "deep_failed"),
+        F.col("_new.deep_accepted").cast("long").alias("deep_accepted"),
+        F.col("_new.deep_rejected").cast("long").alias("deep_rejected"),
     )
 
 
@@ -189,9 +249,12 @@ def update_channel_state(state: DataFrame, evaluated: DataFrame) -> DataFrame:
 
 
 def due_channels(registry: DataFrame, discovered: DataFrame, state: DataFrame, interval: int = 3) -> DataFrame:
-    """Handles to evaluate: discovered ones, and registered ones that are due again."""
-    pending = registry.join(discovered, "handle", "left_anti").withColumn("key", F.expr(HANDLE_KEY))
-    due = pending.join(state.filter(f"status <> 'excluded' and runs_since_evaluation + 1 >= {int(interval)}").select("key"), "key", "left_semi")
+    """Registered handles that this run has not discovered and that are due again."""
+    pending = registry.select("handle").distinct().join(discovered, "handle", "left_anti").withColumn("key", F.expr(HANDLE_KEY))
+    return pending.join(state.filter(f"status <> 'excluded' and runs_since_evaluation + 1 >= {int(interval)}").select("key"), "key", "left_semi").select("handle")
+
+
+def evaluation_targets(discovered: DataFrame, due: DataFrame) -> DataFrame:
     return discovered.select("handle").union(due.select("handle")).distinct()
 
 
@@ -205,7 +268,8 @@ def retained_registry(discovered: DataFrame, pending: DataFrame, evaluated: Data
 
 
 def telegram_summary(discovered: DataFrame, due: DataFrame, evaluated: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One row on a run's channels: counts of handles, and sums over their metrics."""
+    """One row on a run's channels: counts of handles (``due``: those that are evaluated without
+    having been discovered), and sums over their metrics."""
     found = discovered.agg(F.count_distinct("handle").alias("discovered_channels"))
     again = due.agg(F.count_distinct("handle").alias("reevaluated_channels"))
     approved = evaluated.agg(F.count_if(F.col("status") == "approved").alias("approved_channels"))
@@ -214,21 +278,52 @@ def telegram_summary(discovered: DataFrame, due: DataFrame, evaluated: DataFrame
     return found.crossJoin(again).crossJoin(approved).crossJoin(sums)  # one row each
 
 
+_NUMBERS = ["score", "evidence_runs", "confidence", "required_score", "deep_accepted", "deep_rejected"]
+_INPUTS = ["fresh_posts", "posts_with_profiles", "supported_candidates", "run_score", "population_median", "deep_passed", "deep_failed"]
+
+
+def _scan(b: pd.DataFrame, before: dict[str, np.ndarray] | None, s: ChannelSettings) -> tuple[pd.DataFrame, dict[str, np.ndarray]]:
+    """The states after each row of b, whose rows are sorted by handle and run, and the state of its last
+    channel. before: the state of b's first channel. The k-th runs of all channels go together,
+    so there are as many steps as the channel with the most runs has."""
+    heads = np.flatnonzero(np.append(True, b["handle"].to_numpy()[1:] != b["handle"].to_numpy()[:-1]))
+    sizes = np.diff(np.append(heads, len(b)))
+    state = {c: np.full(len(heads), np.nan) for c in [*_NUMBERS, "at"]} | {"status": np.full(len(heads), "", object)}
+    if before is not None:
+        for c in state:
+            state[c][0] = before[c]
+    own = {c: b[c].to_numpy(np.float64, na_value=np.nan) for c in _INPUTS} | {"preview_available": b["preview_available"].fillna(False).to_numpy(bool)}
+    at = b["observed_at"].to_numpy().astype("datetime64[s]").astype(np.float64)
+    out = {c: np.full(len(b), np.nan) for c in _NUMBERS} | {c: np.full(len(b), "", object) for c in ("status", "reason")}
+    for k in range(int(sizes.max())):
+        live = np.flatnonzero(sizes > k)
+        rows = heads[live] + k
+        new = next_state(lambda c: state[c][live], lambda c: own[c][rows], (at[rows] - state["at"][live]) / 3600, s, _Arrays)
+        status, reason = np.char.partition(np.asarray(new["verdict"], str), "/")[:, [0, 2]].T
+        state["status"][live] = np.where(status == "", state["status"][live], status)
+        state["at"][live] = at[rows]
+        for c in _NUMBERS:
+            state[c][live] = out[c][rows] = new[c]
+        out["status"][rows], out["reason"][rows] = state["status"][live], reason
+    return pd.DataFrame({"handle": b["handle"], "run": b["run"], **out}), {c: x[-1] for c, x in state.items()}
+
+
 def fold_channel_runs(runs: DataFrame, s: ChannelSettings = DEFAULTS) -> DataFrame:
-    """Many runs in order: runs(run, handle, observed_at, metrics, run_score, population_median)
-    to the evaluation of each. The state of one run feeds the channel's next; channels are
-    independent, since run medians are known before, so each folds ``next_state`` over its own
-    runs in their order."""
-    needed = ["run", "observed_at", "fresh_posts", "posts_with_profiles", "supported_candidates", "run_score", "population_median"]
-    step = "struct<run: bigint, at: timestamp, status: string, reason: string, score: double, evidence_runs: int, confidence: double, required_score: double>"
-
-    def folded(done: Column, r: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        old = lambda c: last["at" if c == "last_evaluated_at" else c]
-        new = next_state(old, lambda c: r[c], r["observed_at"], s)
-        row = _with(new, lambda x: F.struct(r["run"].cast("bigint").alias("run"), r["observed_at"].alias("at"), *(x[c].alias(c) for c in ("status", "reason", "score", "evidence_runs", "confidence", "required_score"))).cast(step))
-        return F.concat(done, F.array(row))
-
-    own = runs.groupBy("handle").agg(F.array_sort(F.collect_list(F.struct(*needed))).alias("runs"))
-    out = own.select("handle", F.inline(F.aggregate("runs", F.array().cast(f"array<{step}>"), folded)))
-    return out.select("handle", "run", "status", "score", "reason", "evidence_runs", "confidence", "required_score")
+    """Many runs in order: runs(run, handle, observed_at, preview_available, metrics, run_score,
+    population_median) to the evaluation of each. Run medians are known before, so channels are
+    independent: rows sorted by channel and run are scanned with one state for each channel, which goes on
+    from one batch of rows to the next."""
+    needed = ["handle", "run", "observed_at", "preview_available", *_INPUTS]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for b in batches:
+            if len(b):
+                found, after = _scan(b, state if last == b["handle"].iloc[0] else None, s)
+                last, state = b["handle"].iloc[-1], after
+                yield found.astype({"evidence_runs": int, "deep_accepted": int, "deep_rejected": int})[order]
+
+    schema = "handle string, run long, status string, score double, reason string, evidence_runs int, confidence double, required_score double, deep_accepted long, deep_rejected long"
+    order = [f.split()[0] for f in schema.split(", ")]
+    own = runs.select(*(F.col(c).cast("long").alias(c) if c == "run" else F.col(c) for c in needed))
+    return own.repartition("handle").sortWithinPartitions("handle", "run").mapInPandas(scan, schema)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluiceway.functions.uri import BLANKS, computed, strip
 from sluiceway.operators.profiles import DEEP_LINK, HANDLE, PUBLIC_LINK
 
 #: Schemes, forms of a handle and of packed text, and what channel pages are marked with.
@@ -33,19 +34,27 @@ UNIX = r"(?<!\d)(\d{10}|\d{13})(?!\d)"
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
+#: A line whose host is not what brackets may hold: an open or a closing one alone, text around them,
+#: or anything but an IPv6 address (or a future form) inside.
+BROKEN = r"^[^:/?#]*:(?://(?:[^/?#]*@)?(?=[^/?#@]*[\[\]])(?!\[(?:[0-9A-Fa-f.]*:[0-9A-Fa-f.:]*(?:%[^\]/?#@]*)?|v[0-9A-Fa-f]+\.[^\]/?#@]+)\](?::[^/?#@]*)?(?:[/?#]|$)))"
+
+
+def _lines_of(text: Column) -> Column:
+    """Supported lines of a text in order, each once."""
+    clean = F.replace(F.regexp_replace(text, "^\ufeff", ""), F.lit("\r\n"), F.lit("\n"))
+    lines = F.transform(F.split(clean, "\n"), strip)
+    return F.array_distinct(F.filter(lines, lambda x: F.translate(x, "\t\r", "").rlike(rf"(?i)^[\x00-\x20]*(?:{SCHEMES}):") & ~x.rlike(BROKEN)))
+
+
 def candidate_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_idx, line_idx, line: supported lines of a document, each once. Uniqueness is found
     with array functions before the explode, so nothing is shuffled."""
-    clean = F.regexp_replace(F.regexp_replace(F.col(text), "^\ufeff", ""), "\r\n?", "\n")
-    lines = F.transform(F.split(clean, "\n"), lambda x: F.trim(x))
-    broken = lambda x: x.rlike(r"^[^:]*://[^/?#]*\[[^\]/?#]*(?:[/?#]|$)")
-    kept = F.array_distinct(F.filter(lines, lambda x: x.rlike(rf"(?i)^({SCHEMES}):") & ~broken(x)))
-    return docs.select("doc_idx", F.posexplode(kept).alias("line_idx", "line"))
+    return docs.select("doc_idx", F.posexplode(_lines_of(F.col(text))).alias("line_idx", "line"))
 
 
 def decode_envelope(text: Column) -> Column:
     """The text inside one base64 envelope, or null."""
-    packed = F.translate(F.regexp_replace(text, r"\s", ""), "-_", "+/")
+    packed = F.translate(F.translate(text, BLANKS, ""), "-_", "+/")
     bare = F.regexp_replace(packed, "=+$", "")
     padded = F.concat(bare, F.repeat(F.lit("="), F.pmod(-F.length(bare), F.lit(4))))
     fine = bare.rlike("^[A-Za-z0-9+/]+$") & (F.length(bare) % 4 != 1)
@@ -54,8 +63,9 @@ def decode_envelope(text: Column) -> Column:
 
 def document_lines(docs: DataFrame) -> DataFrame:
     """Candidate lines of plain documents, or of the envelope where there are none."""
-    has = F.exists(F.split("text", r"[\r\n]+"), lambda x: F.trim(x).rlike(rf"(?i)^[\ufeff]?({SCHEMES}):"))
-    return candidate_lines(docs.select("doc_idx", F.when(has, F.col("text")).otherwise(decode_envelope(F.col("text"))).alias("text")))
+    direct = computed(docs.select("doc_idx", "text"), _direct=_lines_of(F.col("text")))
+    lines = F.when(F.size("_direct") > 0, F.col("_direct")).otherwise(_lines_of(decode_envelope(F.col("text"))))
+    return direct.select("doc_idx", F.posexplode(lines).alias("line_idx", "line"))
 
 
 def _base64_text(value: str) -> str | None:
@@ -102,14 +112,22 @@ def variants_of(text: str, max_depth: int = 2) -> list[tuple[str, int]]:
     return list(seen.items())
 
 
+#: What can make a variant more than a piece of its text between the text's own marks: escapes, a
+#: fragment, blanks that a URL drops or gets, brackets, and base64.
+_MORE = r"[%&#+\[\]\t\n\r]|[A-Za-z0-9_+/=-]{24}"
+
+
 def decoded_variants(rows: DataFrame, text: str = "text", max_depth: int = 2) -> DataFrame:
-    """rows with one row for each variant: ``variant`` and ``depth``."""
+    """rows with one row for each variant: ``variant`` and ``depth``. Equal texts are decoded once for
+    a batch."""
     keep = [c for c in rows.columns if c != text]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != text) + ", variant string, depth int"
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [variants_of(t, max_depth) if t else [] for t in b[text].to_pylist()]
+            texts = b[text].dictionary_encode()
+            each = [variants_of(t, max_depth) if t else [] for t in texts.dictionary.to_pylist()]
+            found = [each[i] if i is not None else [] for i in texts.indices.to_pylist()]
             rows = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
             flat = [v for x in found for v in x]
             yield pa.RecordBatch.from_arrays([*(b[c].take(rows) for c in keep), pa.array([v for v, _ in flat], pa.string()), pa.array([d for _, d in flat], pa.int32())], [*keep, "variant", "depth"])
@@ -124,8 +142,15 @@ def handles_in(text: Column) -> Column:
 
 
 def extract_handles(docs: DataFrame) -> DataFrame:
-    found = decoded_variants(docs.select("doc_idx", "text"))
-    return found.select("doc_idx", F.explode(handles_in(F.col("variant"))).alias("handle")).distinct()
+    """doc_idx, handle: handles in a text and in what is decoded from it. The variants of most short texts
+    are the text and pieces of it that begin after ``:``, ``/``, ``?`` or ``=`` and end at ``?`` or
+    with the text. Handles end there too and may begin there, so such a text has all of them
+    itself; only the others are decoded."""
+    own = docs.select("doc_idx", "text")
+    more = F.col("text").rlike(_MORE) | strip(F.col("text")).rlike("^[A-Za-z0-9_+/=-]{16,}$")
+    plain = own.filter(~more).select("doc_idx", F.explode(handles_in(F.col("text"))).alias("handle"))
+    found = decoded_variants(own.filter(more)).select("doc_idx", F.explode(handles_in(F.col("variant"))).alias("handle"))
+    return plain.union(found).distinct()
 
 
 def preview_url(handle: Column) -> Column:
@@ -265,25 +290,41 @@ def parse_posts(pages: DataFrame) -> DataFrame:
     return pages.select("handle", "page_no", "html").mapInPandas(parse, "handle string, page_no int, pos int, message_id string, published_at timestamp, text string, hrefs array<string>")
 
 
+def page_walk(pages: DataFrame, posts: DataFrame, now: Column, max_age_hours: int = 72, max_pages: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The walk over a channel's landed pages (handle, page_no, reason): in order, until a page failed
+    (has a reason), brings no fresh post that no page before it had, or is the last allowed one.
+    Posts are those of the pages, wherever they are parsed. Gives the posts of the walk, and for
+    each channel ``available`` (its first page was there), how many pages it read and the page
+    where it stopped for want of posts or by failure, null if it ended otherwise."""
+    fresh = posts.filter(F.col("published_at") >= now - F.expr(f"INTERVAL {int(max_age_hours)} HOURS"))
+    first = Window.partitionBy("handle", "message_id")
+    new = fresh.withColumn("_first", F.min("page_no").over(first)).filter(F.col("page_no") == F.col("_first")).drop("_first")
+    counts = new.groupBy("handle", "page_no").agg(F.count(F.lit(1)).alias("_n"))
+    marked = pages.select("handle", "page_no", F.col("reason").isNotNull().alias("_failed")).join(counts, ["handle", "page_no"], "left")
+    order = Window.partitionBy("handle").orderBy("page_no")
+    stops = F.col("_failed") | F.col("_n").isNull()
+    marked = marked.withColumn("_stop", stops).withColumn("_place", F.row_number().over(order))
+    before = F.coalesce(F.bool_or("_stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    read = marked.withColumn("_before", before).filter(~F.col("_before") & (F.col("_place") <= max_pages))
+    walked = read.groupBy("handle").agg(F.bool_or((F.col("_place") == 1) & ~F.col("_failed")).alias("available"), F.count_if(~F.col("_failed")).alias("pages_read"), F.min(F.when(F.col("_stop"), F.col("page_no"))).alias("stop_page"))
+    kept = new.join(read.filter(~F.col("_stop")).select("handle", "page_no"), ["handle", "page_no"])
+    return kept, walked
+
+
 def page_posts(posts: DataFrame, now: Column, max_age_hours: int = 72, max_pages: int = 50) -> DataFrame:
-    """Fresh posts of a channel, each id once (first page wins), up to the first page that
-    brings no new fresh post or the page limit."""
-    first = Window.partitionBy("handle", "message_id").orderBy("page_no", "pos")
-    fresh = F.col("published_at") >= now - F.expr(f"INTERVAL {int(max_age_hours)} HOURS")
-    marked = posts.withColumn("_new", fresh & (F.row_number().over(first) == 1))
-    by_page = marked.groupBy("handle", "page_no").agg(F.count_if("_new").alias("n"))
-    so_far = Window.partitionBy("handle").orderBy("page_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    open_ = by_page.withColumn("_least", F.min("n").over(so_far)).filter((F.col("_least") > 0) & (F.col("page_no") <= max_pages)).select("handle", "page_no")
-    return marked.filter("_new").join(open_, ["handle", "page_no"]).drop("_new")
-
-
-def extract_uris(posts: DataFrame, generic: bool = False) -> DataFrame:
+    """The posts of a walk over the pages that have posts, all of them read."""
+    pages = posts.select("handle", "page_no").distinct().withColumn("reason", F.lit(None).cast("string"))
+    return page_walk(pages, posts, now, max_age_hours, max_pages)[0]
+
+
+def extract_uris(posts: DataFrame, generic: bool = False, order: tuple[str, ...] = ("page_no", "pos")) -> DataFrame:
     """handle, ordinal, uri: URIs in texts and links and what is decoded from them, unique in a
-    channel without regard to case, the first spelling wins. generic: any scheme but web and
-    channel links at the start of a match."""
+    channel without regard to case, the first spelling wins; ordinal: place of its first occurrence,
+    posts taken in ``order``. generic: any scheme but web and channel links at the start of a match."""
     pattern = r"(?i)((?!https?://|tg://|telegram://)[a-z][a-z0-9+.-]{1,15}://[^\s<>\"']+)" if generic else rf"(?i)((?:{SCHEMES})://[^\s<>\"']+)"
-    pieces = posts.select("handle", F.col("message_id").try_cast("bigint").alias("ordinal"), F.posexplode(F.concat(F.array("text"), F.coalesce("hrefs", F.array()))).alias("piece", "text"))
-    found = decoded_variants(pieces).select("handle", "ordinal", "piece", "depth", F.posexplode(F.regexp_extract_all("variant", F.lit(pattern), 1)).alias("pos", "raw"))
-    found = found.withColumn("uri", F.regexp_replace("raw", r"[.,;!)\]}\"']+$", ""))
-    order = F.struct("ordinal", "piece", "depth", "pos")
-    return found.groupBy("handle", F.lower("uri").alias("_k")).agg(F.min_by("uri", order).alias("uri"), F.min("ordinal").alias("ordinal")).select("handle", "ordinal", "uri")
+    pieces = posts.select("handle", *order, F.posexplode(F.concat(F.array("text"), F.coalesce("hrefs", F.array()))).alias("piece", "text"))
+    found = decoded_variants(pieces).select("handle", *order, "piece", "depth", F.posexplode(F.regexp_extract_all("variant", F.lit(pattern), 1)).alias("at", "raw"))
+    found = found.withColumn("uri", F.regexp_replace("raw", r"[.,;!)\]}\"']+$", "")).filter("uri <> ''")
+    place = F.struct(*order, "piece", "depth", "at")
+    first = found.groupBy("handle", F.lower("uri").alias("_k")).agg(F.min(F.struct(place.alias("place"), "uri")).alias("f")).select("handle", "f.*")
+    return first.withColumn("ordinal", F.row_number().over(Window.partitionBy("handle").orderBy("place"))).select("handle", "ordinal", "uri")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.functions.uri import compact_code
+from sluiceway.functions.uri import compact_code, strip
 from sluiceway.operators.profiles import alpn_tokens, insecure_flag, param
 
 #: Labels in published names.
@@ -66,7 +66,7 @@ def keep_first(profiles: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 
 def compatibility_groups(profiles: DataFrame) -> DataFrame:
-    key = F.lower(F.trim(F.coalesce("secret", "username", F.lit(""))))
+    key = F.lower(strip(F.coalesce("secret", "username", F.lit(""))))
     grouped = profiles.groupBy("protocol", F.lower("server").alias("host"), "port", key.alias("credential"))
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fingerprint").alias("n_identities"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sluiceway.operators.profiles import alpn_tokens, param
+from sluiceway.operators.profiles import alpn_tokens, given, param
 
 
 def _given(name: str) -> Column:
@@ -19,7 +19,7 @@ def _given(name: str) -> Column:
 
 
 def _server_or(name: str) -> Column:
-    return F.coalesce(F.try_element_at("params", F.lit(name)), F.col("server"))
+    return F.coalesce(given(name), F.col("server"))
 
 
 def _object(**fields: Column) -> Column:
@@ -111,5 +111,5 @@ def singbox_outbound(tag: Column) -> Column:
         obfs=F.when(hy2 & obfs.isNotNull(), _object(type=F.lit("salamander"), password=obfs)),
     )
     whole = F.when(vless, F.col("username").isNotNull()).otherwise(F.col("secret").isNotNull())
-    whole &= ~reality | F.map_contains_key("params", F.lit("pbk"))
+    whole &= ~reality | given("pbk").isNotNull()
     return F.when(F.col("protocol").isNotNull() & whole, F.to_json(outbound))

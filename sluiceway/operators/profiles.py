@@ -5,12 +5,10 @@ A null ``reason`` means accepted. All checks are one CASE chain each: no shuffle
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.functions.uri import UUID, computed, query_entries, query_map, split_uri, unquote, valid_reality_key
+from sluiceway.functions.uri import UUID, computed, known_parameters, split_uri, strip, unquote, valid_reality_key
 
 #: Fixed values of the checks.
 TRANSPORTS = ["tcp", "raw", "ws", "websocket", "grpc", "h2", "httpupgrade", "xhttp", "udp"]
@@ -24,54 +22,56 @@ PORTS = r"^\d{1,5}(-\d{1,5})?(,\d{1,5}(-\d{1,5})?)*$"
 HANDLE = r"[A-Za-z][A-Za-z0-9_]{4,31}"
 PUBLIC_LINK = rf"(?iU)(?<![\w.])(?:https?://)?(?:t\.me/(?:s/)?|telegram\.me/|telegram\.dog/(?:s/)?|telesco\.pe/)(?!(?:joinchat|c)(?:[/?#\s]|$)|\+)({HANDLE})(?=$|[/?#\s,;!])"
 DEEP_LINK = rf"(?iU)(?:tg|telegram)://resolve\?[^\s#]*\bdomain=({HANDLE})(?=$|[&#\s])"
-#: Parameters that the checks read.
+#: Parameters that checks, identities and outbounds read, and spellings that are usual for some.
 PARAMS = ["allowinsecure", "insecure", "sni", "fp", "encryption", "pbk", "alpn", "path", "mode", "sid", "spx", "mport", "ports", "obfs", "obfs-password", "flow"]
+PARAMS += ["type", "security", "host", "servicename", "authority", "multimode", "extra"]
+SPELLED = {"allowInsecure": "allowinsecure", "serviceName": "servicename", "multiMode": "multimode"}
 
 
-def param(name: str, default: str = "") -> Column:
-    return F.coalesce(F.try_element_at("params", F.lit(name)), F.lit(default))
+def given(name: str) -> Column:
+    """A parameter, null where the URI has none of that name."""
+    return F.col("params").getField(name)
 
 
-def looked_up(name: str, default: str = "") -> Column:
-    """param from the column that ``static_filter`` has put them in, each looked up once."""
-    return F.coalesce(F.col("_p").getField(name), F.lit(default))
+def param(name: str, default: str = "") -> Column:
+    return F.coalesce(given(name), F.lit(default))
 
 
 def parse_profiles(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Adds protocol, server, port, username, secret, security, transport, params and
-    original_uri; all null where the line is no profile."""
-    clean = ~F.col(line).rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+    """Adds protocol, server, port, username, secret, security, transport, params (a struct of
+    PARAMS) and original_uri; all null where the line is no profile."""
     out = split_uri(lines, F.translate(F.col(line), "\t\n\r", ""))
-    out = computed(out, _proto=F.when(F.col("_scheme") == "hy2", "hysteria2").otherwise(F.col("_scheme")), _clean=clean, _entries=query_entries(F.col("_query")))
-    ok = F.col("_clean") & F.col("_proto").isin("vless", "trojan", "hysteria2") & F.col("_host").isNotNull() & F.col("_port").isNotNull()
-    out = computed(out, protocol=F.when(ok, F.col("_proto")), params=F.when(ok, query_map("_entries")), _name=unquote(F.coalesce("_user", F.lit(""))))
+    clean = ~F.col(line).rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+    supported = F.when(F.col("_scheme") == "hy2", "hysteria2").when(F.col("_scheme").isin("vless", "trojan", "hysteria2"), F.col("_scheme"))
+    out = computed(out, protocol=F.when(F.col("_host").isNotNull() & F.col("_port").isNotNull() & clean, supported))
+    out = known_parameters(out, "_query", PARAMS, SPELLED, F.col("protocol").isNotNull())
+    out = computed(out, _name=unquote(F.coalesce("_user", F.lit(""))))
     vless = F.col("protocol") == "vless"
-    out = computed(out, _named=F.lower(F.trim("_name")), _type=F.lower(F.trim(param("type", "tcp"))))
-    named, transport = F.col("_named"), F.col("_type")
+    out = computed(out, _named=F.when(vless, F.lower(strip(F.col("_name")))), _type=F.lower(strip(param("type", "tcp"))))
     fields = {
         "server": F.col("_host"),
         "port": F.col("_port"),
-        "username": F.when(vless & named.rlike(UUID), named),
+        "username": F.when(vless & F.col("_named").rlike(UUID), F.col("_named")),
         "secret": F.when(~vless & (F.col("_name") != ""), F.col("_name")),
-        "security": F.lower(F.trim(F.coalesce(F.try_element_at("params", F.lit("security")), F.when(vless, "none").otherwise("tls")))),
-        "transport": F.when(F.col("protocol") == "hysteria2", "udp").when(transport == "", "tcp").otherwise(transport),
+        "security": F.lower(strip(F.coalesce(given("security"), F.when(vless, "none").otherwise("tls")))),
+        "transport": F.when(F.col("protocol") == "hysteria2", "udp").when(F.col("_type") == "", "tcp").otherwise(F.col("_type")),
         "original_uri": F.substring_index(F.col(line), "#", 1),
     }
     out = computed(out, **{k: F.when(F.col("protocol").isNotNull(), v) for k, v in fields.items()})
-    return out.drop("_scheme", "_proto", "_user", "_host", "_port", "_query", "_entries", "_clean", "_name", "_named", "_type")
+    return out.drop("_scheme", "_user", "_host", "_port", "_query", "_name", "_named", "_type")
 
 
-def insecure_flag(param: Callable[..., Column] = param) -> Column:
+def insecure_flag() -> Column:
     return F.lower(param("allowinsecure")).isin("1", "true", "yes") | F.lower(param("insecure")).isin("1", "true", "yes")
 
 
-def strict_policy(param: Callable[..., Column] = param) -> Column:
+def strict_policy() -> Column:
     """The first of the strict security checks that a profile fails."""
     vless, trojan, hy2 = (F.col("protocol") == x for x in ("vless", "trojan", "hysteria2"))
     no_sni, no_fp = param("sni") == "", param("fp") == ""
     reality, tls = F.col("security") == "reality", F.col("security") == "tls"
     return (
-        F.when(insecure_flag(param), "insecure_flag")
+        F.when(insecure_flag(), "insecure_flag")
         .when(~F.col("transport").isin(TRANSPORTS), "unsupported_transport")
         .when(vless & (F.col("username").isNull() | (F.lower(param("encryption")) != "none")), "missing_required_secret")
         .when(~vless & F.col("secret").isNull(), "missing_required_secret")
@@ -83,22 +83,22 @@ def strict_policy(param: Callable[..., Column] = param) -> Column:
     )
 
 
-def alpn_tokens(param: Callable[..., Column] = param) -> Column:
-    return F.filter(F.transform(F.split(param("alpn"), ","), lambda t: F.trim(t)), lambda t: t != "")
+def alpn_tokens() -> Column:
+    return F.filter(F.transform(F.split(param("alpn"), ","), strip), lambda t: t != "")
 
 
-def deep_analysis(param: Callable[..., Column] = param) -> Column:
+def deep_analysis() -> Column:
     """The first of the client compatibility checks that a profile fails."""
-    trimmed = lambda name, default="": F.trim(param(name, default))
+    trimmed = lambda name: strip(param(name))
     low = lambda name: F.lower(trimmed(name))
     transport, hy2, vless = F.col("transport"), F.col("protocol") == "hysteria2", F.col("protocol") == "vless"
     reality = F.col("security") == "reality"
-    sni = F.trim(F.when(F.map_contains_key("params", F.lit("sni")), param("sni")).otherwise(F.col("server")))
-    ports = F.trim(F.when(param("mport") != "", param("mport")).otherwise(param("ports")))
+    sni = strip(F.coalesce(given("sni"), F.col("server")))
+    ports = strip(F.when(param("mport") != "", param("mport")).otherwise(param("ports")))
     obfs, flow = low("obfs"), low("flow")
     return (
         F.when((low("fp") != "") & ~low("fp").isin(FINGERPRINTS), "unknown_fingerprint")
-        .when(F.exists(alpn_tokens(param), lambda t: ~F.lower(t).isin(ALPN)), "invalid_alpn")
+        .when(F.exists(alpn_tokens(), lambda t: ~F.lower(t).isin(ALPN)), "invalid_alpn")
         .when(transport.isin("ws", "websocket") & (param("path", "/") != "") & ~param("path", "/").startswith("/"), "invalid_ws_path")
         .when((transport == "grpc") & (low("mode") != "") & ~low("mode").isin(GRPC_MODES), "invalid_grpc_mode")
         .when((transport == "xhttp") & (low("mode") != "") & ~low("mode").isin(XHTTP_MODES), "invalid_xhttp_mode")
@@ -117,7 +117,7 @@ def channel_pointer(rows: DataFrame, uri: str) -> DataFrame:
     """rows with ``pointer``: the channel that the URI's fragment only points to, or null. A
     fragment that begins with @ is a handle as a whole or nothing; others hold a link."""
     out = computed(rows, _raw=F.when(F.instr(F.col(uri), "#") > 0, F.expr(f"substr(`{uri}`, instr(`{uri}`, '#') + 1)")))
-    out = computed(out, _text=F.trim(unquote(F.col("_raw"))))
+    out = computed(out, _text=strip(unquote(F.col("_raw"))))
     linked = F.contains(F.lower("_text"), F.lit("t")) & F.contains("_text", F.lit("/"))
     out = computed(out, _public=F.when(linked, F.regexp_extract("_text", PUBLIC_LINK, 1)), _deep=F.when(linked, F.regexp_extract("_text", DEEP_LINK, 1)))
     named = F.when(F.col("_text").rlike(rf"^@{HANDLE}$"), F.expr("substr(_text, 2)"))
@@ -129,11 +129,10 @@ def static_filter(lines: DataFrame, pointers: bool = True) -> DataFrame:
     """Parsed profiles with ``reason`` and ``parsed``. Pointers come first and count as parsed;
     without ``pointers`` it is the filter for URIs found in channels."""
     out = parse_profiles(channel_pointer(lines, "line") if pointers else lines)
-    out = computed(out, _p=F.struct(*(F.try_element_at("params", F.lit(k)).alias(k) for k in PARAMS)))
     pointer = F.col("pointer").isNotNull() if pointers else F.lit(False)
     no = F.col("protocol").isNull()
-    reason = F.when(pointer, "telegram_channel_reference").when(no, "invalid_or_unsupported").otherwise(F.coalesce(strict_policy(looked_up), deep_analysis(looked_up)))
-    return computed(out, parsed=pointer | ~no, reason=reason).drop("pointer", "_p")
+    reason = F.when(pointer, "telegram_channel_reference").when(no, "invalid_or_unsupported").otherwise(F.coalesce(strict_policy(), deep_analysis()))
+    return computed(out, parsed=pointer | ~no, reason=reason).drop("pointer")
 
 
 def exclusion_counts(filtered: DataFrame) -> DataFrame:

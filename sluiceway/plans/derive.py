@@ -128,7 +128,16 @@ SELECT l_orderkey * 8 + l_linenumber AS doc_idx, 'chan_' || CAST(10000 + l_suppk
 FROM lineitem
 """
 PAGES = """
-SELECT handle, CAST(event_id % 3 + 1 AS INT) AS page_no, event_id, message_id, published_at, text,
+SELECT handle, CAST(event_id % 3 + 1 AS INT) AS page_no, event_id, message_id, published_at, text, CAST(-event_id AS INT) AS pos,
   '<div class="tgme_widget_message" data-post="' || handle || '/' || message_id || '"><div class="tgme_widget_message_text">' || replace(text, '&', '&amp;') || '</div><time datetime="' || CAST(published_at AS STRING) || '+00:00"></time></div>' AS html
 FROM (SELECT handle, message_id, event_id, date_trunc('second', published_at) AS published_at, text FROM (POSTS) p) q
 """.replace("POSTS", POSTS)
+#: Landed pages of a channel's walk, by handle: the first failed, the second failed or is empty, or all
+#: five there; failed and empty ones have no posts.
+WALK = """
+SELECT handle, page_no, event_id, message_id, published_at, pos, text, reason FROM (
+  SELECT handle, CAST(1 + event_id % 5 AS INT) AS page_no, event_id, CAST(event_id % 900 AS STRING) AS message_id, published_at, CAST(-event_id AS INT) AS pos, text, CAST(substr(handle, 6) AS INT) % 6 AS kind,
+    CASE WHEN CAST(substr(handle, 6) AS INT) % 6 = 0 AND event_id % 5 = 0 THEN 'http_500' WHEN CAST(substr(handle, 6) AS INT) % 6 = 1 AND event_id % 5 = 1 THEN 'timeout' END AS reason
+  FROM (POSTS) q) p
+WHERE TRUE
+""".replace("POSTS", POSTS)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.operators.extract import HANDLE
 from sluiceway.operators.identity import PROTOCOL_LABELS
+from sluiceway.sources import versions
 
 _ENTRY = "struct<uri: string, first_added_at: string, last_seen_at: string, hits: string>"
 _SEEN = "struct<first_seen_at: string, last_seen_at: string>"
@@ -86,15 +86,50 @@ def pool_cycle(text: DataFrame) -> DataFrame:
 
 
 def parse_channel_state(text: DataFrame) -> DataFrame:
-    """State rows of a stored JSON state (value) of version 5; a channel with other keys, or a value
-    of another type, goes."""
+    """State rows of a stored JSON state (value: the whole of it) of version 5; a channel with other
+    keys, a value of another type or a time that can't be read goes."""
     doc = text.select(F.from_json("value", "version string, channels map<string, string>").alias("d")).filter("d.version = '5'")
-    rows = doc.select(F.explode("d.channels").alias("key", "_json"))
+    return _channel_rows(doc.select(F.explode("d.channels").alias("key", "_json")))
+
+
+def _channel_rows(rows: DataFrame) -> DataFrame:
+    """Typed rows of (key, _json)."""
     fields = ", ".join(f"{k} {'double' if t == _NUMBER else t}" for k, t in _CHANNEL.items())
     exact = rf"^OBJECT<{', '.join(f'{k}: {t}' for k, t in _CHANNEL.items())}>$"
     typed = rows.filter(F.schema_of_variant(F.try_parse_json("_json")).rlike(exact))
     fine = typed.select("key", F.from_json("_json", fields).alias("c")).select("key", "c.*")
-    return load_channel_state(fine.filter("deep_accepted >= 0 and deep_rejected >= 0 and required_score between 0 and 100 and reason <> '' and first_seen_at <> '' and last_seen_at <> '' and last_evaluated_at <> ''"))
+    times = {c: F.try_to_timestamp(c) for c in _TIMES}
+    whole = fine.filter("deep_accepted >= 0 and deep_rejected >= 0 and required_score between 0 and 100 and reason <> ''").withColumns(times)
+    return load_channel_state(whole.dropna(subset=_TIMES).withColumns({c: F.col(c).cast("int") for c in ("evidence_runs", "runs_since_evaluation")}))
+
+
+_TIMES = ["first_seen_at", "last_seen_at", "last_evaluated_at"]
+#: The order of a stored channel's fields.
+_STORED = ["status", "score", "reason", "evidence_runs", "first_seen_at", "last_seen_at", "last_evaluated_at", "confidence", "required_score", "deep_accepted", "deep_rejected", "runs_since_evaluation"]
+_STAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+
+
+def write_channel_state(state: DataFrame, path: str, run_index: int, now: Column) -> None:
+    """The state as one JSON document of lines, a channel on each, in the order of their keys over all
+    part files: any number of channels is written, and read again by ``read_channel_state``, in
+    parallel."""
+    body = F.to_json(F.struct(*_STORED), {"timestampFormat": _STAMP})
+    first = state.agg(F.min("key").alias("_first"))  # one row
+    comma = F.when(F.col("key") == F.col("_first"), "").otherwise(",")
+    lines = state.crossJoin(F.broadcast(first)).select(F.col("key").alias("k"), F.concat(comma, F.lit('"'), "key", F.lit('":'), body).alias("value"))
+    head = F.concat(F.lit(f'{{"version":5,"run_index":{int(run_index)},"generated_at":"'), F.date_format(now, _STAMP), F.lit('","channels":{'))
+    one = state.sparkSession.range(1)
+    ends = one.select(F.lit("").alias("k"), head.alias("value")).union(one.select(F.lit("~").alias("k"), F.lit("}}").alias("value")))
+    lines.union(ends).orderBy("k").select("value").write.mode("overwrite").text(path)
+
+
+def read_channel_state(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """State rows and run_index of what ``write_channel_state`` wrote; no rows and 0 for another
+    version."""
+    lines = spark.read.text(path)
+    head = lines.select(F.regexp_extract("value", r'^\{"version":5,"run_index":(\d+),', 1).alias("n")).filter("n <> ''").first()
+    rows = lines.select(F.regexp_extract("value", r'^,?"([0-9a-f]{64})":', 1).alias("key"), F.regexp_extract("value", r'^,?"[0-9a-f]{64}":(\{.*\})$', 1).alias("_json"))
+    return _channel_rows(rows.filter(F.lit(head is not None) & (F.col("key") != ""))), int(head["n"]) if head else 0
 
 
 def load_channel_state(rows: DataFrame) -> DataFrame:
@@ -103,41 +138,68 @@ def load_channel_state(rows: DataFrame) -> DataFrame:
     return fine.withColumns({"score": F.bround("score", 2), "confidence": F.bround("confidence", 4), "required_score": F.bround("required_score", 2)})
 
 
-def save_state(df: DataFrame, root: str, version: int) -> str:
-    """A new version beside the old ones; the folder that is read is never overwritten. A row in the
-    log of versions follows the data, so a version that was cut short is never current and may
-    be written again."""
-    path = f"{root}/v{version:08d}"
-    df.write.mode("overwrite").parquet(path)
-    df.sparkSession.createDataFrame([(version,)], "version long").write.mode("append").parquet(f"{root}/versions")
-    return path
+def save_state(df: DataFrame, root: str, version: int) -> None:
+    """df as this version of the state under root; raises ``versions.Conflict`` if it has one."""
+    versions.commit({"state": df}, root, version)
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
     """The newest complete version under root, or None."""
-    try:
-        return spark.read.schema("version long").parquet(f"{root}/versions").agg(F.max("version")).first()[0]
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    last = versions.current(spark, root)
+    return None if last is None else last.number
 
 
 def load_state(spark: SparkSession, root: str) -> DataFrame | None:
-    version = current_version(spark, root)
-    return None if version is None else spark.read.parquet(f"{root}/v{version:08d}")
+    found = versions.load(spark, root)
+    return None if found is None else found["state"]
 
 
 def write_protocol_files(pool: DataFrame, path: str) -> None:
-    """One folder of text for each of the three protocols, lines in the order of ``place``; one
-    without rows is there and empty."""
+    """One folder of text for each of the three protocols, in one pass: ranges of (protocol, place)
+    go to files whose names are in the order of the ranges, so lines are in the order of ``place``
+    over all files of a folder. A protocol without rows has an empty folder."""
+    ranged = pool.repartitionByRange("protocol", "place").sortWithinPartitions("protocol", "place")
+    ranged.select("protocol", "uri").write.mode("overwrite").partitionBy("protocol").text(path)
     for protocol in PROTOCOL_LABELS:
-        pool.filter(F.col("protocol") == protocol).orderBy("place").select("uri").write.mode("overwrite").text(f"{path}/protocol={protocol}")
+        at = pool.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/protocol={protocol}")
+        at.getFileSystem(pool.sparkSession._jsc.hadoopConfiguration()).mkdirs(at)
+
+
+def source_rejections(sources: DataFrame) -> DataFrame:
+    """reason of each document that gave no text: why it failed, or how fresh it was."""
+    return sources.filter("text is null").select(F.coalesce("reason", "freshness").alias("reason"))
+
+
+def freshness_counts(sources: DataFrame) -> DataFrame:
+    return sources.groupBy("freshness").agg(F.count(F.lit(1)).alias("n"))
+
+
+_JSON = {"timestampFormat": _STAMP, "ignoreNullFields": "false"}
+
+
+def _by(df: DataFrame, key: str) -> DataFrame:
+    """A one-row frame with a map of df's other columns by key: for tables with a row for each of
+    a fixed set of keys (protocols, reasons, grades)."""
+    rest = [c for c in df.columns if c != key]
+    value = F.struct(*rest) if len(rest) > 1 else F.col(rest[0])
+    return df.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value.alias("value"))))).alias("m"))
 
 
-def build_report(sources: DataFrame, blocks: dict[str, DataFrame]) -> DataFrame:
+def build_report(sources: DataFrame, *, head: dict[str, Column], publication: DataFrame, counts: DataFrame, excluded: DataFrame, telegram: DataFrame | None = None, speed: DataFrame | None = None, reachability: DataFrame | None = None) -> DataFrame:
     """The audit record as rows (block, body): a JSON object for each source, which tells how fresh
-    it was and why it failed but not where it is, and for each row of the other blocks."""
-    told = sources.select("freshness", "last_modified", "reason")
-    rows = [df.select(F.lit(name).alias("block"), F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'", "ignoreNullFields": "false"}).alias("body")) for name, df in {"sources": told, **blocks}.items()]
-    return reduce(DataFrame.unionByName, rows)
+    it was and why it failed but not where it is, and one document of all other blocks, folded
+    from aggregates. publication: a row for each protocol; counts and the optional blocks: one
+    row; excluded (reason, n). A block that is None is left out."""
+    told = sources.select(F.lit("source").alias("block"), F.to_json(F.struct("freshness", "last_modified", "reason"), _JSON).alias("body"))
+    one = lambda df, name: df.select(F.struct("*").alias(name))
+    rows = counts.crossJoin(_by(freshness_counts(sources), "freshness").withColumnRenamed("m", "source_freshness")).crossJoin(_by(excluded, "reason").withColumnRenamed("m", "excluded"))
+    parts = [_by(publication, "protocol").withColumnRenamed("m", "publication"), one(rows, "counts")]
+    parts += [one(df, name) for name, df in (("telegram", telegram), ("speed_test", speed), ("reachability", reachability)) if df is not None]
+    whole = reduce(DataFrame.crossJoin, parts)  # one row each
+    document = F.to_json(F.struct(*(c.alias(k) for k, c in head.items()), *whole.columns), _JSON)
+    return told.union(whole.select(F.lit("report"), document))
+
+
+def report_document(report: DataFrame) -> DataFrame:
+    """The document of a report as one VARIANT."""
+    return report.filter("block = 'report'").select(F.parse_json("body").alias("report"))

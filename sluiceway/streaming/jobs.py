@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import datetime
+from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sluiceway.operators import publish
+from sluiceway.sources import versions
 
 _POOL = "protocol string, fingerprint string, uri string, first_added_at timestamp, last_seen_at timestamp, hits int"
 _CYCLE = "cycle_started_at string, generation int"
+_SEEN = "first_seen_at timestamp, last_seen_at timestamp"
 
 
 def stream_fresh_posts(posts: DataFrame, hours: int = 72) -> DataFrame:
@@ -25,32 +29,73 @@ def stream_channel_activity(posts: DataFrame) -> DataFrame:
     return daily.select("handle", F.col("w.start").alias("day"), F.col("count").alias("n"))
 
 
-def accumulated(spark: SparkSession, root: str, batch_id: int) -> tuple[DataFrame, DataFrame]:
-    """The pool and the one-row cycle table that a batch of ``stream_accumulate`` has left."""
-    at = f"{root}/v{batch_id % 3}"
-    return spark.read.schema(_POOL).parquet(f"{at}/pool"), spark.read.schema(_CYCLE).parquet(f"{at}/cycle")
-
-
-def stream_accumulate(current: DataFrame, root: str, clock: Callable[[], datetime] = datetime.now, cap: int = 10_000, days: int = 6):
-    """Merges every micro-batch into the pool under ``root``, at the batch's own time, with the
-    reset cycle. Three versions take turns: a batch reads the one before it and overwrites one that
-    nothing reads any more, so a repeated batch writes the same version again."""
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark, now = batch.sparkSession, clock()
-        fresh = spark.createDataFrame([], _POOL), spark.createDataFrame([("1970-01-01T00:00:00Z", 1)], _CYCLE)
-        old, cycle = accumulated(spark, root, batch_id - 1) if batch_id else fresh
+def accumulated(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The pool and the one-row cycle table as last published under root, by a batch or a stream."""
+    found = versions.load(spark, root)
+    if found is None:
+        return spark.createDataFrame([], _POOL), spark.createDataFrame([("1970-01-01T00:00:00Z", 1)], _CYCLE)
+    return found["pool"], found["cycle"]
+
+
+def accumulate(current: DataFrame, root: str, now: datetime, *, cap: int = 10_000, days: int = 6, writer: str | None = None, batch_id: int = 0, attempts: int = 5, keep: int = 3) -> bool:
+    """Merges current (protocol, fingerprint, uri) into the pool under root as its next version; False if
+    this writer has published the batch already. If another writer comes first, the merge begins
+    again with what that one left."""
+    spark = current.sparkSession
+    one = current.groupBy("protocol", "fingerprint").agg(F.min("uri").alias("uri"))
+    for attempt in range(attempts):
+        last = versions.current(spark, root)
+        note = dict(last.note) if last else {}
+        if writer is not None and note.get(writer, -1) >= batch_id:
+            return False
+        old, cycle = accumulated(spark, root)
         rolled = publish.roll_cycle(cycle, old.isEmpty(), now, days)
         kept = old.filter(F.lit(not rolled.first()["reset"]))  # the cycle table has one row
-        one = batch.groupBy("protocol", "fingerprint").agg(F.min("uri").alias("uri"))
         merged = publish.enforce_cap(publish.merge_pool(kept, one, now), cap).drop("change")
-        merged.withColumn("hits", F.col("hits").cast("int")).write.mode("overwrite").parquet(f"{root}/v{batch_id % 3}/pool")
-        rolled.select("cycle_started_at", F.col("generation").cast("int").alias("generation")).write.mode("overwrite").parquet(f"{root}/v{batch_id % 3}/cycle")
+        tables = {"pool": merged.withColumn("hits", F.col("hits").cast("int")), "cycle": rolled.select("cycle_started_at", F.col("generation").cast("int").alias("generation"))}
+        try:
+            versions.commit(tables, root, last.number + 1 if last else 0, note | ({writer: batch_id} if writer else {}))
+        except versions.Conflict:
+            if attempt + 1 == attempts:
+                raise
+            continue
+        versions.forget(spark, root, keep)
+        return True
+    return False
+
+
+def stream_accumulate(current: DataFrame, root: str, clock: Callable[[], datetime] = lambda: datetime.now(UTC), cap: int = 10_000, days: int = 6):
+    """Merges every micro-batch into the pool under ``root``, at the batch's own time, with the
+    reset cycle. The log remembers the last batch of each query, so a repeated batch is not merged
+    twice; a query with a new checkpoint is another one and goes on with the pool that is there."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        accumulate(batch, root, clock(), cap=cap, days=days, writer=query, batch_id=batch_id)
 
     return current.writeStream.foreachBatch(merge)
 
 
+class _FirstSeen(StatefulProcessor):
+    """First and last time of one fingerprint."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", _SEEN)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = [t for b in rows for t in (b["seen_at"].min(), b["seen_at"].max())]
+        times += self.seen.get() or ()
+        first, last = pd.Timestamp(min(times)), pd.Timestamp(max(times))
+        self.seen.update((first.to_pydatetime(), last.to_pydatetime()))
+        yield pd.DataFrame({"fingerprint": [key[0]], "first_seen_at": [first], "last_seen_at": [last]})
+
+    def close(self) -> None:
+        pass
+
+
 def stream_first_seen(current: DataFrame) -> DataFrame:
-    """First and last time of each fingerprint. The state is never evicted, as the job's
-    contract is to remember for ever; output mode update or complete."""
-    return current.groupBy("fingerprint").agg(F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at"))
+    """First and last time of each fingerprint (fingerprint, seen_at) that a batch has, a value of
+    state each; output mode update. The state is never evicted, as the job's contract is to remember for
+    ever, so it wants the state store on disk: spark.sql.streaming.stateStore.providerClass must name RocksDB's."""
+    own = current.filter("fingerprint is not null and seen_at is not null").select("fingerprint", "seen_at")
+    return own.groupBy("fingerprint").transformWithStateInPandas(_FirstSeen(), f"fingerprint string, {_SEEN}", "update", "none")

@@ -30,7 +30,7 @@ BOUNDARIES = {
     "missing_sni": ([_vless(sni=None), _password("hy2", sni="%20")], []),
     "missing_fingerprint": ([_vless(fp=""), _password("trojan", fp=None)], [_password("hy2")]),
     "invalid_reality_key": ([_vless("reality", pbk="b" * 42), _vless("reality", pbk="b" * 43 + "~"), _vless("reality", pbk=None)], [_vless("reality"), _vless("reality", pbk="-_" * 21 + "b%3D"), _vless("reality", pbk="b" * 43 + "~~")]),
-    "unknown_fingerprint": ([_vless(fp="opera")], [_vless(fp="RANDOMIZED")]),
+    "unknown_fingerprint": ([_vless(fp="opera")], [_vless(fp="RANDOMIZED"), _vless(fp="chrome%0A"), _vless(fp="%C2%A0edge%09")]),
     "invalid_alpn": ([_password("trojan", alpn="h2,,h4")], [_password("trojan", alpn="H2,%20h3")]),
     "invalid_ws_path": ([_vless(type="websocket", path="a%2Fb")], [_vless(type="ws", path="%2F"), _vless(type="ws")]),
     "invalid_grpc_mode": ([_vless(type="grpc", mode="auto")], [_vless(type="grpc", mode="Multi")]),
@@ -44,7 +44,7 @@ BOUNDARIES = {
     "unsupported_flow": ([_vless(flow="vision")], [_vless(flow="xtls-rprx-vision")]),
     "incompatible_flow": ([_vless(flow="xtls-rprx-vision", type="grpc")], [_vless("reality", flow="xtls-rprx-vision", type="raw")]),
     "telegram_channel_reference": (
-        [_vless() + x for x in ("#%40Five5", "#go%20t.me/s/Five5?x", "#telegram://resolve?a=1&domain=Five5", "#telesco.pe/Five5,")],
+        [_vless() + x for x in ("#%09@Five5", "#%0A%40Five5%20", "#%40Five5", "#go%20t.me/s/Five5?x", "#telegram://resolve?a=1&domain=Five5", "#telesco.pe/Five5,")],
         [_vless() + x for x in ("#@four", "#@Five5 x", "#t.me/joinchat/abcdef", "#t.me/Five5-x", "#at.me/Five5", "#name")],
     ),
     "invalid_or_unsupported": (["", "vmess://abc", _vless().replace("2053", "65536"), _vless().replace("]", ""), _vless().replace("[2001:db8::7]", "bad host")], [_vless().replace("2053", "65535")]),
@@ -71,6 +71,19 @@ def test_fields(spark):
     assert (row.secret, row.server, row.port, row.params["sni"], row.transport, row.original_uri) == ("a b+c", "node.example.org", 8443, "y z", "tcp", "trojan://a%20b+c:rest@Node.Example.org:8443?SNI=x&sni=y+z&type=")
 
 
+def test_parameters(spark):
+    """Names of any spelling and escape, the last of a name, names without a value."""
+    queries = {
+        "SNI=a&sni=b": ("b", None), "sni=b&SNI=a": ("a", None), "sni=a&sni": ("", None), "%73ni=x%09&serviceName=y": ("x", "y"), "sni=a%09&ServiceName=z+z": ("a", "z z"),
+        "xsni=1&sni2=2": (None, None), "&&sni=%20%C3%A9%20&&": ("é", None), "s+ni=1": (None, None), "sni==": ("=", None), "sni=a&servicename=b&serviceName=c": ("a", "c"), "": (None, None),
+    }
+    lines = [f"trojan://p@h.example:1?{q}" for q in queries]
+    rows = profiles.parse_profiles(_frame(spark, lines)).orderBy("i").collect()
+    assert [(r.params.sni, r.params.servicename) for r in rows] == list(queries.values())
+    sni = _prints(spark, [TROJAN + "&sni=a%09", TROJAN + "&sni=a", TROJAN + "&sni=%C2%A0a"])
+    assert len(set(sni)) == 1
+
+
 def test_golden_identities(spark):
     grpc = f"vless://{UUID}@edge.example.org:443?encryption=none&security=tls&sni=www.example.com&fp=chrome&type=grpc"
     want = {

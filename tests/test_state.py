@@ -1,13 +1,15 @@
 """Pool, channels, extraction and streams."""
 
 import json
+import os
 import tempfile
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from sluiceway.operators import channels, extract, publish
-from sluiceway.sources import tables
+from sluiceway.operators import channels, extract, probes, publish
+from sluiceway.sources import tables, versions
 from sluiceway.streaming import jobs
 
 NOW = datetime(2026, 8, 15, 12)
@@ -47,23 +49,76 @@ def test_channel_ladder(spark):
     assert out == {"healthy": "approved", "modest": "candidate", "low": "candidate", "empty": "candidate"}
 
 
+STATE = "key string, status string, score double, reason string, evidence_runs int, confidence double, required_score double, deep_accepted long, deep_rejected long, first_seen_at timestamp, last_seen_at timestamp, last_evaluated_at timestamp, runs_since_evaluation int"
+STATE_COLUMNS = [f.split()[0] for f in STATE.split(", ")]
+
+
 def test_fold_equals_steps(spark):
-    """Folding all runs gives what evaluating and updating run by run gives."""
+    """Folding all runs gives what evaluating and updating run by run gives, unavailable previews too."""
     runs = []
-    for run in range(1, 5):
-        for h in range(3):
-            runs.append((f"chan_{h}", run, datetime(2026, 8, run), 1 + (run * h) % 4, 4, 1 + run % 3, 1, 1, 0, 1, 40 * run, 12.0, 1, h))
-    schema = "handle string, run long, observed_at timestamp, fresh_posts int, all_uri_candidates int, supported_candidates int, static_accepted int, unique_profiles int, duplicate_posts int, posts_with_profiles int, total_text_length int, span_hours double, deep_passed int, deep_failed int"
-    df = spark.createDataFrame(runs, schema).withColumn("run_score", channels.run_score()).withColumn("preview_available", F.lit(True)).withColumn("population_median", F.lit(50.0))
-    folded = {(r.handle, r.run): (r.status, r.score, r.evidence_runs) for r in channels.fold_channel_runs(df).collect()}
-    schema = "key string, status string, score double, reason string, evidence_runs int, confidence double, required_score double, first_seen_at timestamp, last_evaluated_at timestamp, runs_since_evaluation int"
-    state = spark.createDataFrame([], schema)
-    for run in range(1, 5):
+    for run in range(1, 6):
+        for h in range(4):
+            runs.append((f"chan_{h}", run, datetime(2026, 8, run), (run + h) % 4 != 0, 1 + (run * h) % 4, 4, 1 + run % 3, 1, 1, 0, 1, 40 * run, 12.0, 1, h))
+    schema = "handle string, run long, observed_at timestamp, preview_available boolean, fresh_posts int, all_uri_candidates int, supported_candidates int, static_accepted int, unique_profiles int, duplicate_posts int, posts_with_profiles int, total_text_length int, span_hours double, deep_passed int, deep_failed int"
+    df = spark.createDataFrame(runs, schema).withColumn("run_score", channels.run_score()).withColumn("population_median", F.when(F.col("run") % 2 == 0, 50.0))
+    told = ["status", "reason", "score", "evidence_runs", "confidence", "required_score", "deep_accepted", "deep_rejected"]
+    folded = {(r.handle, r.run): tuple(r[c] for c in told) for r in channels.fold_channel_runs(df).collect()}
+    state = spark.createDataFrame([], STATE)
+    for run in range(1, 6):
         ev = channels.evaluate_channels(df.filter(F.col("run") == run), state, F.lit(datetime(2026, 8, run)))
-        for r in ev.collect():
-            status, score, evidence = folded[r.handle, run]
-            assert (status, evidence) == (r.status, r.evidence_runs) and abs(score - r.score) <= 0.011
-        state = spark.createDataFrame(channels.update_channel_state(state, ev).select([f.split()[0] for f in schema.split(", ")]).collect(), schema)
+        got = {r.handle: tuple(r[c] for c in told) for r in ev.collect()}
+        assert got == {h: folded[h, run] for h in got} and len(got) == 4
+        state = spark.createDataFrame(channels.update_channel_state(state, ev).select(STATE_COLUMNS).collect(), STATE)
+
+
+def test_fold_keeps_unavailable_channels(spark):
+    columns = "handle string, run long, observed_at timestamp, preview_available boolean, fresh_posts int, posts_with_profiles int, supported_candidates int, run_score double, population_median double, deep_passed int, deep_failed int"
+    rows = [("a_room", 1, datetime(2026, 8, 1), True, 9, 9, 9, 90.0, None, 3, 1), ("a_room", 2, datetime(2026, 8, 2), False, 0, 0, 0, 0.0, None, 0, 0), ("b_room", 1, datetime(2026, 8, 1), False, 0, 0, 0, 5.0, None, 0, 0)]
+    got = {(r.handle, r.run): (r.status, r.reason, r.score, r.evidence_runs, r.deep_accepted) for r in channels.fold_channel_runs(spark.createDataFrame(rows, columns)).collect()}
+    assert got == {("a_room", 1): ("approved", "approved", 90.0, 1, 3), ("a_room", 2): ("approved", "preview_unavailable", 90.0, 1, 3), ("b_room", 1): ("candidate", "insufficient_evidence", 5.0, 1, 0)}
+
+
+def test_rounding_of_the_scan():
+    import numpy as np
+
+    assert channels._Arrays.rounded(np.array([0.125, 2.675, 0.375, -0.125, 1.0, np.nan]), 2).tolist()[:5] == [0.12, 2.68, 0.38, -0.12, 1.0]
+
+
+def test_summary_counts_due_channels_alone(spark):
+    names = lambda *x: spark.createDataFrame([(h,) for h in x], "handle string")
+    key = lambda h: __import__("hashlib").sha256(h.encode()).hexdigest()
+    state = spark.createDataFrame([(key(h), status, n) for h, status, n in (("a", "watch", 2), ("b", "watch", 1), ("c", "excluded", 9), ("d", "approved", 5))], "key string, status string, runs_since_evaluation int")
+    due = channels.due_channels(names("a", "b", "c", "d", "e", "a"), names("d", "f"), state)
+    assert {r.handle for r in due.collect()} == {"a"}
+    assert {r.handle for r in channels.evaluation_targets(names("d", "f"), due).collect()} == {"a", "d", "f"}
+    metrics = spark.createDataFrame([(1, 1, 1, 1)], "supported_candidates int, static_accepted int, unique_profiles int, deep_passed int")
+    row = channels.telegram_summary(names("d", "f"), due, names("d").withColumn("status", F.lit("approved")), metrics).first()
+    assert (row.discovered_channels, row.reevaluated_channels, row.approved_channels) == (2, 1, 1)
+
+
+def test_speed_summary_is_of_passed_outcomes(spark):
+    rows = [(1000.0, 0.9, "C", None), (50.0, 0.5, "D", "slow_endpoint"), (60.0, 0.5, "D", "slow_endpoint"), (None, None, None, "speed_unsupported")]
+    outcomes = spark.createDataFrame(rows, "mean_kbps double, stability double, grade string, reason string")
+    row = probes.speed_summary(outcomes).first()
+    assert (row.tested, row.passed, row.failed, row.unsupported_kept, row.median_kbps, row.p90_kbps, row.avg_stability, row.grade_c, row.grade_d) == (4, 1, 3, 1, 1000.0, 1000.0, 0.9, 1, 0)
+    none = probes.speed_summary(outcomes.filter("mean_kbps < 100"), "strict").first()
+    assert (none.unsupported_kept, none.median_kbps, none.p90_kbps, none.avg_stability) == (0, 0.0, 0.0, None)
+
+
+def test_windows_of_transfers(spark):
+    """Two seconds each after the warm-up; a mean just under the limit fails though it rounds to it."""
+    rows = [("slow", 0.5, 100_000), ("slow", 2.75, 409_518), ("early", 0.25, 2048), ("early", 0.5, 2048), ("budget", 0.75, 1_999_999), ("budget", 1.75, 10), ("budget", 1.8, 10), ("gap", 0.5, 1), ("gap", 6.75, 1024), ("late", 9.0, 5)]
+    rows += [("hot", 0.75 + i / 500, 100) for i in range(1, 4001)]
+    samples = spark.createDataFrame(rows, "profile_key string, elapsed_s double, bytes long").repartition(5)
+    windows = probes.transfer_windows(samples)
+    got = {(r.profile_key, r.win): (r.bytes, round(r.seconds, 6), r.received) for r in windows.filter("profile_key <> 'hot'").collect()}
+    assert got == {("slow", 0): (409_518, 2.0, 509_518), ("early", -1): (4096, 0.5, 4096), ("budget", 0): (10, 1.0, 2_000_009), ("gap", 0): (0, 2.0, 1025), ("gap", 1): (0, 2.0, 1025), ("gap", 2): (1024, 2.0, 1025)}
+    assert {r.win: r.bytes for r in windows.filter("profile_key = 'hot'").collect()} == {w: 100_000 for w in range(4)}
+    stats = {r.profile_key: r for r in probes.transfer_stats(windows).withColumn("reason", probes.speed_verdict()).collect()}
+    assert stats["slow"].mean_kbps == 200.0 and stats["slow"].reason == "slow_endpoint" and stats["slow"].stability == 1.0 and stats["gap"].stability == 0.0
+    assert stats["budget"].reason == "slow_endpoint" and stats["early"].mean_kbps == 8.0 and stats["early"].jitter is None
+    cut = {r.win: r.bytes for r in probes.transfer_windows(samples.filter("profile_key = 'hot'"), download_bytes=123_450).collect()}
+    assert cut == {0: 100_000, 1: 23_500}
 
 
 def test_handles(spark):
@@ -81,6 +136,10 @@ def test_handles(spark):
         f"https://h.example/x#y?data={packed}": {"deep_well"},
         f"noise {packed} noise": {"deep_well"},
         f"{packed[:-1]}!": set(),
+        "x:@Juliet1?y=@Kilo_12": {"juliet1", "kilo_12"},
+        "go @Lima_12#x": {"lima_12"},
+        "q?a=@Mike_12+b": {"mike_12"},
+        "@Novem1\nber": {"novem1", "novem1ber"},
         "": set(),
         None: set(),
     }
@@ -129,8 +188,38 @@ def test_dates_and_texts_of_pages(spark):
 
 def test_fresh_posts_become_uris(spark):
     page = _message(7, '<code>TROJAN://a@b:1).</code><a href="x://q?u=hy2%3A%2F%2Fc@d:2">l</a>', 'data-time="2026-08-15T09:00:00Z"') + _message(6, "<p>stale hy2://e@f:3</p>", 'data-time="2026-08-02T09:00:00Z"')
+    page += _message("9" * 30, "<p>trojan://A@B:1 vless://g@h:4</p>", 'data-time="2026-08-15T08:00:00Z"')
     kept = extract.page_posts(extract.parse_posts(spark.createDataFrame([("room1", 1, page)], "handle string, page_no int, html string")), F.lit(NOW))
-    assert {r.uri for r in extract.extract_uris(kept).collect()} == {"TROJAN://a@b:1", "hy2://c@d:2"}
+    assert [tuple(r) for r in extract.extract_uris(kept).orderBy("ordinal").collect()] == [("room1", 1, "TROJAN://a@b:1"), ("room1", 2, "hy2://c@d:2"), ("room1", 3, "vless://g@h:4")]
+
+
+def test_page_walk(spark):
+    """Channels by what their pages are: fresh posts (ids), nothing (an empty list) or a failure (None)."""
+    walks = {
+        "whole": [["1", "2", "2"], ["2", "3"], ["4"]],
+        "empty_middle": [["1"], [], ["2"]],
+        "only_known": [["1"], ["1"], ["2"]],
+        "first_failed": [None, ["1"]],
+        "middle_failed": [["1"], None, ["2"]],
+        "first_empty": [[], ["1"]],
+    }
+    pages = [(h, n + 1, None if p is not None else "timeout") for h, w in walks.items() for n, p in enumerate(w)]
+    posts = [(h, n + 1, i, m, NOW) for h, w in walks.items() for n, p in enumerate(w) for i, m in enumerate(p or [])]
+    posts.append(("first_empty", 1, 0, "9", datetime(2026, 8, 1)))  # stale
+    pages, posts = spark.createDataFrame(pages, "handle string, page_no int, reason string"), spark.createDataFrame(posts, "handle string, page_no int, pos int, message_id string, published_at timestamp")
+    kept, walked = extract.page_walk(pages, posts, F.lit(NOW))
+    ids = {}
+    for r in kept.orderBy("page_no", "pos").collect():
+        ids.setdefault(r.handle, []).append((r.page_no, r.message_id))
+    assert ids == {"whole": [(1, "1"), (1, "2"), (1, "2"), (2, "3"), (3, "4")], "empty_middle": [(1, "1")], "only_known": [(1, "1")], "middle_failed": [(1, "1")]}
+    assert {r.handle: (r.available, r.pages_read, r.stop_page) for r in walked.collect()} == {"whole": (True, 3, None), "empty_middle": (True, 2, 2), "only_known": (True, 2, 2), "first_failed": (False, 0, 1), "middle_failed": (True, 1, 2), "first_empty": (True, 1, 1)}
+    assert {r.handle for r in extract.page_walk(pages, posts, F.lit(NOW), max_pages=1)[0].filter("page_no > 1").collect()} == set()
+
+
+def test_lines_between_blanks(spark):
+    texts = ["\ttrojan://a \r\n\u00a0HY2://b\x1f\nvmess://c\nvless://d\rvless://e\ntrojan://a", "\ufeffvless://[::1]:1\nvless://[::1:1\nvless://::1]:1\nvless://x[::1]:1\nvless://[name]:1\nvless://u@[v1.x]:1", None, ""]
+    rows = extract.document_lines(spark.createDataFrame(list(enumerate(texts)), "doc_idx int, text string")).collect()
+    assert sorted((r.doc_idx, r.line_idx, r.line) for r in rows) == [(0, 0, "trojan://a"), (0, 1, "HY2://b"), (0, 2, "vless://d\rvless://e"), (1, 0, "vless://[::1]:1"), (1, 1, "vless://u@[v1.x]:1")]
 
 
 def test_stored_pool(spark):
@@ -156,14 +245,52 @@ def test_stored_cycle(spark):
     assert got == [("2026-08-10T00:00:00Z", 3)] + [("1970-01-01T00:00:00Z", 1)] * 4
 
 
+GOOD = {"status": "watch", "score": 41.236, "reason": "r", "evidence_runs": 2, "first_seen_at": "2026-08-01T00:00:00Z", "last_seen_at": "2026-08-13T00:00:00Z", "last_evaluated_at": "2026-08-13T00:00:00Z", "confidence": 1, "required_score": 50, "deep_accepted": 0, "deep_rejected": 4, "runs_since_evaluation": 0}
+
+
 def test_stored_channels(spark):
-    good = {"status": "watch", "score": 41.236, "reason": "r", "evidence_runs": 2, "first_seen_at": "a", "last_seen_at": "b", "last_evaluated_at": "c", "confidence": 1, "required_score": 50, "deep_accepted": 0, "deep_rejected": 4, "runs_since_evaluation": 0}
-    bad = [{"score": "41"}, {"score": 101}, {"evidence_runs": 1.5}, {"evidence_runs": True}, {"reason": ""}, {"first_seen_at": 3}, {"status": "other"}, {"deep_rejected": -1}, {"more": 1}]
-    channels_of = {"k" * 63 + "0": good, "short": good} | {"k" * 63 + str(n + 1): good | b for n, b in enumerate(bad[:9])}
-    channels_of["m" * 64] = {k: v for k, v in good.items() if k != "reason"}
+    bad = [{"score": "41"}, {"score": 101}, {"evidence_runs": 1.5}, {"evidence_runs": True}, {"reason": ""}, {"first_seen_at": 3}, {"status": "other"}, {"deep_rejected": -1}, {"last_seen_at": "soon"}]
+    channels_of = {"k" * 63 + "0": GOOD, "short": GOOD} | {"k" * 63 + str(n + 1): GOOD | b for n, b in enumerate(bad)}
+    channels_of["m" * 64] = {k: v for k, v in GOOD.items() if k != "reason"}
     text = [json.dumps({"version": v, "channels": channels_of}) for v in (5, 4)]
     rows = tables.parse_channel_state(spark.createDataFrame([(t,) for t in text], "value string")).collect()
-    assert [(r.key, r.score, r.confidence, r.required_score, r.deep_rejected) for r in rows] == [("k" * 63 + "0", 41.24, 1.0, 50.0, 4)]
+    assert [(r.key, r.score, r.confidence, r.required_score, r.deep_rejected, r.last_seen_at) for r in rows] == [("k" * 63 + "0", 41.24, 1.0, 50.0, 4, datetime(2026, 8, 13))]
+
+
+def test_channel_state_round_trip(spark):
+    """Stored JSON, evaluation, update, stored again and read: typed rows all the way."""
+    root = tempfile.mkdtemp(prefix="spark-sluiceway-")
+    handles = ["alpha_room", "bravo_room", "charlie_room"]
+    key = lambda h: __import__("hashlib").sha256(h.encode()).hexdigest()
+    text = json.dumps({"version": 5, "run_index": 3, "channels": {key(h): GOOD | {"score": 40.0 + i} for i, h in enumerate(handles)}})
+    state = tables.parse_channel_state(spark.createDataFrame([(text,)], "value string"))
+    data = [(h, i == 0, 5, 5, 5, 5, 5, 0, 5, 500, 24.0, 5, 0) for i, h in enumerate([*handles[:2], "delta_room"])]
+    scored = spark.createDataFrame(data, METRICS).withColumn("run_score", channels.run_score()).withColumn("population_median", F.lit(50.0))
+    new = channels.update_channel_state(state, channels.evaluate_channels(scored, state, F.lit(NOW)))
+    tables.write_channel_state(new.repartition(3), f"{root}/state", 4, F.lit(NOW))
+    back, run_index = tables.read_channel_state(spark, f"{root}/state")
+    rows = lambda df: sorted(tuple(r[c] for c in STATE_COLUMNS) for r in df.collect())
+    assert run_index == 4 and rows(back) == rows(new) and len(rows(new)) == 4
+    assert {r.key: (r.runs_since_evaluation, r.reason, r.last_seen_at) for r in back.collect()}[key("bravo_room")] == (0, "preview_unavailable", NOW)
+    assert {r.key: (r.runs_since_evaluation, r.last_seen_at) for r in back.collect()}[key("charlie_room")] == (1, datetime(2026, 8, 13))
+    import glob
+
+    document = json.loads("".join(open(f).read() for f in sorted(glob.glob(f"{root}/state/part-*"))))
+    assert document["version"] == 5 and document["generated_at"] == "2026-08-15T12:00:00Z" and list(document["channels"]) == sorted(key(h) for h in [*handles, "delta_room"])
+    again = tables.parse_channel_state(spark.createDataFrame([(json.dumps(document),)], "value string"))
+    assert rows(again) == rows(new)
+    tables.write_channel_state(spark.createDataFrame([], new.schema), f"{root}/none", 1, F.lit(NOW))
+    assert tables.read_channel_state(spark, f"{root}/none")[0].isEmpty()
+
+
+def test_seen_state(spark):
+    key = "b" * 64
+    text = json.dumps({"records": {key: {"first_seen_at": "2026-08-01T00:00:00Z", "last_seen_at": "2026-08-02T00:00:00Z"}, "short": {"first_seen_at": "x", "last_seen_at": "y"}, "c" * 64: {"first_seen_at": "x"}}})
+    seen = tables.load_seen_state(spark.createDataFrame([(text,)], "value string"))
+    assert [tuple(r) for r in seen.collect()] == [(key, "2026-08-01T00:00:00Z", "2026-08-02T00:00:00Z")]
+    typed = seen.select("fingerprint", *(F.to_timestamp(c).alias(c) for c in ("first_seen_at", "last_seen_at")))
+    rows = publish.update_seen(typed, spark.createDataFrame([(key,), ("d" * 64,)], "fingerprint string"), NOW).collect()
+    assert {r.fingerprint: (r.first_seen_at, r.last_seen_at) for r in rows} == {key: (datetime(2026, 8, 1), NOW), "d" * 64: (NOW, NOW)}
 
 
 def test_versions(spark):
@@ -171,10 +298,43 @@ def test_versions(spark):
     assert tables.current_version(spark, root) is None and tables.load_state(spark, root) is None
     for version in (1, 2):
         tables.save_state(spark.range(version), root, version)
-    spark.range(9).write.parquet(f"{root}/v00000003")  # cut short: not in the log
+    spark.range(9).write.parquet(f"{root}/data/00000003-cut/state")  # cut short: not in the log
     assert tables.current_version(spark, root) == 2 and tables.load_state(spark, root).count() == 2
     tables.save_state(spark.range(5), root, 3)
     assert tables.load_state(spark, root).count() == 5
+    versions.forget(spark, root, 2)
+    assert versions._numbers(spark, root) == [2, 3] and tables.load_state(spark, root).count() == 5
+
+
+def test_two_writers(spark, monkeypatch):
+    """Both begin with version 1; only one gets 2, and the other merges into what that one left."""
+    root = tempfile.mkdtemp(prefix="spark-sluiceway-")
+    versions.commit({"state": spark.range(1)}, root, 1)
+    monkeypatch.setattr(versions, "_numbers", lambda spark, root: [1])  # neither has seen the other
+    versions.commit({"state": spark.range(2)}, root, 2)
+    with pytest.raises(versions.Conflict):
+        versions.commit({"state": spark.range(3)}, root, 2)
+    monkeypatch.undo()
+    assert tables.load_state(spark, root).count() == 2 and len(os.listdir(f"{root}/data")) == 2
+
+    rows = lambda *x: spark.createDataFrame([("vless", f, f"u{f}") for f in x], "protocol string, fingerprint string, uri string")
+    pool, real = f"{root}/pool", versions.commit
+    jobs.accumulate(rows("a"), pool, NOW)
+
+    def late(tables, root, number, note=None):
+        monkeypatch.setattr(versions, "commit", real)
+        jobs.accumulate(rows("b"), pool, NOW)  # another writer comes first
+        return real(tables, root, number, note)
+
+    monkeypatch.setattr(versions, "commit", late)
+    assert jobs.accumulate(rows("a", "c"), pool, NOW + timedelta(hours=4))
+    assert {r.fingerprint: r.hits for r in jobs.accumulated(spark, pool)[0].collect()} == {"a": 2, "b": 1, "c": 1}
+
+
+def test_publication_order(spark):
+    rows = [("vless", "tls", "ws", "b"), ("trojan", "tls", "ws", "c"), ("trojan", "reality", "ws", "d"), ("trojan", "tls", "tcp", "e"), ("trojan", "tls", "ws", "a")]
+    df = spark.createDataFrame(rows, "protocol string, security string, transport string, fingerprint string")
+    assert [r.fingerprint for r in publish.publication_order(df).collect()] == ["d", "e", "a", "c", "b"]
 
 
 def test_publication(spark):
@@ -196,24 +356,72 @@ def test_publication(spark):
     assert report["trojan"] == (2, 0, 0, 2, 0, 1, 6, 5, True) and report["vless"] == (0, 0, 0, 0, 0, 1, 6, 5, True)
 
 
-def test_streams_equal_batch(spark):
-    root = tempfile.mkdtemp(prefix="spark-sluiceway-")
-    current = spark.createDataFrame([("vless", f"f{i % 7}", f"u{i % 7}") for i in range(20)], "protocol string, fingerprint string, uri string")
-    current.repartition(3).write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(current.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    times = iter([NOW + timedelta(days=d) for d in (0, 1, 9, 10, 11, 12)])
-    q = jobs.stream_accumulate(stream, f"{root}/pool", lambda: next(times)).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = q.lastProgress["batchId"]
-    pool, cycle = jobs.accumulated(spark, f"{root}/pool", last)
-    assert last == 2 and {r.hits for r in pool.collect()} == {1} and {r.last_seen_at for r in pool.collect()} == {NOW + timedelta(days=9)}  # the third batch begins a new cycle
-    assert tuple(cycle.first()) == ("2026-08-24T12:00:00Z", 2)
-    before, cycle = jobs.accumulated(spark, f"{root}/pool", last - 1)
-    assert tuple(cycle.first()) == ("2026-08-15T12:00:00Z", 1)
-    assert {r.fingerprint for r in before.collect()} >= {r.fingerprint for r in spark.read.parquet(f"{root}/in").collect()} - {r.fingerprint for r in pool.collect()}
-    posts = spark.createDataFrame([("c", str(i % 5), NOW) for i in range(20)], "handle string, message_id string, published_at timestamp")
-    posts.write.parquet(f"{root}/posts")
-    fresh = jobs.stream_fresh_posts(spark.readStream.schema(posts.schema).parquet(f"{root}/posts"))
-    q = fresh.writeStream.format("memory").queryName("fresh").option("checkpointLocation", f"{root}/cp2").trigger(availableNow=True).start()
+def _stream(spark, df, where):
+    """df as a stream of the files in a folder, one file to a batch."""
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(where)
+
+
+def _drained(writer, checkpoint):
+    q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert spark.table("fresh").count() == 5
+    return q
+
+
+def test_stream_of_the_pool_is_resumed(spark):
+    root = tempfile.mkdtemp(prefix="spark-sluiceway-")
+    parts = [[("vless", f"f{i}", f"u{i}") for i in x] for x in ((1, 2), (2, 3), (4,))]
+    schema = "protocol string, fingerprint string, uri string"
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{root}/in/{n}")
+    one = spark.createDataFrame([], schema)
+    times = iter([NOW + timedelta(days=d) for d in (0, 1, 2, 9, 10, 11)])
+    for n, checkpoint in ((0, "a"), (1, "a"), (2, "b")):  # the third one has a checkpoint of its own
+        q = _drained(jobs.stream_accumulate(_stream(spark, one, f"{root}/in/{n}"), f"{root}/pool", lambda: next(times)), f"{root}/{checkpoint}-{n}")
+    pool = {r.fingerprint: r.hits for r in jobs.accumulated(spark, f"{root}/pool")[0].collect()}
+    assert pool == {"f1": 1, "f2": 2, "f3": 1, "f4": 1}
+    query = str(q.id)
+    assert not jobs.accumulate(one, f"{root}/pool", NOW, writer=query, batch_id=0)  # a repeated batch
+    spark.createDataFrame([("vless", "f1", "x")], schema).coalesce(1).write.mode("append").parquet(f"{root}/in/2")
+    _drained(jobs.stream_accumulate(_stream(spark, one, f"{root}/in/2"), f"{root}/pool", lambda: next(times)), f"{root}/b-2")  # a new cycle
+    pool, cycle = jobs.accumulated(spark, f"{root}/pool")
+    assert {r.fingerprint for r in pool.collect()} == {"f1"} and tuple(cycle.first()) == ("2026-08-24T12:00:00Z", 2)
+    jobs.accumulate(spark.createDataFrame(parts[0], schema), f"{root}/pool", NOW + timedelta(days=10))  # a batch job goes on with it
+    assert {r.fingerprint: r.hits for r in jobs.accumulated(spark, f"{root}/pool")[0].collect()} == {"f1": 2, "f2": 1}
+
+
+def test_stream_of_first_seen_equals_batch(spark):
+    root = tempfile.mkdtemp(prefix="spark-sluiceway-")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        batches = [(NOW, "abca"), (NOW + timedelta(days=1), "bd"), (NOW + timedelta(hours=1), "ad")]
+        state = spark.createDataFrame([], "fingerprint string, first_seen_at timestamp, last_seen_at timestamp")
+        for n, (at, names) in enumerate(batches):
+            now = spark.createDataFrame([(x, at) for x in names], "fingerprint string, seen_at timestamp")
+            now.coalesce(1).write.mode("append").parquet(f"{root}/in")
+            state = spark.createDataFrame(publish.update_seen(state, now, at).collect(), state.schema)
+            out = jobs.stream_first_seen(_stream(spark, now, f"{root}/in")).writeStream.outputMode("update").foreachBatch(lambda b, i, n=n: b.withColumn("n", F.lit(n)).write.mode("append").parquet(f"{root}/out"))
+            _drained(out, f"{root}/cp")
+        last = {r.fingerprint: (r.first_seen_at, r.last_seen_at) for r in spark.read.parquet(f"{root}/out").orderBy("n").collect()}
+        want = {r.fingerprint: (r.first_seen_at, r.last_seen_at) for r in state.collect()}
+        assert last | {"d": None} == want | {"a": (NOW, NOW + timedelta(hours=1)), "d": None}
+        assert last["d"] == (NOW + timedelta(hours=1), NOW + timedelta(days=1))  # a late batch moves both ends
+    finally:
+        spark.conf.unset(provider)
+
+
+def test_streams_of_posts(spark):
+    """Posts once within the watermark, late ones dropped; days are given out once they have passed."""
+    root = tempfile.mkdtemp(prefix="spark-sluiceway-")
+    schema = "handle string, message_id string, published_at timestamp"
+    day = lambda d: datetime(2026, 8, d, 12)
+    batches = [[("c", "1", day(1)), ("c", "1", day(1)), ("d", "1", day(1))], [("c", "2", day(9)), ("c", "1", day(1))], [("c", "3", day(2)), ("c", "4", day(9))], [("c", "5", day(20))]]
+    fresh, activity = [], []
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, schema)
+        df.coalesce(1).write.mode("append").parquet(f"{root}/posts")
+        posts = _stream(spark, df, f"{root}/posts")
+        _drained(jobs.stream_fresh_posts(posts).writeStream.foreachBatch(lambda b, i: fresh.extend((r.handle, r.message_id) for r in b.collect())), f"{root}/cp1")
+        _drained(jobs.stream_channel_activity(posts).writeStream.outputMode("append").foreachBatch(lambda b, i: activity.extend((r.handle, r.day.day, r.n) for r in b.collect())), f"{root}/cp2")
+    assert sorted(fresh) == [("c", "1"), ("c", "2"), ("c", "4"), ("c", "5"), ("d", "1")]  # 3 came seven days late
+    assert sorted(activity) == [("c", 1, 3), ("c", 9, 2), ("d", 1, 1)]
