@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.functions.uri import compact_code, computed
 from sluiceway.operators import channels, extract, identity, outbound, probes, profiles, publish
-from sluiceway.plans.derive import ATTEMPTS, CANDIDATES, CURRENT, EXPECTED, MENTIONS, METRICS, OUTBOUND, PAGES, POOL, POSTS, STATE, TRANSFERS, WALK, table
+from sluiceway.plans.derive import ATTEMPTS, CANDIDATES, CURRENT, EXPECTED, MENTIONS, METRICS, OUTBOUND, PAGES, POOL, POSTS, STATE, TRANSFERS, WALK, dealt, table
 from sluiceway.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,12 +28,16 @@ def query(sql: str | None = None):
     return add
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, CANDIDATES).select("doc_idx", "line_idx", "line"), "doc_idx", "line_idx")
+
+
 def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.static_filter(table(spark, sf_dir, CANDIDATES).select("doc_idx", "line_idx", "line"))
+    return profiles.static_filter(_lines(spark, sf_dir))
 
 
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return computed(_filtered(spark, sf_dir).filter("reason is null"), fingerprint=identity.fingerprint())
+    return identity.accepted_profiles(_lines(spark, sf_dir))
 
 
 _ID = f"""
@@ -55,12 +59,12 @@ _CODE = "array_to_string([substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghij
 
 @query(f"SELECT doc_idx, line_idx, CASE WHEN bad <> 8 THEN protocol END AS protocol, CASE WHEN bad <> 8 THEN server END AS server, CAST(CASE WHEN bad <> 8 THEN port END AS INT) AS port, CASE WHEN bad <> 8 THEN username END AS username, CASE WHEN bad <> 8 THEN secret END AS secret, CASE WHEN bad <> 8 THEN security END AS security, CASE WHEN bad <> 8 THEN transport END AS transport, CASE WHEN bad <> 8 THEN split_part(line, '#', 1) END AS original_uri FROM ({EXPECTED}) e")
 def c4_parse_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.parse_profiles(table(spark, sf_dir, CANDIDATES)).select("doc_idx", "line_idx", "protocol", "server", "port", "username", "secret", "security", "transport", "original_uri")
+    return profiles.parse_profiles(_lines(spark, sf_dir)).select("doc_idx", "line_idx", "protocol", "server", "port", "username", "secret", "security", "transport", "original_uri")
 
 
 @query(f"SELECT doc_idx, line_idx, CASE WHEN bad = 8 THEN NULL ELSE CASE WHEN p < 2 THEN CASE bad WHEN 1 THEN '' ELSE 'www.example.com' END ELSE CASE bad WHEN 1 THEN '' ELSE 'www.example.com' END END END AS sni, CASE WHEN bad <> 8 THEN CASE WHEN bad = 2 THEN 'unknownbrowser' WHEN p = 1 AND bad = 5 THEN '' WHEN p = 0 THEN 'chrome' WHEN p = 1 THEN 'firefox' END END AS fp, CASE WHEN bad <> 8 THEN CASE WHEN p = 1 AND bad = 9 AND t IN (1, 3) THEN 'gate' WHEN p < 2 AND t IN (1, 3) THEN '/gate' END END AS path FROM ({CANDIDATES}) e")
 def c2_query_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = profiles.parse_profiles(table(spark, sf_dir, CANDIDATES))
+    out = profiles.parse_profiles(_lines(spark, sf_dir))
     return out.select("doc_idx", "line_idx", "params.sni", "params.fp", "params.path")
 
 
@@ -71,8 +75,7 @@ def c8_static_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_idx, line_idx, CASE WHEN bad = 7 THEN NULL ELSE reason END AS reason FROM ({EXPECTED}) e")
 def c9_channel_static_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, CANDIDATES).select("doc_idx", "line_idx", "line")
-    return profiles.static_filter(lines, pointers=False).select("doc_idx", "line_idx", "reason")
+    return profiles.static_filter(_lines(spark, sf_dir), pointers=False).select("doc_idx", "line_idx", "reason")
 
 
 @query(f"SELECT reason, count(*) AS n FROM ({EXPECTED}) e WHERE reason IS NOT NULL GROUP BY reason")
@@ -87,7 +90,7 @@ def c11_filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_idx, line_idx, 'chan_' || (10000 + h) AS handle FROM ({CANDIDATES}) e WHERE bad = 7")
 def b5_channel_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = profiles.channel_pointer(table(spark, sf_dir, CANDIDATES).select("doc_idx", "line_idx", "line"), "line")
+    found = profiles.channel_pointer(_lines(spark, sf_dir), "line")
     return found.filter("pointer is not null").select("doc_idx", "line_idx", F.col("pointer").alias("handle"))
 
 
@@ -113,13 +116,12 @@ def d4_compatibility_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT p.protocol, count(fingerprint) AS n FROM (VALUES ('vless'), ('trojan'), ('hysteria2')) p(protocol) LEFT JOIN ({_FIRST}) e USING (protocol) GROUP BY p.protocol")
 def d5_split_by_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.split_by_protocol(identity.keep_first(_accepted(spark, sf_dir), ["fingerprint"], ["doc_idx", "line_idx"]))
+    return identity.split_by_protocol(identity.keep_first(_accepted(spark, sf_dir).select("doc_idx", "line_idx", "protocol", "fingerprint"), ["protocol", "fingerprint"], ["doc_idx", "line_idx"]))
 
 
 @query(f"SELECT doc_idx, line_idx, fingerprint, split_part(line, '#', 1) || '#' || CASE p WHEN 0 THEN 'VL' WHEN 1 THEN 'TR' ELSE 'HY2' END || '-' || upper(security) || '-' || CASE WHEN p = 2 THEN 'UDP' WHEN t IN (1, 3) THEN 'WS' ELSE upper(tt) END || '-' || {_CODE} AS uri FROM ({_FIRST}) e")
 def published_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = identity.keep_first(_accepted(spark, sf_dir), ["fingerprint"], ["doc_idx", "line_idx"])
-    return first.select("doc_idx", "line_idx", "fingerprint", identity.named_uri().alias("uri"))
+    return identity.unique_profiles(_lines(spark, sf_dir)).select("doc_idx", "line_idx", "fingerprint", identity.named_uri().alias("uri"))
 
 
 # Outbounds
@@ -150,7 +152,7 @@ FROM ({OUTBOUND}) o
 
 
 def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, OUTBOUND).select("doc_idx", "line_idx", F.col("uri").alias("line"))
+    lines = dealt(table(spark, sf_dir, OUTBOUND).select("doc_idx", "line_idx", F.col("uri").alias("line")), "doc_idx", "line_idx")
     return profiles.static_filter(lines).filter("reason is null")
 
 
@@ -370,7 +372,7 @@ FROM (SELECT protocol, count(*) AS merged, least(count(*), 50) AS total, count(*
 def g9_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of a run that follows one which had published every other document."""
     found, start = _accepted(spark, sf_dir), "2024-01-28T00:00:00Z"
-    first = identity.keep_first(found.select("doc_idx", "line_idx", "protocol", "fingerprint", "original_uri"), ["fingerprint"], ["doc_idx", "line_idx"]).filter("doc_idx % 2 = 0")
+    first = identity.unique_profiles(_lines(spark, sf_dir)).filter("doc_idx % 2 = 0")
     early = F.lit(datetime(2024, 1, 28)).cast("timestamp")
     pool = first.select("protocol", "fingerprint", F.col("original_uri").alias("uri"), early.alias("first_added_at"), early.alias("last_seen_at"), F.lit(1).alias("hits"))
     cycle = spark.createDataFrame([(start, 2)], "cycle_started_at string, generation int")
@@ -519,12 +521,12 @@ def b1_b2_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT DISTINCT doc_idx, handle FROM ({MENTIONS}) m WHERE form < 4")
 def b3_b4_extract_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract_handles(table(spark, sf_dir, MENTIONS))
+    return extract.extract_handles(dealt(table(spark, sf_dir, MENTIONS), "doc_idx"))
 
 
 @query(f"SELECT DISTINCT handle FROM ({MENTIONS}) m WHERE form < 4")
 def f1_discover_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract_handles(table(spark, sf_dir, MENTIONS)).select("handle").distinct()
+    return extract.extract_handles(dealt(table(spark, sf_dir, MENTIONS), "doc_idx")).select("handle").distinct()
 
 
 @query(f"SELECT DISTINCT handle, 'https://t.me/s/' || handle AS url FROM ({POSTS}) p")
@@ -534,7 +536,7 @@ def b6_preview_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT handle, message_id, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at, text FROM ({PAGES}) p")
 def b7_parse_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _times(extract.parse_posts(table(spark, sf_dir, PAGES)).select("handle", "message_id", "published_at", "text"))
+    return _times(extract.parse_posts(dealt(table(spark, sf_dir, PAGES), "event_id")).select("handle", "message_id", "published_at", "text"))
 
 
 _WALKED = f"""

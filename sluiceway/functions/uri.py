@@ -25,7 +25,9 @@ def unquote(text: Column, plus: bool = False) -> Column:
 
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """df with more columns, each computed once for a row however often it is used: the
-    optimizer doesn't copy expressions through a generator as it does through projections."""
+    optimizer doesn't copy expressions through a generator as it does through projections, and
+    doesn't push filters on them below it. It also keeps large steps out of generated code, where
+    one method has 64 KB at most."""
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
@@ -85,12 +87,15 @@ def known_parameters(df: DataFrame, query: str, names: list[str], spelled: dict[
     out = computed(out, _entries=F.when(~F.col("_usual"), query_entries(F.col(query))))
     out = computed(out, _map=F.when(~F.col("_usual"), query_map("_entries")))
 
-    def field(name: str) -> Column:
-        last = F.substring_index(F.substring_index("_plain", f"&{name}=", -1), "&", 1)
-        found = F.when(F.contains("_plain", F.lit(f"&{name}=")), strip(unquote(last, True)))
-        return F.when(F.col("_usual"), found).otherwise(F.try_element_at("_map", F.lit(name)))
+    # what plain search finds, as it stands; most values need neither decoding nor stripping
+    found = {f"_raw_{i}": F.when(F.contains("_plain", F.lit(f"&{k}=")), F.substring_index(F.substring_index("_plain", f"&{k}=", -1), "&", 1)) for i, k in enumerate(names)}
+    out = computed(out, _bare=~F.col("_plain").rlike(r"[%+]|[^!-~]"), **found)
 
-    return computed(out, params=F.when(wanted, F.struct(*(field(k).alias(k) for k in names)))).drop("_plain", "_usual", "_entries", "_map")
+    def field(i: int, name: str) -> Column:
+        raw = F.col(f"_raw_{i}")
+        return F.when(F.col("_usual"), F.when(F.col("_bare") | raw.isNull(), raw).otherwise(strip(unquote(raw, True)))).otherwise(F.try_element_at("_map", F.lit(name)))
+
+    return computed(out, params=F.when(wanted, F.struct(*(field(i, k).alias(k) for i, k in enumerate(names))))).drop("_plain", "_usual", "_entries", "_map", "_bare", *found)
 
 
 def valid_reality_key(key: Column) -> Column:

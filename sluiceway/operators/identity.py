@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.functions.uri import compact_code, strip
-from sluiceway.operators.profiles import alpn_tokens, insecure_flag, param
+from sluiceway.functions.uri import compact_code, computed, strip
+from sluiceway.operators.profiles import alpn_tokens, insecure_flag, param, parse_profiles, static_filter
 
 #: Labels in published names.
 PROTOCOL_LABELS = {"vless": "VL", "trojan": "TR", "hysteria2": "HY2"}
@@ -57,14 +59,43 @@ def fingerprint() -> Column:
     return F.sha2(canonical_material(), 256)
 
 
+#: Above any ordinal: two of them make one decimal, which aggregates in place.
+_BASE = 10**19
+
+
 def keep_first(profiles: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by ``order``: a minimum with map-side combining, which is
-    deterministic, unlike dropDuplicates."""
+    deterministic, unlike dropDuplicates. Rows of keys and one or two whole ordinals (from 0) alone
+    are aggregated in hash maps; wider ones have to be sorted, so fetch what else is needed for
+    the first ones alone (see ``unique_profiles``)."""
+    types = dict(profiles.dtypes)
+    if set(profiles.columns) == {*keys, *order} and len(order) in (1, 2) and all(types[c] in ("int", "bigint") for c in order):
+        if len(order) == 1:
+            return profiles.groupBy(*keys).agg(F.min(order[0]).alias(order[0])).select(profiles.columns)
+        base = F.lit(Decimal(_BASE)).cast("decimal(20,0)")
+        packed = F.col(order[0]).cast("decimal(19,0)") * base + F.col(order[1]).cast("decimal(19,0)")
+        best = profiles.groupBy(*keys).agg(F.min(packed.cast("decimal(38,0)")).alias("_p"))
+        parts = {order[0]: F.call_function("div", F.col("_p"), base), order[1]: F.col("_p") % base}
+        return best.select(*keys, *(parts[c].cast(types[c]).alias(c) for c in order)).select(profiles.columns)
     rest = [c for c in profiles.columns if c not in order]
     best = profiles.groupBy(*keys).agg(F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("r"))
     return best.select("r.*").select(profiles.columns)
 
 
+def accepted_profiles(lines: DataFrame) -> DataFrame:
+    """Profiles of lines (doc_idx, line_idx, line) that pass all checks, with their fingerprint."""
+    return computed(static_filter(lines).filter("reason is null"), fingerprint=fingerprint())
+
+
+def unique_profiles(lines: DataFrame) -> DataFrame:
+    """The first accepted profile of each fingerprint, in full. Only fingerprints and ordinals go through
+    the deduplication; the lines of the first ones are looked up by their ordinals and parsed
+    again, and they are few. Lines that share their ordinals are told apart by their fingerprints."""
+    first = keep_first(accepted_profiles(lines).select("doc_idx", "line_idx", "fingerprint"), ["fingerprint"], ["doc_idx", "line_idx"])
+    again = accepted_profiles(lines.join(first.withColumnRenamed("fingerprint", "_first"), ["doc_idx", "line_idx"]))
+    return again.filter("fingerprint = _first").drop("_first")
+
+
 def compatibility_groups(profiles: DataFrame) -> DataFrame:
     key = F.lower(strip(F.coalesce("secret", "username", F.lit(""))))
     grouped = profiles.groupBy("protocol", F.lower("server").alias("host"), "port", key.alias("credential"))

@@ -90,6 +90,14 @@ def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
             sql = sql.replace(f"FROM {name}", f"FROM parquet.`{sf_dir}/{name}.parquet`")
     return spark.sql(sql)
 
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df over as many tasks as the session's shuffles have: a table that is one row group of one file is
+    read by one task, and what it is made into would stay there."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 #: State and pool of earlier runs; fingerprints overlap with this run's.
 POOL = """
 SELECT CASE c_custkey % 3 WHEN 0 THEN 'vless' WHEN 1 THEN 'trojan' ELSE 'hysteria2' END AS protocol, 'fp' || CAST(c_custkey AS STRING) AS fingerprint,

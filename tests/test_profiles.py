@@ -116,3 +116,23 @@ def test_keep_first_does_not_depend_on_partitions(spark):
     want = {(i, i) for i in range(37)}
     for n in (1, 7, 64):
         assert {tuple(r) for r in identity.keep_first(rows.repartition(n), ["k"], ["id"]).collect()} == want
+
+
+def test_unique_profiles_equal_keep_first(spark):
+    """Late look-up gives what keeping whole rows does, also where lines share their ordinals."""
+    lines = [TROJAN + f"&sni=h{i % 5}.example#{i}" for i in range(40)] + ["junk", HY2, _vless(fp="opera"), _vless()]
+    df = spark.createDataFrame([(i // 3, (i % 3) // 2, x) for i, x in enumerate(lines)], "doc_idx long, line_idx int, line string").repartition(4)
+    columns = ["fingerprint", "doc_idx", "line_idx", "server", "original_uri"]
+    found = identity.accepted_profiles(df).select(columns)
+    want = identity.keep_first(found, ["fingerprint"], ["doc_idx", "line_idx"])
+    got = identity.unique_profiles(df).select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 7
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_keep_first_packs_ordinals(spark):
+    big = 9_000_000_000_000_000_000
+    rows = [("a", big, 7), ("a", big, 3), ("a", big + 1, 0), ("b", 0, 2_000_000_000), ("b", 1, 0), (None, 4, 4)]
+    df = spark.createDataFrame(rows, "k string, doc_idx long, line_idx int")
+    assert {tuple(r) for r in identity.keep_first(df, ["k"], ["doc_idx", "line_idx"]).collect()} == {("a", big, 3), ("b", 0, 2_000_000_000), (None, 4, 4)}
