@@ -9,13 +9,16 @@ as a third since they overlap). The likelihood is concave, so its slope towards
 what adding it can gain; languages that can't make up for the penalty are not tried. The prediction is the language with the largest proportion in the set;
 its proportion is the score.
 
-The model is a table of languages x 2^14 buckets, whatever the corpus' size; it is broadcast
-after a check that there are no more languages than could be. Documents are handled as sparse
-arrays, as many at a time as keep languages x features within a bound.
+The model is a table of languages x buckets, whatever the corpus' size: 2^14 buckets for up to 1,024
+languages, and half as many for each doubling beyond, so its ``MODEL_BYTES`` are a bound for any
+number of languages; it is broadcast. Documents are handled as sparse arrays, as many at a time
+as keep languages x features within a bound.
 
 Edge cases: null texts and texts without a letter give ``und`` with score 0; so does every
 text when nothing could be learned. Rows with a null id are predicted and count as held out
-from training. Other columns are not read.
+from training. Ties go to the language that is smaller in UTF-8. Repeated rows count each time in
+training and get the same prediction each; a very long text is counted whole. Empty tables learn
+nothing and give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -34,8 +38,8 @@ from sluiceway.llm.shared import fold, slices
 from sluiceway.llm.words import buffer_of
 
 BUCKETS = 1 << 14
-#: Most languages a model may have: twice the codes of ISO 639-3, at 64 KB each.
-MOST_LANGUAGES = 16_384
+#: Of a model's table of 32-bit numbers.
+MODEL_BYTES = 64 << 20
 #: Numbers in a table of languages x features.
 CELLS = 1 << 20
 _letter = regex.compile(r"\p{L}").search
@@ -46,9 +50,23 @@ _CLASS[128:] = np.arange(128, 256)
 
 
 class Model(NamedTuple):
+    """names, and the logarithm of each bucket's share in each language; a bucket is the high bits of
+    one of ``trigram_counts``."""
+
     names: list[str]
     log_p: np.ndarray
 
+    def of(self, bucket: np.ndarray) -> np.ndarray:
+        return self.log_p[:, bucket // (BUCKETS // self.log_p.shape[1])]
+
+
+def buckets_for(languages: int) -> int:
+    """How many buckets keep a model of so many languages within MODEL_BYTES."""
+    buckets = BUCKETS
+    while buckets > 1 and 4 * buckets * languages > MODEL_BYTES:
+        buckets //= 2
+    return buckets
+
 
 def trigram_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, bucket and count of the byte trigrams with at most one non-letter, in order of
@@ -104,16 +122,16 @@ def learn(docs: DataFrame, *, smoothing: float = 0.5, held_parts: int = 4, held_
 
     own = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), fold(F.col(id_col), held_parts).alias("part"))
     train = own.filter(f"part <> {held_part} and lang is not null and text is not null").select("text", "lang")
-    summed = train.mapInArrow(rows, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = summed.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(table) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    log_p = np.zeros((len(table), BUCKETS), np.float32)
-    for i, r in enumerate(table):
-        counts = np.full(BUCKETS, smoothing)
-        counts[[x["bucket"] for x in r["counts"]]] += [x["n"] for x in r["counts"]]
-        log_p[i] = np.log(counts / counts.sum())
-    return Model([r["lang"] for r in table], log_p)
+    size = buckets_for(train.agg(F.count_distinct("lang")).first()[0])
+    summed = train.mapInArrow(rows, "lang string, bucket int, n long").groupBy("lang", F.floor(F.col("bucket") / (BUCKETS // size)).cast("int").alias("bucket")).agg(F.sum("n").alias("n"))
+
+    def shares(own: pd.DataFrame) -> pd.DataFrame:
+        counts = np.full(size, smoothing)
+        counts[own["bucket"].to_numpy()] += own["n"].to_numpy()
+        return pd.DataFrame({"lang": [own["lang"].iloc[0]], "log_p": [np.log(counts / counts.sum()).astype(np.float32).tobytes()]})
+
+    table = sorted(((r["lang"], r["log_p"]) for r in summed.groupBy("lang").applyInPandas(shares, "lang string, log_p binary").collect()), key=lambda x: x[0].encode())  # MODEL_BYTES at most
+    return Model([lang for lang, _ in table], np.array([np.frombuffer(x, np.float32) for _, x in table]).reshape(len(table), size))
 
 
 def _mix(n: np.ndarray, p: np.ndarray, doc: np.ndarray, first: np.ndarray, among: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +173,7 @@ def _infer(model: Model, live: list[int], counts: list[tuple[np.ndarray, np.ndar
     doc = np.repeat(np.arange(len(live)), [len(x) for x, _ in counts])
     first = np.searchsorted(doc, np.arange(len(live)))
     n = np.concatenate([x for _, x in counts]).astype(np.float32)
-    p = np.exp(model.log_p[:, np.concatenate([x for x, _ in counts])])
+    p = np.exp(model.of(np.concatenate([x for x, _ in counts])))
     every = np.ones((len(model.names), len(live)), np.float32)
     pi, _ = _mix(n, p, doc, first, every, rounds)
     order = np.argsort(-pi, axis=0, kind="stable")
