@@ -40,6 +40,8 @@ BLOCK = 512
 CACHE = 150_000
 #: Text bytes of a range partition, where that makes more of them than the session's number.
 PART_BYTES = 64 << 20
+#: Packed ids at which a shard is full before it has its documents.
+SHARD_BYTES = 16 << 20
 #: Punctuation that may end a word: its ids are looked up apart from the word's.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _marks = re.compile("[^\0-\u02ff]").search
@@ -192,15 +194,27 @@ def write_shards(docs: DataFrame, where: str, *, tokenizer: str, end_id: int = 1
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, keep=True):
-            for at in range(0, batch.num_rows, block_docs):
-                some = batch.slice(at, block_docs)
-                ids = [x + tail for x in encoded(spec.value, dtype, [t or "" for t in some["text"].to_pylist()])]
-                bound = np.concatenate([[0], np.cumsum([len(x) // len(tail) for x in ids])])
-                ef = EliasFano.of(bound)
-                names = np.array([(i is not None, i or 0) for i in some["doc_id"].to_pylist()], dtype="?,<i8")
-                yield pa.RecordBatch.from_pylist([{"part": part, "block": block, "n_docs": len(ids), "n_ids": int(bound[-1]), "width": len(tail), "doc_ids": names.tobytes(), "ids": b"".join(ids), "low_bits": ef.low_bits, "low": ef.low.tobytes(), "high": ef.high.tobytes(), "marks": ef.marks.tobytes()}], schema)
-                block += 1
+        names, ids = [], []
+
+        def shard() -> pa.RecordBatch:
+            bound = np.concatenate([[0], np.cumsum([len(x) // len(tail) for x in ids])])
+            ef = EliasFano.of(bound)
+            packed = np.array(names, dtype="?,<i8").tobytes()
+            return pa.RecordBatch.from_pylist([{"part": part, "block": block, "n_docs": len(ids), "n_ids": int(bound[-1]), "width": len(tail), "doc_ids": packed, "ids": b"".join(ids), "low_bits": ef.low_bits, "low": ef.low.tobytes(), "high": ef.high.tobytes(), "marks": ef.marks.tobytes()}], schema)
+
+        held = 0
+        for batch in slices(batches, keep=True):  # a shard goes on from one slice to the next
+            new = encoded(spec.value, dtype, [t or "" for t in batch["text"].to_pylist()])
+            for name, x in zip(batch["doc_id"].to_pylist(), new, strict=True):
+                names.append((name is not None, name or 0))
+                ids.append(x + tail)
+                held += len(x)
+                if len(ids) == block_docs or held >= SHARD_BYTES:
+                    yield shard()
+                    block, held = block + 1, 0
+                    names, ids = [], []
+        if ids:
+            yield shard()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
