@@ -50,6 +50,8 @@ _U = np.uint64
 BAND = 2
 #: Turns go on while at least this part of the compared pairs are links.
 WORTH = 0.1
+#: Pairs of one class that meet in a task.
+LOAD = 4096
 #: Places of a sketch: 21 in each of three longs, three bits each.
 PLACES = 63
 
@@ -217,8 +219,12 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, share: int = 80, miss: floa
         return (100 * F.least(x, y) >= share * F.greatest(x, y)) & (sum(places[1:], places[0]) <= most)
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        full = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
+        # a central class may be in any number of pairs: its set goes to so many tasks that none has more than LOAD
+        loads = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LOAD).cast("int").alias("tasks"))
+        salted = pairs.join(loads, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("salt"))
+        with_b = salted.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
+        spread_a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")).join(loads, "a").select("a", "set_a", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"))
+        full = with_b.join(spread_a, ["a", "salt"])
         return work.cut(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(share), "a long, b long"), f"{name}-links")
 
     row = F.struct("far", "id", "n", "k0", "k1", "k2", "label")
