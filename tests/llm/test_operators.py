@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tempfile
 import zlib
 from itertools import combinations
 
@@ -499,3 +500,74 @@ def test_nearest(spark):
 
 def test_hash_of_ids():
     assert hashlib.sha256(np.array([1, 2], "<u4").tobytes()).hexdigest() == hashlib.sha256(b"\1\0\0\0\2\0\0\0").hexdigest()
+
+
+def test_many_languages_in_a_bounded_model(spark, monkeypatch):
+    """3,000 languages fit the bound with fewer buckets, and each is still told from the others."""
+    assert langid.buckets_for(4) == langid.buckets_for(1024) == langid.BUCKETS and langid.buckets_for(10**6) == 16
+    assert all(4 * n * langid.buckets_for(n) <= langid.MODEL_BYTES for n in (1, 1025, 3000, 70_000, 10**6))
+    rng = random.Random(1)
+    names = [f"l{i:04}" for i in range(3000)]
+    letters = {x: "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 9)) for x in names}
+    say = lambda x, n: " ".join("".join(rng.choice(letters[x]) for _ in range(6)) for _ in range(n))
+    rows = [(4 * i + 1, say(x, 80), x) for i, x in enumerate(names)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.learn(train, held_part=-1)
+    assert len(model.names) == 3000 and model.log_p.nbytes <= langid.MODEL_BYTES and model.names == sorted(names)
+    some = names[::150]
+    found, score, _ = langid.infer(model, pa.array([say(x, 60) for x in some]))
+    assert sum(a == b for a, b in zip(found, some, strict=True)) >= 19
+    # folding buckets is all that a smaller table changes
+    monkeypatch.setattr(langid, "MODEL_BYTES", 4 * 3000 * langid.BUCKETS)
+    whole = langid.learn(train, held_part=-1)
+    folded = np.exp(whole.log_p[::500].astype(float)).reshape(6, model.log_p.shape[1], -1).sum(2)
+    assert np.abs(folded - np.exp(model.log_p[::500].astype(float))).max() < 0.05
+
+
+def test_language_of_edge_rows(spark):
+    train = spark.createDataFrame([(1, "the cat sat on the mat " * 5, "en"), (5, "der hund und die katze " * 5, "de")] * 3, "doc_id long, text string, lang string")
+    model = langid.learn(train)
+    long = "the mat and the cat " * 60_000
+    rows = [(2, None), (None, "the cat"), (7, ""), (8, "123 !!"), (9, long), (9, long), (10, "q")]
+    got = [(r.doc_id, r.held_out, r.lang_pred, round(r.score, 3)) for r in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()]
+    key = lambda x: (x[0] is None, x[0] or 0)
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    want = [(2, "und", 0.0), (7, "und", 0.0), (8, "und", 0.0), (9, "en", 1.0), (9, "en", 1.0), (10, "de", 0.5)]
+    assert sorted(got, key=key) == [*((i, held(i), *x) for i, *x in want), (None, True, "en", 1.0)]
+
+
+def test_shards_are_filled_across_slices(spark):
+    """Thousands of short documents in one shard, with many marks, by the query's own path."""
+    from pyspark.sql import functions as F  # noqa: PLC0415
+
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.repeat(F.lit("tail "), (F.col("id") % 7).cast("int"))).alias("text"))
+    where = tempfile.mkdtemp(prefix="spark-sluiceway-") + "/shards"
+    token_store.write_shards(docs, where, tokenizer=CASED, partitions=1)
+    shards = spark.read.parquet(where).orderBy("block").collect()
+    assert [r.n_docs for r in shards] == [4096, 4096, 808] and len(np.frombuffer(shards[0].marks, np.uint32)) > 10
+    got = token_store.read_shards(spark, where).orderBy("doc_id").collect()
+    tokens = Tokenizer.from_file(CASED)
+    want = [len(tokens.encode(f"word {'tail ' * (i % 7)}", add_special_tokens=False).ids) + 1 for i in range(7)]
+    assert [r.n_tokens for r in got] == [want[i % 7] for i in range(9000)]
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+
+
+def test_hot_class_is_compared_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LOAD", 3)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(60):
+        words_ = list(base)
+        words_[rng.randrange(80)] = f"x{i}"
+        texts.append(" ".join(words_))
+    texts += [" ".join(f"y{rng.randrange(400)}" for _ in range(80)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(78)} for t in texts]
+    label = list(range(80))
+    for a, b in combinations(range(80), 2):
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            old, new = sorted((label[a], label[b]), reverse=True)
+            label = [new if x == old else x for x in label]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs, shingle=3, share=85).collect()}
+    assert got == dict(enumerate(label))
