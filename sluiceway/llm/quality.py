@@ -12,8 +12,10 @@ numbers: whole texts, one vectorised pass, constant memory.
 
 Edge cases: null and empty texts score the bias alone. Labels that are null are not learned
 from. Without any labelled row (or with one class) every score is the share of label 1, or
-0.5. Rows with a null id are scored and count as held out. Only the id and text columns are
-read besides the labels.
+0.5. Rows with a null id are scored and count as held out. Repeated rows each get the same score; an id
+that is labelled twice counts as its largest label. A very long text is averaged whole. Empty
+tables give no rows. Ties at the cut are predicted 1. Only the id and text columns are read
+besides the labels.
 """
 
 from __future__ import annotations

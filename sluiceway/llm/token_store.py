@@ -13,8 +13,9 @@ Order comes from range partitioning by id; only one row of totals for each shard
 to give each shard's place in the whole.
 
 Edge cases: null and empty texts give a document that is only the end id. Rows with a null id
-come first; rows with one id keep an order among themselves by text. An empty table gives an
-empty folder and no rows. Only the id and text columns are read. Texts are cut at white space
+come first; rows with one id keep an order among themselves by text. A very long text is one
+document of a shard like any other, which is full with it. An empty table gives an empty folder
+and no rows. Only the id and text columns are read. Texts are cut at white space
 and pieces remembered only after a test that the tokenizer's pre-tokens end there; under any
 other tokenizer whole texts are encoded.
 """

@@ -19,7 +19,10 @@ The decision is linear in the triples of a word, so it folds into one weight for
 
 Edge cases: null and empty texts, and texts without letters or digits, score 0. Null labels
 are not learned from; without labelled rows of both classes every score is 0. Rows with a null
-id are scored and count as held out. Only the id and text columns are read besides the labels.
+id are scored and count as held out. Repeated rows each get the same score; an id that is labelled
+twice counts as its largest label. A very long text scores as its highest scoring word, like any
+other. Empty tables give no rows. Ties at the cut are predicted 1. Only the id and text columns
+are read besides the labels.
 """
 
 from __future__ import annotations

@@ -525,11 +525,12 @@ def test_many_languages_in_a_bounded_model(spark, monkeypatch):
 
 
 def test_language_of_edge_rows(spark):
-    train = spark.createDataFrame([(1, "the cat sat on the mat " * 5, "en"), (5, "der hund und die katze " * 5, "de")] * 3, "doc_id long, text string, lang string")
+    train = spark.createDataFrame([(i, text * 5, lang) for i in range(20) for text, lang in (("the cat sat on the mat ", "en"), ("der hund und die katze ", "de"))], "doc_id long, text string, lang string")
     model = langid.learn(train)
+    assert model.names == ["de", "en"]
     long = "the mat and the cat " * 60_000
     rows = [(2, None), (None, "the cat"), (7, ""), (8, "123 !!"), (9, long), (9, long), (10, "q")]
-    got = [(r.doc_id, r.held_out, r.lang_pred, round(r.score, 3)) for r in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()]
+    got = [(r.doc_id, r.held_out, r.lang_pred, 1.0 if 0.9 < r.score <= 1 else r.score) for r in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()]
     key = lambda x: (x[0] is None, x[0] or 0)
     held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
     want = [(2, "und", 0.0), (7, "und", 0.0), (8, "und", 0.0), (9, "en", 1.0), (9, "en", 1.0), (10, "de", 0.5)]
@@ -571,3 +572,59 @@ def test_hot_class_is_compared_in_many_tasks(spark, monkeypatch):
             label = [new if x == old else x for x in label]
     got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs, shingle=3, share=85).collect()}
     assert got == dict(enumerate(label))
+
+
+def test_latent_candidates_alone(spark, monkeypatch):
+    """Without the look-ups of whole words: the decomposition and the cosines find paraphrases."""
+    rng = random.Random(13)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    bench = [say(rng.randint(20, 45)) for _ in range(12)]
+    rows = []
+    for i in range(90):
+        item = bench[i % 12]
+        keep = [w if rng.random() > 0.01 * (i % 25) else rng.choice(vocab) for w in item]
+        rows.append((i, " ".join([*say(rng.randint(0, 60)), *(keep if i % 3 else []), *say(rng.randint(0, 60))])))
+    table, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(bench)], "item_id long, text string")
+    whole = {r.doc_id for r in decontaminate.decontaminate(table, items).filter("contaminated").collect()}
+    real = decontaminate.Complete.of
+    monkeypatch.setattr(decontaminate.Complete, "of", lambda words, corpus, **k: real([], corpus, **k))
+    alone = {r.doc_id for r in decontaminate.decontaminate(table, items).filter("contaminated").collect()}
+    assert alone <= whole and len(alone) >= 0.9 * len(whole) and len(whole) >= 50
+    blank = decontaminate.items
+    monkeypatch.setattr(decontaminate, "items", lambda *a, **k: blank(*a, **k)._replace(vector=np.zeros_like(blank(*a, **k).vector)))
+    assert decontaminate.decontaminate(table, items).filter("contaminated").isEmpty()
+
+
+def test_scores_of_edge_rows(spark):
+    """Quality and toxicity of null, empty and very long texts, repeated rows and ids."""
+    rng = random.Random(6)
+    words_ = [f"word{i}" for i in range(60)]
+    say = lambda n, more=(): " ".join(rng.choice([*words_, *more]) for _ in range(n))
+    train = [(i, say(40, ["stupid", "awful"] * 6 if i % 2 else ())) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i, _ in train], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(train, "doc_id long, text string")
+    long = say(50_000)
+    rows = [(1, None), (2, ""), (3, "!?"), (4, long), (4, long), (5, long + " stupid awful"), (None, "stupid awful " * 9)]
+    edge = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(docs, labels)
+    got = [(r.doc_id, r.score, r.predicted) for r in toxicity.toxicity_scores(edge, model).collect()]
+    by = {i: s for i, s, _ in got}
+    assert len(got) == 7 and by[1] == by[2] == by[3] == 0.0 and by[5] >= 0.3 > by[4] and by[None] >= 0.3
+    assert len({(s, p) for i, s, p in got if i == 4}) == 1 and all(p == (s >= 0.3) for _, s, p in got)
+    model = quality.learn(docs, labels)
+    got = [(r.doc_id, r.score, r.predicted, r.held_out) for r in quality.quality_scores(edge, model).collect()]
+    by = {i: s for i, s, *_ in got}
+    bias = 1 / (1 + np.exp(-model.bias))
+    assert by[1] == by[2] == pytest.approx(bias) and by[None] > 0.5 > by[4] and by[5] == pytest.approx(by[4], abs=0.01)
+    assert len({(s, p) for i, s, p, _ in got if i == 4}) == 1 and all(p == (s >= 0.3) for _, s, p, _ in got) and next(h for i, *_, h in got if i is None)
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert quality.quality_scores(none, model).isEmpty() and quality.quality_scores(edge, quality.learn(none, labels)).filter("score <> 0.5").isEmpty()
+
+
+def test_nearest_ties(spark):
+    """More equal scores than are asked for: the smallest ids, copies and different vectors alike."""
+    rows = [(i, [1.0, 0.0, 0.1 * (i % 3)]) for i in range(1, 70)] + [(100, [1.0, 0.0, 0.0])] + [(200 + i, [-1.0, 0.0, 0.5]) for i in range(30)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=20, query_every=100, share=1.0)
+    top = [(r["rank"], r.vec_id, r.score) for r in got.filter("query_id = 100").orderBy("rank").collect()]
+    assert top == [(i + 1, i + 1, 1.0) for i in range(20)]
