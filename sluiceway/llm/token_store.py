@@ -41,6 +41,8 @@ BLOCK = 512
 CACHE = 150_000
 #: Text bytes of a range partition, where that makes more of them than the session's number.
 PART_BYTES = 64 << 20
+#: Starts of shards that are broadcast (8 MB of rows, for a billion documents); more of them are joined.
+SENT_STARTS = 250_000
 #: Packed ids at which a shard is full before it has its documents.
 SHARD_BYTES = 16 << 20
 #: Punctuation that may end a word: its ids are looked up apart from the word's.
@@ -235,7 +237,9 @@ def read_shards(spark: SparkSession, where: str) -> DataFrame:
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("part_start"))
     own = shards.select("part", "block", "n_ids")
     inner = own.select("part", "block", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("n_ids")).alias("block_start"))
-    placed = shards.join(before, "part").join(inner, ["part", "block"])
+    starts = inner.join(before, "part").select("part", "block", (F.col("part_start") + F.col("block_start")).alias("start"))
+    # so the shards themselves need not be shuffled to their starts, of which each takes some 16 bytes
+    placed = shards.join(F.broadcast(starts) if own.count() <= SENT_STARTS else starts, ["part", "block"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "ids", keep=True):
@@ -249,7 +253,7 @@ def read_shards(spark: SparkSession, where: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return placed.select("n_docs", "width", "doc_ids", "ids", "low_bits", "low", "high", "marks", (F.col("part_start") + F.col("block_start")).alias("start")).mapInArrow(rows, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.select("n_docs", "width", "doc_ids", "ids", "low_bits", "low", "high", "marks", "start").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def read_documents(spark: SparkSession, where: str, doc_ids: list[int]) -> DataFrame:

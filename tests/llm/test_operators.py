@@ -545,7 +545,7 @@ def test_shards_are_filled_across_slices(spark):
     where = tempfile.mkdtemp(prefix="spark-sluiceway-") + "/shards"
     token_store.write_shards(docs, where, tokenizer=CASED, partitions=1)
     shards = spark.read.parquet(where).orderBy("block").collect()
-    assert [r.n_docs for r in shards] == [4096, 4096, 808] and len(np.frombuffer(shards[0].marks, np.uint32)) > 10
+    assert [r.n_docs for r in shards] == [4096, 4096, 808] and len(np.frombuffer(shards[0].marks, np.uint32)) > 8
     got = token_store.read_shards(spark, where).orderBy("doc_id").collect()
     tokens = Tokenizer.from_file(CASED)
     want = [len(tokens.encode(f"word {'tail ' * (i % 7)}", add_special_tokens=False).ids) + 1 for i in range(7)]
