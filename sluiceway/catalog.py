@@ -6,13 +6,14 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.functions.uri import compact_code, computed
 from sluiceway.operators import channels, extract, identity, outbound, probes, profiles, publish
 from sluiceway.plans.derive import ATTEMPTS, CANDIDATES, CURRENT, EXPECTED, MENTIONS, METRICS, OUTBOUND, PAGES, POOL, POSTS, STATE, TRANSFERS, WALK, dealt, table
-from sluiceway.sources import tables
+from sluiceway.sources import tables, versions
+from sluiceway.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -737,3 +738,134 @@ def f11_fold_channel_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = runs.withColumn("run_score", channels.run_score()).withColumn("observed_at", F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, int(run))"))
     middle = scored.groupBy("run").agg(F.when(F.count(F.lit(1)) >= 2, F.median("run_score")).alias("population_median"))
     return channels.fold_channel_runs(scored.join(middle, "run"))
+
+
+# Stored state
+
+_HEX = "sha256(CAST(o_orderkey AS VARCHAR))"
+#: One stored pool for each customer's orders, with rows that are cut off, empty or miscounted.
+_POOLS = """
+SELECT o_custkey, '{"schema":' || CASE WHEN o_custkey % 11 = 0 THEN 2 ELSE 1 END || ',"protocols":{"' || CASE o_custkey % 3 WHEN 0 THEN 'vless' WHEN 1 THEN 'trojan' ELSE 'hysteria2' END || '":{"' || KEY || '":{"uri":"' || CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'u' || o_orderkey END
+  || '","first_added_at":"2024-01-01T00:00:00Z","last_seen_at":"2024-01-0' || (1 + o_orderkey % 9) || 'T00:00:00Z","hits":' || CASE o_orderkey % 4 WHEN 0 THEN '0' WHEN 1 THEN '"x"' ELSE CAST(o_orderkey % 50 AS STRING) END || '}}}}' AS value
+FROM (SELECT *, CASE WHEN o_orderkey % 17 = 0 THEN 'short' ELSE sha2(CAST(o_orderkey AS STRING), 256) END AS KEY FROM orders) o
+"""
+
+
+@query(f"SELECT CASE o_custkey % 3 WHEN 0 THEN 'vless' WHEN 1 THEN 'trojan' ELSE 'hysteria2' END AS protocol, {_HEX} AS fingerprint, 'u' || o_orderkey AS uri, '2024-01-01T00:00:00Z' AS first_added_at, '2024-01-0' || (1 + o_orderkey % 9) || 'T00:00:00Z' AS last_seen_at, CAST(CASE WHEN o_orderkey % 4 < 2 OR o_orderkey % 50 = 0 THEN 1 ELSE o_orderkey % 50 END AS INT) AS hits FROM orders WHERE o_custkey % 11 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 13 <> 0")
+def a4_load_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.load_pool(table(spark, sf_dir, _POOLS).select("value"))
+
+
+_SEENS = """
+SELECT '{"records":{"' || CASE WHEN o_orderkey % 17 = 0 THEN 'short' ELSE sha2(CAST(o_orderkey AS STRING), 256) END || '":{"first_seen_at":"2024-01-01T00:00:00Z"' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE ',"last_seen_at":"2024-01-0' || (1 + o_orderkey % 9) || 'T00:00:00Z"' END || '}}}' AS value FROM orders
+"""
+
+
+@query(f"SELECT {_HEX} AS fingerprint, '2024-01-01T00:00:00Z' AS first_seen_at, '2024-01-0' || (1 + o_orderkey % 9) || 'T00:00:00Z' AS last_seen_at FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 5 <> 0")
+def a5_load_seen_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.load_seen_state(table(spark, sf_dir, _SEENS))
+
+
+#: A stored channel for each order; defects by the order's key.
+_STATES = """
+SELECT '{"version":' || CASE WHEN o_orderkey % 19 = 0 THEN 4 ELSE 5 END || ',"run_index":1,"channels":{"' || sha2(CAST(o_orderkey AS STRING), 256) || '":{"status":"' || CASE o_orderkey % 7 WHEN 0 THEN 'other' WHEN 1 THEN 'watch' ELSE 'approved' END || '","score":' || CAST(o_orderkey % 104 AS STRING)
+  || CASE WHEN o_orderkey % 2 = 0 THEN '.126' ELSE '' END || ',"reason":"r","evidence_runs":' || CAST(o_orderkey % 5 AS STRING) || ',"first_seen_at":"2024-01-01T00:00:00Z","last_seen_at":"' || CASE WHEN o_orderkey % 23 = 0 THEN 'soon' ELSE '2024-01-02T00:00:00Z' END
+  || '","last_evaluated_at":"2024-01-02T00:00:00Z","confidence":0.5,"required_score":50,"deep_accepted":' || CAST(o_orderkey % 3 - 1 AS STRING) || ',"deep_rejected":2,"runs_since_evaluation":' || CASE WHEN o_orderkey % 29 = 0 THEN 'true' ELSE '1' END || '}}}' AS value
+FROM orders
+"""
+_KEPT_STATE = "o_orderkey % 19 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 104 + CASE WHEN o_orderkey % 2 = 0 THEN 0.126 ELSE 0 END <= 100 AND o_orderkey % 5 > 0 AND o_orderkey % 3 > 0 AND o_orderkey % 23 <> 0 AND o_orderkey % 29 <> 0"
+_STATE_ROWS = f"SELECT {_HEX} AS key, CASE WHEN o_orderkey % 7 = 1 THEN 'watch' ELSE 'approved' END AS status, CAST(o_orderkey % 104 + CASE WHEN o_orderkey % 2 = 0 THEN 0.13 ELSE 0 END AS DOUBLE) AS score, CAST(o_orderkey % 5 AS INT) AS evidence_runs, CAST(o_orderkey % 3 - 1 AS BIGINT) AS deep_accepted, '2024-01-02 00:00:00' AS last_evaluated_at FROM orders WHERE {_KEPT_STATE}"
+
+
+@query(_STATE_ROWS)
+def a6_load_channel_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.parse_channel_state(table(spark, sf_dir, _STATES))
+    return _times(rows.select("key", "status", "score", "evidence_runs", "deep_accepted", "last_evaluated_at"))
+
+
+@query(_STATE_ROWS)
+def a9_channel_state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows, stored as one document of many files and read again."""
+    path = f"{versions.folder(spark, 'state')}/channels"
+    tables.write_channel_state(tables.parse_channel_state(table(spark, sf_dir, _STATES)), path, 2, F.lit(NOW))
+    rows = tables.read_channel_state(spark, path)[0]
+    return _times(rows.select("key", "status", "score", "evidence_runs", "deep_accepted", "last_evaluated_at"))
+
+
+@query(f"SELECT protocol, uri FROM ({_CAPPED}) m")
+def a7_protocol_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{versions.folder(spark, 'files')}/files"
+    current = table(spark, sf_dir, f"SELECT *, {_KIND} FROM ({CURRENT}) c")
+    merged = publish.merge_pool(table(spark, sf_dir, POOL), current, NOW)
+    tables.write_protocol_files(publish.render_order(publish.enforce_cap(merged, 300)), path)
+    return spark.read.schema("value string, protocol string").option("basePath", path).text(path).select("protocol", F.col("value").alias("uri"))
+
+
+@query(f"SELECT '@' || handle AS value FROM ({_REG}) r")
+def a8_write_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{versions.folder(spark, 'registry')}/handles"
+    tables.write_registry(table(spark, sf_dir, _REG).select(F.upper("handle").alias("handle")), path)
+    return spark.read.text(path)
+
+
+# Streams: the given tables in several batches, drained
+
+
+def _streamed(df: DataFrame, batches: list[Column], at: str) -> DataFrame:
+    """df as a stream: for each condition a batch of the rows it holds for, in this order."""
+    for condition in batches:
+        df.filter(condition).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+
+
+def _drain(stream: DataFrame, at: str) -> DataFrame:
+    q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+@query(f"SELECT DISTINCT handle, message_id FROM (SELECT handle, CAST(event_id % 900 AS VARCHAR) AS message_id FROM ({POSTS}) p)")
+def s1_stream_fresh_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that come again within the watermark are dropped; here all posts do."""
+    at = versions.folder(spark, "stream")
+    posts = table(spark, sf_dir, POSTS).select("handle", (F.col("event_id") % 900).cast("string").alias("message_id"), F.lit(NOW).alias("published_at"), "event_id")
+    return _drain(jobs.stream_fresh_posts(_streamed(posts, [F.col("event_id") % 3 == i for i in range(3)], at)), at).select("handle", "message_id")
+
+
+@query(f"SELECT handle, strftime(date_trunc('day', published_at), '%Y-%m-%d') AS day, count(*) AS n FROM ({POSTS}) p WHERE date_trunc('day', published_at) + INTERVAL 96 HOUR <= (SELECT max(published_at) FROM ({POSTS}) q) GROUP BY ALL")
+def s4_stream_channel_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that the watermark has passed, three days after the last post."""
+    at = versions.folder(spark, "stream")
+    posts = table(spark, sf_dir, POSTS).select("handle", F.col("published_at").cast("timestamp").alias("published_at"))
+    third = F.least(F.lit(2), F.floor((F.dayofmonth("published_at") - 1) / 10))
+    done = _drain(jobs.stream_channel_activity(_streamed(posts, [third == i for i in range(3)], at)), at)
+    return done.select("handle", F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
+
+
+@query(f"SELECT protocol, fingerprint, uri, hits FROM (SELECT *, row_number() OVER (PARTITION BY protocol ORDER BY hits DESC, fingerprint DESC) AS k FROM (SELECT protocol, fingerprint, min(uri) AS uri, CAST(count(*) AS INT) AS hits FROM (SELECT DISTINCT CASE o_custkey % 3 WHEN 0 THEN 'vless' WHEN 1 THEN 'trojan' ELSE 'hysteria2' END AS protocol, 'fp' || o_custkey AS fingerprint, 'new' || o_custkey AS uri, o_orderkey % 3 AS batch FROM orders) c GROUP BY protocol, fingerprint) g)")
+def s2_stream_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool after three runs, each a query with a checkpoint of its own."""
+    at = versions.folder(spark, "stream")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    protocol = F.element_at(F.array(F.lit("vless"), F.lit("trojan"), F.lit("hysteria2")), (F.col("o_custkey") % 3 + 1).cast("int"))
+    rows = orders.select(protocol.alias("protocol"), F.concat(F.lit("fp"), "o_custkey").alias("fingerprint"), F.concat(F.lit("new"), "o_custkey").alias("uri"), (F.col("o_orderkey") % 3).alias("batch"))
+    for batch in range(3):
+        stream = _streamed(rows.filter(F.col("batch") == batch).drop("batch"), [F.lit(True)], f"{at}/{batch}")
+        jobs.stream_accumulate(stream, f"{at}/pool", lambda: NOW).option("checkpointLocation", f"{at}/{batch}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return jobs.accumulated(spark, f"{at}/pool")[0].select("protocol", "fingerprint", "uri", "hits")
+
+
+@query("SELECT 'fp' || o_custkey AS fingerprint, strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') AS first_seen_at, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS last_seen_at FROM orders GROUP BY o_custkey")
+def s3_stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at, provider = versions.folder(spark, "stream"), "spark.sql.streaming.stateStore.providerClass"
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("fp"), "o_custkey").alias("fingerprint"), F.col("o_orderdate").cast("timestamp").alias("seen_at"))
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        seen = jobs.stream_first_seen(_streamed(orders, [F.dayofmonth("seen_at") % 3 == i for i in range(3)], at))
+        save = lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{at}/out")
+        seen.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    last = spark.read.parquet(f"{at}/out").groupBy("fingerprint").agg(F.max_by(F.struct("first_seen_at", "last_seen_at"), "batch").alias("s"))
+    return _times(last.select("fingerprint", "s.*"))

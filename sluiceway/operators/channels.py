@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from decimal import ROUND_HALF_EVEN, Decimal
 from functools import reduce
 
 import numpy as np
@@ -12,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluiceway.functions.numbers import half_even
+
 
 @dataclass(frozen=True)
 class ChannelSettings:
@@ -101,7 +102,7 @@ def run_score(s: ChannelSettings = DEFAULTS) -> Column:
         (s.depth, (s.prior_passes + passed) / (s.prior_passes + s.prior_failures + passed + failed)),
     ]
     total = sum(w * c for w, c in parts[1:]) + parts[0][0] * parts[0][1]
-    return F.bround(total / sum(w for w, _ in parts) * 100, 2)
+    return half_even(total / sum(w for w, _ in parts) * 100, 2)
 
 
 class _Columns:
@@ -109,7 +110,7 @@ class _Columns:
 
     known, least, greatest, power = staticmethod(lambda x: x.isNotNull()), staticmethod(F.least), staticmethod(F.greatest), staticmethod(F.pow)
     number, both = staticmethod(F.lit), staticmethod(lambda a, b: F.coalesce(a, b))
-    rounded = staticmethod(F.bround)
+    rounded = staticmethod(half_even)
 
     @staticmethod
     def where(cond: Column, a: Column | str, b: Column | str) -> Column:
@@ -141,14 +142,7 @@ class _Arrays:
     def greatest(*x):
         return reduce(np.maximum, x)
 
-    @staticmethod
-    def rounded(x: np.ndarray, places: int) -> np.ndarray:
-        """Half to even on the number's decimal text, as ``bround`` has it."""
-        x = np.asarray(x, np.float64)
-        out, unit = np.round(x, places), 10.0**places
-        for i in np.flatnonzero(np.abs(np.abs(x * unit) % 1 - 0.5) < 1e-6):
-            out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-places), ROUND_HALF_EVEN))
-        return out
+    rounded = staticmethod(np.round)
 
 
 def _within(x, low, high, o):

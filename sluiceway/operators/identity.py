@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceway.functions.uri import compact_code, computed, strip
@@ -90,10 +90,12 @@ def accepted_profiles(lines: DataFrame) -> DataFrame:
 def unique_profiles(lines: DataFrame) -> DataFrame:
     """The first accepted profile of each fingerprint, in full. Only fingerprints and ordinals go through
     the deduplication; the lines of the first ones are looked up by their ordinals and parsed
-    again, and they are few. Lines that share their ordinals are told apart by their fingerprints."""
+    again, and they are few. Lines that share their ordinals are told apart by their fingerprints, and
+    where these are equal too, the smallest line stays."""
     first = keep_first(accepted_profiles(lines).select("doc_idx", "line_idx", "fingerprint"), ["fingerprint"], ["doc_idx", "line_idx"])
     again = accepted_profiles(lines.join(first.withColumnRenamed("fingerprint", "_first"), ["doc_idx", "line_idx"]))
-    return again.filter("fingerprint = _first").drop("_first")
+    least = Window.partitionBy("fingerprint").orderBy("line")
+    return again.filter("fingerprint = _first").withColumn("_k", F.row_number().over(least)).filter("_k = 1").drop("_first", "_k")
 
 
 def compatibility_groups(profiles: DataFrame) -> DataFrame:

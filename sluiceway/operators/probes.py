@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluiceway.functions.numbers import half_even
 from sluiceway.operators.profiles import param
 
 ENDPOINT = ["host", "port", "use_tls", "server_name"]
@@ -44,7 +45,7 @@ def aggregate_attempts(attempts: DataFrame) -> DataFrame:
     sorted_, n = F.sort_array("latencies_ms"), F.size("latencies_ms")
     middle = (F.get(sorted_, F.floor((n - 1) / 2).cast("int")) + F.get(sorted_, F.floor(n / 2).cast("int"))) / 2
     method = F.when(F.col("rank") > 0, F.element_at(F.array(*map(F.lit, METHODS)), F.col("rank"))).otherwise("tcp")
-    return found.select(*ENDPOINT, "responded", method.alias("method"), F.bround(middle).cast("int").alias("latency_ms"), *found.columns[len(ENDPOINT) + 2 :])
+    return found.select(*ENDPOINT, "responded", method.alias("method"), F.rint(middle).cast("int").alias("latency_ms"), *found.columns[len(ENDPOINT) + 2 :])
 
 
 def latency_grade(ms: Column) -> Column:
@@ -72,7 +73,7 @@ def reachability_summary(probes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("checked"),
         F.count_if(up).alias("responsive"),
         F.count_if(up & F.col("stable")).alias("stable"),
-        F.bround(100.0 * F.count_if(up & F.col("stable")) / F.greatest(F.lit(1), F.count_if(up)), 1).alias("stable_percent"),
+        half_even(100.0 * F.count_if(up & F.col("stable")) / F.greatest(F.lit(1), F.count_if(up)), 1).alias("stable_percent"),
         F.count_if(F.col("resolution") == "doh").alias("doh"),
         pct(0.5).cast("int").alias("p50"),
         pct(0.95).cast("int").alias("p95"),
@@ -124,10 +125,10 @@ def transfer_stats(windows: DataFrame) -> DataFrame:
     n, mean = F.count(F.lit(1)), F.sum("bytes") / 1024 / F.greatest(F.sum("seconds"), F.lit(1e-6))
     steady = F.when(n < 2, 1.0).when(mean > 0, F.least(F.min("kbps") / mean, F.lit(1.0))).otherwise(0.0)
     return windows.groupBy("profile_key").agg(
-        F.bround(mean, 1).alias("mean_kbps"),
-        F.bround(F.max("kbps"), 1).alias("peak_kbps"),
-        F.when(n >= 2, F.bround(F.stddev_pop("kbps"), 1)).alias("jitter"),
-        F.bround(steady, 3).alias("stability"),
+        half_even(mean, 1).alias("mean_kbps"),
+        half_even(F.max("kbps"), 1).alias("peak_kbps"),
+        F.when(n >= 2, half_even(F.stddev_pop("kbps"), 1)).alias("jitter"),
+        half_even(steady, 3).alias("stability"),
         F.max("received").alias("total_bytes"),
         mean.alias("mean"),
         steady.alias("steadiness"),
@@ -137,7 +138,7 @@ def transfer_stats(windows: DataFrame) -> DataFrame:
 def quality_score(mean: Column, steadiness: Column, latency: Column, target: float = 2000.0) -> Column:
     speed = F.least(F.coalesce(mean, F.lit(0.0)) / target, F.lit(1.0)) * 100
     steady = F.least(F.greatest(F.coalesce(steadiness, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * 100
-    return F.bround(0.6 * speed + 0.25 * steady + 0.15 * F.least(F.coalesce(latency, F.lit(NEUTRAL_LATENCY)), F.lit(100.0)), 1)
+    return half_even(0.6 * speed + 0.25 * steady + 0.15 * F.least(F.coalesce(latency, F.lit(NEUTRAL_LATENCY)), F.lit(100.0)), 1)
 
 
 def quality_grade(score: Column) -> Column:
@@ -173,8 +174,8 @@ def speed_summary(outcomes: DataFrame, mode: str = "best_effort") -> DataFrame:
         F.count_if(passed).alias("passed"),
         F.count_if(~passed).alias("failed"),
         kept.alias("unsupported_kept"),
-        F.coalesce(F.bround(F.median("_speed"), 1), F.lit(0.0)).alias("median_kbps"),
-        F.coalesce(F.bround(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY _speed)"), 1), F.lit(0.0)).alias("p90_kbps"),
-        F.bround(F.avg(F.when(passed, F.col("stability"))), 3).alias("avg_stability"),
+        F.coalesce(half_even(F.median("_speed"), 1), F.lit(0.0)).alias("median_kbps"),
+        F.coalesce(half_even(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY _speed)"), 1), F.lit(0.0)).alias("p90_kbps"),
+        half_even(F.avg(F.when(passed, F.col("stability"))), 3).alias("avg_stability"),
         *(F.count_if(passed & (F.col("grade") == g)).alias(f"grade_{g.lower()}") for g in "ABCD"),
     )

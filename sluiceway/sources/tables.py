@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluiceway.functions.numbers import half_even
 from sluiceway.operators.extract import HANDLE
 from sluiceway.operators.identity import PROTOCOL_LABELS
 from sluiceway.sources import versions
@@ -135,7 +136,7 @@ def read_channel_state(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
 def load_channel_state(rows: DataFrame) -> DataFrame:
     """State rows within their bounds, scores rounded."""
     fine = rows.filter("length(key) = 64 and status in ('candidate', 'approved', 'watch', 'excluded') and score between 0 and 100 and evidence_runs >= 1 and confidence between 0 and 1 and runs_since_evaluation >= 0")
-    return fine.withColumns({"score": F.bround("score", 2), "confidence": F.bround("confidence", 4), "required_score": F.bround("required_score", 2)})
+    return fine.withColumns({"score": half_even(F.col("score"), 2), "confidence": half_even(F.col("confidence"), 4), "required_score": half_even(F.col("required_score"), 2)})
 
 
 def save_state(df: DataFrame, root: str, version: int) -> None:

@@ -11,6 +11,7 @@ stores that follow it).
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from dataclasses import dataclass, field
 
@@ -22,6 +23,17 @@ class Conflict(RuntimeError):
     """Another writer has the version's number."""
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors share, under spark.checkpoint.dir. Where that is unset a local
+    session gets a temporary one and any other an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="spark-sluiceway-")
+    return f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 @dataclass(frozen=True)
 class Version:
     number: int

@@ -122,6 +122,7 @@ def test_unique_profiles_equal_keep_first(spark):
     """Late look-up gives what keeping whole rows does, also where lines share their ordinals."""
     lines = [TROJAN + f"&sni=h{i % 5}.example#{i}" for i in range(40)] + ["junk", HY2, _vless(fp="opera"), _vless()]
     df = spark.createDataFrame([(i // 3, (i % 3) // 2, x) for i, x in enumerate(lines)], "doc_idx long, line_idx int, line string").repartition(4)
+    df = df.union(df.filter("doc_idx = 0"))  # the same lines once more
     columns = ["fingerprint", "doc_idx", "line_idx", "server", "original_uri"]
     found = identity.accepted_profiles(df).select(columns)
     want = identity.keep_first(found, ["fingerprint"], ["doc_idx", "line_idx"])

@@ -78,10 +78,17 @@ def test_fold_keeps_unavailable_channels(spark):
     assert got == {("a_room", 1): ("approved", "approved", 90.0, 1, 3), ("a_room", 2): ("approved", "preview_unavailable", 90.0, 1, 3), ("b_room", 1): ("candidate", "insufficient_evidence", 5.0, 1, 0)}
 
 
-def test_rounding_of_the_scan():
+def test_rounding(spark):
+    """Columns, arrays and DuckDB round alike."""
+    import duckdb
     import numpy as np
 
-    assert channels._Arrays.rounded(np.array([0.125, 2.675, 0.375, -0.125, 1.0, np.nan]), 2).tolist()[:5] == [0.12, 2.68, 0.38, -0.12, 1.0]
+    from sluiceway.functions.numbers import half_even
+
+    x = [0.125, 2.675, 0.375, -0.125, 1.0, 72.835, 8.345, 1.005] + np.random.default_rng(1).uniform(-9, 99, 2000).round(3).tolist()
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").coalesce(1).select(half_even(F.col("x"), 2)).collect()]
+    assert got == np.round(np.array(x), 2).tolist() == [duckdb.execute("SELECT round_even(?::DOUBLE, 2)", [v]).fetchone()[0] for v in x]
+    assert got[:4] == [0.12, 2.68, 0.38, -0.12]
 
 
 def test_summary_counts_due_channels_alone(spark):
