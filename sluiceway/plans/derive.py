@@ -124,11 +124,7 @@ SELECT handle, CASE u % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'watch' WHEN 2 THEN
 FROM (SELECT DISTINCT user_id AS u, 'chan_' || CAST(10000 + user_id AS STRING) AS handle FROM events WHERE user_id % 3 <> 0) e
 """
 
-#: Documents of candidate lines (every fifth in a base64 envelope), texts that name a channel in
-#: one of several forms, and channel pages.
-DOCS = f"""
-SELECT doc_idx, array_join(sort_array(collect_list(CAST(line_idx AS STRING) || ' ' || line)), '\\n') AS numbered FROM ({CANDIDATES}) c GROUP BY doc_idx
-"""
+#: Texts that name a channel in one of several forms.
 MENTIONS = """
 SELECT l_orderkey * 8 + l_linenumber AS doc_idx, 'chan_' || CAST(10000 + l_suppkey AS STRING) AS handle,
   CASE l_partkey % 5 WHEN 0 THEN 'hello @Chan_' || CAST(10000 + l_suppkey AS STRING) || ' there' WHEN 1 THEN 'see https://t.me/s/chan_' || CAST(10000 + l_suppkey AS STRING) || '?before=1'
