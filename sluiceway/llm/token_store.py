@@ -23,11 +23,11 @@ other tokenizer whole texts are encoded.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,7 +38,7 @@ from sluiceway.llm.shared import Scratch, held, slices
 #: Ones between two kept counts in the high bits.
 BLOCK = 512
 #: Pieces whose ids a worker remembers.
-CACHE = 150_000
+CACHE = 400_000
 #: Text bytes of a range partition, where that makes more of them than the session's number.
 PART_BYTES = 64 << 20
 #: Starts of shards that are broadcast (8 MB of rows, for a billion documents); more of them are joined.
@@ -46,8 +46,9 @@ SENT_STARTS = 250_000
 #: Packed ids at which a shard is full before it has its documents.
 SHARD_BYTES = 16 << 20
 #: Punctuation that may end a word: its ids are looked up apart from the word's.
-TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_marks = re.compile("[^\0-\u02ff]").search
+TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Texts that may compose or hold special strings.
+MARKED = r"<\||[^\x00-\x{02ff}]"
 SHARD = "part int, block int, n_docs long, n_ids long, width int, doc_ids binary, ids binary, low_bits int, low binary, high binary, marks binary"
 
 
@@ -91,7 +92,7 @@ class EliasFano:
         return self.select(np.arange(n))
 
 
-class _Pieces(dict):
+class _Pieces:
     """Ids of white-space separated pieces, packed; bounded size. ``apart``: do white space and
     TAIL after a word end a pre-token?"""
 
@@ -99,7 +100,7 @@ class _Pieces(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.ids: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
         self.tokenizer, self.dtype = Tokenizer.from_str(spec), dtype
         self.tokenizer.no_truncation()
@@ -110,79 +111,106 @@ class _Pieces(dict):
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.last = np.zeros(self.tokenizer.get_vocab_size(True) + 1, bool)
-        if suffix and self.apart and all(whole(f"ab{c}{c}") == whole("ab") + whole(c + c) for c in TAIL):
+        if suffix and self.apart and all(whole(f"ab{c}{c}") == whole("ab") + whole(c + c) for c in TAIL.decode()):
             self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.words_end = bool(self.last.any())
+
+    def of(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct pieces."""
+        self.learn(set(pieces))
+        return list(map(self.ids.__getitem__, pieces))
 
     def learn(self, pieces: set[bytes]) -> None:
-        if len(self) > CACHE:
-            self.old = dict(self)
-            self.clear()
+        if len(self.ids) > CACHE:
+            self.old, self.ids = self.ids, {b"": b""}
         new = self._unknown(pieces)
-        if not self.last.any():
-            self._by_offsets([p.decode() for p in new])
+        if not self.words_end:
+            self._by_offsets(list(new))
             return
         words, rest, made = set(), [], []
         for p in new:
-            text = p.decode()
-            core = text.rstrip(TAIL)
-            if not core.lower().isalpha():
-                rest.append(text)
-            elif core == text:
+            core = p.rstrip(TAIL)
+            if not (core.isalpha() or not core.isascii() and core.decode().lower().isalpha()):
+                rest.append(p)
+            elif len(core) == len(p):
                 words.add(p)
             else:
-                made.append((p, core.encode(), text[len(core) :].encode()))
+                made.append((p, core, p[len(core) :]))
         self._by_offsets(rest)
-        self._by_offsets([p.decode() for p in self._unknown({t for _, _, t in made})])
-        self._words([p.decode() for p in self._unknown(words | {c for _, c, _ in made})])
-        self.update((p, self[core] + self[tail]) for p, core, tail in made)
-
-    def _unknown(self, pieces: set[bytes]) -> list[bytes]:
-        new = [p for p in pieces if p not in self]
-        again = {p: self.old[p] for p in new if p in self.old}
-        self.update(again)
-        return [p for p in new if p not in again]
-
-    def _words(self, texts: list[str]) -> None:
+        self._by_offsets(list(self._unknown({t for _, _, t in made})))
+        self._words(list(self._unknown(words.union([c for _, c, _ in made]))))
+        ids = self.ids
+        ids.update([(p, ids[core] + ids[tail]) for p, core, tail in made])
+
+    def _unknown(self, pieces: set[bytes]) -> set[bytes]:
+        new = pieces.difference(self.ids)
+        gone = new.difference(self.old)
+        self.ids.update([(p, self.old[p]) for p in new.difference(gone)])
+        return gone
+
+    def _words(self, pieces: list[bytes]) -> None:
         """Pieces of letters alone: each ends with the one token that ends a word."""
-        for at in range(0, len(texts), 2048):
-            some = texts[at : at + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+        for at in range(0, len(pieces), 2048):
+            some = pieces[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.dtype)
             stop = (np.flatnonzero(self.last[ids]) + 1) * ids.itemsize
             if len(stop) != len(some):  # letters that the tokenizer takes apart
                 self._by_offsets(some)
                 continue
-            packed = ids.tobytes()
-            edges = [0, *stop.tolist()]
-            self.update((text.encode(), packed[a:b]) for text, a, b in zip(some, edges[:-1], edges[1:], strict=True))
-
-    def _by_offsets(self, texts: list[str]) -> None:
-        for at in range(0, len(texts), 2048):
-            some = texts[at : at + 2048]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            self._keep(some, ids, [0, *stop.tolist()])
+
+    def _by_offsets(self, pieces: list[bytes]) -> None:
+        for at in range(0, len(pieces), 2048):
+            some = pieces[at : at + 2048]
+            texts = b" ".join(some).decode()
+            got = self.tokenizer.encode(texts, add_special_tokens=False)
             ids = np.array(got.ids, self.dtype)
-            begins = np.cumsum([0, *map(len, some)])[:-1] + np.arange(len(some))
+            begins = np.cumsum([0, *(len(t) + 1 for t in texts.split(" "))])[:-1]
             place = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
             stop = np.searchsorted(place, begins[1:]) * ids.itemsize
-            packed = ids.tobytes()
-            edges = [0, *stop.tolist(), len(packed)]
-            self.update((text.encode(), packed[a:b]) for text, a, b in zip(some, edges[:-1], edges[1:], strict=True))
+            self._keep(some, ids, [0, *stop.tolist(), ids.nbytes])
+
+    def _keep(self, pieces: list[bytes], ids: np.ndarray, edges: list[int]) -> None:
+        packed = ids.tobytes()
+        self.ids.update([(p, packed[a:b]) for p, a, b in zip(pieces, edges[:-1], edges[1:], strict=True)])
 
 
 def _known(spec: str, dtype: str) -> _Pieces:
     return held(("pieces", spec, dtype), lambda: _Pieces(spec, dtype))
 
 
-def encoded(spec: str, dtype: str, texts: list[str]) -> list[bytes]:
-    """Packed ids of whole texts. Where white space ends every pre-token, a text's ids are those
-    of its pieces between blanks and line ends (ASCII), in order."""
+def _bytes(strings: pa.Array) -> list[bytes]:
+    """An array without nulls as bytes objects, from its buffers."""
+    _, edges, data = strings.cast(pa.large_binary()).buffers()
+    at = np.frombuffer(edges, np.int64)[strings.offset : strings.offset + len(strings) + 1].tolist()
+    whole = data.to_pybytes() if data else b""
+    return [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def encoded(spec: str, dtype: str, texts: pa.Array) -> list[bytes]:
+    """Packed ids of whole texts (null: empty). Where white space ends every pre-token, a text's ids
+    are those of its pieces between blanks and line ends (ASCII), in order: each distinct piece is
+    looked up once and its ids are laid out at all its places together."""
     known = _known(spec, dtype)
+    texts = pc.fill_null(texts, "")
     if not known.apart:
-        return [np.array(x.ids, dtype).tobytes() for x in known.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(x.ids, dtype).tobytes() for x in known.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
     # Where the tokenizer lower-cases anyway, fewer pieces are new if that comes first; not where
     # a mark could compose with the letter before it, nor where special strings may stand.
-    parts = [(t.encode().lower() if known.lower and "<|" not in t and not _marks(t) else t.encode()).split() for t in texts]
-    known.learn(set().union(*parts))
-    return [b"".join(map(known.__getitem__, p)) for p in parts]
+    if known.lower:
+        texts = pc.if_else(pc.match_substring_regex(texts, MARKED), texts, pc.ascii_lower(texts))
+    parts = pc.ascii_split_whitespace(texts)
+    flat = parts.flatten().dictionary_encode()
+    own = known.of(_bytes(flat.dictionary))
+    width = np.dtype(dtype).itemsize
+    sizes = np.fromiter(map(len, own), np.int64, len(own)) // width
+    at = flat.indices.to_numpy()
+    n = sizes[at]
+    stop = np.cumsum(n)
+    place = np.repeat((np.cumsum(sizes) - sizes)[at] - stop + n, n) + np.arange(n.sum())
+    packed = np.frombuffer(b"".join(own), dtype)[place].tobytes()
+    edges = (np.concatenate([[0], stop])[np.cumsum([0, *pc.list_value_length(parts).to_pylist()])] * width).tolist()
+    return [packed[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def write_shards(docs: DataFrame, where: str, *, tokenizer: str, end_id: int = 1, block_docs: int = 4096, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
@@ -207,7 +235,7 @@ def write_shards(docs: DataFrame, where: str, *, tokenizer: str, end_id: int = 1
 
         held = 0
         for batch in slices(batches, keep=True):  # a shard goes on from one slice to the next
-            new = encoded(spec.value, dtype, [t or "" for t in batch["text"].to_pylist()])
+            new = encoded(spec.value, dtype, batch["text"])
             for name, x in zip(batch["doc_id"].to_pylist(), new, strict=True):
                 names.append((name is not None, name or 0))
                 ids.append(x + tail)
