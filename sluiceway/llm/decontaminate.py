@@ -37,6 +37,7 @@ share an id are judged one by one; of items that are covered alike the smallest
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -54,6 +55,12 @@ BITS, CHUNK = 13, 256
 TERMS = 1 << BITS
 #: Random directions beside the latent ones: they tell passages of one topic apart cheaply.
 RANDOM = 64
+#: Rows of a table that are gathered together: a processor's cache holds them.
+STEPS, WORDS = 256, 2048
+#: Cosines that are looked at together, and pairs.
+COSINES, PAIRS = 1 << 19, 4096
+#: Most entries of the table of weights (32 MB); the terms of larger benchmarks are searched for.
+WEIGHTS = 1 << 23
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] = np.arange(97, 123)
@@ -190,7 +197,7 @@ def sums_of(t: np.ndarray, first: np.ndarray, span: int, random: np.ndarray) ->
     new = np.r_[True, term_at[1:] != term_at[:-1]]
     distinct = new | np.r_[True, passage_at[1:] != passage_at[:-1]]
     at = np.flatnonzero(new)
-    return len(sums), np.bincount(term_at[distinct], minlength=TERMS), term_at[at].astype(np.int64), np.add.reduceat(sums[passage_at], at)
+    return len(sums), np.bincount(term_at[distinct], minlength=TERMS), term_at[at].astype(np.int64), _run_sums(sums, passage_at, at)
 
 
 def fit(docs: DataFrame, *, span: int = 24, rank: int = 40, extra: int = 8, text_col: str = "text") -> Corpus:
@@ -243,13 +250,29 @@ def _step_sums(t: np.ndarray, first: np.ndarray, step: int, table: np.ndarray) -
     doc = np.repeat(np.arange(len(n)), count)
     begin = first[:-1][doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count))
     size = np.minimum(first[1:][doc] - begin, step)
-    out = table[t[begin]] if len(begin) else np.zeros((0, table.shape[1]), table.dtype)
-    for k in range(1, step):
-        whole = size > k
-        if whole.all():
-            out += table[t[begin + k]]
-        else:
-            out[whole] += table[t[begin[whole] + k]]
+    k = np.arange(step)[:, None]
+    row = np.where(k < size, t.take(begin + k, mode="clip") if len(t) else 0, len(table)).astype(np.intp)
+    table = np.vstack([table, np.zeros((1, table.shape[1]), table.dtype)])  # its last row stands for no word
+    out, more = np.empty((len(begin), table.shape[1]), table.dtype), np.empty((STEPS, table.shape[1]), table.dtype)
+    for a in range(0, len(begin), STEPS):
+        some = out[a : a + STEPS]
+        table.take(row[0, a : a + STEPS], axis=0, out=some, mode="clip")
+        for own in row[1:, a : a + STEPS]:
+            some += table.take(own, axis=0, out=more[: len(some)], mode="clip")
+    return out
+
+
+def _run_sums(table: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of table[row] over the runs that begin at ``at``."""
+    edge = np.append(at, len(row))
+    out, held = np.empty((len(at), table.shape[1]), table.dtype), np.empty((WORDS, table.shape[1]), table.dtype)
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(edge, edge[a] + WORDS, side="right")) - 1)
+        n = edge[b] - edge[a]
+        rows = table.take(row[edge[a] : edge[b]], axis=0, out=held[:n] if n <= WORDS else None, mode="clip")
+        np.add.reduceat(rows, edge[a:b] - edge[a], axis=0, out=out[a:b])
+        a = b
     return out
 
 
@@ -305,27 +328,84 @@ def items(benchmark: DataFrame, corpus: Corpus, *, span: int = 24, step: int = 6
     return Items([r["id"] for r in rows], whole, doc, _unit(vector[:, :latent]), _unit(vector[:, latent:]), every, mass)
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, by bits."""
+def weights(bench: Items, corpus: Corpus) -> tuple[np.ndarray, np.ndarray] | None:
+    """A column for each term and, for each passage of an item, the weights of its terms (column
+    0: of none); None if that table had more than WEIGHTS entries."""
+    passage, t = bench.held // TERMS, bench.held % TERMS
+    terms = np.unique(t)
+    if len(bench.owner) * (len(terms) + 1) > WEIGHTS:
+        return None
+    column = np.zeros(TERMS, np.int32)
+    column[terms] = np.arange(1, len(terms) + 1)
+    table = np.zeros((len(bench.owner), len(terms) + 1), np.float32)
+    table[passage, column[t]] = corpus.idf[t]
+    return column, table
+
+
+class Passages:
+    """The weights of the terms of documents' passages, and how much of them items' passages hold."""
+
+    def __init__(self, t: np.ndarray, begin: np.ndarray, end: np.ndarray, span: int, bench: Items, corpus: Corpus, table: tuple[np.ndarray, np.ndarray] | None):
+        place = begin[:, None] + np.arange(span)
+        inside = place < end[:, None]
+        of = t.take(place, mode="clip")
+        heavy = corpus.idf[of] * inside
+        self.mass, self.bench, self.table = heavy.sum(1), bench, table
+        if table is None:
+            self.t, self.heavy = of, heavy
+        else:
+            self.column = table[0].take(of) * inside
+
+    def held(self, p: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Of each pair of a document's passage and an item's, the weight of what both hold."""
+        if self.table is not None:
+            _, table = self.table
+            at = self.column.take(p, axis=0, mode="clip") + (w * table.shape[1])[:, None]
+            return table.ravel().take(at, mode="clip").sum(1)
+        held, key = self.bench.held, w[:, None] * TERMS + self.t[p]
+        return (self.heavy[p] * (held[np.minimum(np.searchsorted(held, key), len(held) - 1)] == key)).sum(1)
+
+
+def places(a: np.ndarray) -> dict[int, int]:
+    """The places of each word, as bits."""
     masks: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         masks[x] = masks.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return masks
+
+
+def _longest(found: list[int], n: int) -> int:
+    """Length of the longest common subsequence of n words and of a row of words, of which
+    ``found`` gives the places among them."""
+    full = (1 << n) - 1
     state = full
-    for x in b.tolist():
-        m = masks.get(x, 0)
-        if m:
-            hit = state & m
-            state = ((state + hit) | (state - hit)) & full
-    return len(a) - state.bit_count()
-
-
-def matches(item: np.ndarray, around: np.ndarray, covered: float, partly: float, answer: int, least_words: int) -> float:
-    """The part of the item that is there, or 0 if it is not held as contaminated."""
-    share = common(item, around) / len(item)
-    if share >= (1.0 if len(item) < least_words else covered):
+    for m in found:
+        hit = state & m
+        state = ((state + hit) | (state - hit)) & full
+    return n - state.bit_count()
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, by bits."""
+    at = places(a)
+    return _longest([m for x in b.tolist() if (m := at.get(x))], len(a))
+
+
+def matches(item: np.ndarray, around: np.ndarray, covered: float, partly: float, answer: int, least_words: int, at: dict[int, int] | None = None) -> float:
+    """The part of the item that is there, or 0 if it is not held as contaminated. ``at``: the
+    item's ``places``."""
+    n, at = len(item), places(item) if at is None else at
+    found = [m for x in around.tolist() if (m := at.get(x))]
+    every = 0
+    for m in set(found):
+        every |= m
+    # no common subsequence is longer than either of these
+    if min(len(found), every.bit_count()) / n < (1.0 if n < least_words else min(covered, partly)):
+        return 0.0
+    share = _longest(found, n) / n
+    if share >= (1.0 if n < least_words else covered):
         return share
-    if len(item) >= least_words and share >= partly:
+    if n >= least_words and share >= partly:
         tail = item[-answer:]
         rows = W.windows(around, len(tail)) if len(around) >= len(tail) else around[:0]
         if (rows == W.windows(tail, len(tail))[0]).any():
@@ -354,39 +434,38 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, span: int = 24, rank
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             corpus, bench, complete = sent.value
+            table, across = weights(bench, corpus), np.ascontiguousarray(bench.random.T)
+            some_places = lru_cache(1024)(lambda item: places(bench.words[item]))
             for batch in slices(batches, "_lower"):
                 best = list(zip(batch["coverage"].to_pylist(), batch["item_id"].to_pylist(), strict=True))
                 h, first = plain_words(batch["_lower"])
                 if len(h) and len(bench.owner):
                     t = term(h)
                     doc, begin, end = _spans(first, step)
-                    (vector, random), weight = _projected(t, first, begin, end, step, corpus), corpus.idf[t]
+                    vector, random = _projected(t, first, begin, end, step, corpus)
+                    passages = Passages(t, begin, end, span, bench, corpus, table)
                     tried: set[tuple[int, int, int, int]] = set()
 
                     def judge(d: int, item: int, a: int, b: int) -> None:
                         if better(1.0, bench.ids[item], best[d]) and (d, item, a, b) not in tried:
                             tried.add((d, item, a, b))
-                            share = matches(bench.words[item], h[a:b], covered, partly, answer, least_words)
+                            words = bench.words[item]
+                            share = matches(words, h[a:b], covered, partly, answer, least_words, some_places(item) if len(words) <= 256 else None)
                             if better(share, bench.ids[item], best[d]):
                                 best[d] = share, bench.ids[item]
 
                     for candidate in complete.candidates(h, first, bench.words, span):
                         judge(*candidate)
-                    wide = max(1, (1 << 22) // len(bench.owner))
+                    wide = max(1, COSINES // len(bench.owner))
                     for at in range(0, len(doc), wide):
-                        near = np.flatnonzero((random[at : at + wide] @ bench.random.T).ravel() >= spread)
+                        near = np.flatnonzero(random[at : at + wide] @ across >= spread)
                         passage, which = at + near // len(bench.owner), near % len(bench.owner)
-                        for k in range(0, len(passage), 100_000):
-                            p, w = passage[k : k + 100_000], which[k : k + 100_000]
+                        for k in range(0, len(passage), PAIRS):
+                            p, w = passage[k : k + PAIRS], which[k : k + PAIRS]
                             alike = np.einsum("ij,ij->i", vector[p], bench.vector[w]) >= cosine
                             p, w = p[alike], w[alike]
-                            place = np.minimum(begin[p][:, None] + np.arange(span), end[p][:, None] - 1)
-                            inside = begin[p][:, None] + np.arange(span) < end[p][:, None]
-                            heavy = weight[place] * inside
-                            key = w[:, None] * TERMS + t[place]
-                            found = bench.held[np.minimum(np.searchsorted(bench.held, key), len(bench.held) - 1)] == key
-                            own = np.minimum(heavy.sum(1), bench.mass[w])
-                            for i in np.flatnonzero((heavy * found).sum(1) >= shared * own):
+                            own = np.minimum(passages.mass[p], bench.mass[w])
+                            for i in np.flatnonzero(passages.held(p, w) >= shared * own):
                                 d, item = int(doc[p[i]]), int(bench.owner[w[i]])
                                 n = len(bench.words[item])
                                 judge(d, item, int(max(first[d], begin[p[i]] - n)), int(min(first[d + 1], end[p[i]] + n)))

@@ -481,6 +481,59 @@ def test_common_subsequence():
         assert decontaminate.common(a, b) == table[-1, -1]
 
 
+def test_decontaminate_sums_in_blocks():
+    """Sums of steps and of terms by blocks of gathered rows: those of single additions."""
+    rng = np.random.default_rng(5)
+    sizes = np.r_[0, rng.integers(0, 40, 700), 5, 0, 9000, 1]
+    first = np.r_[0, np.cumsum(sizes)]
+    t = np.where(rng.random(first[-1]) < 0.3, 7, rng.integers(0, decontaminate.TERMS, first[-1])).astype(np.uint16)  # term 7 fills more than a block
+    table = rng.integers(-9, 9, (decontaminate.TERMS, 5)).astype(np.float32)  # sums of integers are exact
+    assert (t == 7).sum() > decontaminate.WORDS and len(t) / 6 > 3 * decontaminate.STEPS
+    edges = [(a, min(a + 6, e)) for b, e in zip(first[:-1], first[1:], strict=True) for a in range(b, e, 6)]
+    want = np.array([table[t[a:b]].sum(0) for a, b in edges])
+    assert (decontaminate._step_sums(t, first, 6, table) == want).all()
+    n, seen, terms, part = decontaminate.sums_of(t, first, 6, table)
+    product, stands = np.zeros_like(table), np.zeros(decontaminate.TERMS, int)
+    for (a, b), x in zip(edges, want, strict=True):
+        np.add.at(product, t[a:b], x)
+        stands[np.unique(t[a:b])] += 1
+    assert n == len(edges) and (seen == stands).all() and (terms == np.unique(t)).all() and (part == product[terms]).all()
+
+
+def test_decontaminate_weights_of_pairs(monkeypatch):
+    """What two passages share, by the table of weights, by search where it would be too large, and by sets."""
+    rng = np.random.default_rng(8)
+    idf = rng.random(decontaminate.TERMS).astype(np.float32)
+    corpus = decontaminate.Corpus(idf, np.zeros((decontaminate.TERMS, 1), np.float32), np.zeros(1))
+    own = [np.unique(rng.integers(0, 300, rng.integers(1, 24))) for _ in range(9)]
+    held = np.concatenate([i * decontaminate.TERMS + x for i, x in enumerate(own)])
+    bench = decontaminate.Items([], [], np.arange(9), np.zeros((9, 1)), np.zeros((9, 1)), held, np.array([idf[x].sum() for x in own]))
+    first = np.array([0, 3, 3, 100, 160])
+    t = rng.integers(0, 300, 160).astype(np.uint16)
+    doc, begin, end = decontaminate._spans(first, 12)
+    p, w = (x.ravel() for x in np.meshgrid(np.arange(len(doc)), np.arange(9), indexing="ij"))
+    want = [sum(float(idf[x]) for x in t[begin[i] : end[i]] if x in own[k]) for i, k in zip(p, w, strict=True)]
+    assert sum(x > 0 for x in want) > 20
+    for most in (decontaminate.WEIGHTS, 0):
+        monkeypatch.setattr(decontaminate, "WEIGHTS", most)
+        table = decontaminate.weights(bench, corpus)
+        passages = decontaminate.Passages(t, begin, end, 24, bench, corpus, table)
+        assert (table is None) == (most == 0) and np.allclose(passages.held(p, w), want, atol=1e-5)
+        assert np.allclose(passages.mass, [idf[t[a:b]].sum() for a, b in zip(begin, end, strict=True)], atol=1e-5)
+
+
+def test_decontaminate_aligns_what_may_match(monkeypatch):
+    """Words that can't cover enough of an item, whatever their order, are not aligned."""
+    real, aligned = decontaminate._longest, []
+    monkeypatch.setattr(decontaminate, "_longest", lambda found, n: aligned.append(n) or real(found, n))
+    item = np.arange(20, dtype=np.uint64)
+    few, often = np.r_[item[:9], np.arange(100, 150, dtype=np.uint64)], np.repeat(item[:9], 10)
+    assert decontaminate.matches(item, few, 0.7, 0.5, 4, 8) == decontaminate.matches(item, often, 0.7, 0.5, 4, 8) == 0 and not aligned
+    assert decontaminate.matches(item, item[::-1], 0.7, 0.5, 4, 8) == 0 and len(aligned) == 1
+    assert decontaminate.matches(item, item[:14], 0.7, 0.5, 4, 8) == 0.7 and decontaminate.matches(item, item[10:], 0.7, 0.5, 4, 8) == 0.5
+    assert decontaminate.matches(item[:6], item[:6], 0.7, 0.5, 4, 8) == 1 and decontaminate.matches(item[:6], item[:5], 0.7, 0.5, 4, 8) == 0
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(400, 8)) * rng.uniform(0.5, 2, (400, 1))
