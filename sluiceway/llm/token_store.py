@@ -32,13 +32,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sluiceway.llm import words as W
 from sluiceway.llm.bpe import read_spec
-from sluiceway.llm.shared import Scratch, held, slices
+from sluiceway.llm.shared import SLICE_ROWS, Scratch, held, slices
 
 #: Ones between two kept counts in the high bits.
 BLOCK = 512
-#: Pieces whose ids a worker remembers.
-CACHE = 400_000
+#: Pieces whose ids a worker remembers, and bytes of them with their ids: the half used last stays where they grow beyond.
+CACHE, CACHE_BYTES = 1_000_000, 64 << 20
+#: Text bytes that are encoded together: a piece is looked up once in all of them.
+ENCODED_BYTES = 4 << 20
 #: Text bytes of a range partition, where that makes more of them than the session's number.
 PART_BYTES = 64 << 20
 #: Starts of shards that are broadcast (8 MB of rows, for a billion documents); more of them are joined.
@@ -93,15 +96,18 @@ class EliasFano:
 
 
 class _Pieces:
-    """Ids of white-space separated pieces, packed; bounded size. ``apart``: do white space and
-    TAIL after a word end a pre-token?"""
+    """Ids of white-space separated pieces: an Arrow array of pieces, their ids end to end with
+    their edges, and when each was used last; bounded size. Pieces are found by sorted hashes
+    and then compared. ``apart``: do white space and TAIL after a word end a pre-token?"""
 
     def __init__(self, spec: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.ids: dict[bytes, bytes] = {b"": b""}
-        self.old: dict[bytes, bytes] = {}
+        self.text, self.ids, self.edges = pa.array([""], pa.large_string()), np.zeros(0, dtype), np.zeros(2, np.int64)
+        self.used, self.now = np.zeros(1, np.int64), 0
+        self.hash, self.key, self.place = (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64))
+        self._sort()
         self.tokenizer, self.dtype = Tokenizer.from_str(spec), dtype
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -115,64 +121,126 @@ class _Pieces:
             self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.words_end = bool(self.last.any())
 
-    def of(self, pieces: list[bytes]) -> list[bytes]:
-        """Packed ids of distinct pieces."""
-        self.learn(set(pieces))
-        return list(map(self.ids.__getitem__, pieces))
-
-    def learn(self, pieces: set[bytes]) -> None:
-        if len(self.ids) > CACHE:
-            self.old, self.ids = self.ids, {b"": b""}
-        new = self._unknown(pieces)
-        if not self.words_end:
-            self._by_offsets(list(new))
+    def of(self, pieces: pa.Array) -> np.ndarray:
+        """Places of distinct pieces among those known."""
+        self._forget()
+        self.now += 1
+        at = self._places(pieces)
+        new = at < 0
+        if new.any():
+            at[new] = self._learn(pieces.filter(pa.array(new)))
+            self._sort()
+        self.used[at] = self.now
+        return at
+
+    def laid_out(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces at places, end to end, and how many each has."""
+        n = self.edges[at + 1] - self.edges[at]
+        stop = np.cumsum(n)
+        place = np.repeat(self.edges[at] - stop + n, n)
+        place += np.arange(len(place))
+        return self.ids.take(place, mode="clip") if len(place) else self.ids[:0], n
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Places of pieces among those known, or -1."""
+        h = _hashes(pieces)
+        order = np.argsort(h)
+        at = np.empty(len(h), np.int64)
+        at[order] = self.place[np.minimum(np.searchsorted(self.key, h[order]), len(self.key) - 1)]
+        same = self.hash[at] == h
+        same[same] = np.asarray(pc.equal(self.text.take(pa.array(at[same])), pieces.filter(pa.array(same))))
+        return np.where(same, at, -1)
+
+    def _sort(self) -> None:
+        """The hashes of all pieces in order: those added since come as a second sorted run."""
+        new = _hashes(self.text.slice(len(self.hash)))
+        order = np.argsort(new)
+        key, place = np.concatenate([self.key, new[order]]), np.concatenate([self.place, len(self.hash) + order])
+        self.hash = np.concatenate([self.hash, new])
+        order = np.argsort(key, kind="stable")
+        self.key, self.place = key[order], place[order]
+
+    def _forget(self) -> None:
+        size = np.asarray(pc.binary_length(self.text)) + np.diff(self.edges) * self.ids.itemsize
+        if len(size) <= CACHE and size.sum() <= CACHE_BYTES:
             return
-        words, rest, made = set(), [], []
-        for p in new:
-            core = p.rstrip(TAIL)
-            if not (core.isalpha() or not core.isascii() and core.decode().lower().isalpha()):
-                rest.append(p)
-            elif len(core) == len(p):
-                words.add(p)
-            else:
-                made.append((p, core, p[len(core) :]))
-        self._by_offsets(rest)
-        self._by_offsets(list(self._unknown({t for _, _, t in made})))
-        self._words(list(self._unknown(words.union([c for _, c, _ in made]))))
-        ids = self.ids
-        ids.update([(p, ids[core] + ids[tail]) for p, core, tail in made])
-
-    def _unknown(self, pieces: set[bytes]) -> set[bytes]:
-        new = pieces.difference(self.ids)
-        gone = new.difference(self.old)
-        self.ids.update([(p, self.old[p]) for p in new.difference(gone)])
-        return gone
-
-    def _words(self, pieces: list[bytes]) -> None:
+        order = np.argsort(-self.used[1:], kind="stable") + 1
+        stay = (np.arange(len(order)) < CACHE // 2) & (np.cumsum(size[order]) <= CACHE_BYTES // 2)
+        at = np.r_[0, np.sort(order[stay])]  # the empty piece stays the first
+        self.ids, n = self.laid_out(at)
+        self.text, self.edges, self.used, self.hash = self.text.take(pa.array(at)), np.r_[0, np.cumsum(n)], self.used[at], self.hash[at]
+        self.place = np.argsort(self.hash)
+        self.key = self.hash[self.place]
+
+    def _add(self, pieces: pa.Array, ids: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
+        begin = len(self.text)
+        self.text = pa.concat_arrays([self.text, pieces])
+        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))])
+        self.ids = np.concatenate([self.ids, *ids])
+        self.used = np.concatenate([self.used, np.full(len(pieces), self.now)])
+        return np.arange(begin, len(self.text))
+
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Places of pieces that are new and distinct."""
+        if not self.words_end:
+            return self._by_offsets(pieces)
+        core = pc.ascii_rtrim(pieces, characters=TAIL.decode())
+        letters = pc.ascii_is_alpha(core).to_numpy(zero_copy_only=False)
+        other = np.flatnonzero(~pc.string_is_ascii(core).to_numpy(zero_copy_only=False))
+        letters[other] = [c.lower().isalpha() for c in core.take(pa.array(other)).to_pylist()]
+        size = np.asarray(pc.binary_length(core))
+        short = letters & (size < np.asarray(pc.binary_length(pieces)))
+        at = np.zeros(len(pieces), np.int64)
+        at[~letters] = self._by_offsets(pieces.filter(pa.array(~letters)))
+        cut = [p[n:].decode() for p, n in zip(_bytes(pieces.filter(pa.array(short))), size[short].tolist(), strict=True)]
+        tail = pa.array(cut, pa.large_string()).dictionary_encode()
+        tails = self._places(tail.dictionary)
+        new = tails < 0
+        tails[new] = self._by_offsets(tail.dictionary.filter(pa.array(new)))
+        word = core.filter(pa.array(letters)).dictionary_encode()
+        words = self._places(word.dictionary)
+        new = words < 0
+        words[new] = self._words(word.dictionary.filter(pa.array(new)))
+        at[letters] = words[word.indices.to_numpy()]
+        both = np.stack([at[short], tails[tail.indices.to_numpy()]], 1)
+        ids, n = self.laid_out(both.ravel())
+        at[short] = self._add(pieces.filter(pa.array(short)), [ids], [n.reshape(-1, 2).sum(1)])
+        return at
+
+    def _words(self, pieces: pa.Array) -> np.ndarray:
         """Pieces of letters alone: each ends with the one token that ends a word."""
-        for at in range(0, len(pieces), 2048):
-            some = pieces[at : at + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.dtype)
-            stop = (np.flatnonzero(self.last[ids]) + 1) * ids.itemsize
-            if len(stop) != len(some):  # letters that the tokenizer takes apart
-                self._by_offsets(some)
-                continue
-            self._keep(some, ids, [0, *stop.tolist()])
-
-    def _by_offsets(self, pieces: list[bytes]) -> None:
-        for at in range(0, len(pieces), 2048):
-            some = pieces[at : at + 2048]
-            texts = b" ".join(some).decode()
-            got = self.tokenizer.encode(texts, add_special_tokens=False)
-            ids = np.array(got.ids, self.dtype)
-            begins = np.cumsum([0, *(len(t) + 1 for t in texts.split(" "))])[:-1]
-            place = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
-            stop = np.searchsorted(place, begins[1:]) * ids.itemsize
-            self._keep(some, ids, [0, *stop.tolist(), ids.nbytes])
-
-    def _keep(self, pieces: list[bytes], ids: np.ndarray, edges: list[int]) -> None:
-        packed = ids.tobytes()
-        self.ids.update([(p, packed[a:b]) for p, a, b in zip(pieces, edges[:-1], edges[1:], strict=True)])
+        every, sizes = [], []
+        for some in _joined(pieces, 2048):
+            ids = np.array(self.tokenizer.encode_batch_fast([some], add_special_tokens=False)[0].ids, self.dtype)
+            stop = np.flatnonzero(self.last[ids]) + 1
+            if len(stop) != some.count(" ") + 1:  # letters that the tokenizer takes apart
+                ids, stop = self._offsets(some)
+            every.append(ids)
+            sizes.append(np.diff(stop, prepend=0))
+        return self._add(pieces, every, sizes)
+
+    def _by_offsets(self, pieces: pa.Array) -> np.ndarray:
+        got = [self._offsets(some) for some in _joined(pieces, 2048)]
+        return self._add(pieces, [ids for ids, _ in got], [np.diff(stop, prepend=0) for _, stop in got])
+
+    def _offsets(self, texts: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces joined by blanks, and where each piece's stop."""
+        got = self.tokenizer.encode(texts, add_special_tokens=False)
+        ids = np.array(got.ids, self.dtype)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts.split(" "))])[:-1]
+        place = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
+        return ids, np.append(np.searchsorted(place, begins[1:]), len(ids))
+
+
+def _hashes(pieces: pa.Array) -> np.ndarray:
+    buf, offs = W.buffer_of(pieces)
+    return W.hashes(W.Words(buf, offs[:-1], offs[1:], offs))
+
+
+def _joined(pieces: pa.Array, many: int) -> list[str]:
+    """Pieces by ``many``, joined by blanks."""
+    edges = pa.array([*range(0, len(pieces), many), len(pieces)], pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(edges, pieces), pa.scalar(" ", pa.large_string())).to_pylist() if len(pieces) else []
 
 
 def _known(spec: str, dtype: str) -> _Pieces:
@@ -199,17 +267,11 @@ def encoded(spec: str, dtype: str, texts: pa.Array) -> list[bytes]:
     # a mark could compose with the letter before it, nor where special strings may stand.
     if known.lower:
         texts = pc.if_else(pc.match_substring_regex(texts, MARKED), texts, pc.ascii_lower(texts))
-    parts = pc.ascii_split_whitespace(texts)
+    parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     flat = parts.flatten().dictionary_encode()
-    own = known.of(_bytes(flat.dictionary))
-    width = np.dtype(dtype).itemsize
-    sizes = np.fromiter(map(len, own), np.int64, len(own)) // width
-    at = flat.indices.to_numpy()
-    n = sizes[at]
-    stop = np.cumsum(n)
-    place = np.repeat((np.cumsum(sizes) - sizes)[at] - stop + n, n) + np.arange(n.sum())
-    packed = np.frombuffer(b"".join(own), dtype)[place].tobytes()
-    edges = (np.concatenate([[0], stop])[np.cumsum([0, *pc.list_value_length(parts).to_pylist()])] * width).tolist()
+    ids, n = known.laid_out(known.of(flat.dictionary)[flat.indices.to_numpy()])
+    packed, width = ids.tobytes(), np.dtype(dtype).itemsize
+    edges = (np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *pc.list_value_length(parts).to_pylist()])] * width).tolist()
     return [packed[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
@@ -234,7 +296,7 @@ def write_shards(docs: DataFrame, where: str, *, tokenizer: str, end_id: int = 1
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "n_docs": len(ids), "n_ids": int(bound[-1]), "width": len(tail), "doc_ids": packed, "ids": b"".join(ids), "low_bits": ef.low_bits, "low": ef.low.tobytes(), "high": ef.high.tobytes(), "marks": ef.marks.tobytes()}], schema)
 
         held = 0
-        for batch in slices(batches, keep=True):  # a shard goes on from one slice to the next
+        for batch in slices(batches, limit=ENCODED_BYTES, rows=4 * SLICE_ROWS, keep=True):  # a shard goes on from one slice to the next
             new = encoded(spec.value, dtype, batch["text"])
             for name, x in zip(batch["doc_id"].to_pylist(), new, strict=True):
                 names.append((name is not None, name or 0))

@@ -377,6 +377,40 @@ def test_select_gives_offsets(spark, docs, tmp_path):
         assert e.select(shuffled).tolist() == bound[shuffled].tolist() and bound[-1] == row.n_ids
 
 
+def test_pieces_are_remembered_exactly(monkeypatch):
+    """With a memory that forgets, by pieces or by bytes, and where all hashes are equal, ids are the library's."""
+    spec = bpe.read_spec(CASED)
+    tokenizer = Tokenizer.from_str(spec)
+    rng = random.Random(17)
+    tails = ["", "", "", ".", ",", "?!", "...", "\")"]
+    word = lambda: "".join(rng.choice("abcdefghijKLMNOPéßıİñж1-") for _ in range(rng.randint(1, 7))) + rng.choice(tails)
+    hot = [word() for _ in range(30)]
+    texts = [[" ".join(rng.choice(hot) if rng.random() < 0.5 else word() for _ in range(rng.randint(0, 120))) for _ in range(20)] + [None, "", " ", "<|endoftext|> <unk> e\u0301a , ."] for _ in range(5)]
+    want = [[np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u2").tobytes() for t in some] for some in texts]
+    for setting, value in (("CACHE", 1 << 20), ("CACHE", 200), ("CACHE_BYTES", 500), ("_hashes", lambda pieces: np.zeros(len(pieces), np.uint64))):
+        with monkeypatch.context() as patch:
+            patch.setattr(token_store, setting, value)
+            known = token_store._Pieces(spec, "<u2")
+            patch.setattr(token_store, "_known", lambda *_, known=known: known)
+            assert known.apart and [token_store.encoded(spec, "<u2", pa.array(some, pa.string())) for some in texts] == want
+            known._forget()
+            assert setting == "_hashes" or len(known.text) <= (value if setting == "CACHE" else 500)
+
+
+def test_known_pieces_are_not_encoded_again(monkeypatch):
+    """Nor when other pieces have been forgotten; equal pieces of one call are encoded once."""
+    spec = bpe.read_spec(CASED)
+    known = token_store._Pieces(spec, "<u2")
+    monkeypatch.setattr(token_store, "_known", lambda *_: known)
+    monkeypatch.setattr(token_store, "CACHE", 400)
+    real, seen = token_store._joined, []
+    monkeypatch.setattr(token_store, "_joined", lambda pieces, many: seen.extend(pieces.to_pylist()) or real(pieces, many))
+    name = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05d}")
+    for k in range(8):
+        token_store.encoded(spec, "<u2", pa.array([f"zebra {' '.join(map(name, range(k * 100, k * 100 + 100)))} zebra, zebra."]))
+    assert seen.count("zebra") == 1 and len(seen) == len(set(seen)) == 8 * 100 + 3 and len(known.text) <= 600
+
+
 def test_token_store_of_another_tokenizer(spark, docs):
     library = Tokenizer.from_file(BYTE)
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_store.token_store(docs, tokenizer=BYTE, end_id=7).collect() if r.doc_id is not None}
