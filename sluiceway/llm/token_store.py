@@ -41,7 +41,7 @@ BLOCK = 512
 #: Pieces whose ids a worker remembers, and bytes of them with their ids: the half used last stays where they grow beyond.
 CACHE, CACHE_BYTES = 1_000_000, 64 << 20
 #: Text bytes that are encoded together: a piece is looked up once in all of them.
-ENCODED_BYTES = 4 << 20
+ENCODED_BYTES = 2 << 20
 #: Text bytes of a range partition, where that makes more of them than the session's number.
 PART_BYTES = 64 << 20
 #: Starts of shards that are broadcast (8 MB of rows, for a billion documents); more of them are joined.
