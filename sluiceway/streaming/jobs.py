@@ -37,10 +37,10 @@ def accumulated(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return found["pool"], found["cycle"]
 
 
-def accumulate(current: DataFrame, root: str, now: datetime, *, cap: int = 10_000, days: int = 6, writer: str | None = None, batch_id: int = 0, attempts: int = 5, keep: int = 3) -> bool:
+def accumulate(current: DataFrame, root: str, now: datetime, *, cap: int | None = 10_000, days: int = 6, writer: str | None = None, batch_id: int = 0, attempts: int = 5, keep: int = 3) -> bool:
     """Merges current (protocol, fingerprint, uri) into the pool under root as its next version; False if
     this writer has published the batch already. If another writer comes first, the merge begins
-    again with what that one left."""
+    again with what that one left. Without a cap (None) the pool keeps every row."""
     spark = current.sparkSession
     one = current.groupBy("protocol", "fingerprint").agg(F.min("uri").alias("uri"))
     for attempt in range(attempts):
@@ -51,7 +51,8 @@ def accumulate(current: DataFrame, root: str, now: datetime, *, cap: int = 10_00
         old, cycle = accumulated(spark, root)
         rolled = publish.roll_cycle(cycle, old.isEmpty(), now, days)
         kept = old.filter(F.lit(not rolled.first()["reset"]))  # the cycle table has one row
-        merged = publish.enforce_cap(publish.merge_pool(kept, one, now), cap).drop("change")
+        merged = publish.merge_pool(kept, one, now).drop("change")
+        merged = merged if cap is None else publish.enforce_cap(merged, cap)
         tables = {"pool": merged.withColumn("hits", F.col("hits").cast("int")), "cycle": rolled.select("cycle_started_at", F.col("generation").cast("int").alias("generation"))}
         try:
             versions.commit(tables, root, last.number + 1 if last else 0, note | ({writer: batch_id} if writer else {}))
@@ -64,7 +65,7 @@ def accumulate(current: DataFrame, root: str, now: datetime, *, cap: int = 10_00
     return False
 
 
-def stream_accumulate(current: DataFrame, root: str, clock: Callable[[], datetime] = lambda: datetime.now(UTC), cap: int = 10_000, days: int = 6):
+def stream_accumulate(current: DataFrame, root: str, clock: Callable[[], datetime] = lambda: datetime.now(UTC), cap: int | None = 10_000, days: int = 6):
     """Merges every micro-batch into the pool under ``root``, at the batch's own time, with the
     reset cycle. The log remembers the last batch of each query, so a repeated batch is not merged
     twice; a query with a new checkpoint is another one and goes on with the pool that is there."""

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from sluiceway import catalog
 from sluiceway.operators import channels, extract, probes, publish
 from sluiceway.sources import tables, versions
 from sluiceway.streaming import jobs
@@ -396,6 +397,13 @@ def test_stream_of_the_pool_is_resumed(spark):
     assert {r.fingerprint: r.hits for r in jobs.accumulated(spark, f"{root}/pool")[0].collect()} == {"f1": 2, "f2": 1}
 
 
+def test_accumulate_query_is_not_capped(spark):
+    root = tempfile.mkdtemp(prefix="spark-sluiceway-")
+    orders = spark.range(30_003).selectExpr("id AS o_orderkey", "id * 3 % 30003 AS o_custkey")
+    orders.write.parquet(f"{root}/orders.parquet")
+    assert catalog.QUERIES["s2_stream_accumulate"](spark, root).count() == orders.select("o_custkey").distinct().count()
+
+
 def test_stream_of_first_seen_equals_batch(spark):
     root = tempfile.mkdtemp(prefix="spark-sluiceway-")
     provider = "spark.sql.streaming.stateStore.providerClass"
