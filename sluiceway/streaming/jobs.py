@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import UTC, datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sluiceway.operators import publish
 from sluiceway.sources import versions
 
 _POOL = "protocol string, fingerprint string, uri string, first_added_at timestamp, last_seen_at timestamp, hits int"
 _CYCLE = "cycle_started_at string, generation int"
-_SEEN = "first_seen_at timestamp, last_seen_at timestamp"
 
 
 def stream_fresh_posts(posts: DataFrame, hours: int = 72) -> DataFrame:
@@ -77,26 +74,10 @@ def stream_accumulate(current: DataFrame, root: str, clock: Callable[[], datetim
     return current.writeStream.foreachBatch(merge)
 
 
-class _FirstSeen(StatefulProcessor):
-    """First and last time of one fingerprint."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", _SEEN)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = [t for b in rows for t in (b["seen_at"].min(), b["seen_at"].max())]
-        times += self.seen.get() or ()
-        first, last = pd.Timestamp(min(times)), pd.Timestamp(max(times))
-        self.seen.update((first.to_pydatetime(), last.to_pydatetime()))
-        yield pd.DataFrame({"fingerprint": [key[0]], "first_seen_at": [first], "last_seen_at": [last]})
-
-    def close(self) -> None:
-        pass
-
-
 def stream_first_seen(current: DataFrame) -> DataFrame:
-    """First and last time of each fingerprint (fingerprint, seen_at) that a batch has, a value of
-    state each; output mode update. The state is never evicted, as the job's contract is to remember for
-    ever, so it wants the state store on disk: spark.sql.streaming.stateStore.providerClass must name RocksDB's."""
-    own = current.filter("fingerprint is not null and seen_at is not null").select("fingerprint", "seen_at")
-    return own.groupBy("fingerprint").transformWithStateInPandas(_FirstSeen(), f"fingerprint string, {_SEEN}", "update", "none")
+    """First and last time of each fingerprint (fingerprint, seen_at) that a batch has; output mode
+    update. Equal fingerprints of a batch are joined before they meet their state, all inside the
+    JVM. The state is never evicted, as the job's contract is to remember for ever, so it wants the
+    state store on disk: spark.sql.streaming.stateStore.providerClass should name RocksDB's."""
+    own = current.filter("fingerprint is not null and seen_at is not null")
+    return own.groupBy("fingerprint").agg(F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at"))

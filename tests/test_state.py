@@ -425,6 +425,20 @@ def test_stream_of_first_seen_equals_batch(spark):
         spark.conf.unset(provider)
 
 
+def test_first_seen_state_stays_in_the_jvm(spark):
+    """Many fingerprints in three batches of several files: no Python for each key of the state."""
+    root = tempfile.mkdtemp(prefix="spark-sluiceway-")
+    rows = spark.range(30_000).selectExpr("concat('f', id % 10000) AS fingerprint", "timestamp_seconds(id) AS seen_at")
+    kept = []
+    for n in range(3):
+        rows.filter(f"floor(unix_seconds(seen_at) / 10000) = {n}").repartition(3).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        writer = jobs.stream_first_seen(stream).writeStream.outputMode("update").foreachBatch(lambda b, i: kept.append({r.fingerprint: (r.first_seen_at.second, (r.last_seen_at - r.first_seen_at).seconds) for r in b.collect()}))
+        q = _drained(writer, f"{root}/cp")
+    assert q.lastProgress["stateOperators"][0]["operatorName"] == "stateStoreSave" and q.lastProgress["stateOperators"][0]["numRowsTotal"] == 10_000
+    assert [len(k) for k in kept] == [10_000] * 3 and kept[2]["f7"] == (7, 20_000)
+
+
 def test_streams_of_posts(spark):
     """Posts once within the watermark, late ones dropped; days are given out once they have passed."""
     root = tempfile.mkdtemp(prefix="spark-sluiceway-")
