@@ -135,9 +135,17 @@ def static_filter(lines: DataFrame, pointers: bool = True) -> DataFrame:
     return computed(out, parsed=pointer | ~no, reason=reason).drop("pointer")
 
 
-def exclusion_counts(filtered: DataFrame) -> DataFrame:
-    return filtered.filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+def tally(filtered: DataFrame) -> DataFrame:
+    """parsed, reason and n: the few rows that both counts below can be had from, if n is their column of weights."""
+    return filtered.groupBy("parsed", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def filter_counts(filtered: DataFrame) -> DataFrame:
-    return filtered.agg(F.count(F.lit(1)).alias("candidate_lines"), F.count_if("parsed").alias("parsed"), F.count_if(F.col("reason").isNull()).alias("accepted"))
+def exclusion_counts(filtered: DataFrame, weight: Column | None = None) -> DataFrame:
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return filtered.filter("reason is not null").groupBy("reason").agg(n.alias("n"))
+
+
+def filter_counts(filtered: DataFrame, weight: Column | None = None) -> DataFrame:
+    weight = F.lit(1).cast("long") if weight is None else weight
+    kinds = {"candidate_lines": F.lit(True), "parsed": F.col("parsed"), "accepted": F.col("reason").isNull()}
+    return filtered.agg(*(F.coalesce(F.sum(F.when(kind, weight)), F.lit(0).cast("long")).alias(k) for k, kind in kinds.items()))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluiceway import catalog
-from sluiceway.operators import channels, extract, probes, publish
+from sluiceway.operators import channels, extract, probes, profiles, publish
 from sluiceway.sources import tables, versions
 from sluiceway.streaming import jobs
 
@@ -377,6 +377,21 @@ def test_publication_parses_lines_once(spark, monkeypatch):
     assert len(taken) == 1 and "lineitem" not in report._jdf.queryExecution().toString()  # done before, not again
 
 
+def test_report_parses_lines_once(spark, monkeypatch):
+    taken = _reads_of_lines(monkeypatch)
+    report = catalog.QUERIES["a10_build_report"](spark, "/root/testdata/sf0.001")
+    assert len(taken) == 1 and "original_uri" not in report._jdf.queryExecution().toString()
+    assert report.columns == ["block", "body"]
+
+
+def test_counts_of_a_tally(spark):
+    rows = spark.createDataFrame([(True, None)] * 3 + [(True, "a"), (False, "b"), (False, "b")], "parsed boolean, reason string")
+    few = profiles.tally(rows)
+    assert tuple(profiles.filter_counts(few, F.col("n")).first()) == tuple(profiles.filter_counts(rows).first()) == (6, 4, 3)
+    assert {tuple(r) for r in profiles.exclusion_counts(few, F.col("n")).collect()} == {tuple(r) for r in profiles.exclusion_counts(rows).collect()} == {("a", 1), ("b", 2)}
+    assert tuple(profiles.filter_counts(profiles.tally(rows.filter("false")), F.col("n")).first()) == (0, 0, 0)
+
+
 def _stream(spark, df, where):
     """df as a stream of the files in a folder, one file to a batch."""
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(where)
